@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from beatframe.llm import oracles
 from beatframe.llm.chat import op8_chat
+from beatframe.llm.decontamination import op1_decontamination
+from beatframe.llm.langid import op9_language
 from beatframe.llm.sharding import op10_sharding
 
-QUERIES = {f.__name__: f for f in (op8_chat, op10_sharding)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op8_chat, op9_language, op10_sharding)}
+ORACLES: dict[str, str] = {"op1_decontamination": oracles.OP1}
