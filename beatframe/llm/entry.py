@@ -9,7 +9,8 @@ from beatframe.llm.langid import op9_language
 from beatframe.llm.lines import op7_lines
 from beatframe.llm.packing import op6_packing
 from beatframe.llm.sharding import op10_sharding
+from beatframe.llm.simhash import op5_simhash
 from beatframe.llm.topk import op4_topk
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_topk, op6_packing, op7_lines, op8_chat, op9_language, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_topk, op5_simhash, op6_packing, op7_lines, op8_chat, op9_language, op10_sharding)}
 ORACLES: dict[str, str] = {"op1_decontamination": oracles.OP1, "op4_topk": oracles.OP4, "op7_lines": oracles.OP7}
