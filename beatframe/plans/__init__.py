@@ -1,0 +1 @@
+from beatframe.plans import check_queries, frame_queries  # noqa: F401  they register their queries
