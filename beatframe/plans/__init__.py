@@ -1 +1 @@
-from beatframe.plans import check_queries, frame_queries  # noqa: F401  they register their queries
+from beatframe.plans import check_queries, frame_queries, metric_queries  # noqa: F401  they register their queries
