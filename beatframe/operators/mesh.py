@@ -36,7 +36,7 @@ def raster(coo: DataFrame, frames: DataFrame, key: list[str], vector: str, *, si
 def categorical_raster(coo: DataFrame, labels: DataFrame, *, background: int, pixels: int) -> DataFrame:
     """MG3: each pixel's class of most coverage, the lowest on ties; background where nothing covers it."""
     c = coo.join(labels.select(F.col("elem_id").alias("col"), "label"), "col").groupBy("row", "label").agg(F.sum("value").alias("w")).filter("w > 0")
-    top = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("w"), "label"))
+    top = F.row_number().over(Window.partitionBy("row").orderBy(F.desc(F.round("w", 9)), "label"))
     best = c.withColumn("_n", top).filter("_n = 1").select(F.col("row").alias("p"), "label")
     return coo.sparkSession.range(pixels).select(F.col("id").alias("p")).join(best, "p", "left").select("p", F.coalesce("label", F.lit(background)).alias("label"))
 

@@ -124,7 +124,7 @@ def _(t):
     return M.raster(coo(t).filter("row < 60"), few(t), ["key"], "v", side=8).withColumn("y", F.round("y", 5))
 
 
-@query("mg3_categorical_raster", f"WITH {COO}, c AS (SELECT row AS p, col % 7 AS label, sum(value) AS w FROM coo WHERE row < 60 GROUP BY 1, 2 HAVING sum(value) > 0), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY round(w, 6) DESC, label) AS n FROM c) SELECT p.p, coalesce(label, 99) AS label FROM range(64) p(p) LEFT JOIN n ON n.p = p.p AND n.n = 1")
+@query("mg3_categorical_raster", f"WITH {COO}, c AS (SELECT row AS p, col % 7 AS label, sum(value) AS w FROM coo WHERE row < 60 GROUP BY 1, 2 HAVING sum(value) > 0), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY round(w, 9) DESC, label) AS n FROM c) SELECT p.p, coalesce(label, 99) AS label FROM range(64) p(p) LEFT JOIN n ON n.p = p.p AND n.n = 1")
 def _(t):
     labels = t.spark.range(64).select(F.col("id").alias("elem_id"), (F.col("id") % 7).alias("label"))
     return M.categorical_raster(coo(t).filter("row < 60"), labels, background=99, pixels=64)
