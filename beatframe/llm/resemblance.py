@@ -58,25 +58,21 @@ def strongest_tree(s: np.ndarray, least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def candidate_edges(signatures: DataFrame, *, least: float, bucket: int = 4000) -> DataFrame:
-    """a < b of (t, sig): the strongest edges inside every bucket of texts that share a band of their signatures.
+def band_keys(s: np.ndarray) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(s[ROWS * j : ROWS * (j + 1)].tobytes(), j) - (1 << 63) for j in range(BANDS)]
 
-    Buckets above the limit are taken apart by other bands, a text going with several, until they fit.
-    """
 
-    def bands(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            s = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in b.column(1)), np.uint32).reshape(-1, WIDTH)
-            keys = [[xxhash.xxh3_64_intdigest(s[i, ROWS * j : ROWS * (j + 1)].tobytes(), j) - (1 << 63) for j in range(BANDS)] for i in range(len(s))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["t", "keys"])
-
-    keyed = stored(signatures.select("t", "sig").mapInArrow(bands, "t bigint, keys array<bigint>"))
-    rows = keyed.select("t", F.explode("keys").alias("key"))
+def candidate_edges(nodes: DataFrame, *, least: float, bucket: int = 4000) -> DataFrame:
+    """a < b of nodes (t, keys of the bands, sig): the strongest edges inside every bucket of texts that share a band.
+
+    Of buckets with the same texts one is taken. Buckets above the limit are taken apart by other bands, a
+    text going with several, until they fit.
+    """
+    rows = nodes.select("t", F.explode("keys").alias("key"))
     edges = None
     for step in range(4):
-        sizes = rows.groupBy("key").count().filter("count > 1")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("count"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.bit_xor(F.xxhash64("t")).alias("x")).filter("count > 1")
+        sizes = stored(sizes.groupBy("count", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "count"))
         last = step == 3
         met = stored(rows.join(sizes if last else sizes.filter(F.col("count") <= bucket), "key").select("key", "t"))
         shares = max(1, math.ceil(met.count() / 20_000))
@@ -84,20 +80,18 @@ def candidate_edges(signatures: DataFrame, *, least: float, bucket: int = 4000)
         def compare(t: pa.Table) -> pa.Table:
             t = t.sort_by([("key", "ascending"), ("t", "ascending")])
             key, node = np.asarray(t["key"]), np.asarray(t["t"])
-            s = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for c in t["sig"].chunks for x in c), np.uint32).reshape(-1, WIDTH)
+            s = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, WIDTH)
             cut = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
             pair = {tuple(sorted((int(node[x + i]), int(node[x + j])))) for x, y in zip(cut, [*cut[1:], len(key)], strict=True) for i, j in strongest_tree(s[x:y], least)}
             return pa.table([[p[0] for p in pair], [p[1] for p in pair]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-        some = met.join(signatures.select("t", "sig"), "t").withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares))).groupBy("share").applyInArrow(compare, "a bigint, b bigint").distinct()
+        some = met.join(nodes.select("t", "sig"), "t").withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares))).groupBy("share").applyInArrow(compare, "a bigint, b bigint").distinct()
         edges = some if edges is None else edges.unionByName(some).distinct()
-        if last:
-            break
-        large = stored(sizes.filter(F.col("count") > bucket).select("key"))
-        if large.isEmpty():
+        large = sizes.filter(F.col("count") > bucket).select("key")
+        if last or large.isEmpty():
             break
         other = F.array(*[F.element_at("keys", (step * 4 + j) % BANDS + 1) for j in range(4)])
-        rows = stored(rows.join(large, "key").join(keyed, "t").select("t", F.explode(F.transform(other, lambda x: F.xxhash64("key", x))).alias("key")).distinct())
+        rows = stored(rows.join(large, "key").join(nodes.select("t", "keys"), "t").select("t", F.explode(F.transform(other, lambda x: F.xxhash64("key", x))).alias("key")).distinct())
     return edges
 
 

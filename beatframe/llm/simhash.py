@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatframe.llm.common import map_texts, stored, table
-from beatframe.llm.resemblance import candidate_edges, shingle_set, signature, verified
+from beatframe.llm.resemblance import band_keys, candidate_edges, shingle_set, signature, verified
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 GENERATOR = 0b101011100011  # of the (23, 12) Golay code
@@ -216,31 +216,26 @@ def near_copies(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
 
     def run(slices):
         for texts in slices:
-            raw = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
-            yield [pa.array(fingerprints(texts).view(np.int64)), pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in raw], pa.int64()), pa.array([signature(shingle_set(t, words)).tobytes() for t in raw], pa.binary())]
+            marks = [signature(shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words)) for t in texts]
+            yield [pa.array(fingerprints(texts).view(np.int64)), pa.array([band_keys(s) for s in marks], pa.list_(pa.int64())), pa.array([s.astype(np.uint16).tobytes() for s in marks], pa.binary())]
 
-    prints = map_texts(docs, list(dict.fromkeys([*keep, key])), docs[text], run, "f bigint, t bigint, sig binary")
-    nodes = stored(prints.groupBy("t").agg(F.min(f"row.{key}").alias("least"), F.min("f").alias("f"), F.min("sig").alias("sig")))
+    node = F.xxhash64(docs[text])
+    prints = map_texts(docs.select(node.alias("t"), docs[key].alias("least"), docs[text].alias("text")), ["t", "least"], F.col("text"), run, "f bigint, keys array<bigint>, sig binary")
+    nodes = stored(prints.groupBy("row.t").agg(F.min("row.least").alias("least"), F.min("f").alias("f"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     of_print = stored(nodes.groupBy("f").agg(F.min("t").alias("t")))
     same = nodes.select("t", "f").join(of_print.withColumnRenamed("t", "a"), "f").filter("t <> a").select("a", F.col("t").alias("b"))
     fuzzy = near_links(of_print.select("f"), bits=bits).join(of_print.select(F.col("f").alias("a"), F.col("t").alias("x")), "a").join(of_print.select(F.col("f").alias("b"), F.col("t").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    proposed = stored(candidate_edges(nodes.select("t", "sig"), least=similarity - 0.07))
-    ends = proposed.select(F.col("a").alias("t")).unionByName(proposed.select(F.col("b").alias("t"))).distinct()
-    whole = docs.select(docs[key].alias("least"), docs[text].cast("binary").alias("text"))
-    # one row holds each text: that of its least key (several of one key are told apart by the hash)
-    some = whole.join(nodes.select("t", "least").join(ends, "t"), "least").mapInArrow(_own_text, "t bigint, text binary").dropDuplicates(["t"])
-    linked = verified(proposed, some, words=words, similarity=similarity)
+    proposed = stored(candidate_edges(nodes.select("t", "keys", "sig"), least=similarity - 0.07))
+    ends = proposed.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    # the row of its least key holds each text
+    texts = docs.select(docs[key].alias("least"), node.alias("t"), docs[text].cast("binary").alias("text")).filter(F.col("text").isNotNull())
+    texts = stored(texts.join(nodes.select("t", "least").join(ends, "t"), ["t", "least"]).dropDuplicates(["t"]).select("t", "text"))
+    linked = stored(verified(proposed, texts, words=words, similarity=similarity))
     root = components(same.unionByName(fuzzy).unionByName(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     named = nodes.select("t", "least").join(root.withColumnRenamed("f", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("t", "component_id")
-    return prints.select("row", "t").join(named, "t").select("row", "component_id")
-
-
-def _own_text(batches):
-    for b in batches:
-        text, t = b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("t"))
-        mask = pa.array([xxhash.xxh3_64_intdigest(x.as_buffer().to_pybytes() if x.is_valid else b"") - (1 << 63) == y.as_py() for x, y in zip(text, t, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([t.filter(mask), text.filter(mask)], names=["t", "text"])
+    named = stored(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("t", "component_id"))
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), node.alias("t"))
+    return rows.join(named, "t").select("row", "component_id")
 
 
 def hex16(c: Column) -> Column:
