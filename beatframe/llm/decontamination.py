@@ -106,7 +106,7 @@ def hits(block: Block, texts: pa.Array) -> list[pa.Array]:
     order = np.argsort(which, kind="stable")
     where, which = where[order], which[order]
     cut = np.flatnonzero(np.diff(which, prepend=-1))
-    for a, b in zip(cut, [*cut[1:], len(which)], strict=True):
+    for a, b in zip(cut, np.append(cut[1:], len(which)), strict=len(cut) > 0):
         for w, offset in block.prefix.get(int(which[a]), ()):
             starts.setdefault(w, []).append(where[a:b] - offset)
     for w, s in starts.items():

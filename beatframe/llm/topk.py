@@ -66,7 +66,8 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, ids: str = "vec_id
     sizes = {r["n"]: r["count"] for r in x.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()}
     dim, total = next(iter(sizes.items()), (0, 0))
     x = x.filter(F.size("x") == dim)
-    marks = np.array([r["x"] for r in x.select("x").orderBy(F.xxhash64("x"), "x").limit(pivots).collect()], dtype=np.float64).reshape(-1, dim)
+    found = [r["x"] for r in x.select("x").orderBy(F.xxhash64("x"), "x").limit(pivots).collect()]
+    marks = np.array(found, dtype=np.float64).reshape(len(found), dim)
 
     def distances(batches):
         for b in batches:
