@@ -42,7 +42,7 @@ def spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
         F.when(F.col(f"row.{text}").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
-    return row.select("row.*", result.alias("_line_dedup"))
+    return row.select("row", result.alias("r")).select("row.*", F.col("r").alias("_line_dedup"))
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
