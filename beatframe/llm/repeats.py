@@ -61,9 +61,8 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def unit_hashes(data: np.ndarray, at: np.ndarray, words: bool) -> np.ndarray:
-    if not words:
-        return mixed((data.astype(np.uint64) + np.uint64(1)) * _M1)
+def unit_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each word."""
     p, inverse = powers(len(data), _BASE), powers(len(data), _INVERSE)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p, dtype=np.uint64)])
     a, b = at[:-1], at[1:] - 1
@@ -80,6 +79,21 @@ def sliding(x: np.ndarray, w: int, best) -> np.ndarray:
     return x
 
 
+def byte_grams(data: bytes, k: int) -> np.ndarray:
+    """A hash of every k consecutive bytes, k a multiple of 8, from eight bytes at a time."""
+    n = len(data) - 7
+    if len(data) < k:
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray((n,), "<u8", data, strides=(1,)) * _M1
+    eight ^= eight >> np.uint64(32)
+    m = len(data) - k + 1
+    out = eight[:m].copy()
+    for j in range(8, k, 8):
+        out *= _M2
+        out += eight[j : j + m]
+    return mixed(out * _M1)
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k consecutive unit hashes, by doubling."""
     out, done = None, 0
@@ -95,8 +109,8 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         power, width = mixed(power[:-width] * _M1 + power[width:]), width * 2
 
 
-def anchors(texts: list[bytes], unit: Unit) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hash, hash of its surroundings, position) of each text's anchors, all texts at once.
+def anchors(texts: list[bytes], unit: Unit, around: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor hash, hash of its surroundings unless around is false, position) of each text's anchors, all texts at once.
 
     Runs that cross from one text to the next can only add anchors; those inside a text don't depend on its neighbours.
     """
@@ -108,7 +122,9 @@ def anchors(texts: list[bytes], unit: Unit) -> list[tuple[np.ndarray, np.ndarray
     base = np.concatenate([[0], np.cumsum([at[-1] for _, at in parts])])
     at = np.concatenate([*(x[:-1] + b for (_, x), b in zip(parts, base, strict=False)), base[-1:]]).astype(np.int64)
     none = np.zeros(0, np.int64)
-    g = gram_hashes(unit_hashes(np.frombuffer(joined, np.uint8), at, unit.words), unit.k) if first[-1] >= unit.window else np.zeros(0, np.uint64)
+    if first[-1] < unit.window:
+        return [(none, none, none)] * len(texts)
+    g = gram_hashes(unit_hashes(np.frombuffer(joined, np.uint8), at), unit.k) if unit.words else byte_grams(joined, unit.k)
     run = unit.window - unit.k + 1
     if len(g) < run:
         return [(none, none, none)] * len(texts)
@@ -118,14 +134,16 @@ def anchors(texts: list[bytes], unit: Unit) -> list[tuple[np.ndarray, np.ndarray
     text = np.searchsorted(first, chosen, "right") - 1
     fits = (chosen + unit.k <= first[text + 1]) & (n[text] >= unit.window)
     chosen, text = chosen[fits], text[fits]
-    start = np.maximum(first[text], chosen - (unit.window - unit.k))
-    end = np.minimum(first[text + 1], chosen + unit.window)
-    a, b = at[start].tolist(), (at[end] - unit.words).tolist()
-    digest = xxhash.xxh3_64_intdigest
-    around = np.array([digest(joined[x:y], left) for x, y, left in zip(a, b, (chosen - start).tolist(), strict=True)], dtype=np.uint64)
+    digests = np.zeros(len(chosen), np.uint64)
+    if around:
+        start = np.maximum(first[text], chosen - (unit.window - unit.k))
+        end = np.minimum(first[text + 1], chosen + unit.window)
+        a, b = at[start].tolist(), (at[end] - unit.words).tolist()
+        digest = xxhash.xxh3_64_intdigest
+        digests[:] = [digest(joined[x:y], left) for x, y, left in zip(a, b, (chosen - start).tolist(), strict=True)]
     cut = np.searchsorted(text, np.arange(len(texts) + 1))
     key, place = g[chosen].view(np.int64), chosen - first[text]
-    return [(key[x:y], around.view(np.int64)[x:y], place[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    return [(key[x:y], digests.view(np.int64)[x:y], place[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def text_mark(text: bytes) -> int:
@@ -141,15 +159,31 @@ def located(docs: DataFrame, key: str, text: str, unit: Unit) -> DataFrame:
             raw = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
             found = anchors(raw, unit)
             mark = [text_mark(t) << 32 for t in raw]
-            sizes = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
-            cols = [np.concatenate([f[i] if i < 2 else f[2] + m for f, m in zip(found, mark, strict=True)]) if found else np.zeros(0, np.int64) for i in range(3)]
-            st = pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "s", "loc"])
-            yield [pa.ListArray.from_arrays(sizes, st)]
+            columns = [[f[0] for f in found], [f[1] for f in found], [f[2] + m for f, m in zip(found, mark, strict=True)]]
+            yield [lists(columns, ["a", "s", "loc"])]
 
-    out = map_texts(docs.select(row_key(docs, key).alias("k"), docs[text].alias("text")), ["k"], F.col("text"), run, "x array<struct<a:bigint,s:bigint,loc:bigint>>")
+    out = map_texts(docs.select(row_key(docs, key).alias("k"), docs[text].alias("text")), ["k"], F.col("text"), run, "x array<struct<a:bigint,s:bigint,loc:bigint>>", slice_bytes=300_000)
     return out.select("row.k", F.explode("x").alias("x")).select("x.a", "x.s", "k", "x.loc")
 
 
+def repeated_anchors(docs: DataFrame, text: str, unit: Unit) -> DataFrame:
+    """a: the anchors that stand at more than one place."""
+
+    def run(slices):
+        for texts in slices:
+            yield [lists([[f[0] for f in anchors([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts], unit, around=False)]], ["a"])]
+
+    out = map_texts(docs.select(F.lit(0).alias("z"), docs[text].alias("text")), ["z"], F.col("text"), run, "x array<struct<a:bigint>>", slice_bytes=300_000)
+    return out.select(F.explode("x.a").alias("a")).groupBy("a").count().filter("count > 1").select("a")
+
+
+def lists(columns: list[list[np.ndarray]], names: list[str]) -> pa.Array:
+    """A list of structs for each text."""
+    sizes = np.concatenate([[0], np.cumsum([len(x) for x in columns[0]])]).astype(np.int32)
+    flat = [pa.array(np.concatenate(c).astype(np.int64)) if c else pa.array([], pa.int64()) for c in columns]
+    return pa.ListArray.from_arrays(sizes, pa.StructArray.from_arrays(flat, names=names))
+
+
 def row_key(docs: DataFrame, key: str):
     return F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63)))
 
@@ -157,16 +191,17 @@ def row_key(docs: DataFrame, key: str):
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def repeated_spans(docs: DataFrame, *, key: str, text: str, unit: Unit, judge, keep_first: bool, shard_units: int = 400_000, group_limit: int = 3000) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, key: str, text: str, unit: Unit, judge, keep_first: bool, group_limit: int = 500, shard_units: int = 400_000) -> DataFrame:
     """k, mark, spans: for each text that has any, its units covered by windows that stand elsewhere (keep_first: that stand earlier, by key, text mark and position)."""
     found = located(docs, key, text, unit)
+    found = stored(found.join(repeated_anchors(docs, text, unit), "a").select("a", "s", "k", "loc"))
     kinds = found.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("k", "loc")).alias("first"))
-    often = kinds.groupBy("a").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter("all > 1")
-    kinds = stored(kinds.join(often.drop("all"), "a").select("a", "s", "n", "first.k", "first.loc", "kinds"))
+    of_anchor = kinds.groupBy("a").agg(F.count("*").alias("kinds"))
+    kinds = stored(kinds.join(of_anchor, "a").select("a", "s", "n", "first.k", "first.loc", "kinds"))
     several = kinds.filter("kinds > 1")
     size = several.filter(F.col("kinds") <= group_limit).count()
     shards = max(1, math.ceil(size * 2 * unit.window / shard_units))
-    pieces = surroundings(docs, several, key, text, unit)
+    pieces = stored(surroundings(docs, several, key, text, unit))
     small = pieces.filter(F.col("kinds") <= group_limit).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
 
     def judged(t: pa.Table) -> pa.Table:
@@ -178,7 +213,7 @@ def repeated_spans(docs: DataFrame, *, key: str, text: str, unit: Unit, judge, k
     own = small.groupBy("shard").applyInArrow(judged, f"k bigint, loc bigint, spans {SPANS}")
     if not several.filter(F.col("kinds") > group_limit).isEmpty():
         own = own.unionByName(by_digest(pieces.filter(F.col("kinds") > group_limit), unit, keep_first))
-    own = own.select("k", "loc", F.explode("spans").alias("x"))
+    own = stored(own.filter(F.size("spans") > 0).select("k", "loc", F.explode("spans").alias("x")))
     whole = F.struct(F.lit(-(unit.window - unit.k)).alias("start"), F.lit(unit.window).alias("end")).alias("x")
     # of equal surroundings every copy repeats the first, and the first the others
     copied = kinds.filter("n > 1")
@@ -193,67 +228,128 @@ def repeated_spans(docs: DataFrame, *, key: str, text: str, unit: Unit, judge, k
 
 
 def surroundings(docs: DataFrame, kinds: DataFrame, key: str, text: str, unit: Unit) -> DataFrame:
-    """kinds with piece (bytes around the anchor) and left (units before it), cut from the text that holds the first copy."""
-    of_text = kinds.groupBy("k", F.shiftright("loc", 32).alias("mark")).agg(F.collect_list(F.struct("a", "s", "n", "loc", "kinds")).alias("x"))
+    """a, k, loc, kinds, left (units before the anchor) and piece (bytes around it), cut from the text that holds the first copy."""
+    of_text = kinds.groupBy("k", F.shiftright("loc", 32).alias("mark")).agg(F.collect_list(F.struct("a", "loc", "kinds")).alias("x"))
     texts = docs.select(row_key(docs, key).alias("k"), docs[text].cast("binary").alias("text")).filter(F.col("text").isNotNull())
     joined = texts.join(of_text, "k")
+    names = ["a", "k", "loc", "kinds", "left", "piece"]
 
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("a", "s", "n", "k", "loc", "kinds", "left", "piece")}
-            size = 0
+            texts, marks, lists_ = b.column(1), b.column(2).to_pylist(), b.column(3)
+            a, loc, kinds_ = (np.asarray(f) for f in lists_.flatten().flatten())
+            cut = np.concatenate([[0], np.cumsum(np.asarray(lists_.value_lengths()))])
+            rows: list[np.ndarray] = []
+            lefts, pieces, size = [], [], 0
+
+            def batch(keys=b.column(0), a=a, loc=loc, kinds_=kinds_, cut=cut):
+                at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+                k = np.asarray(keys)[np.searchsorted(cut, at, "right") - 1]
+                left = np.concatenate(lefts) if lefts else np.zeros(0, np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(k), pa.array(loc[at]), pa.array(kinds_[at]), pa.array(left.astype(np.int32)), pa.array(pieces, pa.binary())], names=names)
+
             for i in range(b.num_rows):
-                raw = b.column(1)[i].as_buffer().to_pybytes()
-                if text_mark(raw) != b.column(2)[i].as_py():
+                raw = texts[i].as_buffer().to_pybytes()
+                if text_mark(raw) != marks[i]:
                     continue
                 flat, at = unit.split(raw)
-                n, k = len(at) - 1, b.column(0)[i].as_py()
-                for x in b.column(3)[i].as_py():
-                    p = x["loc"] & _POSITION
-                    start, end = max(0, p - (unit.window - unit.k)), min(n, p + unit.window)
-                    lo, hi = unit.between(at, start, end)
-                    for c, v in (("a", x["a"]), ("s", x["s"]), ("n", x["n"]), ("k", k), ("loc", x["loc"]), ("kinds", x["kinds"]), ("left", p - start), ("piece", flat[lo:hi])):
-                        out[c].append(v)
-                    size += hi - lo
+                p = loc[cut[i] : cut[i + 1]] & _POSITION
+                start, end = np.maximum(0, p - (unit.window - unit.k)), np.minimum(len(at) - 1, p + unit.window)
+                pieces += [flat[x:y] for x, y in zip(at[start].tolist(), (at[end] - unit.words).tolist(), strict=True)]
+                rows.append(np.arange(cut[i], cut[i + 1]))
+                lefts.append(p - start)
+                size += int((at[end] - at[start]).sum())
                 if size > 4_000_000:
-                    yield batch(out)
-                    out, size = {c: [] for c in out}, 0
-            yield batch(out)
+                    yield batch()
+                    rows, lefts, pieces, size = [], [], [], 0
+            yield batch()
 
-    def batch(out):
-        types = {"left": pa.int32(), "piece": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(v, types.get(c, pa.int64())) for c, v in out.items()], names=list(out))
+    return joined.select("k", "text", F.col("mark").cast("long"), "x").mapInArrow(run, "a bigint, k bigint, loc bigint, kinds bigint, left int, piece binary")
 
-    return joined.select("k", "text", F.col("mark").cast("long"), "x").mapInArrow(run, "a bigint, s bigint, n bigint, k bigint, loc bigint, kinds bigint, left int, piece binary")
 
+def classes_of(unit: Unit, n: int) -> list[tuple[int, int]]:
+    """The windows around an anchor in n classes, by the units they have before it: least and most."""
+    free = unit.window - unit.k
+    return [(j * (free + 1) // n, (j + 1) * (free + 1) // n - 1) for j in range(n)]
 
-def by_digest(pieces: DataFrame, unit: Unit, keep_first: bool) -> DataFrame:
-    """Verdicts for anchors with more surroundings than a shard takes: every window's digest is counted, whichever task it stands in."""
 
-    def run(batches):
-        digest = xxhash.xxh3_64_intdigest
-        for b in batches:
-            c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            out: list[list] = [[] for _ in range(6)]
-            for i in range(b.num_rows):
-                flat, at = unit.split(c["piece"][i].as_buffer().to_pybytes())
-                left, loc = c["left"][i].as_py(), c["loc"][i].as_py()
-                for s in range(len(at) - unit.window):
-                    lo, hi = unit.between(at, s, s + unit.window)
-                    for o, v in zip(out, (c["a"][i].as_py(), c["s"][i].as_py(), c["k"][i].as_py(), loc, s - left, digest(flat[lo:hi]) - (1 << 63)), strict=True):
-                        o.append(v)
-                if len(out[0]) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["a", "s", "k", "loc", "offset", "d"])
-                    out = [[] for _ in range(6)]
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["a", "s", "k", "loc", "offset", "d"])
-
-    windows = pieces.mapInArrow(run, "a bigint, s bigint, k bigint, loc bigint, offset bigint, d bigint").withColumn("where", F.struct("k", (F.col("loc") + F.col("offset")).alias("at")))
+def cores(a: int, left: int, flat: bytes, at, unit: Unit, bounds: list[tuple[int, int]]):
+    """(class, digest) of what all windows of a class share, for the classes that have windows in this piece. Where no other piece has a class's core, none has its windows."""
+    n = len(at) - 1
+    for j, (low, high) in enumerate(bounds):
+        end = left + unit.window - high
+        if low <= left and end <= n:
+            yield j, xxhash.xxh3_64_intdigest(flat[at[left - low] : at[end] - unit.words], (a + j) & ((1 << 64) - 1))
+
+
+def promising(anchors_: list[int], lefts: list[int], flats: list[bytes], ats: list, unit: Unit, classes: int = 4) -> list[tuple[int, int] | None]:
+    """Of each piece the units in which windows worth judging lie, or None."""
+    bounds = classes_of(unit, classes)
+    found = [(d, i, j) for i, (a, left, flat, at) in enumerate(zip(anchors_, lefts, flats, ats, strict=True)) for j, d in cores(a, left, flat, at, unit, bounds)]
+    _, inverse, count = np.unique(np.array([d for d, _, _ in found], dtype=np.uint64), return_inverse=True, return_counts=True)
+    out: list[tuple[int, int] | None] = [None] * len(flats)
+    for ok, (_, i, j) in zip((count[inverse] > 1).tolist(), found, strict=True):
+        if ok:
+            start, end = max(0, lefts[i] - bounds[j][1]), min(len(ats[i]) - 1, lefts[i] + unit.window - bounds[j][0])
+            out[i] = (start, end) if out[i] is None else (min(start, out[i][0]), max(end, out[i][1]))
+    return out
+
+
+def by_digest(pieces: DataFrame, unit: Unit, keep_first: bool, classes: int = 12) -> DataFrame:
+    """Verdicts (k, loc, one span) for anchors with more surroundings than a shard takes, by counts of digests, whichever task they stand in.
+
+    A class of windows whose core stands in one piece alone is not repeated. Of pieces that agree in all of
+    a class's windows (its hull) the first stands for the others, whose windows are all repeats of its. Only
+    windows of first pieces are counted one by one. All windows around an anchor overlap, so each piece has one span.
+    """
+    bounds = classes_of(unit, classes)
+
+    def emit(names, rows_of):
+        def run(batches):
+            for b in batches:
+                c = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+                out: list[list] = [[] for _ in names]
+                for i in range(b.num_rows):
+                    flat, at = unit.split(c["piece"][i])
+                    for row in rows_of(c, i, c["a"][i], c["left"][i], flat, at):
+                        for o, v in zip(out, (c["a"][i], c["k"][i], c["loc"][i], *row), strict=True):
+                            o.append(v)
+                    if len(out[0]) > 200_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
+                        out = [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
+
+        return run, ", ".join(f"{n} bigint" for n in names)
+
+    digest = xxhash.xxh3_64_intdigest
+
+    def core_rows(c, i, a, left, flat, at):
+        for j, d in cores(a, left, flat, at, unit, bounds):
+            start, end = max(0, left - bounds[j][1]), min(len(at) - 1, left + unit.window - bounds[j][0])
+            yield j, d - (1 << 63), digest(flat[at[start] : at[end] - unit.words], left - start) - (1 << 63)
+
+    def window_rows(c, i, a, left, flat, at):
+        for j in c["classes"][i]:
+            for s in range(max(0, left - bounds[j][1]), min(left - bounds[j][0], len(at) - 1 - unit.window) + 1):
+                yield s - left, digest(flat[at[s] : at[s + unit.window] - unit.words]) - (1 << 63)
+
+    core = pieces.mapInArrow(*emit(["a", "k", "loc", "j", "c", "h"], core_rows))
+    repeated = stored(core.join(core.groupBy("a", "j", "c").count().filter("count > 1").drop("count"), ["a", "j", "c"]).select("a", "k", "loc", "j", "h"))
+    hulls = stored(repeated.groupBy("a", "j", "h").agg(F.count("*").alias("n"), F.min(F.struct("k", "loc")).alias("first")))
+    of_piece = hulls.groupBy(F.col("first.k").alias("k"), F.col("first.loc").alias("loc")).agg(F.collect_set("j").alias("classes"))
+    windows = pieces.join(of_piece, ["k", "loc"]).mapInArrow(*emit(["a", "k", "loc", "offset", "d"], window_rows))
+    windows = windows.withColumn("where", F.struct("k", (F.col("loc") + F.col("offset")).alias("at")))
     seen = windows.groupBy("a", "d").agg(F.min("where").alias("least"), F.max("where").alias("most")).filter("least <> most")
     again = windows.join(seen, ["a", "d"])
     if keep_first:
         again = again.filter(F.col("where") != F.col("least"))
-    span = F.struct(F.col("offset").cast("int").alias("start"), (F.col("offset") + unit.window).cast("int").alias("end"))
-    return again.groupBy("k", "loc").agg(F.collect_list(span).alias("spans"))
+    low, high = (F.element_at(F.array(*[F.lit(b[i]) for b in bounds]), F.col("j").cast("int") + 1) for i in (0, 1))
+    same = repeated.join(hulls.filter("n > 1"), ["a", "j", "h"])
+    if keep_first:
+        same = same.filter(F.struct("k", "loc") != F.col("first"))
+    spans = again.select("k", "loc", F.col("offset").cast("int").alias("start"), (F.col("offset") + unit.window).cast("int").alias("end"))
+    spans = spans.unionByName(same.select("k", "loc", (-high).alias("start"), (unit.window - low).alias("end")))
+    return spans.groupBy("k", "loc").agg(F.array(F.struct(F.min("start").alias("start"), F.max("end").alias("end"))).alias("spans"))
 
 
 def runs(mask: np.ndarray) -> list[tuple[int, int]]:

@@ -7,43 +7,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from beatframe.llm.common import table
-from beatframe.llm.repeats import Unit, repeated_spans, runs, without
-
-FIRST = 7  # symbols of nine bits in the first key
+from beatframe.llm.repeats import Unit, promising, repeated_spans, runs, without
 
 
 def suffix_array(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first `depth` symbols at least, by Larsson-Sadakane refinement; equal ones by position.
 
-    symbols has a 0 behind each piece; ends[i] is where position i's piece ends. Groups of suffixes that
-    agree so far are sorted by the group of what follows; what is alone in its group isn't touched again.
+    symbols are small, with a 0 behind each piece; ends[i] is where position i's piece ends. Groups of
+    suffixes that agree so far are sorted by the group of what follows; what is alone in its group isn't
+    touched again. Sort keys end in the position, so plain sorts keep the order of equal ones.
     """
     n = len(symbols)
-    key = np.zeros(n, dtype=np.int64)
-    at = np.arange(n)
-    for j in range(FIRST):
-        inside = at + j < ends
-        key = (key << 9) | np.where(inside, symbols[np.minimum(at + j, n - 1)], 0)
-    sa = np.argsort(key, kind="stable")
-    new = np.diff(key[sa], prepend=-1) != 0
-    group = np.maximum.accumulate(np.where(new, at, 0))
+    place = int(n).bit_length()  # bits of a position in sort keys
+    low, at = np.int64((1 << place) - 1), np.arange(n)
+    bits = int(symbols.max()).bit_length()
+    h = (63 - place) // bits
+    padded = np.append(symbols, np.zeros(h, symbols.dtype)).astype(np.int64)
+    key, live = np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)
+    for j in range(h):
+        x = padded[j : j + n] * live
+        live &= x > 0
+        key = (key << bits) | x
+    key = np.sort((key << place) | at)
+    sa = key & low
+    key >>= place
+    new = np.ones(n, dtype=bool)
+    new[1:] = key[1:] != key[:-1]
     rank = np.empty(n, dtype=np.int64)
-    rank[sa] = group + 1
-    h = FIRST
+    rank[sa] = np.maximum.accumulate(np.where(new, at, 0)) + 1
     while h < depth:
-        alone = new & np.append(new[1:], True)
+        alone = new.copy()
+        alone[:-1] &= new[1:]
         todo = np.flatnonzero(~alone)
         if not len(todo):
             break
         s = sa[todo]
         after = np.where(s + h < ends[s], rank[np.minimum(s + h, n - 1)], 0)
-        key = (rank[s] << 32) | after
-        order = np.argsort(key, kind="stable")
-        sa[todo] = s[order]
-        key = key[order]
-        first = np.diff(key, prepend=-1) != 0
+        # groups stand in place: the first of a group has its rank, which orders keys as well as any number of groups
+        group = np.cumsum(new[todo])
+        if len(todo) and int(group[-1]).bit_length() + 2 * place <= 63:
+            key = np.sort((((group << place) | after) << place) | s)
+            s = key & low
+            key >>= place
+        else:
+            key = (group << 32) | after
+            order = np.argsort(key, kind="stable")
+            s, key = s[order], key[order]
+        sa[todo] = s
+        first = np.ones(len(todo), dtype=bool)
+        first[1:] = key[1:] != key[:-1]
         new[todo] = first
-        rank[sa[todo]] = np.maximum.accumulate(np.where(first, todo, 0)) + 1
+        rank[s] = np.maximum.accumulate(np.where(first, todo, 0)) + 1
         h *= 2
     return sa
 
@@ -54,7 +68,7 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, most: int, lanes: int =
     sa must be complete, with suffixes that are equal to their pieces' ends by position. From one position to the next the shared length falls by one at most, so each stretch compares about twice its length.
     """
     n = len(symbols)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, n, dtype=np.int64)  # nothing is before the first; padding matches nothing
     before[sa[1:]] = sa[:-1]
     padded = np.append(symbols, np.zeros(most + 1, symbols.dtype))
     size = -(-n // min(lanes, n))
@@ -63,12 +77,12 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, most: int, lanes: int =
     h = np.zeros(len(i), dtype=np.int64)
     out = np.zeros(n, dtype=np.int64)
     while len(i):
-        j = before[i]
         x = padded[i + h]
-        more = (j >= 0) & (h < most) & (x != 0) & (x == padded[np.maximum(j, 0) + h])
+        more = (x == padded[before[i] + h]) & (x != 0) & (h < most)
         out[i] = h
-        h = np.where(more, h + 1, np.maximum(h - 1, 0))
-        i = np.where(more, i, i + 1)
+        h += np.where(more, 1, -1)
+        np.maximum(h, 0, out=h)
+        i = i + ~more
         left = i < stop
         if not left.all():
             i, h, stop = i[left], h[left], stop[left]
@@ -81,10 +95,20 @@ def repeated_windows(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
     One suffix array holds all pieces of the shard. Suffixes whose common prefixes reach the window are a
     run; its windows are repeats if they stand at more than one place.
     """
-    pieces = [p.as_buffer().to_pybytes() for c in t["piece"].chunks for p in c]
+    raw, keys = [x or b"" for x in t["piece"].to_pylist()], t["a"].to_pylist()
+    inner = promising(keys, t["left"].to_pylist(), raw, [range(len(x) + 1) for x in raw], unit)
+    chosen = [i for i, x in enumerate(inner) if x is not None]
+    out: list[list[tuple[int, int]]] = [[] for _ in raw]
+    if not chosen:
+        return out
+    cut = np.array([inner[i][0] for i in chosen])
+    pieces = [raw[i][inner[i][0] : inner[i][1]] for i in chosen]
     size = np.array([len(p) for p in pieces], dtype=np.int64)
     begin = np.concatenate([[0], np.cumsum(size + 1)])
-    symbols = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 1
+    data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    used = np.zeros(256, dtype=np.uint16)
+    used[np.unique(data)] = 1
+    symbols = (np.cumsum(used, dtype=np.uint16) * used)[data]  # dense codes keep the order of bytes
     symbols[begin[1:] - 1] = 0
     piece = np.repeat(np.arange(len(pieces)), size + 1)
     ends = begin[piece] + size[piece]
@@ -92,7 +116,8 @@ def repeated_windows(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
     shared = common_prefixes(symbols, sa, unit.window)
     run = np.cumsum(shared < unit.window)
     same = np.flatnonzero(np.bincount(run, minlength=len(sa) + 1)[run] > 1)
-    key, loc, left = (np.asarray(t[c]) for c in ("k", "loc", "left"))
+    key, loc, left = (np.asarray(t[c])[chosen] for c in ("k", "loc", "left"))
+    left = left - cut
     s = sa[same]
     k = key[piece[s]]
     place = loc[piece[s]] - left[piece[s]] + (s - begin[piece[s]])
@@ -103,10 +128,9 @@ def repeated_windows(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
     np.add.at(change, s[repeated], 1)
     np.add.at(change, s[repeated] + unit.window, -1)
     gone = np.cumsum(change)[:-1] > 0
-    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
     for a, b in runs(gone):
         i = int(piece[a])
-        out[i].append((a - int(begin[i]) - int(left[i]), b - int(begin[i]) - int(left[i])))
+        out[chosen[i]].append((a - int(begin[i]) - int(left[i]), b - int(begin[i]) - int(left[i])))
     return out
 
 
