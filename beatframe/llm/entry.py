@@ -15,4 +15,4 @@ from beatframe.llm.suffixarrays import op3_suffixes
 from beatframe.llm.topk import op4_topk
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substrings, op3_suffixes, op4_topk, op5_simhash, op6_packing, op7_lines, op8_chat, op9_language, op10_sharding)}
-ORACLES: dict[str, str] = {"op1_decontamination": oracles.OP1, "op4_topk": oracles.OP4, "op7_lines": oracles.OP7}
+ORACLES: dict[str, str] = {"op1_decontamination": oracles.OP1, "op2_substrings": oracles.OP2, "op4_topk": oracles.OP4, "op7_lines": oracles.OP7, "op8_chat": oracles.OP8}

@@ -33,3 +33,38 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) A
        sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+OP2 = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM r)),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN g USING (doc_id, p) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+_ESCAPED = r"(length({0}) + length({0}) - length(regexp_replace({0}, '[\\<\[|]', '', 'g')))"
+
+OP8 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS idx, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 AS tok FROM c),
+p AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre,
+             max(CASE WHEN idx = 0 AND role = 'system' THEN tok END) OVER (PARTITION BY conv_id) AS st FROM t),
+q AS (SELECT *, coalesce(st, 0) AS s, greatest(512 - coalesce(st, 0) - 128, 1) AS room FROM p),
+z AS (SELECT *, floor((pre - s) / room) AS a, greatest(floor((pre - s) / room), floor((pre + tok - s - 1) / room)) AS b FROM q),
+y AS (SELECT *, a * 2 + CAST(b > a AS INTEGER) AS own FROM z),
+l AS (SELECT *, CASE WHEN st IS NOT NULL AND idx = 0 THEN coalesce(lead(own) OVER (PARTITION BY conv_id ORDER BY idx), 0) ELSE own END AS cell FROM y),
+w AS (SELECT conv_id, cell, min(idx) AS first, min(pre) AS first_pre, max(st) AS st FROM l GROUP BY 1, 2),
+f AS (SELECT conv_id, role, text FROM l
+      UNION ALL SELECT l.conv_id, l.role, l.text FROM l JOIN w ON l.conv_id = w.conv_id AND w.first BETWEEN l.idx + 1 AND l.idx + 2 AND l.pre >= w.first_pre - 128 WHERE NOT (l.st IS NOT NULL AND l.idx = 0)
+      UNION ALL SELECT w.conv_id, 'system', l.text FROM w JOIN l ON l.conv_id = w.conv_id AND l.idx = 0 WHERE w.st IS NOT NULL AND w.first > 0),
+n AS (SELECT conv_id, CAST(sum(11 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars FROM f GROUP BY 1),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
+             CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+             sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256 FROM t GROUP BY 1)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM g JOIN n USING (conv_id)
+"""

@@ -360,7 +360,7 @@ def test_ring_moves_little():
 @pytest.mark.parametrize("name", sorted(oracles.__dict__[k] and k for k in oracles.__dict__ if k.startswith("OP")))
 def test_query_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     query = next(q for q in entry.QUERIES if q.startswith(name.lower() + "_"))
     df = entry.QUERIES[query](spark, SF)
