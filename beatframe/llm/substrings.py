@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from beatframe.llm.common import table
-from beatframe.llm.repeats import Unit, repeated_spans, runs, without
+from beatframe.llm.repeats import Unit, promising, repeated_spans, without
 
 
 class Automaton:
@@ -72,30 +71,41 @@ class Automaton:
 def stream(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
     """Spans of each piece, in units from its anchor, whose windows stand in an earlier piece of the same anchor at another place.
 
-    Pieces come by anchor, key and place. Those read so far are the reference; a piece is streamed, then joins it.
+    Pieces come by anchor, key and place. Those read so far are the reference; a piece is streamed, then
+    what is new of it joins the reference.
     """
-    out = []
+    anchors, keys, locs, lefts, pieces = (t[c].to_pylist() for c in ("a", "k", "loc", "left", "piece"))
+    split = [unit.split(p) for p in pieces]
+    ranges = promising(anchors, lefts, [f for f, _ in split], [x for _, x in split], unit)
+    out: list[list[tuple[int, int]]] = []
     before = object()
-    for a, k, loc, left, piece in zip(*(t[c].to_pylist() for c in ("a", "k", "loc", "left", "piece")), strict=True):
+    window = unit.window
+    for a, k, loc, left, (flat, at), span in zip(anchors, keys, locs, lefts, split, ranges, strict=True):
         if a != before:
             automaton, before = Automaton(), a
-        words = piece.split()
-        places = [(k, loc - left + i) for i in range(len(words))]
-        gone = bytearray(len(words))
-        for i, first in enumerate(automaton.matches(words, unit.window)):
-            if first is not None and first != places[i]:
-                gone[i + 1 - unit.window : i + 1] = b"\1" * unit.window
-        automaton.add(words, places)
-        out.append([(x - left, y - left) for x, y in marked(gone)])
+        if span is None:
+            out.append([])
+            continue
+        start, end = span
+        words = flat[at[start] : at[end] - 1].split()
+        places = [(k, loc - left + i) for i in range(start, end)]
+        gone: list[list[int]] = []
+        new: list[list[int]] = []
+        for i, first in enumerate(automaton.matches(words, window)):
+            if i + 1 < window:
+                continue
+            into = new if first is None else gone if first != places[i] else None
+            if into is not None:
+                if into and into[-1][1] >= i + 1 - window:
+                    into[-1][1] = i + 1
+                else:
+                    into.append([i + 1 - window, i + 1])
+        for x, y in new:
+            automaton.add(words[x:y], places[x:y])
+        out.append([(x + start - left, y + start - left) for x, y in gone])
     return out
 
 
-def marked(gone: bytearray) -> list[tuple[int, int]]:
-    if not any(gone):
-        return []
-    return runs(np.frombuffer(gone, np.uint8) > 0)
-
-
 def dedup_substrings(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text: str = "text", window: int = 20, k: int = 6, full: bool = False) -> DataFrame:
     """row (struct of keep), n_units, n_removed, n_spans, kept_sha256 (and kept with full): docs without the words of every window of `window` words that also starts earlier.
 
