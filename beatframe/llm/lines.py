@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beatframe.llm.common import table
+from beatframe.llm.common import stored, table
 
 
 def spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, lg_k: int = 11) -> DataFrame:
@@ -28,9 +28,10 @@ def spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     found = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.count("*").alias("n"), F.min(F.struct("k", "t", "pos")).alias("first"))
     band = 5 * 1.04 / math.sqrt(1 << lg_k)
     found = found.filter(F.col("n") >= min_sites).withColumn("sites", F.hll_sketch_estimate("sketch")).filter(F.col("sites") >= math.floor(min_sites * (1 - band))).drop("sketch")
+    found = stored(found)  # a table of its own, so that the joins can split a line that a third of all texts have
     near = F.col("sites") <= math.ceil(min_sites * (1 + band))
     exact = lines.join(found.filter(near).select("h", "g"), ["h", "g"]).groupBy("h", "g", "site").count().groupBy("h", "g").agg(F.count("*").alias("exact"))
-    spread = found.join(exact, ["h", "g"], "left").filter(F.coalesce("exact", "sites") >= min_sites).select("h", "g", "first")
+    spread = stored(found.join(exact, ["h", "g"], "left").filter(F.coalesce("exact", "sites") >= min_sites).select("h", "g", "first"))
     gone = lines.join(spread, ["h", "g"]).filter(F.struct("k", "t", "pos") != F.col("first")).groupBy("k", "t").agg(F.collect_set("pos").alias("gone"))
     names = docs.columns
     row = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), k.alias("k"), F.xxhash64(docs[text]).alias("t")).join(gone, ["k", "t"], "left")
