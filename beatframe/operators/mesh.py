@@ -169,8 +169,7 @@ def slot_masks(positions: DataFrame, slots: DataFrame, frame: str, *, sharpness:
     s = slots.groupBy(frame).agg(F.collect_list(F.struct("center_x", "center_y", "radius_x", "radius_y", "amplitude")).alias("_s"))
     r2 = lambda v: F.pow((F.col("x") - v["center_x"]) / v["radius_x"], 2) + F.pow((F.col("y") - v["center_y"]) / v["radius_y"], 2)
     mask = F.aggregate("_s", F.lit(0.0), lambda a, v: a + v["amplitude"] / (1 + F.exp(F.least(-sharpness * (1 - r2(v)), F.lit(700.0)))))
-    elements = positions.filter("gate").agg(F.collect_list(F.struct("elem_id", "x", "y")).alias("_e"))  # one mesh's elements, about 1,500
-    d = s.crossJoin(F.broadcast(elements)).select(frame, "_s", F.explode("_e").alias("e")).select(frame, "_s", "e.*")
+    d = positions.filter("gate").crossJoin(s)  # the result has a row for each frame and element
     return d.select(frame, "elem_id", mask.alias("mask"))
 
 

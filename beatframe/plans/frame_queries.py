@@ -74,7 +74,7 @@ def _(t):
     return P.scalar_columns(t("embeddings"))
 
 
-@query("pr10_baseline", f"WITH {VECTORS} SELECT key, len(v) AS n, round(0.7 * len(v), 6) AS s FROM vectors")
+@query("pr10_baseline", f"WITH {VECTORS} SELECT key, len(v) AS n, CAST(round(0.7 * len(v), 6) AS DOUBLE) AS s FROM vectors")
 def _(t):
     return P.baseline(t.vectors(), "v").select("key", F.size("sigma_baseline").cast("long").alias("n"), r6(A.total("sigma_baseline")).alias("s"))
 
@@ -258,12 +258,13 @@ def _(t):
     return S.top_per_group(d, 5, by=["s_nationkey"], score="s_acctbal", order="s_suppkey").select("s_nationkey", "s_suppkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query("se13_match_rms", f"""WITH {VECTORS}, r AS (SELECT key, sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v)) AS rms, v[1] AS x FROM vectors), real AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_retailprice / 10000.0 AS rms FROM part WHERE p_partkey <= 50),
+@query("se13_match_rms", f"""WITH {VECTORS}, r AS (SELECT key, sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v)) AS rms, v[1] AS x FROM vectors), real AS (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS i, p_retailprice / 10000.0 AS rms FROM part),
 j AS (SELECT r.*, CAST(('0x' || substr(md5('2:' || key), 1, 8)) AS BIGINT) % (SELECT count(*) FROM real) AS i FROM r)
 SELECT key, round(least(greatest(real.rms / greatest(j.rms, 1e-12), 0.25), 4.0), 6) AS factor, round(x * least(greatest(real.rms / greatest(j.rms, 1e-12), 0.25), 4.0), 6) AS x FROM j JOIN real USING (i)""")
 def _(t):
     d = t.vectors().select("key", A.rms("v").alias("rms"), F.col("v")[0].alias("x"))
-    real = t("part").filter("p_partkey <= 50").select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p_partkey")) - 1).cast("long").alias("i"), (F.col("p_retailprice").cast("double") / 10000.0).alias("rms"))
+    low = t("part").agg(F.min("p_partkey").alias("low"))
+    real = t("part").crossJoin(low).select((F.col("p_partkey") - F.col("low")).alias("i"), (F.col("p_retailprice").cast("double") / 10000.0).alias("rms"))
     return S.match_rms(d, real, key="key", columns=["x"], rms="rms", seed=2, low=0.25, high=4.0).select("key", r6("factor").alias("factor"), r6("x").alias("x"))
 
 

@@ -61,7 +61,7 @@ def _(t):
     return C.merged_gate(gates(t))[1]
 
 
-@query("cb5_differential_view", f"WITH {VECTORS} SELECT key, CASE WHEN anatomy_id < 3 THEN 'test' ELSE 'train' END AS split, round(3 * list_sum(v), 6) AS s, round(0.7 * 64, 6) AS baseline, CASE WHEN anatomy_id < 3 THEN round(-list_sum(v), 6) END AS newton FROM vectors")
+@query("cb5_differential_view", f"WITH {VECTORS} SELECT key, CASE WHEN anatomy_id < 3 THEN 'test' ELSE 'train' END AS split, round(3 * list_sum(v), 6) AS s, CAST(round(0.7 * 64, 6) AS DOUBLE) AS baseline, CASE WHEN anatomy_id < 3 THEN round(-list_sum(v), 6) END AS newton FROM vectors")
 def _(t):
     v = t.vectors().withColumn("split", F.when(F.col("anatomy_id") < 3, "test").otherwise("train"))
     d = C.differential_view(v, v.withColumn("v", A.scaled("v", 2.0)), ["key"], ["v"], control=v.select("key", A.scaled("v", -1.0).alias("control")))
@@ -89,7 +89,7 @@ def _(t):
     return C.combined_index({"US060": t("customer").select(F.col("c_custkey").alias("id")), "US065": t("supplier").select(F.col("s_suppkey").alias("id"))})
 
 
-@query("cb10_attach_prior", "SELECT p_partkey, 0.6 AS s, 'prior-v1' AS prior_meta FROM part")
+@query("cb10_attach_prior", "SELECT p_partkey, CAST(0.6 AS DOUBLE) AS s, 'prior-v1' AS prior_meta FROM part")
 def _(t):
     return C.attach_prior(t("part"), [0.1, 0.2, 0.3], "prior-v1").select("p_partkey", r6(A.total("prior")).alias("s"), "prior_meta")
 
@@ -101,11 +101,7 @@ def _(t):
 
 # -- sparse operators
 
-X = "x AS (SELECT vec_id AS key, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS col FROM embeddings WHERE vec_id < 100)"
-
-
-def few(t):
-    return t.vectors().filter("key < 100")
+X = "x AS (SELECT vec_id AS key, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS col FROM embeddings)"
 
 
 @query("io6_zero_based", "SELECT l_partkey % 64 - 1 AS row, l_orderkey % 64 - 1 AS col, round(sum(CAST(l_discount AS DOUBLE)), 6) AS value FROM lineitem GROUP BY 1, 2")
@@ -116,12 +112,12 @@ def _(t):
 
 @query("mg1_apply_sparse", f"WITH {COO}, {X} SELECT key, row, round(sum(value * x), 5) AS y FROM coo JOIN x USING (col) GROUP BY 1, 2")
 def _(t):
-    return M.apply_sparse(coo(t), few(t), ["key"], "v").withColumn("y", F.round("y", 5))
+    return M.apply_sparse(coo(t), t.vectors(), ["key"], "v").withColumn("y", F.round("y", 5))
 
 
 @query("mg2_raster", f"WITH {COO}, {X}, y AS (SELECT key, row AS p, sum(value * x) AS y FROM coo JOIN x USING (col) WHERE row < 60 GROUP BY 1, 2) SELECT k.key, p.p % 8 AS row, p.p // 8 AS col, round(coalesce(y, 'nan'::DOUBLE), 5) AS y FROM (SELECT DISTINCT key FROM x) k CROSS JOIN range(64) p(p) LEFT JOIN y ON y.key = k.key AND y.p = p.p")
 def _(t):
-    return M.raster(coo(t).filter("row < 60"), few(t), ["key"], "v", side=8).withColumn("y", F.round("y", 5))
+    return M.raster(coo(t).filter("row < 60"), t.vectors(), ["key"], "v", side=8).withColumn("y", F.round("y", 5)).withColumn("row", F.col("row").cast("long"))
 
 
 @query("mg3_categorical_raster", f"WITH {COO}, c AS (SELECT row AS p, col % 7 AS label, sum(value) AS w FROM coo WHERE row < 60 GROUP BY 1, 2 HAVING sum(value) > 0), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY round(w, 9) DESC, label) AS n FROM c) SELECT p.p, coalesce(label, 99) AS label FROM range(64) p(p) LEFT JOIN n ON n.p = p.p AND n.n = 1")
@@ -135,17 +131,19 @@ def _(t):
     return M.gram(coo(t)).withColumn("value", F.round("value", 4))
 
 
-ELEMENTS = "el AS (SELECT p_partkey AS elem_id, p_partkey % 41 AS n0, 41 + p_partkey * 7 % 43 AS n1, 84 + p_partkey * 13 % 47 AS n2 FROM part WHERE p_partkey <= 300), nd AS (SELECT s AS node_id, (s * 17 % 101) / 10.0 AS x, (s * 29 % 97) / 10.0 AS y, s % 3 = 0 AS is_boundary FROM range(131) r(s))"
+#: A mesh on a grid of 50 nodes a row: a node and two elements for each part.
+ELEMENTS = "el AS (SELECT 2 * p_partkey AS elem_id, p_partkey AS n0, p_partkey + 1 AS n1, p_partkey + 50 AS n2 FROM part UNION ALL SELECT 2 * p_partkey + 1, p_partkey + 1, p_partkey + 50, p_partkey + 51 FROM part), nd AS (SELECT p_partkey AS node_id, p_partkey % 50 / 10.0 AS x, p_partkey // 50 / 10.0 AS y, p_partkey % 3 = 0 AS is_boundary FROM part)"
 
 
 def elements(t):
     p = F.col("p_partkey")
-    return t("part").filter("p_partkey <= 300").select(p.alias("elem_id"), (p % 41).alias("n0"), (41 + p * 7 % 43).alias("n1"), (84 + p * 13 % 47).alias("n2"))
+    low = t("part").select((2 * p).alias("elem_id"), p.alias("n0"), (p + 1).alias("n1"), (p + 50).alias("n2"))
+    return low.unionByName(t("part").select((2 * p + 1).alias("elem_id"), (p + 1).alias("n0"), (p + 50).alias("n1"), (p + 51).alias("n2")))
 
 
 def nodes(t):
-    s = F.col("id")
-    return t.spark.range(131).select(s.alias("node_id"), ((s * 17 % 101) / 10.0).alias("x"), ((s * 29 % 97) / 10.0).alias("y"), (s % 3 == 0).alias("is_boundary"))
+    p = F.col("p_partkey")
+    return t("part").select(p.alias("node_id"), (p % 50 / 10.0).alias("x"), (F.floor(p / 50) / 10.0).alias("y"), (p % 3 == 0).alias("is_boundary"))
 
 
 PAIR = f"WITH {ELEMENTS}, n AS (SELECT elem_id, unnest([n0, n1, n2]) AS node FROM el), g AS (SELECT a.elem_id AS src, b.elem_id AS dst, count(DISTINCT node) AS k FROM n a JOIN n b USING (node) WHERE a.elem_id <> b.elem_id GROUP BY 1, 2)"
@@ -211,7 +209,7 @@ def _(t):
 
     c = coo(t).filter("row < 40")
     c = c.withColumn("value", F.when(F.col("row") % 9 == 0, F.col("value")).otherwise(1.0 / F.count("*").over(Window.partitionBy("row"))))
-    return M.to_fine(c, few(t), ["key"], "v", atol=1e-9).withColumn("y", F.round("y", 5))
+    return M.to_fine(c, t.vectors(), ["key"], "v", atol=1e-9).withColumn("y", F.round("y", 5))
 
 
 @query("mg13_chain_jacobian", f"WITH {COO}, f AS (SELECT l_linenumber AS channel, l_orderkey % 64 AS row, round(sum(CAST(l_tax AS DOUBLE)), 6) AS a FROM lineitem GROUP BY 1, 2) SELECT channel, col, round(sum(a * value), 4) AS value FROM f JOIN coo USING (row) GROUP BY 1, 2")
@@ -220,17 +218,17 @@ def _(t):
     return M.chain_jacobian(f, coo(t)).withColumn("value", F.round("value", 4))
 
 
-POS = f"{GEO}, {CIRCLE}, po AS (SELECT elem_id, (cx - center_x) / radius AS x, (cy - center_y) / radius AS y FROM geo, ci), ps AS (SELECT *, sqrt(x * x + y * y) AS r FROM po), es AS (SELECT s_suppkey, (s_suppkey % 9 - 4) / 8.0 AS ex, (s_suppkey % 7 - 3) / 8.0 AS ey, 3 + s_suppkey % 4 AS lab FROM supplier WHERE s_suppkey <= 20)"
+POS = f"{GEO}, {CIRCLE}, po AS (SELECT elem_id, (cx - center_x) / radius AS x, (cy - center_y) / radius AS y FROM geo, ci), ps AS (SELECT *, sqrt(x * x + y * y) AS r FROM po), es AS (SELECT s_suppkey, (s_suppkey % 9 - 4) / 8.0 AS ex, (s_suppkey % 7 - 3) / 8.0 AS ey, 3 + s_suppkey % 4 AS lab FROM supplier)"
 
 
 def ellipses(t):
     k = F.col("s_suppkey")
-    return t("supplier").filter("s_suppkey <= 20").select(
+    return t("supplier").select(
         "s_suppkey", ((k % 9 - 4) / 8.0).alias("center_x"), ((k % 7 - 3) / 8.0).alias("center_y"), F.lit(0.2).alias("radius_x"), F.lit(0.1).alias("radius_y"), F.lit(0.0).alias("angle"), (3 + k % 4).cast("int").alias("ellipse_label"), F.lit(0.01).alias("delta"), F.lit(0.5).alias("amplitude"), (k % 3).alias("frame")
     )
 
 
-@query("mg14_layered_field", f"WITH {POS}, h AS (SELECT elem_id, max(lab) AS lab, count(*) * 0.01 AS d FROM ps JOIN es ON pow((x - ex) / 0.2, 2) + pow((y - ey) / 0.1, 2) <= 1 GROUP BY 1) SELECT elem_id, coalesce(lab, CASE WHEN r <= 0.3 THEN 1 WHEN r <= 0.8 THEN 2 END, -1)::INTEGER AS label, coalesce(round(CASE WHEN r <= 0.3 THEN 0.2 WHEN r <= 0.8 THEN 0.5 END + coalesce(d, 0), 6), -1) AS value FROM ps LEFT JOIN h USING (elem_id)")
+@query("mg14_layered_field", f"WITH {POS}, h AS (SELECT elem_id, max(lab) AS lab, count(*) * 0.01 AS d FROM ps JOIN es ON pow((x - ex) / 0.2, 2) + pow((y - ey) / 0.1, 2) <= 1 GROUP BY 1) SELECT elem_id, coalesce(lab, CASE WHEN r <= 0.3 THEN 1 WHEN r <= 0.8 THEN 2 END, -1)::INTEGER AS label, CAST(coalesce(round(CASE WHEN r <= 0.3 THEN 0.2 WHEN r <= 0.8 THEN 0.5 END + coalesce(d, 0), 6), -1) AS DOUBLE) AS value FROM ps LEFT JOIN h USING (elem_id)")
 def _(t):
     d = M.layered_field(M.element_positions(nodes(t), elements(t)), [(0.3, 1, 0.2), (0.8, 2, 0.5)], ellipses(t))
     return d.select("elem_id", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce(r6("value"), F.lit(-1.0)).alias("value"))
@@ -247,9 +245,9 @@ def _(t):
     return M.slot_masks(p, ellipses(t), "frame").withColumn("mask", r6("mask"))
 
 
-@query("mg17_vessel_parameters", "WITH v AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 6)::DOUBLE AS rot, (l_partkey % 10) / 10.0 AS cx, (l_suppkey % 10) / 10.0 AS cy, (l_linenumber + 2)::DOUBLE AS angle, CAST(l_quantity AS DOUBLE) AS a FROM lineitem WHERE l_orderkey < 2000) SELECT l_orderkey, l_linenumber, round(cx * cos(rot) - cy * sin(rot), 6) + 0.0 AS x, round(cx * sin(rot) + cy * cos(rot), 6) + 0.0 AS y, round(atan2(sin(angle + rot), cos(angle + rot)), 6) AS angle, a / 50 AS amplitude FROM v")
+@query("mg17_vessel_parameters", "WITH v AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 6)::DOUBLE AS rot, (l_partkey % 10) / 10.0 AS cx, (l_suppkey % 10) / 10.0 AS cy, (l_linenumber + 2)::DOUBLE AS angle, CAST(l_quantity AS DOUBLE) AS a FROM lineitem) SELECT l_orderkey, l_linenumber, round(cx * cos(rot) - cy * sin(rot), 6) + 0.0 AS x, round(cx * sin(rot) + cy * cos(rot), 6) + 0.0 AS y, round(atan2(sin(angle + rot), cos(angle + rot)), 6) AS angle, a / 50 AS amplitude FROM v")
 def _(t):
-    d = t("lineitem").filter("l_orderkey < 2000")
+    d = t("lineitem")
     v = F.struct((F.col("l_partkey") % 10 / 10.0).alias("center_x"), (F.col("l_suppkey") % 10 / 10.0).alias("center_y"), (F.col("l_linenumber") + 2).cast("double").alias("angle"), F.col("l_quantity").cast("double").alias("amplitude"))
     r = d.select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 6).cast("double").alias("rotation"), F.array(v).alias("vessels"))
     d = rounded(M.vessel_parameters(r, rotation="rotation", scale=50.0).drop("slot"), "l_orderkey", "l_linenumber")

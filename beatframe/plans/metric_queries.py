@@ -181,12 +181,12 @@ def reports(t):
 
 @query("ag10_training_epochs", "WITH e AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS n FROM lineitem) SELECT l_orderkey, 0 AS stage, n - 1 AS epoch_order, l_linenumber AS epoch, q AS composite_score FROM e UNION ALL SELECT l_orderkey, 1, n - 1, l_linenumber, q FROM e WHERE n <= 2")
 def _(t):
-    return R.training_tables(reports(t), "l_orderkey")["epochs"]
+    return R.training_tables(reports(t), "l_orderkey")["epochs"].withColumn("epoch_order", F.col("epoch_order").cast("long"))
 
 
 @query("ag10_training_selected", "WITH e AS (SELECT l_orderkey, CAST(l_quantity AS DOUBLE) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS n FROM lineitem), s AS (SELECT l_orderkey, 0 AS stage, n, q FROM e UNION ALL SELECT l_orderkey, 1, n, q FROM e WHERE n < 2) SELECT l_orderkey, stage, arg_min(n, (q, n)) AS epoch_order, min(q) AS composite_score, count(*) AS epochs_run FROM s GROUP BY 1, 2")
 def _(t):
-    return R.training_tables(reports(t), "l_orderkey")["selected"]
+    return R.training_tables(reports(t), "l_orderkey")["selected"].withColumn("epoch_order", F.col("epoch_order").cast("long"))
 
 
 @query("ag10_training_hashes", "SELECT l_orderkey, 'md5' AS name, md5(max(l_returnflag)) AS value FROM lineitem GROUP BY 1")

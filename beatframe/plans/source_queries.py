@@ -49,11 +49,11 @@ def _(t):
     return S.sessions(d).drop("path")
 
 
-@query("io14_transpose", f"WITH {VECTORS} SELECT i - 1 AS frame_no, count(*) AS channels, round(sum(v[i] * (key + 1)), 4) AS s FROM (SELECT key, v, unnest(range(1, 65)) AS i FROM vectors WHERE key < 32) GROUP BY 1")
+@query("io14_transpose", f"WITH {VECTORS} SELECT key // 32 AS session, i - 1 AS frame_no, count(*) AS channels, round(sum(v[i] * (key % 32 + 1)), 5) AS s FROM (SELECT key, v, unnest(range(1, 65)) AS i FROM vectors) GROUP BY 1, 2")
 def _(t):
-    d = S.transpose(t.vectors().filter("key < 32").withColumn("session", F.lit("s")), by=["session"], channel="key", vector="v")
+    d = t.vectors().select(F.floor(F.col("key") / 32).alias("session"), (F.col("key") % 32).alias("channel"), "v")
     weighted = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return d.select(F.col("frame_no").cast("long").alias("frame_no"), F.size("v").cast("long").alias("channels"), F.round(weighted, 4).alias("s"))
+    return S.transpose(d, by=["session"], channel="channel", vector="v").select("session", F.col("frame_no").cast("long").alias("frame_no"), F.size("v").cast("long").alias("channels"), F.round(weighted, 5).alias("s"))
 
 
 @query("fn1_strings", "SELECT c_custkey, lower(regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 1)) AS head, CAST(regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 2) AS VARCHAR) AS tail, lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS padded FROM customer")
