@@ -194,7 +194,8 @@ SPANS = "array<struct<start:int,end:int>>"
 def repeated_spans(docs: DataFrame, *, key: str, text: str, unit: Unit, judge, keep_first: bool, group_limit: int = 500, shard_units: int = 400_000) -> DataFrame:
     """k, mark, spans: for each text that has any, its units covered by windows that stand elsewhere (keep_first: that stand earlier, by key, text mark and position)."""
     found = located(docs, key, text, unit)
-    found = stored(found.join(repeated_anchors(docs, text, unit), "a").select("a", "s", "k", "loc"))
+    often = stored(repeated_anchors(docs, text, unit))  # a table of its own, so that the join can split an anchor that a third of all texts have
+    found = stored(found.join(often, "a").select("a", "s", "k", "loc"))
     kinds = found.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("k", "loc")).alias("first"))
     of_anchor = kinds.groupBy("a").agg(F.count("*").alias("kinds"))
     kinds = stored(kinds.join(of_anchor, "a").select("a", "s", "n", "first.k", "first.loc", "kinds"))
