@@ -1,4 +1,8 @@
-"""Links between texts of a given Jaccard similarity over word shingles, for near-dedup beyond a few SimHash bits."""
+"""Links between texts of a given Jaccard similarity over word shingles, for near-dedup beyond a few SimHash bits.
+
+Bands of least hashes join most of them cheaply (candidate_edges, by chance); what they leave apart is
+compared without loss where two texts share a shingle of their prefixes (crossing_edges).
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 from beatframe.llm.common import stored
 
 ROWS, BANDS, WIDTH = 5, 16, 128
+PARITIES = 2048
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 32, WIDTH, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, WIDTH, dtype=np.uint32)
@@ -40,6 +45,87 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls into each of PARITIES places: sets that differ in d shingles differ in d places at most."""
+    return np.packbits((np.bincount((shingles >> np.uint64(53)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles in a fixed order of all (rarest first, by the counts `often` of the sorted `common`), as many as a text of that similarity can't miss all of."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    count = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        count = np.where(common[at] == shingles, often[at], 0)
+    return shingles[np.lexsort((shingles, count))[: n - math.ceil(similarity * n * (1 - 1e-9)) + 1]]
+
+
+def common_shingles(texts: DataFrame, *, words: int, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several of some sampled texts (column text, binary), and in how many. They decide an order, and no result."""
+
+    def run(batches):
+        for b in batches:
+            found = [shingle_set(t.as_buffer().to_pybytes(), words) for t in b.column(0) if t.is_valid]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["h"])
+
+    top = texts.select("text").mapInArrow(run, "h bigint").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(most).toArrow()
+    h, n = np.asarray(top["h"]).astype(np.int64).view(np.uint64), np.asarray(top["count"]).astype(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def crossing_edges(nodes: DataFrame, *, similarity: float, bucket: int = 4000) -> DataFrame:
+    """a < b of nodes (t, part, n shingles, prefix, odd parities) of different parts: all pairs that can have the similarity asked for, and few others.
+
+    With o shingles in common, o >= similarity * larger size, and o >= similarity / (1 + similarity) * both sizes.
+    So the first common shingle lies in both prefixes, in the smaller set's at n - o at most, and as many as
+    o shingles follow it in both. Pairs that meet there are compared by parities. Shingles whose texts are
+    all of one part are left out. A shingle with more than `bucket` texts is compared block against block.
+    """
+    share_of = similarity / (1 + similarity) * (1 - 1e-9)
+    short = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * share_of))
+    rows = nodes.select("t", "part", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("short", short)
+    keys = rows.groupBy("key").agg(F.count("*").alias("count"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("short").alias("short"))
+    keys = stored(keys.filter("lo <> hi and short").select("key", F.ceil(F.col("count") / bucket).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("t", "key"), F.col("blocks")).cast("int")
+    met = rows.drop("short").join(keys, "key").withColumn("block", block)
+    other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))).alias("other")
+    met = met.select("t", "part", "n", "pos", "key", "block", other)
+    met = stored(met.select("t", "part", "n", "pos", "block", (F.col("block") == F.col("other")).alias("own"), F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key")))
+    shares = max(1, math.ceil(met.count() / 20_000))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("part", "ascending")])
+        key, part, node, n, pos, block = (np.asarray(t[c]) for c in ("key", "part", "t", "n", "pos", "block"))
+        own = np.asarray(t["own"].cast(pa.int8()))
+        odd = np.frombuffer(b"".join(t["odd"].to_pylist()), np.uint64).reshape(len(key), -1)
+        size = len(key)
+        new_key = np.concatenate([key[1:] != key[:-1], [True]])
+        new_part = new_key | np.concatenate([part[1:] != part[:-1], [True]])
+        ends = np.arange(1, size + 1)
+        stop = ends[new_key][np.searchsorted(ends[new_key], ends)]
+        other = ends[new_part][np.searchsorted(ends[new_part], ends)]  # texts of other parts follow
+        at = np.arange(size)
+        found = []
+        while len(at := at[other[at] < stop[at]]):
+            to = other[at]
+            least = share_of * (n[at] + n[to])
+            ok = (np.minimum(n[at] - pos[at], n[to] - pos[to]) >= least) & (np.minimum(n[at], n[to]) >= least) & ((own[at] == 1) | (block[at] != block[to]))
+            x, y = at[ok], to[ok]
+            differ = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1)
+            close = differ <= n[x] + n[y] - 2 * least[ok]
+            x, y = node[x[close]], node[y[close]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            other[at] += 1
+        pair = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+
+    joined = met.join(nodes.select("t", "odd"), "t").withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares)))
+    return joined.groupBy("share").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def strongest_tree(s: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Edges of a maximum spanning forest over the estimated similarities of at least `least`; one row of comparisons at a time."""
     n = len(s)

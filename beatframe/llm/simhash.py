@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatframe.llm.common import map_texts, stored, table
-from beatframe.llm.resemblance import band_keys, candidate_edges, shingle_set, signature, verified
+from beatframe.llm.resemblance import band_keys, candidate_edges, common_shingles, crossing_edges, parities, prefix, shingle_set, signature, verified
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 GENERATOR = 0b101011100011  # of the (23, 12) Golay code
@@ -206,33 +206,55 @@ def near_duplicates(docs: DataFrame, *, keep: list[str], key: str = "doc_id", te
     return prints.join(named, "f").select("row", hex16(F.col("f")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text: str = "text", bits: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text: str = "text", bits: int = 2, words: int = 5, similarity: float = 0.8, bucket: int = 4000) -> DataFrame:
     """row (struct of keep), component_id: groups linked by SimHash within `bits`, or by a Jaccard similarity of `similarity` over shingles of `words` words.
 
     Texts of similarity 0.8 differ in 2 to 14 SimHash bits, more than fuzzy keys can bridge. So signatures
     of least hashes propose further edges, of which the strongest in every bucket are kept and verified on
-    whole texts. Nodes are distinct texts. Null, empty and blank texts are one group. Null keys: see near_duplicates.
+    whole texts. They join most groups, but by chance; all pairs between the groups so found that can
+    have the similarity are verified as well, so that none is lost. Nodes are distinct texts. Null, empty
+    and blank texts are one group. Null keys: see near_duplicates.
     """
+    node = F.xxhash64(docs[text])
+    every = max(1, docs.count() // 8000)
+    sample = docs.select(node.alias("t"), docs[text].cast("binary").alias("text")).filter(F.pmod("t", F.lit(every)) == 0)
+    common, often = common_shingles(sample.dropDuplicates(["t"]), words=words)
 
     def run(slices):
         for texts in slices:
-            marks = [signature(shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words)) for t in texts]
-            yield [pa.array(fingerprints(texts).view(np.int64)), pa.array([band_keys(s) for s in marks], pa.list_(pa.int64())), pa.array([s.astype(np.uint16).tobytes() for s in marks], pa.binary())]
-
-    node = F.xxhash64(docs[text])
-    prints = map_texts(docs.select(node.alias("t"), docs[key].alias("least"), docs[text].alias("text")), ["t", "least"], F.col("text"), run, "f bigint, keys array<bigint>, sig binary")
-    nodes = stored(prints.groupBy("row.t").agg(F.min("row.least").alias("least"), F.min("f").alias("f"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in texts]
+            marks = [signature(x) for x in sets]
+            first = [prefix(x, similarity, common, often).view(np.int64) for x in sets]
+            yield [
+                pa.array(fingerprints(texts).view(np.int64)), pa.array([band_keys(s) for s in marks], pa.list_(pa.int64())), pa.array([s.astype(np.uint16).tobytes() for s in marks], pa.binary()),
+                pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([parities(x) for x in sets], pa.binary()),
+            ]
+
+    kinds = {"f": "bigint", "keys": "array<bigint>", "sig": "binary", "n": "bigint", "prefix": "array<bigint>", "odd": "binary"}
+    prints = map_texts(docs.select(node.alias("t"), docs[key].alias("least"), docs[text].alias("text")), ["t", "least"], F.col("text"), run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    nodes = stored(prints.groupBy("row.t").agg(F.min("row.least").alias("least"), F.min("f").alias("f"), *[F.first(c).alias(c) for c in kinds if c != "f"]))
     of_print = stored(nodes.groupBy("f").agg(F.min("t").alias("t")))
     same = nodes.select("t", "f").join(of_print.withColumnRenamed("t", "a"), "f").filter("t <> a").select("a", F.col("t").alias("b"))
     fuzzy = near_links(of_print.select("f"), bits=bits).join(of_print.select(F.col("f").alias("a"), F.col("t").alias("x")), "a").join(of_print.select(F.col("f").alias("b"), F.col("t").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    proposed = stored(candidate_edges(nodes.select("t", "keys", "sig"), least=similarity - 0.07))
-    ends = proposed.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    # the row of its least key holds each text
-    texts = docs.select(docs[key].alias("least"), node.alias("t"), docs[text].cast("binary").alias("text")).filter(F.col("text").isNotNull())
-    texts = stored(texts.join(nodes.select("t", "least").join(ends, "t"), ["t", "least"]).dropDuplicates(["t"]).select("t", "text"))
-    linked = stored(verified(proposed, texts, words=words, similarity=similarity))
-    root = components(same.unionByName(fuzzy).unionByName(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    named = nodes.select("t", "least").join(root.withColumnRenamed("f", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+
+    def held(edges: DataFrame) -> DataFrame:
+        ends = edges.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+        # the row of its least key holds each text
+        texts = docs.select(docs[key].alias("least"), node.alias("t"), docs[text].cast("binary").alias("text")).filter(F.col("text").isNotNull())
+        of = nodes.select("t", F.col("least").alias("of")).join(ends, "t")
+        texts = stored(texts.join(of, "t").filter(F.col("least").eqNullSafe(F.col("of"))).dropDuplicates(["t"]).select("t", "text"))
+        return stored(verified(edges, texts, words=words, similarity=similarity))
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        return components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).withColumnRenamed("f", "t")
+
+    linked = held(stored(candidate_edges(nodes.select("t", "keys", "sig"), least=similarity - 0.07)))
+    root = grouped(same.unionByName(fuzzy).unionByName(linked))
+    parts = nodes.select("t", "n", "prefix", "odd").filter("n > 0").join(root, "t", "left").withColumn("part", F.coalesce("root", "t"))
+    crossing = stored(crossing_edges(parts, similarity=similarity, bucket=bucket))
+    if not crossing.isEmpty():
+        root = grouped(root.select(F.col("root").alias("a"), F.col("t").alias("b")).unionByName(held(crossing)))
+    named = nodes.select("t", "least").join(root, "t", "left").withColumn("root", F.coalesce("root", "t"))
     named = stored(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("t", "component_id"))
     rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), node.alias("t"))
     return rows.join(named, "t").select("row", "component_id")

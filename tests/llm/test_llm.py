@@ -5,15 +5,17 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from beatframe.llm import chat, decontamination, entry, langid, lines, oracles, packing, repeats, sharding, simhash, substrings, suffixarrays, topk
+from beatframe.llm import chat, decontamination, entry, langid, lines, oracles, packing, repeats, resemblance, sharding, simhash, substrings, suffixarrays, topk
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -207,6 +209,42 @@ def test_golay_indices_meet_within_two_bits():
     assert (simhash.fuzzy_keys(f)[:, :, None] == simhash.fuzzy_keys(g)[:, None, :]).any((1, 2)).all()
 
 
+def changed_by(rng, text, n):
+    """The text with its last n words replaced: of m words, m - 4 shingles, n of them others."""
+    return " ".join([*text.split(" ")[:-n], *(f"new{rng.randrange(10**9)}" for _ in range(n))])
+
+
+def near_groups(texts):
+    """The set of texts' groups (as least ids) by all pairs: Jaccard similarity 0.8 over five-word shingles, or two SimHash bits."""
+    sets = [set(resemblance.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    f = simhash.fingerprints(pa.array([t.encode() for t in texts])).tolist()
+    group = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if group[i] != group[j] and (both >= 0.8 * len(sets[i] | sets[j]) or (f[i] ^ f[j]).bit_count() <= 2):
+            low, high = sorted((group[i], group[j]))
+            group = [low if g == high else g for g in group]
+    return group
+
+
+def near_ids(spark, texts, **limits):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return [r["component_id"] for r in sorted(simhash.near_copies(docs, keep=["doc_id"], **limits).collect(), key=lambda r: r["row"]["doc_id"])]
+
+
+@pytest.mark.parametrize("bucket", [3, 4000])
+def test_near_copies_in_large_buckets(spark, bucket):
+    """Chains and stars of copies with 0.8 or a little less, all of few templates."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(4):
+        base = vocabulary_text(rng, 94)
+        texts.append(base)
+        texts += [changed_by(rng, base, rng.choice([9, 10, 11, 12])) for _ in range(25)]
+        texts += [changed_by(rng, t, rng.choice([5, 10])) for t in texts[-20:]]
+    assert near_ids(spark, texts, bucket=bucket) == near_groups(texts)
+
+
 def test_large_buckets_lose_no_link(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 62, 3)
