@@ -245,6 +245,16 @@ def test_near_copies_in_large_buckets(spark, bucket):
     assert near_ids(spark, texts, bucket=bucket) == near_groups(texts)
 
 
+def test_near_copies_at_the_bound(spark):
+    """Pairs with a similarity of exactly 0.8, of 0.81 and just below, each pair of its own."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(300):
+        base = vocabulary_text(rng, 94)
+        texts += [base, changed_by(rng, base, rng.choice([9, 10, 10, 10, 11]))]
+    assert near_ids(spark, texts) == near_groups(texts)
+
+
 def test_large_buckets_lose_no_link(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 62, 3)
