@@ -148,37 +148,35 @@ def band_keys(s: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(s[ROWS * j : ROWS * (j + 1)].tobytes(), j) - (1 << 63) for j in range(BANDS)]
 
 
-def candidate_edges(nodes: DataFrame, *, least: float, bucket: int = 4000) -> DataFrame:
-    """a < b of nodes (t, keys of the bands, sig): the strongest edges inside every bucket of texts that share a band.
+def buckets(nodes: DataFrame, bucket: int) -> DataFrame:
+    """key, t of nodes (t, keys of the bands) that share a band; of buckets with the same texts one is taken.
 
-    Of buckets with the same texts one is taken. Buckets above the limit are taken apart by other bands, a
-    text going with several, until they fit.
+    A bucket above the limit is dealt into parts of about half the limit, twice by other hashes, so that
+    parts of one deal overlap those of the other.
     """
     rows = nodes.select("t", F.explode("keys").alias("key"))
-    edges = None
-    for step in range(4):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("count"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.bit_xor(F.xxhash64("t")).alias("x")).filter("count > 1")
-        sizes = stored(sizes.groupBy("count", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "count"))
-        last = step == 3
-        met = stored(rows.join(sizes if last else sizes.filter(F.col("count") <= bucket), "key").select("key", "t"))
-        shares = max(1, math.ceil(met.count() / 20_000))
-
-        def compare(t: pa.Table) -> pa.Table:
-            t = t.sort_by([("key", "ascending"), ("t", "ascending")])
-            key, node = np.asarray(t["key"]), np.asarray(t["t"])
-            s = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, WIDTH)
-            cut = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-            pair = {tuple(sorted((int(node[x + i]), int(node[x + j])))) for x, y in zip(cut, [*cut[1:], len(key)], strict=True) for i, j in strongest_tree(s[x:y], least)}
-            return pa.table([[p[0] for p in pair], [p[1] for p in pair]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-        some = met.join(nodes.select("t", "sig"), "t").withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares))).groupBy("share").applyInArrow(compare, "a bigint, b bigint").distinct()
-        edges = some if edges is None else edges.unionByName(some).distinct()
-        large = sizes.filter(F.col("count") > bucket).select("key")
-        if last or large.isEmpty():
-            break
-        other = F.array(*[F.element_at("keys", (step * 4 + j) % BANDS + 1) for j in range(4)])
-        rows = stored(rows.join(large, "key").join(nodes.select("t", "keys"), "t").select("t", F.explode(F.transform(other, lambda x: F.xxhash64("key", x))).alias("key")).distinct())
-    return edges
+    sizes = rows.groupBy("key").agg(F.count("*").alias("count"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.bit_xor(F.xxhash64("t")).alias("x")).filter("count > 1")
+    sizes = stored(sizes.groupBy("count", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "count"))
+    met = rows.join(sizes, "key")
+    parts = F.ceil(F.col("count") / F.lit(max(1, bucket // 2)))
+    dealt = F.array(*[F.xxhash64("key", F.lit(i), F.pmod(F.xxhash64("t", F.lit(i)), parts)) for i in range(2)])
+    return met.select(F.explode(F.when(F.col("count") > bucket, dealt).otherwise(F.array("key"))).alias("key"), "t")
+
+
+def candidate_edges(nodes: DataFrame, *, least: float, bucket: int = 4000) -> DataFrame:
+    """a < b of nodes (t, keys of the bands, sig): the strongest edges inside every bucket of texts that share a band, most of those that join similar texts but not all (see crossing_edges)."""
+    met = stored(buckets(nodes, bucket))
+    shares = max(1, math.ceil(met.count() / 20_000))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("t", "ascending")])
+        key, node = np.asarray(t["key"]), np.asarray(t["t"])
+        s = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, WIDTH)
+        cut = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        pair = {tuple(sorted((int(node[x + i]), int(node[x + j])))) for x, y in zip(cut, [*cut[1:], len(key)], strict=True) for i, j in strongest_tree(s[x:y], least)}
+        return pa.table([[p[0] for p in pair], [p[1] for p in pair]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return met.join(nodes.select("t", "sig"), "t").withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares))).groupBy("share").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def verified(edges: DataFrame, texts: DataFrame, *, words: int, similarity: float) -> DataFrame:

@@ -227,10 +227,10 @@ def near_copies(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
             first = [prefix(x, similarity, common, often).view(np.int64) for x in sets]
             yield [
                 pa.array(fingerprints(texts).view(np.int64)), pa.array([band_keys(s) for s in marks], pa.list_(pa.int64())), pa.array([s.astype(np.uint16).tobytes() for s in marks], pa.binary()),
-                pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([parities(x) for x in sets], pa.binary()),
+                pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([parities(x) for x in sets], pa.binary()),
             ]
 
-    kinds = {"f": "bigint", "keys": "array<bigint>", "sig": "binary", "n": "bigint", "prefix": "array<bigint>", "odd": "binary"}
+    kinds = {"f": "bigint", "keys": "array<bigint>", "sig": "binary", "whole": "bigint", "n": "bigint", "prefix": "array<bigint>", "odd": "binary"}
     prints = map_texts(docs.select(node.alias("t"), docs[key].alias("least"), docs[text].alias("text")), ["t", "least"], F.col("text"), run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
     nodes = stored(prints.groupBy("row.t").agg(F.min("row.least").alias("least"), F.min("f").alias("f"), *[F.first(c).alias(c) for c in kinds if c != "f"]))
     of_print = stored(nodes.groupBy("f").agg(F.min("t").alias("t")))
@@ -248,9 +248,13 @@ def near_copies(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
     def grouped(edges: DataFrame) -> DataFrame:
         return components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).withColumnRenamed("f", "t")
 
-    linked = held(stored(candidate_edges(nodes.select("t", "keys", "sig"), least=similarity - 0.07)))
-    root = grouped(same.unionByName(fuzzy).unionByName(linked))
-    parts = nodes.select("t", "n", "prefix", "odd").filter("n > 0").join(root, "t", "left").withColumn("part", F.coalesce("root", "t"))
+    # of texts with the same shingles (other case, spaces or order) one is compared
+    one = stored(nodes.groupBy("whole").agg(F.min("t").alias("t")))
+    equal = nodes.select("whole", "t").join(one.withColumnRenamed("t", "a"), "whole").filter("t <> a").select("a", F.col("t").alias("b"))
+    ones = nodes.join(one.select("t"), "t").filter("n > 0")
+    linked = held(stored(candidate_edges(ones.select("t", "keys", "sig"), least=similarity - 0.07, bucket=bucket)))
+    root = grouped(same.unionByName(fuzzy).unionByName(equal).unionByName(linked))
+    parts = ones.select("t", "n", "prefix", "odd").join(root, "t", "left").withColumn("part", F.coalesce("root", "t"))
     crossing = stored(crossing_edges(parts, similarity=similarity, bucket=bucket))
     if not crossing.isEmpty():
         root = grouped(root.select(F.col("root").alias("a"), F.col("t").alias("b")).unionByName(held(crossing)))

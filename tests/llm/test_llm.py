@@ -255,6 +255,26 @@ def test_near_copies_at_the_bound(spark):
     assert near_ids(spark, texts) == near_groups(texts)
 
 
+def test_equal_buckets_are_dealt_out(spark):
+    """Texts that share all bands, more than a task takes: every task gets a part, and the parts overlap."""
+    keys = list(range(16))
+    nodes = spark.createDataFrame([(t, [k * 7 for k in keys], bytes(256)) for t in range(600)], "t long, keys array<long>, sig binary")
+    sizes = [r["count"] for r in resemblance.buckets(nodes, 40).groupBy("key").count().collect()]
+    assert sum(sizes) == 1200 and max(sizes) <= 2 * 40
+    group = simhash.components(resemblance.candidate_edges(nodes, least=0.7, bucket=40)).collect()
+    assert {r["root"] for r in group} == {0} and len(group) == 599
+
+
+def test_respaced_copies_are_one_node(spark, monkeypatch):
+    """Texts that differ in case and spaces alone aren't compared with each other."""
+    rng = random.Random(10)
+    base = vocabulary_text(rng, 94)
+    texts = [" ".join(w.upper() if w.isascii() and rng.random() < 0.3 else w for w in base.split(" ")).replace(" ", "  ", rng.randrange(90)) for _ in range(60)] + [changed_by(rng, base, 8)]
+    seen = []
+    monkeypatch.setattr(simhash, "candidate_edges", lambda nodes, **more: seen.append(nodes.count()) or resemblance.candidate_edges(nodes, **more))
+    assert set(near_ids(spark, texts)) == {0} and seen == [2]
+
+
 def test_large_buckets_lose_no_link(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 62, 3)
