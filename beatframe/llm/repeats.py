@@ -147,8 +147,13 @@ def anchors(texts: list[bytes], unit: Unit, around: bool = True) -> list[tuple[n
 
 
 def text_mark(text: bytes) -> int:
-    """31 bits that tell texts of one key apart."""
-    return xxhash.xxh3_64_intdigest(text) >> 33
+    """31 bits that tell texts of one key apart; see marked."""
+    return xxhash.xxh64_intdigest(text, 42) >> 33
+
+
+def marked(text):
+    """text_mark as a column, so that joins and groups go by text and not by key alone."""
+    return F.shiftrightunsigned(F.xxhash64(text.cast("binary")), 33)
 
 
 def located(docs: DataFrame, key: str, text: str, unit: Unit) -> DataFrame:
@@ -231,13 +236,13 @@ def repeated_spans(docs: DataFrame, *, key: str, text: str, unit: Unit, judge, k
 def surroundings(docs: DataFrame, kinds: DataFrame, key: str, text: str, unit: Unit) -> DataFrame:
     """a, k, loc, kinds, left (units before the anchor) and piece (bytes around it), cut from the text that holds the first copy."""
     of_text = kinds.groupBy("k", F.shiftright("loc", 32).alias("mark")).agg(F.collect_list(F.struct("a", "loc", "kinds")).alias("x"))
-    texts = docs.select(row_key(docs, key).alias("k"), docs[text].cast("binary").alias("text")).filter(F.col("text").isNotNull())
-    joined = texts.join(of_text, "k")
+    texts = docs.select(row_key(docs, key).alias("k"), marked(docs[text]).alias("mark"), docs[text].cast("binary").alias("text")).filter(F.col("text").isNotNull())
+    joined = texts.join(of_text, ["k", "mark"])
     names = ["a", "k", "loc", "kinds", "left", "piece"]
 
     def run(batches):
         for b in batches:
-            texts, marks, lists_ = b.column(1), b.column(2).to_pylist(), b.column(3)
+            texts, lists_ = b.column(1), b.column(2)
             a, loc, kinds_ = (np.asarray(f) for f in lists_.flatten().flatten())
             cut = np.concatenate([[0], np.cumsum(np.asarray(lists_.value_lengths()))])
             rows: list[np.ndarray] = []
@@ -250,10 +255,7 @@ def surroundings(docs: DataFrame, kinds: DataFrame, key: str, text: str, unit: U
                 return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(k), pa.array(loc[at]), pa.array(kinds_[at]), pa.array(left.astype(np.int32)), pa.array(pieces, pa.binary())], names=names)
 
             for i in range(b.num_rows):
-                raw = texts[i].as_buffer().to_pybytes()
-                if text_mark(raw) != marks[i]:
-                    continue
-                flat, at = unit.split(raw)
+                flat, at = unit.split(texts[i].as_buffer().to_pybytes())
                 p = loc[cut[i] : cut[i + 1]] & _POSITION
                 start, end = np.maximum(0, p - (unit.window - unit.k)), np.minimum(len(at) - 1, p + unit.window)
                 pieces += [flat[x:y] for x, y in zip(at[start].tolist(), (at[end] - unit.words).tolist(), strict=True)]
@@ -265,7 +267,7 @@ def surroundings(docs: DataFrame, kinds: DataFrame, key: str, text: str, unit: U
                     rows, lefts, pieces, size = [], [], [], 0
             yield batch()
 
-    return joined.select("k", "text", F.col("mark").cast("long"), "x").mapInArrow(run, "a bigint, k bigint, loc bigint, kinds bigint, left int, piece binary")
+    return joined.select("k", "text", "x").mapInArrow(run, "a bigint, k bigint, loc bigint, kinds bigint, left int, piece binary")
 
 
 def classes_of(unit: Unit, n: int) -> list[tuple[int, int]]:
@@ -363,10 +365,8 @@ def without(docs: DataFrame, spans: DataFrame, *, keep: list[str], key: str, tex
 
     Kept words are joined by one space; kept bytes follow each other. Null texts count as empty.
     """
-    rows = docs.select(row_key(docs, key).alias("k"), F.struct(*[docs[c] for c in keep]).alias("row"), docs[text].cast("binary").alias("text"))
-    # several texts of one key: the kernel takes the spans of its own mark
-    per_key = spans.groupBy("k").agg(F.collect_list(F.struct("mark", "spans")).alias("x"))
-    joined = rows.join(per_key, "k", "left").select("row", "text", "x")
+    rows = docs.select(row_key(docs, key).alias("k"), marked(docs[text]).alias("mark"), F.struct(*[docs[c] for c in keep]).alias("row"), docs[text].cast("binary").alias("text"))
+    joined = rows.join(spans, ["k", "mark"], "left").select("row", "text", F.col("spans").alias("x"))
     names = ["row", "n_units", "n_removed", "n_spans", "kept_sha256", *["kept"] * full]
 
     def run(batches):
@@ -378,12 +378,9 @@ def without(docs: DataFrame, spans: DataFrame, *, keep: list[str], key: str, tex
                 n = len(at) - 1
                 change = np.zeros(n + 1, dtype=np.int64)
                 if b.column(2)[i].is_valid:
-                    mark = text_mark(raw)
-                    for m in b.column(2)[i]:
-                        if m["mark"].as_py() == mark:
-                            s = m["spans"].values.flatten()
-                            np.add.at(change, np.clip(np.asarray(s[0]), 0, n), 1)
-                            np.add.at(change, np.clip(np.asarray(s[1]), 0, n), -1)
+                    s = b.column(2)[i].values.flatten()
+                    np.add.at(change, np.clip(np.asarray(s[0]), 0, n), 1)
+                    np.add.at(change, np.clip(np.asarray(s[1]), 0, n), -1)
                 gone = np.cumsum(change)[:n] > 0
                 spans_ = runs(gone)
                 left = [unit.between(at, a, z) for a, z in runs(~gone)]

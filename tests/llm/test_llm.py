@@ -115,6 +115,18 @@ def test_substrings(docs, rows, limit, monkeypatch):
     assert {tuple(r) for r in got} == removed_words(rows)
 
 
+def test_many_texts_of_one_key(spark, monkeypatch):
+    """Texts without a key meet their own anchors and spans alone: no step takes more rows with a text than there are."""
+    rng = random.Random(11)
+    passage = vocabulary_text(rng, 40)
+    df = spark.createDataFrame([(None, vocabulary_text(rng, 20) + " " + passage + " " + vocabulary_text(rng, 20)) for _ in range(30)], "doc_id long, text string")
+    taken, run = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: (taken.append(self.count() if "text" in self.columns and "x" in self.columns else 0), run(self, *a, **b))[1])
+    out = substrings.dedup_substrings(df, keep=["doc_id"]).select("n_removed").collect()
+    assert sorted(r[0] >= 40 for r in out) == [False] + [True] * 29
+    assert len([n for n in taken if n]) == 2 and max(taken) <= 30
+
+
 @pytest.mark.parametrize("limit", [500, 1])
 def test_suffix_arrays(docs, rows, limit, monkeypatch):
     monkeypatch.setitem(repeats.repeated_spans.__kwdefaults__, "group_limit", limit)
