@@ -37,7 +37,8 @@ def norm(a) -> Column:
 
 
 def rms(a) -> Column:
-    return F.sqrt(sum_squares(a) / F.size(col(a)))
+    """Null for an empty array."""
+    return F.sqrt(F.try_divide(sum_squares(a), F.size(col(a))))
 
 
 def plus(a, b) -> Column:

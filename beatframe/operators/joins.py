@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatframe.functions.arrays import close, plus
+from beatframe.functions.tables import stored
 
 
 def add_components(hp: DataFrame, lp: DataFrame, keys: list[str], vectors: list[str]) -> DataFrame:
@@ -47,9 +48,10 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> D
 
 
 def vessel_areas(frames: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """JN5: frames with areas and the least one, from vessels in either of two record layouts: radius, or semi-axes a and b."""
-    area = F.transform("vessels", lambda v: F.coalesce(v["radius"] * v["radius"], v["a"] * v["b"]) * math.pi)
-    s = side.select(key, area.alias("areas")).withColumn("least_area", F.array_min("areas"))
+    """JN5: frames with areas and the least one, from side records in either of two layouts: a model with arteries, whose lumen is a share of their radii, or vessels with semi-axes."""
+    lumen = F.transform("model.arteries", lambda v: v["radius_x_mm"] * v["radius_y_mm"] * v["lumen_fraction"] * v["lumen_fraction"] * math.pi)
+    plain = F.transform("vessels", lambda v: v["axis_a"] * v["axis_b"] * math.pi)
+    s = side.select(key, F.when(F.col("model").isNotNull(), lumen).otherwise(plain).alias("areas")).withColumn("least_area", F.array_min("areas"))
     return frames.join(s, key)
 
 
@@ -70,37 +72,56 @@ def contract(stored: DataFrame, current: DataFrame, keys: list[str], *, exempt:
 def nearest(df: DataFrame, bank: DataFrame, *, key: str, vector: str, bank_key: str, bank_vector: str, block: int = 20_000) -> DataFrame:
     """JN8: for each row the bank entry of least mean squared distance, the least key on ties: key, bank_key, distance.
 
-    The bank goes to the tasks block by block, so only `block` vectors are broadcast at once; where it
-    takes several blocks, the best of them is kept by key.
+    The bank goes to the tasks in ranges of keys with about `block` vectors each. Of several blocks only one is broadcast
+    at a time: each block's pass is written as a table that carries the best so far, and its broadcast
+    destroyed. Distances come from a matrix product; entries within rounding of the least are measured again.
+    An empty bank gives nulls.
     """
-    n = bank.count()
-    blocks = max(1, math.ceil(n / block))
-    numbered = bank.select(F.col(bank_key).cast("long").alias("k"), F.col(bank_vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        rows = numbered.filter(F.col("b") == b).orderBy("k").collect()
-        if not rows:
+    spark = df.sparkSession
+    names = dict(df.dtypes)
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("d"))
+    numbered = bank.select(F.col(bank_key).cast("long").alias("k"), F.col(bank_vector).cast("array<double>").alias("v"))
+    blocks = max(1, math.ceil(bank.count() / block))
+    if blocks > 1:  # ranges of keys, of about equal counts
+        cuts = numbered.select(F.percentile_approx("k", F.array(*[F.lit(i / blocks) for i in range(blocks)]), F.lit(100 * blocks)).alias("k")).first()["k"]
+        edges = sorted({*cuts, numbered.agg(F.min("k")).first()[0]})
+    else:
+        edges = [None]
+
+    for i, low in enumerate(edges):
+        part = numbered
+        if low is not None:
+            part = part.filter(F.col("k") >= low)
+            part = part.filter(F.col("k") < edges[i + 1]) if i + 1 < len(edges) else part
+        found = part.orderBy("k").collect()
+        if not found:
             continue
-        shared = df.sparkSession.sparkContext.broadcast((np.array([r["k"] for r in rows]), np.array([r["v"] for r in rows])))
+        shared = spark.sparkContext.broadcast((np.array([r["k"] for r in found]), np.array([r["v"] for r in found])))
 
         def find(batches, shared=shared):
             keys, m = shared.value
+            size = np.square(m).sum(axis=1)
             for batch in batches:
                 flat = batch.column(1)
                 x = np.asarray(flat.flatten()).reshape(len(flat), -1)
-                d = np.stack([np.square(m - row).mean(axis=1) for row in x]) if len(x) else np.zeros((0, len(keys)))
-                at = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[at]), pa.array(d[np.arange(len(x)), at])], names=[key, bank_key, "distance"])
-
-        kind = dict(df.dtypes)[key]
-        part = df.select(key, F.col(vector).cast("array<double>")).mapInArrow(find, f"{key} {kind}, {bank_key} bigint, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return df.select(key, F.lit(None).cast("long").alias(bank_key), F.lit(None).cast("double").alias("distance"))
-    if blocks == 1:
-        return out
-    best = out.groupBy(key).agg(F.min(F.struct("distance", bank_key)).alias("m"))
-    return best.select(key, f"m.{bank_key}", "m.distance")
+                best, far = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                for a in range(0, len(x), 256):
+                    y = x[a : a + 256]
+                    own = np.square(y).sum(axis=1)
+                    d = size[None] + own[:, None] - 2 * (y @ m.T)
+                    near = d <= d.min(axis=1, keepdims=True) + 1e-9 * (1 + own[:, None] + size.max())
+                    for j, at in enumerate(map(np.flatnonzero, near)):
+                        exact = np.square(m[at] - y[j]).mean(axis=1)
+                        c = int(exact.argmin())
+                        if best[a + j] is None or (exact[c], keys[at[c]]) < (far[a + j], best[a + j]):
+                            best[a + j], far[a + j] = int(keys[at[c]]), float(exact[c])
+                yield pa.RecordBatch.from_arrays([batch.column(0), flat, pa.array(best, pa.int64()), pa.array(far, pa.float64())], names=["k", "v", "b", "d"])
+
+        rows = rows.mapInArrow(find, f"k {names[key]}, v array<double>, b bigint, d double")
+        if len(edges) > 1:
+            rows = stored(rows)
+            shared.destroy()
+    return rows.select(F.col("k").alias(key), F.col("b").alias(bank_key), F.col("d").alias("distance"))
 
 
 def cells(lo: Column, hi: Column, size: float) -> Column:

@@ -97,28 +97,39 @@ def frame_solves(df: DataFrame, *, key: str, jacobian: str, residual: str, eigen
     not 1,500); null modes or a backward error above 1e-7 take an augmented least squares solve.
     """
     definite = eigenvalues.min() > floor * eigenvalues.max()
+    regulariser = (eigenvectors * eigenvalues) @ eigenvectors.T
+    root = (eigenvectors * np.sqrt(np.maximum(eigenvalues, 0))).T
+    n = len(eigenvalues)
+
+    def solve(j: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Steps and backward errors of many frames at once: j is frames x channels x n."""
+        rhs = np.einsum("fcn,fc->fn", j, r)
+        size = np.maximum(np.linalg.norm(rhs, axis=1), 1e-300)
+        error_of = lambda x: np.linalg.norm(np.einsum("fcn,fc->fn", j, np.einsum("fcn,fn->fc", j, x)) + x @ regulariser - rhs, axis=1) / size
+        x, error = np.zeros((len(j), n)), np.full(len(j), np.inf)
+        if definite and len(j):
+            turned = j @ eigenvectors
+            half = turned / eigenvalues
+            inner = np.linalg.solve(half @ turned.transpose(0, 2, 1) + np.eye(j.shape[1]), r[:, :, None])
+            x = (half.transpose(0, 2, 1) @ inner)[:, :, 0] @ eigenvectors.T
+            error = error_of(x)
+        bad = np.flatnonzero(~(error <= 1e-7))
+        for f in bad:
+            x[f] = np.linalg.lstsq(np.vstack([j[f], root]), np.concatenate([r[f], np.zeros(len(root))]), rcond=None)[0]
+        if len(bad):
+            error = error_of(x)
+        return x, error
 
-    def run(frames):
-        for pdf in frames:
-            steps, errors = [], []
-            for jac, r in zip(pdf[jacobian], pdf[residual], strict=True):
-                j, r = np.stack([np.asarray(x, dtype=np.float64) for x in jac]), np.asarray(r, dtype=np.float64)
-                reg = (eigenvectors * eigenvalues) @ eigenvectors.T
-                rhs = j.T @ r
-                x, error = None, np.inf
-                if definite:
-                    half = (j @ eigenvectors) / eigenvalues
-                    x = eigenvectors @ (half.T @ np.linalg.solve(half @ (j @ eigenvectors).T + np.eye(len(j)), r))
-                    error = np.linalg.norm(j.T @ (j @ x) + reg @ x - rhs) / max(np.linalg.norm(rhs), 1e-300)
-                if not error <= 1e-7:
-                    root = (eigenvectors * np.sqrt(np.maximum(eigenvalues, 0))).T
-                    x = np.linalg.lstsq(np.vstack([j, root]), np.concatenate([r, np.zeros(len(root))]), rcond=None)[0]
-                    error = np.linalg.norm(j.T @ (j @ x) + reg @ x - rhs) / max(np.linalg.norm(rhs), 1e-300)
-                steps.append(x)
-                errors.append(float(error))
-            yield pd.DataFrame({key: pdf[key], "step": steps, "backward_error": errors})
-
-    return df.select(key, jacobian, residual).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, step array<double>, backward_error double")
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 64):
+                some = b.slice(a, 64)
+                r = np.asarray(some.column(2).flatten(), dtype=np.float64).reshape(some.num_rows, -1)
+                x, error = solve(np.asarray(some.column(1).flatten().flatten(), dtype=np.float64).reshape(*r.shape, n), r)
+                steps = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * n, pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([some.column(0), steps, pa.array(error)], names=[key, "step", "backward_error"])
+
+    return df.select(key, jacobian, residual).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, step array<double>, backward_error double")
 
 
 def linearised_voltage(df: DataFrame, *, state: str, baseline: str, voltage0: str, jacobian: np.ndarray, out: str = "voltage") -> DataFrame:
@@ -153,9 +164,10 @@ def context(df: DataFrame, vector: str, *, out: str = "context", most: float = 5
 
 
 def calibrated(df: DataFrame, *, voltage: str, reference: str, model0: str) -> DataFrame:
-    """LN11: alpha = <m, m> / <ref, m>, and the residual (V alpha - m) - (ref alpha - m) = alpha (V - ref)."""
-    alpha = sum_squares(model0) / dot(reference, model0)
-    return df.withColumn("alpha", alpha).withColumn("differential", F.zip_with(voltage, reference, lambda v, r: (v - r) * F.col("alpha")))
+    """LN11: alpha = <m, m> / <ref, m> (1 where <ref, m> is zero), which scales the resting conductivity, and the residual (V - m) - (ref - m)."""
+    product = dot(reference, model0)
+    alpha = F.when(F.abs(product) > 1e-30, F.try_divide(sum_squares(model0), product)).otherwise(1.0)
+    return df.withColumn("alpha", alpha).withColumn("differential", minus(minus(voltage, model0), minus(reference, model0)))
 
 
 def dataset_residual(df: DataFrame, *, state: str, voltage: str, jacobian: np.ndarray, floor: float) -> DataFrame:

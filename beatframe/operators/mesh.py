@@ -6,7 +6,7 @@ Sparse operators are tables (row, col, value); elements are (elem_id, n0, n1, n2
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,18 +19,58 @@ def zero_based(coo: DataFrame) -> DataFrame:
     return coo.select((F.col("col") - 1).alias("row"), (F.col("row") - 1).alias("col"), "value").groupBy("row", "col").agg(F.sum("value").alias("value"))
 
 
+def small_matrix(coo: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """(row numbers, matrix rows x columns; NaN where there is no entry) if it is small enough to go to every task; one job finds out."""
+    from beatframe.operators.linear import MAX_MATRIX
+
+    n, most, rows = coo.agg(F.count("*"), F.max("col"), F.countDistinct("row")).first()
+    if not n:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    if n > MAX_MATRIX // 10 or rows * (most + 1) > MAX_MATRIX:
+        return None
+    t = coo.select("row", "col", F.col("value").cast("double").alias("value")).toPandas()
+    numbers, at = np.unique(t["row"].to_numpy(), return_inverse=True)
+    out, there = np.zeros((len(numbers), int(most) + 1)), np.zeros((len(numbers), int(most) + 1), bool)
+    np.add.at(out, (at, t["col"].to_numpy()), t["value"].to_numpy())
+    there[at, t["col"].to_numpy()] = True
+    return numbers, np.where(there, out, np.nan)
+
+
 def apply_sparse(coo: DataFrame, frames: DataFrame, key: list[str], vector: str) -> DataFrame:
-    """MG1: matrix times each frame's vector, in long form: key, row, y."""
-    x = long(frames.select(*key, vector), vector, index="col")
-    return coo.join(x, "col").groupBy(*key, "row").agg(F.sum(F.col("value") * F.col("x")).alias("y"))
+    """MG1: matrix times each frame's vector, in long form: key, row, y. Rows that meet no component are left out.
+
+    A matrix of a ring (about 1,500 columns) goes to the tasks, which multiply batch by batch and shuffle
+    nothing; one above the limit is joined to the components instead.
+    """
+    small = small_matrix(coo)
+    if small is None:
+        x = long(frames.select(*key, vector), vector, index="col")
+        return coo.join(x, "col").groupBy(*key, "row").agg(F.sum(F.col("value") * F.col("x")).alias("y"))
+    numbers, matrix = small
+    there, full = np.isfinite(matrix).astype(np.float64), np.nan_to_num(matrix)
+    d = frames.select(*key, F.col(vector).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
+
+    def run(batches):
+        for b in batches:
+            v = b.column(len(key))
+            size = np.asarray(v.value_lengths()).astype(np.int64)
+            at = np.arange(matrix.shape[1])
+            known = at[None] < size[:, None]
+            flat = np.append(np.asarray(v.flatten(), dtype=np.float64), 0.0)
+            begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+            x = np.where(known, flat[np.minimum(begin[:, None] + at[None], len(flat) - 1)], 0.0)
+            frame, row = np.nonzero(known.astype(np.float64) @ there.T > 0)
+            take = pa.array(frame)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(key))), pa.array(numbers[row]), pa.array((x @ full.T)[frame, row])], names=[*key, "row", "y"])
+
+    return d.mapInArrow(run, T.StructType([*(d.schema[k] for k in key), T.StructField("row", coo.schema["row"].dataType), T.StructField("y", T.DoubleType())]))
 
 
 def raster(coo: DataFrame, frames: DataFrame, key: list[str], vector: str, *, side: int) -> DataFrame:
-    """MG2: pixels of each frame (pixel p lies at row p mod side, column p div side); NaN where no element covers it."""
-    y = apply_sparse(coo, frames, key, vector).withColumnRenamed("row", "p")
-    pixels = F.explode(F.sequence(F.lit(0), F.lit(side * side - 1)))
-    full = frames.select(*key).distinct().select(*key, pixels.alias("p")).join(y.withColumn("p", F.col("p").cast("int")), [*key, "p"], "left")
-    return full.select(*key, (F.col("p") % side).alias("row"), F.floor(F.col("p") / side).alias("col"), F.coalesce("y", F.lit(float("nan"))).alias("y"))
+    """MG2: pixels of each frame (pixel p lies at row p mod side, column p div side); NaN where no element covers it. A frame's pixels come together in one row first, so its key must be its own."""
+    y = apply_sparse(coo, frames, key, vector).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("row").cast("int").alias("p"), "y"))).alias("_y"))
+    full = frames.select(*key).distinct().join(y, key, "left").select(*key, "_y", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("p"))
+    return full.select(*key, (F.col("p") % side).alias("row"), F.floor(F.col("p") / side).alias("col"), F.coalesce(F.try_element_at("_y", F.col("p")), F.lit(float("nan"))).alias("y"))
 
 
 def categorical_raster(coo: DataFrame, labels: DataFrame, *, background: int, pixels: int) -> DataFrame:
@@ -78,27 +118,27 @@ def pixel_grid(nodes: DataFrame, side: int) -> DataFrame:
     return p.select("p", (F.col("a") + col * w).alias("x0"), (F.col("a") + (col + 1) * w).alias("x1"), (F.col("d") - (row + 1) * h).alias("y0"), (F.col("d") - row * h).alias("y1"))
 
 
-def clip_area(corners, box) -> float:
-    """Area of a polygon inside a box, by cutting it along the four sides."""
-    poly = [(float(x), float(y)) for x, y in corners]
-    for axis, bound, sign in ((0, box[0], 1), (0, box[1], -1), (1, box[2], 1), (1, box[3], -1)):
-        out = []
-        for p, q in zip(poly, poly[1:] + poly[:1], strict=True):
-            a, b = sign * (p[axis] - bound), sign * (q[axis] - bound)
-            if a >= 0:
-                out.append(p)
-            if (a > 0) != (b > 0) and a != b:
-                s = a / (a - b)
-                out.append((p[0] + s * (q[0] - p[0]), p[1] + s * (q[1] - p[1])))
-        poly = out
-        if not poly:
-            return 0.0
-    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(poly, poly[1:] + poly[:1], strict=True))) / 2
+def clipped_area(corners: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Area of a convex polygon (an array of points [x, y]) inside a box, from its edges alone.
+
+    Above each x the part inside the box is the top edge's height less the bottom one's, both clamped to
+    the box; so each edge adds the integral of its clamped height over the x it spans inside the box.
+    """
+    n = F.size(corners)
 
+    def piece(p, i):
+        q = F.get(corners, (i + 1) % n)
+        dx = q[0] - p[0]
+        u, w = F.least(F.greatest(p[0], x0), x1), F.least(F.greatest(q[0], x0), x1)
+        height = lambda x: p[1] + (q[1] - p[1]) * F.coalesce(F.try_divide(x - p[0], dx), F.lit(0.0))
+        lo, hi = F.least(height(u), height(w)), F.greatest(height(u), height(w))
+        below, above = F.greatest(F.least(hi, y0) - lo, F.lit(0.0)), F.greatest(hi - F.greatest(lo, y1), F.lit(0.0))
+        a, b = F.greatest(lo, y0), F.least(hi, y1)
+        within = F.greatest(b - a, F.lit(0.0))
+        mean = F.try_divide(below * y0 + within * (a + b) / 2 + above * y1, hi - lo)
+        return (w - u) * (F.coalesce(mean, F.least(F.greatest(lo, y0), y1)) - y0)
 
-@F.pandas_udf(T.DoubleType())
-def clipped(corners: pd.Series, x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
-    return pd.Series([clip_area(c, b) for c, *b in zip(corners, x0, x1, y0, y1, strict=True)], dtype="float64")
+    return F.abs(F.aggregate(F.transform(corners, piece), F.lit(0.0), lambda s, x: s + x))
 
 
 def image_map(nodes: DataFrame, elements: DataFrame, side: int, *, cell: float) -> DataFrame:
@@ -106,7 +146,7 @@ def image_map(nodes: DataFrame, elements: DataFrame, side: int, *, cell: float)
     from beatframe.operators.joins import box_overlap
 
     j = box_overlap(pixel_grid(nodes, side), geometry(nodes, elements), cell=cell)
-    j = j.withColumn("w", clipped("b_corners", "x0", "x1", "y0", "y1") / F.col("b_area")).filter("w > 0")
+    j = j.withColumn("w", F.try_divide(clipped_area(F.col("b_corners"), *[F.col(c) for c in ("x0", "x1", "y0", "y1")]), "b_area")).filter("w > 1e-9")  # less is rounding
     return j.select(F.col("p").cast("long").alias("row"), F.col("b_elem_id").alias("col"), (F.col("w") / F.sum("w").over(Window.partitionBy("p"))).alias("value"))
 
 
@@ -143,43 +183,115 @@ def chain_jacobian(fine: DataFrame, coarse_map: DataFrame) -> DataFrame:
     return j.groupBy("channel", "col").agg(F.sum(F.col("a") * F.col("b")).alias("value"))
 
 
-def layered_field(positions: DataFrame, bands: list[tuple[float, int, float]], ellipses: DataFrame, *, cell: float = 0.25) -> DataFrame:
-    """MG14: label and value of each element: radius bands from inside out, overridden by the ellipse of greatest label that holds it, plus the deltas of all that do."""
+def turned(points: DataFrame, angle: float) -> DataFrame:
+    """Points (x, y) in axes turned by the angle."""
+    c, s = float(np.cos(angle)), float(np.sin(angle))
+    return points.withColumns({"x": c * F.col("x") + s * F.col("y"), "y": c * F.col("y") - s * F.col("x")})
+
+
+def layered_field(positions: DataFrame, bands: list[tuple[float, int, float]], ellipses: DataFrame, *, rotation: float = 0.0, cell: float = 0.25) -> DataFrame:
+    """MG14: label, baseline, delta and dynamic (their sum) of each element (elem_id, x, y) of an anatomy turned by rotation.
+
+    bands (least radius, label, value): the outermost that the element reaches. An ellipse (elem of
+    ellipses: order, ellipse_label, value, delta and its shape) that holds it replaces label and value, the
+    last in order where several do; deltas of all that do add up. Below the first band they are null.
+    """
     from beatframe.operators.joins import inside_ellipse
 
+    points = turned(positions, rotation)
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
     label = value = F.lit(None)
-    for limit, lab, val in reversed(bands):
-        label, value = F.when(F.col("r") <= limit, lab).otherwise(label), F.when(F.col("r") <= limit, val).otherwise(value)
-    base = positions.withColumn("label", label.cast("int")).withColumn("value", value.cast("double"))
-    hit = inside_ellipse(positions, ellipses, cell=cell).groupBy("elem_id").agg(F.max("ellipse_label").alias("_label"), F.sum("delta").alias("_delta"))
-    return base.join(hit, "elem_id", "left").withColumn("label", F.coalesce("_label", "label")).withColumn("value", F.col("value") + F.coalesce("_delta", F.lit(0.0))).drop("_label", "_delta")
+    for least, lab, val in sorted(bands):
+        label, value = F.when(r >= least, lab).otherwise(label), F.when(r >= least, val).otherwise(value)
+    base = points.select("elem_id", label.cast("int").alias("label"), value.cast("double").alias("baseline"))
+    hit = inside_ellipse(points.select("elem_id", "x", "y"), ellipses, cell=cell).groupBy("elem_id").agg(F.max(F.struct("order", "ellipse_label", "value")).alias("_top"), F.sum("delta").alias("_delta"))
+    d = base.join(hit, "elem_id", "left").select("elem_id", F.coalesce("_top.ellipse_label", "label").alias("label"), F.coalesce("_top.value", "baseline").alias("baseline"), F.coalesce("_delta", F.lit(0.0)).alias("delta"))
+    return d.withColumn("dynamic", F.col("baseline") + F.col("delta"))
 
 
-def vessel_targets(positions: DataFrame, vessels: DataFrame, frame: str) -> DataFrame:
-    """MG15: of each frame and element, whether any vessel (center_x, center_y, radius_x, radius_y) holds it, and the largest Gaussian exp(-r2 / 2), cut beyond r2 > 9. Elements out of all vessels' reach have no row."""
+def vessel_targets(positions: DataFrame, vessels: DataFrame, frame: str, *, slots: int = 2) -> DataFrame:
+    """MG15: of each frame and element: hard, whether any of the frame's vessels (slot from 0, center_x, center_y, radius_x, radius_y, angle) holds it; cores, whether each does; soft, each one's Gaussian exp(-r2 / 2 / 1.25^2), zero beyond r2 > 9. Elements out of all vessels' reach have no row."""
     from beatframe.operators.joins import inside_ellipse
 
-    wide = vessels.withColumn("radius_x", F.col("radius_x") * 3).withColumn("radius_y", F.col("radius_y") * 3).withColumn("angle", F.lit(0.0))
-    j = inside_ellipse(positions, wide, cell=0.5).withColumn("r2", F.col("r2") * 9)
-    return j.groupBy(frame, "elem_id").agg(F.max(F.col("r2") <= 1).alias("hard"), F.max(F.exp(-F.col("r2") / 2)).alias("soft"))
+    reach = {c: F.greatest(c, F.lit(1e-5)) * 3 for c in ("radius_x", "radius_y")}
+    j = inside_ellipse(positions, vessels.withColumns(reach), cell=0.5).withColumn("r2", F.col("r2") * 9)
+    own = lambda i, x: F.max(F.when(F.col("slot") == i, x))
+    cores = F.array(*[F.coalesce(own(i, F.col("r2") <= 1), F.lit(False)) for i in range(slots)])
+    soft = F.array(*[F.coalesce(own(i, F.exp(-F.col("r2") / 2 / 1.25**2)), F.lit(0.0)) for i in range(slots)])
+    return j.groupBy(frame, "elem_id").agg(F.max(F.col("r2") <= 1).alias("hard"), cores.alias("cores"), soft.alias("soft"))
+
 
+def vessel_centres(vessels: DataFrame, frame: str) -> DataFrame:
+    """MG15: the centres of each frame's vessels, by slot."""
+    c = F.array_sort(F.collect_list(F.struct("slot", F.col("center_x").alias("x"), F.col("center_y").alias("y"))))
+    return vessels.groupBy(frame).agg(F.transform(c, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("centres"))
 
-def slot_masks(positions: DataFrame, slots: DataFrame, frame: str, *, sharpness: float = 10.0) -> DataFrame:
-    """MG16: summed smooth masks amplitude * sigmoid(sharpness * (1 - r2)) of a frame's few slots, on elements that may carry them (gate)."""
-    s = slots.groupBy(frame).agg(F.collect_list(F.struct("center_x", "center_y", "radius_x", "radius_y", "amplitude")).alias("_s"))
-    r2 = lambda v: F.pow((F.col("x") - v["center_x"]) / v["radius_x"], 2) + F.pow((F.col("y") - v["center_y"]) / v["radius_y"], 2)
-    mask = F.aggregate("_s", F.lit(0.0), lambda a, v: a + v["amplitude"] / (1 + F.exp(F.least(-sharpness * (1 - r2(v)), F.lit(700.0)))))
-    d = positions.filter("gate").crossJoin(s)  # the result has a row for each frame and element
-    return d.select(frame, "elem_id", mask.alias("mask"))
 
+def slot_masks(positions: DataFrame, slots: DataFrame, frame: str, *, temperature: float = 0.05, diffusion: bool = False) -> DataFrame:
+    """MG16: frame, conductivity, cores and, with diffusion, halos: smooth ellipses of a frame's few slots (slot, center_x, center_y, radius_x, radius_y, angle, amplitude) over a mesh's elements.
 
-def vessel_parameters(records: DataFrame, *, rotation: str, scale: float) -> DataFrame:
-    """MG17: the vessels of each record, centres turned by the record's rotation, angles in (-pi, pi], amplitudes scaled."""
-    keep = [c for c in records.columns if c not in ("vessels", rotation)]
-    d = records.select(*keep, F.col(rotation).alias("_r"), F.posexplode("vessels").alias("slot", "v"))
-    x, y = F.col("v.center_x"), F.col("v.center_y")
-    angle = F.col("v.angle") + F.col("_r")
-    return d.select(*keep, "slot", (x * F.cos("_r") - y * F.sin("_r")).alias("x"), (x * F.sin("_r") + y * F.cos("_r")).alias("y"), F.atan2(F.sin(angle), F.cos(angle)).alias("angle"), (F.col("v.amplitude") / scale).alias("amplitude"))
+    A core is sigmoid((1 - r2) / temperature). A halo is a Gaussian of the distance from the wall in units of
+    the slot's diffusion_length, outside the core and gated by the element's gate (0 to 1); diffusion_fraction
+    of the amplitude goes there. Vectors are in the order of elem_id, as every frame has a value on every
+    element; positions (elem_id, x, y, and gate) are one mesh's and go to every task, within a limit.
+    """
+    from beatframe.operators.linear import MAX_MATRIX
+
+    n = positions.count()
+    if n > MAX_MATRIX // 100:
+        raise ValueError(f"{n} elements are too many for one mesh")
+    mesh = positions.select("elem_id", "x", "y", *(["gate"] if diffusion else [])).orderBy("elem_id").toPandas()
+    x, y = mesh["x"].to_numpy(np.float64), mesh["y"].to_numpy(np.float64)
+    gate = np.clip(mesh["gate"].to_numpy(np.float64), 0, 1) if diffusion else None
+    names = ["center_x", "center_y", "radius_x", "radius_y", "angle", "amplitude", *(["diffusion_fraction", "diffusion_length"] if diffusion else [])]
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("slot", F.array(*[F.col(c).cast("double") for c in names]).alias("p")))), lambda s: s["p"])
+    s = slots.groupBy(frame).agg(packed.alias("_s"))
+    out = ["conductivity", "cores", *(["halos"] if diffusion else [])]
+
+    def run(batches):
+        for b in batches:
+            lists: list[list] = [[] for _ in out]
+            for p in b.column(1).to_pylist():
+                p = np.array(p).reshape(-1, len(names))
+                dx, dy = x[None] - p[:, 0, None], y[None] - p[:, 1, None]
+                c, sn = np.cos(p[:, 4, None]), np.sin(p[:, 4, None])
+                a, bb = np.maximum(p[:, 2, None], 1e-4), np.maximum(p[:, 3, None], 1e-4)
+                r2 = ((c * dx + sn * dy) / a) ** 2 + ((c * dy - sn * dx) / bb) ** 2 + (1e-12 if diffusion else 0)
+                core = 1 / (1 + np.exp(np.minimum((r2 - 1) / temperature, 700)))
+                total = core
+                if diffusion:
+                    wall = np.maximum(np.sqrt(r2) - 1, 0) * np.sqrt(a * bb)
+                    halo = (1 - core) * np.exp(-0.5 * (wall / np.maximum(p[:, 7, None], 1e-4)) ** 2) * gate[None]
+                    total = core + p[:, 6, None] * halo
+                    lists[2].append(halo.tolist())
+                lists[0].append((p[:, 5, None] * total).sum(axis=0))
+                lists[1].append(core.tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists[0], pa.list_(pa.float64())), *[pa.array(v, pa.list_(pa.list_(pa.float64()))) for v in lists[1:]]], names=[frame, *out])
+
+    return s.mapInArrow(run, ", ".join([f"{frame} {dict(slots.dtypes)[frame]}", "conductivity array<double>", *[f"{c} array<array<double>>" for c in out[1:]]]))
+
+
+def vessel_parameters(records: DataFrame, *, rotation: str, scale: float, diffusion: bool = False) -> DataFrame:
+    """MG17: the vessels of each record (vessels: center_x, center_y, axis_a, axis_b, angle; vessel_delta: amplitudes) in the mesh's axes.
+
+    Centres are turned by the record's rotation, angles in [-pi, pi), amplitudes scaled. With diffusion also
+    the simulator's fraction, and its length in mesh units: a mesh unit is the vessel's mean semi-axis over
+    the lumen's mean radius in mm. two says whether the record has exactly two vessels, as models expect.
+    """
+    keep = [c for c in records.columns if c not in ("vessels", "vessel_delta", "simulator", rotation)]
+    side = [F.col("simulator").alias("_m")] if diffusion else []
+    d = records.select(*keep, F.col(rotation).alias("_r"), F.col("vessel_delta").alias("_d"), *side, (F.size("vessels") == 2).alias("two"), F.posexplode("vessels").alias("slot", "v"))
+    x, y, turn = F.col("v.center_x"), F.col("v.center_y"), 2 * np.pi
+    columns = {
+        "x": x * F.cos("_r") - y * F.sin("_r"), "y": x * F.sin("_r") + y * F.cos("_r"), "axis_a": F.col("v.axis_a"), "axis_b": F.col("v.axis_b"),
+        "angle": F.pmod(F.col("v.angle") + F.col("_r") + np.pi, F.lit(turn)) - np.pi, "amplitude": F.get("_d", F.col("slot")) / scale,
+    }
+    if diffusion:
+        artery = F.get("_m.arteries", F.col("slot"))
+        radius = F.sqrt(artery["radius_x_mm"] * artery["radius_y_mm"]) * F.coalesce(artery["lumen_fraction"], F.lit(1.0))
+        columns["diffusion_fraction"] = F.coalesce("_m.muscle_diffusion_fraction", F.lit(0.0))
+        columns["diffusion_length"] = F.coalesce("_m.muscle_diffusion_length_mm", F.lit(1.0)) * F.sqrt(F.col("v.axis_a") * F.col("v.axis_b")) / F.greatest(radius, F.lit(1e-8))
+    return d.select(*keep, "slot", "two", *[v.alias(k) for k, v in columns.items()])
 
 
 def ellipse_fit(points: DataFrame, by: list[str]) -> DataFrame:
@@ -189,31 +301,66 @@ def ellipse_fit(points: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, "center_x", "center_y", F.sqrt(2 * (half + root)).alias("major"), F.sqrt(2 * F.greatest(half - root, F.lit(0.0))).alias("minor"), (F.atan2(2 * F.col("_b"), F.col("_a") - F.col("_c")) / 2).alias("angle"))
 
 
-def grid_components(cells: DataFrame, by: str, *, keep: int = 2) -> DataFrame:
-    """MG19: 8-neighbour components of the marked cells (row, col) of each frame's grid: size and centroid of the largest ones.
-
-    A frame's grid is 40 x 40 at most, so a group is bounded.
+def labelled_cells(frame: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct cells by frame, row and column, and for each in that order the first cell of its 8-neighbour component: least labels of neighbours, with shortcuts, over all frames at once."""
+    number = np.unique(frame, return_inverse=True)[1].astype(np.int64)
+    high, wide = int(row.max()) + 3, int(col.max()) + 3
+    key = (number * high + row + 1) * wide + col + 1
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    left, right = [], []
+    for step in (1, wide - 1, wide, wide + 1):
+        at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+        ok = np.flatnonzero(key[at] == key + step)
+        left.append(ok)
+        right.append(at[ok])
+    a, b = np.concatenate(left), np.concatenate(right)
+    label = np.arange(len(key))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, label, new.copy())
+        new = new[new]
+        if (new == label).all():
+            return order, label
+        label = new
+
+
+def grid_labels(cells: DataFrame, by: str, *, frames_per_task: int = 500) -> DataFrame:
+    """MG19: each marked cell (row and col from 0) of each frame's grid with its component's rank (by size, the one of the first cell on ties), size, row_mean and col_mean.
+
+    Frames share tasks; a frame's grid is 40 x 40 at most, so a task's part is bounded.
     """
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        todo = set(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))
-        found = []
-        while todo:
-            stack, part = [min(todo)], []
-            todo.discard(stack[0])
-            while stack:
-                r, c = stack.pop()
-                part.append((r, c))
-                near = {(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & todo
-                todo -= near
-                stack += near
-            found.append((len(part), min(part), np.mean(part, axis=0)))
-        found.sort(key=lambda f: (-f[0], f[1]))
-        frame = pdf[by].iloc[0]
-        return pd.DataFrame([(frame, i + 1, n, float(m[0]), float(m[1])) for i, (n, _, m) in enumerate(found[:keep])], columns=[by, "rank", "size", "row_mean", "col_mean"])
+    d = cells.select(by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+    shares = max(1, d.select(F.approx_count_distinct(by)).first()[0] // frames_per_task)
+
+    def label(t: pa.Table) -> pa.Table:
+        t = t.drop_columns("_share")
+        code = t[by].combine_chunks().dictionary_encode()
+        frame = np.asarray(code.indices.fill_null(-1)) + 1
+        row, col = np.asarray(t["row"]).astype(np.int64), np.asarray(t["col"]).astype(np.int64)
+        order, first = labelled_cells(frame, row, col)
+        frame, row, col = frame[order], row[order], col[order]
+        size = np.bincount(first, minlength=len(first))
+        mean = [np.bincount(first, v, minlength=len(first)) / np.maximum(size, 1) for v in (row, col)]
+        heads = np.flatnonzero(size)
+        heads = heads[np.lexsort((heads, -size[heads], frame[heads]))]
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(frame[heads])) + 1])
+        rank = np.zeros(len(first), np.int64)
+        rank[heads] = np.arange(len(heads)) - np.repeat(begin, np.diff(np.append(begin, len(heads)))) + 1
+        out = {by: t[by].take(pa.array(order)), "row": pa.array(row.astype(np.int32)), "col": pa.array(col.astype(np.int32)), "rank": pa.array(rank[first].astype(np.int32)), "size": pa.array(size[first])}
+        return pa.table({**out, "row_mean": pa.array(mean[0][first]), "col_mean": pa.array(mean[1][first])})
 
     kind = dict(cells.dtypes)[by]
-    return cells.select(by, "row", "col").groupBy(by).applyInPandas(label, f"{by} {kind}, rank int, size long, row_mean double, col_mean double")
+    shared = d.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(shares)))
+    return shared.groupBy("_share").applyInArrow(label, f"{by} {kind}, row int, col int, rank int, size long, row_mean double, col_mean double")
+
+
+def grid_components(cells: DataFrame, by: str, *, keep: int = 2) -> DataFrame:
+    """MG19: size and centroid of the largest components of each frame."""
+    g = grid_labels(cells, by).filter(F.col("rank") <= keep)
+    return g.groupBy(by, "rank").agg(F.first("size").alias("size"), F.first("row_mean").alias("row_mean"), F.first("col_mean").alias("col_mean"))
 
 
 def propagate(edges: DataFrame, features: DataFrame, frame: str) -> DataFrame:
@@ -226,30 +373,74 @@ def propagate(edges: DataFrame, features: DataFrame, frame: str) -> DataFrame:
     return j.groupBy(frame, "dst").agg(F.sum(F.col("x") / F.sqrt(F.col("d") * F.col("ds"))).alias("y")).withColumnRenamed("dst", "node")
 
 
-def node_features(df: DataFrame, *, state: str, direction: str, target: str, scale: float, alpha: float = 1.0) -> DataFrame:
-    """MG21: scaled state, direction and target vectors, weights 1 + alpha * clip(|y| / median of nonzero |y|, 0, 2), and background flags."""
-    size = F.filter(F.transform(target, F.abs), lambda x: x > 0)
-    median = F.coalesce(quantile(size, 0.5), F.lit(1.0))
-    d = df.withColumn("_m", F.greatest(median, F.lit(1e-12)))
-    for c in (state, direction, target):
-        d = d.withColumn(f"{c}_scaled", F.transform(c, lambda x: x / scale))
-    w = F.transform(target, lambda x: 1 + alpha * F.least(F.greatest(F.abs(x) / F.col("_m"), F.lit(0.0)), F.lit(2.0)))
-    return d.withColumn("weight", w).withColumn("background", F.transform(target, lambda x: x == 0)).drop("_m")
+def mesh_points(positions: DataFrame) -> DataFrame:
+    """One row: _points, the elements of one mesh in the order of elem_id."""
+    return positions.agg(F.array_sort(F.collect_list(F.struct("elem_id", "x", "y"))).alias("_points"))
+
+
+def coordinate(name: str) -> Column:
+    return F.transform("_points", lambda p: p[name]).alias(name)
+
+
+def scaled_vector(vector: str, scale) -> Column:
+    return F.transform(vector, lambda x: x / scale)
+
+
+def node_features(df: DataFrame, positions: DataFrame | None = None, *, state: str, direction: str, target: str, scale: float, alpha: float = 1.0, reference: str | None = None, voltage: str | None = None, voltage_scale: float = 1.0) -> DataFrame:
+    """MG21: adds features (an array of structs: state and direction in units of scale, and with positions x and y), y (the scaled target), weight, background, and with them reference and voltage, scaled.
+
+    The supervised signal is the target less the reference. Its size over the median of its nonzero sizes (1
+    where there is none), cut to 0 to 2, weighs an element 1 + alpha times that; up to 1e-8 it is background.
+    """
+    d = df.withColumn("y", scaled_vector(target, scale))
+    signal = F.transform("y", F.abs)
+    if reference is not None:
+        d = d.withColumn("reference_scaled", scaled_vector(reference, scale))
+        signal = F.zip_with("y", "reference_scaled", lambda y, r: F.abs(y - r))
+    if voltage is not None:
+        d = d.withColumn("voltage_scaled", scaled_vector(voltage, max(voltage_scale, 1e-12)))
+    d = d.withColumn("_size", signal)
+    median = F.coalesce(quantile(F.filter("_size", lambda x: x > 0), 0.5), F.lit(1.0))
+    d = d.withColumn("_m", F.greatest(median, F.lit(1e-8)))
+    d = d.withColumn("weight", F.transform("_size", lambda x: 1 + alpha * F.least(x / F.col("_m"), F.lit(2.0)))).withColumn("background", F.transform("_size", lambda x: x <= 1e-8))
+    parts = [scaled_vector(state, scale).alias("state"), scaled_vector(direction, scale).alias("direction")]
+    if positions is not None:
+        d = d.crossJoin(F.broadcast(mesh_points(positions)))  # one row
+        parts += [coordinate(c) for c in ("x", "y")]
+        d = d.withColumn("features", F.arrays_zip(*parts)).drop("_points")
+    else:
+        d = d.withColumn("features", F.arrays_zip(*parts))
+    return d.drop("_m", "_size")
 
 
 def clipped_ratio(vector: str, size: Column, limit: float) -> Column:
     return F.transform(vector, lambda x: F.greatest(F.least(x / size, F.lit(limit)), F.lit(-limit)))
 
 
-def beat_features(df: DataFrame, *, signal: str, template: str, context: str, limit: float = 5.0) -> DataFrame:
-    """MG22: signal and template over their RMS, clipped; log RMS; context over the p95 of its absolute values."""
-    from beatframe.functions.arrays import rms
-
-    d = df
-    for c in (signal, template):
-        d = d.withColumn(f"_{c}", F.greatest(rms(c), F.lit(1e-12)))
-        d = d.withColumn(f"{c}_normal", clipped_ratio(c, F.col(f"_{c}"), limit)).withColumn(f"{c}_log_rms", F.log(f"_{c}")).drop(f"_{c}")
-    p = F.greatest(quantile(F.transform(context, F.abs), 0.95), F.lit(1e-12))
-    return d.withColumn("_p", p).withColumn(f"{context}_normal", F.transform(context, lambda x: x / F.col("_p"))).drop("_p")
+def beat_features(df: DataFrame, positions: DataFrame, *, state: str, direction: str, voltage: str, scale: float, template: str | None = None, context: str | None = None, tissue: str | None = None, rms_reference: float = 1.0, voltage_scale: float | None = None, muscle: int = 3) -> DataFrame:
+    """MG22: adds features, geometry, voltage_input, template_input, log_rms and muscle_gate.
 
+    By beat: voltage and template (the voltage itself where there is none) over their RMS, cut to +-8; log of
+    the voltage's RMS over a reference, cut to +-5; context (the direction where there is none) as
+    sizes over their 95th percentile, cut to 0 to 5, which joins state, direction and positions as a feature.
+    With voltage_scale instead: voltage over that scale, log RMS zero, and no context; geometry has the scaled
+    direction's size. muscle_gate is 1 on muscle, and everywhere without tissue.
+    """
+    from beatframe.functions.arrays import rms
 
+    template, context = template or voltage, context or direction
+    d = df.crossJoin(F.broadcast(mesh_points(positions)))  # one row
+    xy = [coordinate(c) for c in ("x", "y")]
+    parts = [scaled_vector(state, scale).alias("state"), scaled_vector(direction, scale).alias("direction")]
+    if voltage_scale is None:
+        d = d.withColumn("_u", F.greatest(rms(voltage), F.lit(1e-12))).withColumn("_t", F.greatest(rms(template), F.lit(1e-12)))
+        d = d.withColumn("voltage_input", clipped_ratio(voltage, F.col("_u"), 8.0)).withColumn("template_input", clipped_ratio(template, F.col("_t"), 8.0))
+        d = d.withColumn("log_rms", F.greatest(F.least(F.log(F.col("_u") / max(rms_reference, 1e-12)), F.lit(5.0)), F.lit(-5.0)))
+        d = d.withColumn("_p", F.greatest(quantile(F.transform(context, F.abs), 0.95), F.lit(1e-12)))
+        near = F.transform(context, lambda x: F.least(F.abs(x) / F.col("_p"), F.lit(5.0))).alias("context")
+        d = d.withColumn("features", F.arrays_zip(*parts, near, *xy)).withColumn("geometry", F.arrays_zip(near, *xy)).drop("_u", "_t", "_p")
+    else:
+        d = d.withColumn("voltage_input", scaled_vector(voltage, voltage_scale)).withColumn("template_input", F.col("voltage_input")).withColumn("log_rms", F.lit(0.0))
+        d = d.withColumn("features", F.arrays_zip(*parts, *xy)).withColumn("geometry", F.arrays_zip(F.transform(direction, lambda x: F.abs(x) / scale).alias("direction"), *xy))
+    gate = F.transform(tissue, lambda x: (x == muscle).cast("double")) if tissue else F.transform("_points", lambda p: F.lit(1.0))
+    return d.withColumn("muscle_gate", gate).drop("_points")

@@ -104,13 +104,21 @@ def dynamics(df: DataFrame, *, order: str, pred: str = "pred", truth: str = "tru
     return g.select(p.alias("frame_difference_rms"), t.alias("truth_frame_difference_rms"), (p / t).alias("frame_difference_rms_ratio"))
 
 
-def dynamic_set(df: DataFrame, by: list[str]) -> DataFrame:
-    """ME9: metrics of pred and truth both taken against resting, and how many predictions are not positive."""
-    d = df.withColumn("_n", F.size(F.filter("pred", lambda x: x <= 0)))
-    for c in ("pred", "truth"):
-        d = d.withColumn(c, F.zip_with(c, "resting", lambda x, r: x - r))
-    counts = d.groupBy(*by).agg(F.sum("_n").alias("nonpositive"))
-    return error_metrics(pooled(frame_sums(d), by)).join(counts, by)
+def dynamic_set(df: DataFrame, by: list[str], *, order: str) -> DataFrame:
+    """ME9: absolute metrics of pred against truth; dynamic ones, both taken against resting, with the median of the frames' correlations; temporal ones, both taken against their first frame; and how many predicted values are not positive."""
+    first = df.groupBy(*by).agg(F.min_by("pred", order).alias("_p0"), F.min_by("truth", order).alias("_t0"))
+    d = df.join(first, by)
+    less = lambda v, w: F.zip_with(v, w, lambda x, r: x - r)
+    sets = {"absolute": ("pred", "truth"), "dynamic": (less("pred", "resting"), less("truth", "resting")), "temporal_delta": (less("pred", "_p0"), less("truth", "_t0"))}
+    names = {"absolute": ("rmse", "correlation"), "dynamic": ("rmse", "nrmse", "correlation", "rms_ratio"), "temporal_delta": ("nrmse", "correlation", "rms_ratio")}
+    out = df.groupBy(*by).agg(F.sum(F.size(F.filter("pred", lambda x: x <= 0))).alias("nonpositive"))
+    for name, (p, t) in sets.items():
+        sums = frame_sums(d.select(*by, (F.col(p) if isinstance(p, str) else p).alias("pred"), (F.col(t) if isinstance(t, str) else t).alias("truth")))
+        out = out.join(error_metrics(pooled(sums, by)).select(*by, *[F.col(m).alias(f"{name}_{m}") for m in names[name]]), by)
+        if name == "dynamic":
+            r = sums.withColumn("r", correlation()).groupBy(*by).agg(F.percentile(F.nanvl("r", F.lit(None)), 0.5).alias("dynamic_frame_correlation_median"))
+            out = out.join(r, by)
+    return out
 
 
 def relative_errors(df: DataFrame, pred: str = "pred", truth: str = "truth") -> DataFrame:
@@ -150,12 +158,44 @@ def negative_mass(df: DataFrame, by: list[str], vector: str = "pred") -> DataFra
     return g.select(*by, (F.col("a") / F.greatest("b", F.lit(1e-30))).alias("negative_mass"))
 
 
-def object_metrics(df: DataFrame, by: list[str]) -> DataFrame:
-    """ME6: of frames with two predicted and two true vessels (structs x, y, amplitude), the mean centre distance of the better matching, the mean absolute amplitude error of it and the median mass ratio."""
+def object_metrics(df: DataFrame, by: list[str], positions: DataFrame, *, muscle: int = 3) -> DataFrame:
+    """ME6: how well the field shows its two vessels, over frames with pred, truth and tissue (arrays in the order of elem_id), vessels (x, y, axis_a, axis_b, angle) and centres (x, y: the predicted ones).
+
+    A vessel's core is its ellipse. Of each frame: the overlap (Dice) of the cores with as many places of
+    largest prediction; the mean distance of centres in the better of both matchings; each vessel's
+    difference of means inside its core. Over all frames: RMSE in muscle outside the cores (the halo), the
+    prediction's RMS outside both, and the median ratio of absolute masses. positions (elem_id, x, y) are one
+    mesh's. Frames without a core have no Dice; where nothing is measured, zero.
+    """
+    points = positions.agg(F.array_sort(F.collect_list(F.struct("elem_id", "x", "y"))).alias("_points"))  # one mesh, one row
+
+    def holds(p, v):
+        dx, dy = p["x"] - v["x"], p["y"] - v["y"]
+        u, w = F.cos(v["angle"]) * dx + F.sin(v["angle"]) * dy, F.cos(v["angle"]) * dy - F.sin(v["angle"]) * dx
+        return F.pow(u / F.greatest(v["axis_a"], F.lit(1e-5)), 2) + F.pow(w / F.greatest(v["axis_b"], F.lit(1e-5)), 2) <= 1
+
     far = lambda a, b: F.sqrt(F.pow(a["x"] - b["x"], 2) + F.pow(a["y"] - b["y"], 2))
-    p, q, t, u = F.col("pred_vessels")[0], F.col("pred_vessels")[1], F.col("true_vessels")[0], F.col("true_vessels")[1]
-    direct, swapped = (far(p, t) + far(q, u)) / 2, (far(p, u) + far(q, t)) / 2
-    amp = lambda a, b: F.abs(a["amplitude"] - b["amplitude"])
-    ratio = (p["amplitude"] + q["amplitude"]) / F.greatest(t["amplitude"] + u["amplitude"], F.lit(TINY))
-    d = df.select(*by, F.least(direct, swapped).alias("d"), F.when(direct <= swapped, amp(p, t) + amp(q, u)).otherwise(amp(p, u) + amp(q, t)).alias("a"), ratio.alias("m"))
-    return d.groupBy(*by).agg(F.avg("d").alias("centre_error"), (F.avg("a") / 2).alias("amplitude_mae"), F.percentile("m", 0.5).alias("mass_ratio_median"))
+    p, q, t, u = F.col("centres")[0], F.col("centres")[1], F.col("vessels")[0], F.col("vessels")[1]
+    centre = F.least((far(p, t) + far(q, u)) / 2, (far(p, u) + far(q, t)) / 2)
+    d = df.crossJoin(F.broadcast(points)).select(
+        *by, "pred", "truth", "tissue", centre.alias("centre"), F.transform("_points", lambda x: holds(x, t)).alias("_m0"), F.transform("_points", lambda x: holds(x, u)).alias("_m1")
+    )
+    d = d.withColumn("_core", F.zip_with("_m0", "_m1", lambda a, b: a | b)).withColumn("_places", F.filter(F.transform("_core", lambda c, i: F.when(c, i)), lambda i: i.isNotNull()))
+    n = F.size("_places")
+    d = d.withColumn("dice", F.when(n > 0, F.try_divide(F.size(F.array_intersect("_places", top_k_indices("pred", n))), n)))
+    z = F.arrays_zip("pred", "truth", "tissue", F.col("_core").alias("core"), F.col("_m0").alias("m0"), F.col("_m1").alias("m1"))
+    add = lambda keep, f: F.aggregate(F.filter("_z", keep), F.lit(0.0), lambda s, e: s + f(e))
+    many = lambda keep: F.size(F.filter("_z", keep))
+    halo, outside = (lambda e: (e["tissue"] == muscle) & ~e["core"]), (lambda e: (e["tissue"] != muscle) & ~e["core"])
+    apart = lambda m: F.abs(F.try_divide(add(lambda e: e[m], lambda e: e["pred"]) - add(lambda e: e[m], lambda e: e["truth"]), many(lambda e: e[m])))
+    mass = add(lambda e: F.lit(True), lambda e: F.abs(e["truth"]))
+    d = d.withColumn("_z", z).select(
+        *by, "dice", "centre", apart("m0").alias("a0"), apart("m1").alias("a1"), add(halo, lambda e: F.pow(e["pred"] - e["truth"], 2)).alias("h"), many(halo).alias("hn"),
+        add(outside, lambda e: e["pred"] * e["pred"]).alias("o"), many(outside).alias("on"), F.when(mass > 1e-10, F.try_divide(add(lambda e: F.lit(True), lambda e: F.abs(e["pred"])), mass)).alias("ratio"),
+    )
+    or_zero = lambda c: F.coalesce(c, F.lit(0.0))
+    g = d.groupBy(*by).agg(
+        or_zero(F.avg("dice")).alias("core_dice"), F.avg("centre").alias("centre_error"), F.try_divide(F.coalesce(F.sum("a0"), F.lit(0.0)) + F.coalesce(F.sum("a1"), F.lit(0.0)), F.count("a0") + F.count("a1")).alias("amplitude_mae"),
+        or_zero(F.sqrt(F.try_divide(F.sum("h"), F.sum("hn")))).alias("halo_rmse"), or_zero(F.sqrt(F.try_divide(F.sum("o"), F.sum("on")))).alias("outside_rms"), or_zero(F.percentile("ratio", 0.5)).alias("mass_ratio_median"),
+    )
+    return g

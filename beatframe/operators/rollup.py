@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beatframe.functions.arrays import finite, rms, sum_of_two
+from beatframe.functions.arrays import finite, rms
+from beatframe.functions.quantiles import exact_percentiles, with_percentiles
+from beatframe.operators.metrics import SUMS, error_metrics, frame_sums
 
 
 def summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """AG1."""
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("max"))
+    g = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return with_percentiles(g, df, by, value, {"median": 0.5}).select(*by, "mean", "median", "max")
 
 
 def activation(df: DataFrame, vector: str, stage: str, *, reference: str) -> DataFrame:
@@ -27,21 +30,33 @@ def diagnostics(df: DataFrame, by: list[str], *, residual: str, step: str, clipp
 
 def latency(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """AG4."""
-    return df.groupBy(*by).agg(F.count("*").alias("count"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.95).alias("p95"), F.min(value).alias("min"), F.max(value).alias("max"))
+    g = df.groupBy(*by).agg(F.count("*").alias("count"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return with_percentiles(g, df, by, value, {"median": 0.5, "p95": 0.95}).select(*by, "count", "total", "mean", "median", "p95", "min", "max")
 
 
 def throughput(df: DataFrame, seconds: str, frames: str, by: list[str], *, hz: float) -> DataFrame:
-    """AG5, ST6: effective rate, latency per frame, the share of the time that `hz` leaves, and whether p95 and the worst buffer keep up."""
-    per = F.col(seconds) / F.col(frames)
-    g = df.groupBy(*by).agg(F.sum(frames).alias("n"), F.sum(seconds).alias("s"), F.percentile(per, 0.95).alias("p95"), F.max(per).alias("worst"))
-    return g.select(*by, (F.col("n") / F.col("s")).alias("effective_hz"), (F.col("s") / F.col("n")).alias("per_frame"), (F.col("s") / F.col("n") * hz).alias("budget_share"), (F.col("p95") <= 1 / hz).alias("p95_meets"), (F.col("worst") <= 1 / hz).alias("max_meets"))
-
-
-def session_gate(df: DataFrame, *, session: str, seconds: str, frames: str, difference: str, limit_s: float, per: int, parity: float) -> DataFrame:
-    """AG6: seconds for `per` frames of each session, and whether time and parity are within limits."""
-    g = df.groupBy(session).agg(F.sum(seconds).alias("s"), F.sum(frames).alias("n"), F.max(difference).alias("difference"))
-    scaled = F.col("s") / F.col("n") * per
-    return g.select(session, scaled.alias("scaled_s"), "difference", ((scaled <= limit_s) & (F.col("difference") <= parity)).alias("passed"))
+    """AG5, ST6: rates of timed chunks against a stream of `hz`.
+
+    The budget of a chunk is the time its frames take to arrive; its fraction is the share of it that the
+    chunk's computing takes: mean, p95 and largest over chunks. A chunk is delivered after it is filled
+    (the largest chunk's frames at hz) and computed (mean). Rates over no time or no frames are null.
+    """
+    fraction = F.try_divide(F.col(seconds) * hz, F.col(frames))
+    g = df.groupBy(*by).agg(F.sum(frames).alias("timed_frames"), F.sum(seconds).alias("s"), F.avg(seconds).alias("chunk_mean"), F.max(frames).alias("chunk"), F.avg(fraction).alias("budget_fraction"), F.max(fraction).alias("budget_fraction_max"))
+    g = with_percentiles(g, df, by, fraction, {"budget_fraction_p95": 0.95})
+    hertz = F.try_divide("timed_frames", "s")
+    return g.select(
+        *by, "timed_frames", hertz.alias("effective_hz"), F.try_divide("s", "timed_frames").alias("per_frame"), (hertz >= hz).alias("meets"),
+        "budget_fraction", "budget_fraction_p95", "budget_fraction_max", (F.col("budget_fraction_p95") <= 1).alias("p95_meets"), (F.col("budget_fraction_max") <= 1).alias("max_meets"),
+        (F.col("chunk") / hz).alias("buffer_fill"), (F.col("chunk") / hz + F.col("chunk_mean")).alias("buffered_delivery"),
+    )
+
+
+def session_gate(df: DataFrame, *, start: str, seconds: str, frames: str, difference: str, limit_s: float = 900.0, per: int = 8000, parity: float = 1e-4) -> DataFrame:
+    """AG6: one row for all sessions, which ran side by side: frames, the time from the first start (in seconds) to the last end, its rate, seconds for `per` frames, the worst parity, and whether both limits hold."""
+    g = df.agg(F.count("*").alias("sessions"), F.sum(frames).alias("total_frames"), (F.max(F.col(start) + F.col(seconds)) - F.min(start)).alias("wall_s"), F.max(difference).alias("worst_parity"))
+    needed = F.try_divide(F.col("wall_s") * per, F.col("total_frames"))
+    return g.select("sessions", "total_frames", "wall_s", F.try_divide("total_frames", "wall_s").alias("frames_per_s"), needed.alias("scaled_s"), "worst_parity", F.coalesce((F.col("worst_parity") <= parity) & (needed <= limit_s), F.lit(False)).alias("passed"))
 
 
 def metric_table(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -51,8 +66,9 @@ def metric_table(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 
 def aggregate_metrics(df: DataFrame, keys: list[str], metrics: list[str], *, unit: str, units: int) -> DataFrame:
     """AG7: mean, sample deviation, median, min and max of each metric; complete says whether all units are there."""
-    long = metric_table(df, [*keys, unit], metrics)
-    return long.groupBy(*keys, "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.percentile("value", 0.5).alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), (F.countDistinct(unit) == units).alias("complete"))
+    long, by = metric_table(df, [*keys, unit], metrics), [*keys, "metric"]
+    g = long.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), (F.countDistinct(unit) == units).alias("complete"))
+    return with_percentiles(g, long, by, "value", {"median": 0.5}).select(*by, "mean", "std", "median", "min", "max", "complete")
 
 
 def deltas(df: DataFrame, keys: list[str], *, version: str, value: str, baseline: str) -> DataFrame:
@@ -90,17 +106,22 @@ def comparison_table(reports: DataFrame, key: str, stages: str) -> DataFrame:
 def scale_fit(df: DataFrame, vector: str, signal: str, *, split: str, train: str = "train") -> DataFrame:
     """AG13: scales from the train split: p99.5 of |x| over all and over nonzero values, its maximum, p99.5 of |signal|, the median frame RMS; with floors."""
     d = df.filter(F.col(split) == train)
-    a = d.select(F.explode(F.transform(vector, F.abs)).alias("x")).agg(F.percentile("x", 0.995).alias("all_p995"), F.percentile(F.when(F.col("x") > 0, F.col("x")), 0.995).alias("nonzero_p995"), F.max("x").alias("maximum"))
-    b = d.select(F.explode(F.transform(signal, F.abs)).alias("x")).agg(F.percentile("x", 0.995).alias("signal_p995"))
-    c = d.agg(F.percentile(rms(vector), 0.5).alias("median_rms"))
-    j = a.crossJoin(b).crossJoin(c)  # one row each
+    x, y = (d.select(F.explode(F.transform(c, F.abs)).alias("x")) for c in (vector, signal))
+    parts = [
+        exact_percentiles(x, [], "x", {"all_p995": 0.995}), exact_percentiles(x.filter("x > 0"), [], "x", {"nonzero_p995": 0.995}), exact_percentiles(y, [], "x", {"signal_p995": 0.995}),
+        exact_percentiles(d, [], rms(vector), {"median_rms": 0.5}),
+    ]
+    j = d.agg(F.max(F.array_max(F.transform(vector, F.abs))).alias("maximum"))
+    for p in parts:
+        j = j.join(p, how="left", on=F.lit(True))  # one row at most each
     return j.select(*[F.greatest(n, F.lit(1e-6)).alias(n) for n in ("all_p995", "nonzero_p995", "maximum")], F.greatest("signal_p995", F.lit(1e-12)).alias("signal_p995"), F.greatest("median_rms", F.lit(1e-12)).alias("median_rms"))
 
 
 def beat_quality(df: DataFrame, by: list[str], pred: str = "pred", truth: str = "truth") -> DataFrame:
-    """AG14: NRMSE of each beat from sums."""
-    g = df.groupBy(*by).agg(F.sum(sum_of_two(pred, truth, lambda p, t: (p - t) * (p - t))).alias("e"), F.sum(sum_of_two(truth, truth, lambda t, u: t * u)).alias("t"), F.count("*").alias("frames"))
-    return g.select(*by, "frames", (F.sqrt("e") / F.greatest(F.sqrt("t"), F.lit(1e-12))).alias("nrmse"))
+    """AG14: frames, NRMSE and correlation of each beat, over the values of all its frames."""
+    sums = frame_sums(df, pred, truth)
+    g = sums.groupBy(*by).agg(F.count("*").alias("frames"), *[F.sum(c).alias(c) for c in SUMS])
+    return error_metrics(g).select(*by, "frames", "nrmse", "correlation")
 
 
 def waveforms(df: DataFrame, by: list[str], order: str, pred: str = "pred", truth: str = "truth") -> DataFrame:
@@ -116,7 +137,8 @@ def weakest(df: DataFrame, value: str, *, by: list[str], unit: str) -> DataFrame
 def coverage(df: DataFrame, audit: DataFrame, *, signal: str, channel: str, value: str, ratio: tuple[float, float], negative: tuple[float, float]) -> DataFrame:
     """AG16: each channel's RMS and q01 to q99 span, their medians over channels as ratios to the audit's (signal, rms, span), the negative share, and whether all are in range."""
     v = F.col(value)
-    c = df.groupBy(signal, channel).agg(F.sqrt(F.avg(v * v)).alias("rms"), (F.percentile(v, 0.99) - F.percentile(v, 0.01)).alias("span"), F.sum((v < 0).cast("long")).alias("neg"), F.count("*").alias("n"))
+    c = df.groupBy(signal, channel).agg(F.sqrt(F.avg(v * v)).alias("rms"), F.sum((v < 0).cast("long")).alias("neg"), F.count("*").alias("n"))
+    c = with_percentiles(c, df, [signal, channel], value, {"_low": 0.01, "_high": 0.99}).withColumn("span", F.col("_high") - F.col("_low"))
     g = c.groupBy(signal).agg(F.percentile("rms", 0.5).alias("rms"), F.percentile("span", 0.5).alias("span"), (F.sum("neg") / F.sum("n")).alias("negative_fraction"), F.count("*").alias("channels"))
     j = g.join(audit.select(signal, F.col("rms").alias("_r"), F.col("span").alias("_s")), signal)
     a, b = F.col("rms") / F.greatest("_r", F.lit(1e-30)), F.col("span") / F.greatest("_s", F.lit(1e-30))
@@ -138,7 +160,8 @@ def linearisation_gate(df: DataFrame, by: list[str], *, unit: str, exact: str, l
 def display_limit(df: DataFrame, value: str, by: list[str], q: float = 0.995) -> DataFrame:
     """AG18: a symmetric limit, max(q-quantile of |finite|, 1e-8), and two-sided 0.5 % limits; groups without a finite value give no row."""
     d = df.filter(finite(value))
-    return d.groupBy(*by).agg(F.greatest(F.percentile(F.abs(F.col(value)), q), F.lit(1e-8)).alias("limit"), F.percentile(value, 0.005).alias("low"), F.percentile(value, 0.995).alias("high"))
+    sides = exact_percentiles(d, by, value, {"low": 0.005, "high": 0.995})
+    return with_percentiles(sides, d, by, F.abs(F.col(value)), {"limit": q}).select(*by, F.greatest("limit", F.lit(1e-8)).alias("limit"), "low", "high")
 
 
 def channel_scale(df: DataFrame, *, channel: str, value: str, shared: list[int]) -> DataFrame:
@@ -166,13 +189,23 @@ COMPARISONS = (("element_nrmse", -1), ("image_correlation", 1), ("localisation_d
 
 
 def classify(candidates: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
-    """AG21: wins of a candidate over the baseline in seven comparisons, and its class: failed (not finite, or ratios outside 0.05 to 20), promising (four wins or more) or exploratory."""
+    """AG21: a candidate against its baseline: better_<metric> and delta_<metric> of seven comparisons, the wins, and the class.
+
+    finite and sane say whether all image metrics are finite and both ratios lie in 0.05 to 20; a candidate
+    that is not both has failed, one of four wins or more is promising, another exploratory. A comparison
+    with NaN is not won.
+    """
     j = candidates.join(baseline.select(*keys, *[F.col(m).alias(f"_{m}") for m, _ in COMPARISONS]), keys)
     wins, ok = F.lit(0), F.lit(True)
     for m, way in COMPARISONS:
         a, b = F.col(m), F.col(f"_{m}")
         better = F.abs(a - 1) < F.abs(b - 1) if way == 0 else a < b if way < 0 else a > b
-        wins, ok = wins + F.coalesce(better, F.lit(False)).cast("int"), ok & finite(m)
-    sane = ok & F.col("rms_ratio").between(0.05, 20.0) & F.col("frame_difference_rms_ratio").between(0.05, 20.0)
-    j = j.withColumn("improvements", wins).withColumn("class", F.when(~sane, "failed").when(wins >= 4, "promising").otherwise("exploratory"))
+        won = F.coalesce(better & ~F.isnan(a) & ~F.isnan(b), F.lit(False))
+        j = j.withColumn(f"better_{m}", won).withColumn(f"delta_{m}", a - b)
+        wins = wins + won.cast("int")
+        if m != "voltage_residual":
+            ok = ok & finite(m)
+    between = F.coalesce(F.col("rms_ratio").between(0.05, 20.0) & F.col("frame_difference_rms_ratio").between(0.05, 20.0), F.lit(False))
+    j = j.withColumn("finite", ok).withColumn("sane", between).withColumn("improvements", wins)
+    j = j.withColumn("class", F.when(~(F.col("finite") & F.col("sane")), "failed").when(F.col("improvements") >= 4, "promising").otherwise("exploratory"))
     return j.drop(*[f"_{m}" for m, _ in COMPARISONS])

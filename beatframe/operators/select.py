@@ -114,6 +114,34 @@ def top_per_group(df: DataFrame, k: int, *, by: list[str], score, order: str) ->
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def visibility(frames: DataFrame, labels: DataFrame, coo: DataFrame, areas: DataFrame, *, side: int, lumen: int = 6, fpb: int = 50, least_peak: float = 0.01) -> DataFrame:
+    """SE12: how visible the two largest lumens of each anatomy are in its first beat.
+
+    frames: anatomy_id, beat_id, sample_index, sigma; labels: anatomy_id, row, col, label (the tissue grid);
+    coo: the map from elements to pixels; areas: anatomy_id, least_area. The beat is the first, and must
+    be whole; its peak is the frame of largest RMS. Lumens are the 8-neighbour components of the lumen's
+    cells, larger ones first; a lumen's peak is the largest size of the peak frame's image inside it.
+    Anatomies with fewer than two lumens, or with a peak below least_peak, have no row.
+    """
+    from beatframe.functions.arrays import rms
+    from beatframe.operators.mesh import grid_labels, raster
+
+    first = frames.groupBy("anatomy_id").agg(F.min("beat_id").alias("beat_id"))
+    beat = frames.join(first, ["anatomy_id", "beat_id"])
+    best = F.max_by(F.struct("sample_index", "sigma"), F.struct("_rms", -F.col("sample_index")))
+    peak = beat.withColumn("_rms", rms("sigma")).groupBy("anatomy_id", "beat_id").agg(F.count("*").alias("_n"), best.alias("_p")).filter(F.col("_n") == fpb)
+    peak = peak.select("anatomy_id", "beat_id", "_p.*")
+    cells = grid_labels(labels.filter(F.col("label") == lumen), "anatomy_id").filter("rank <= 2")
+    image = raster(coo, peak, ["anatomy_id"], "sigma", side=side).select("anatomy_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.abs("y").alias("y"))
+    lumens = cells.join(image, ["anatomy_id", "row", "col"]).groupBy("anatomy_id", "rank").agg(F.first("size").alias("size"), F.first("row_mean").alias("r"), F.first("col_mean").alias("c"), F.max("y").alias("peak"))
+    one, two = (lumens.filter(F.col("rank") == k).select("anatomy_id", *[F.col(c).alias(f"{c}{k}") for c in ("size", "r", "c", "peak")]) for k in (1, 2))
+    j = one.join(two, "anatomy_id").join(peak.select("anatomy_id", "beat_id", "sample_index"), "anatomy_id").join(areas.select("anatomy_id", "least_area"), "anatomy_id")
+    least, far = F.least("peak1", "peak2"), F.sqrt(F.pow(F.col("r1") - F.col("r2"), 2) + F.pow(F.col("c1") - F.col("c2"), 2))
+    score = 100_000.0 * F.col("size2") * F.col("minimum_peak") + 100.0 * F.col("least_area") + 10.0 * F.col("centroid_distance")
+    j = j.select("anatomy_id", "beat_id", (F.col("sample_index") + 1).alias("peak_sample"), F.col("size1").alias("lumen_1_pixels"), F.col("size2").alias("lumen_2_pixels"), far.alias("centroid_distance"), "least_area", least.alias("minimum_peak"), "size2")
+    return j.filter(F.col("minimum_peak") >= least_peak).withColumn("score", score).drop("size2")
+
+
 def best_median_worst(df: DataFrame, *, by: list[str], score: str, order: str) -> DataFrame:
     """The rows at ranks 1, n div 2 + 1 and n by score, named best, median and worst."""
     w = Window.partitionBy(*by)

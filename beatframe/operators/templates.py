@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,14 +22,39 @@ def butterworth(order: int, cutoff: float, rate: float) -> tuple[np.ndarray, np.
     return gain * np.poly(-np.ones(order)), np.real(np.poly((2 * rate + poles) / (2 * rate - poles)))
 
 
-def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Direct form II transposed, from a state to the next."""
-    y = np.empty(len(x))
-    z = np.append(state, 0.0)
-    for i, v in enumerate(x):
-        y[i] = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:] * v - a[1:] * y[i]
-    return y, z[:-1]
+@cache
+def block_form(b: tuple, a: tuple, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The filter (direct form II transposed) over `size` samples as matrices: state step, what the inputs do to the end state, what the start state and the inputs do to the outputs."""
+    b, a = np.array(b), np.array(a)
+    n = len(a) - 1
+    step = np.eye(n, k=1)
+    step[:, 0] -= a[1:]
+    kick = b[1:] - a[1:] * b[0]
+    powers = [np.eye(n)]
+    for _ in range(size):
+        powers.append(step @ powers[-1])
+    reach = np.stack([powers[size - 1 - k] @ kick for k in range(size)], axis=1)
+    observe = np.stack([p[0] for p in powers[:size]])
+    impulse = np.concatenate([[b[0]], [p[0] @ kick for p in powers[: size - 1]]])
+    lag = np.arange(size)[:, None] - np.arange(size)[None]
+    return step, reach, observe, np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+
+
+def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, size: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """The filtered samples and the state after them, block by block."""
+    step, reach, observe, inputs = block_form(tuple(b), tuple(a), size)
+    whole = len(x) // size
+    blocks = x[: whole * size].reshape(whole, size)
+    kicks, power = blocks @ reach.T, np.linalg.matrix_power(step, size)
+    states = np.empty((whole + 1, len(state)))
+    states[0] = state
+    for i in range(whole):
+        states[i + 1] = power @ states[i] + kicks[i]
+    y = blocks @ inputs.T + states[:-1] @ observe.T
+    rest = x[whole * size :]
+    m = len(rest)
+    last = inputs[:m, :m] @ rest + observe[:m] @ states[-1]
+    return np.concatenate([y.ravel(), last]), np.linalg.matrix_power(step, m) @ states[-1] + reach[:, size - m :] @ rest
 
 
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -74,7 +101,7 @@ def rank_one(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def template(v: np.ndarray, mode: str) -> np.ndarray:
-    """The template of a beat. positive: the leading mode at its strongest positive frame; absolute: at the frame of largest absolute score; row: its row of largest RMS."""
+    """The template of a beat, from its leading mode after the mean is taken off. positive: at its strongest positive frame; absolute: at the frame of largest absolute score; row: its row of largest RMS. A constant beat's is zero."""
     if mode not in ("positive", "absolute", "row"):
         raise ValueError(mode)
     t, w = rank_one(v)
@@ -82,7 +109,7 @@ def template(v: np.ndarray, mode: str) -> np.ndarray:
         return t.max() * w
     if mode == "absolute":
         return t[np.argmax(np.abs(t))] * w
-    rows = v.mean(axis=0) + np.outer(t, w)
+    rows = np.outer(t, w)
     return rows[np.argmax(np.sqrt((rows**2).mean(axis=1)))]
 
 

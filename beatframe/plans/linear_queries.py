@@ -85,10 +85,11 @@ def _(t):
     return L.context(t.vectors(), "v").select("key", F.round(A.total("context"), 5).alias("mass"))
 
 
-@query("ln11_calibrated", f"WITH {VECTORS}, h AS (SELECT key, v[1:16] AS a, v[17:32] AS b, v[33:48] AS m FROM vectors) SELECT key, round(list_dot_product(m, m) / list_dot_product(b, m), 4) AS alpha FROM h WHERE abs(list_dot_product(b, m)) > 0.001")
+@query("ln11_calibrated", f"WITH {VECTORS}, h AS (SELECT key, v[1:16] AS a, v[17:32] AS b, v[33:48] AS m FROM vectors) SELECT key, round(CASE WHEN abs(list_dot_product(b, m)) > 1e-30 THEN list_dot_product(b, m) / list_dot_product(m, m) ELSE 1 END, 6) AS inverse_alpha, round(list_sum(list_transform(range(1, 17), lambda i: abs((a[i] - m[i]) - (b[i] - m[i])))), 6) AS residual FROM h")
 def _(t):
     d = t.vectors().select("key", F.slice("v", 1, 16).alias("a"), F.slice("v", 17, 16).alias("b"), F.slice("v", 33, 16).alias("m"))
-    return L.calibrated(d.filter(F.abs(A.dot("b", "m")) > 0.001), voltage="a", reference="b", model0="m").select("key", F.round("alpha", 4).alias("alpha"))
+    c = L.calibrated(d, voltage="a", reference="b", model0="m")
+    return c.select("key", r6(F.try_divide(F.lit(1.0), "alpha")).alias("inverse_alpha"), r6(A.sum_of("differential", F.abs)).alias("residual"))
 
 
 @query("ln12_dataset_residual", f"WITH {VECTORS}, {MATRICES}, g AS (SELECT key, r, sum(a * greatest(x, 0.01)) AS f FROM s JOIN j USING (c) GROUP BY 1, 2) SELECT round(sqrt(avg(pow(v - f, 2))), 6) AS residual_rms, (SELECT count(*) FROM s WHERE x < 0.01) AS clipped FROM g JOIN v8 USING (key, r)")

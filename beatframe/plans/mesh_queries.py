@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 from beatframe.functions import arrays as A
 from beatframe.operators import corpus as C
 from beatframe.operators import mesh as M
+from beatframe.operators import select as S
 from beatframe.plans.bindings import FPB, FRAMES, VECTORS
 from beatframe.plans.check_queries import COO, coo
 from beatframe.plans.frame_queries import COMPLETE, r6
-from beatframe.plans.metric_queries import rounded
+from beatframe.plans.linear_queries import INVERSE
+from beatframe.plans.metric_queries import mesh8, rounded
 from beatframe.plans.registry import query
 
 # -- corpus
 
 
-@query("cb1_shard_compatibility", "WITH m AS (SELECT o_orderpriority AS shard, 'status' AS key, o_orderstatus AS value FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT o_orderpriority, 'schema', 'v2' FROM orders) SELECT key, count(DISTINCT value) AS \"values\", count(DISTINCT shard) AS shards, count(DISTINCT value) = 1 AND count(DISTINCT shard) = (SELECT count(DISTINCT shard) FROM m) AS compatible FROM m GROUP BY key")
+@query("cb1_shard_compatibility", "WITH m AS (SELECT o_orderpriority AS shard, 'status' AS key, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderpriority, 'schema', 'v2' FROM orders) SELECT key, count(DISTINCT value) AS \"values\", count(DISTINCT shard) AS shards, count(DISTINCT value) = 1 AND count(DISTINCT shard) = (SELECT count(DISTINCT shard) FROM m) AS compatible FROM m GROUP BY key")
 def _(t):
     o = t("orders")
-    m = o.filter("o_orderkey % 50 = 0").select(F.col("o_orderpriority").alias("shard"), F.lit("status").alias("key"), F.col("o_orderstatus").alias("value")).unionByName(o.select(F.col("o_orderpriority").alias("shard"), F.lit("schema").alias("key"), F.lit("v2").alias("value")))
+    m = o.select(F.col("o_orderpriority").alias("shard"), F.lit("status").alias("key"), F.col("o_orderstatus").alias("value")).unionByName(o.select(F.col("o_orderpriority").alias("shard"), F.lit("schema").alias("key"), F.lit("v2").alias("value")))
     return C.shard_compatibility(m, ["status", "schema"])
 
 
@@ -61,11 +63,34 @@ def _(t):
     return C.merged_gate(gates(t))[1]
 
 
-@query("cb5_differential_view", f"WITH {VECTORS} SELECT key, CASE WHEN anatomy_id < 3 THEN 'test' ELSE 'train' END AS split, round(3 * list_sum(v), 6) AS s, CAST(round(0.7 * 64, 6) AS DOUBLE) AS baseline, CASE WHEN anatomy_id < 3 THEN round(-list_sum(v), 6) END AS newton FROM vectors")
+def source(t):
+    """Two components as one source: sigma is 3 v, the voltage its first eight values, the augmented voltage the next eight."""
+    v = t.vectors().withColumn("beat_id", F.col("anatomy_id") * 1000 + F.floor(F.col("frame_no") / FPB)).withColumn("split", F.when(F.col("anatomy_id") < 3, "test").otherwise("train"))
+    part = v.withColumn("volt", F.slice("v", 1, 8)).withColumn("other", F.slice("v", 9, 8))
+    lp = part.withColumns({c: A.scaled(c, 2.0) for c in ("v", "volt", "other")})
+    return C.summed_components(part, lp, ["key", "split", "anatomy_id", "beat_id", "frame_no"], {"sigma": "v", "voltage": "volt", "augmented": "other"})
+
+
+def cohort_shown(d):
+    return d.select("key", "split", r6(A.total("sigma")).alias("s"), r6(A.total("sigma_baseline")).alias("baseline"), F.round(A.sum_of("newton", F.abs), 5).alias("newton"))
+
+
+NEWTON = "b AS (SELECT r, c, ((c * 5 + r * 3) % 7 - 3) / 20 AS b FROM range(8) x(r), range(64) y(c)), nw AS (SELECT key, round(sum(abs(y)), 5) AS newton FROM (SELECT key, c, sum(b * -3 * v[r + 1 + {}]) AS y FROM vectors, b WHERE anatomy_id < 3 GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query("cb5_differential_cohort", f"WITH {VECTORS}, {NEWTON.format(0)} SELECT key, CASE WHEN anatomy_id < 3 THEN 'test' ELSE 'train' END AS split, round(3 * list_sum(v), 6) AS s, CAST(round(0.7 * 64, 6) AS DOUBLE) AS baseline, newton FROM vectors LEFT JOIN nw USING (key)")
+def _(t):
+    return cohort_shown(C.differential_cohort(source(t), INVERSE, order="frame_no"))
+
+
+@query("cb5_augmented_test", f"WITH {VECTORS}, {NEWTON.format(8)} SELECT key, 'test' AS split, round(3 * list_sum(v), 6) AS s, CAST(round(0.7 * 64, 6) AS DOUBLE) AS baseline, newton FROM vectors JOIN nw USING (key)")
+def _(t):
+    return cohort_shown(C.differential_cohort(source(t), INVERSE, order="frame_no", augmented=True))
+
+
+@query("cb5_split_summary", f"WITH {VECTORS} SELECT CASE WHEN anatomy_id < 3 THEN 'test' ELSE 'train' END AS split, count(*) AS frames, count(DISTINCT anatomy_id) AS anatomies, count(DISTINCT anatomy_id * 1000 + frame_no // {FPB}) AS beats, round(3 * sqrt(sum(list_dot_product(v, v)) / (64 * count(*))), 6) AS truth_rms, round(3 * sqrt(sum(list_dot_product(v[1:8], v[1:8])) / (8 * count(*))), 6) AS voltage_rms, round(3 * sqrt(sum(list_dot_product(v[9:16], v[9:16])) / (8 * count(*))), 6) AS augmented_rms FROM vectors GROUP BY 1")
 def _(t):
-    v = t.vectors().withColumn("split", F.when(F.col("anatomy_id") < 3, "test").otherwise("train"))
-    d = C.differential_view(v, v.withColumn("v", A.scaled("v", 2.0)), ["key"], ["v"], control=v.select("key", A.scaled("v", -1.0).alias("control")))
-    return d.select("key", "split", r6(A.total("v")).alias("s"), r6(A.total("sigma_baseline")).alias("baseline"), r6(A.total("newton")).alias("newton"))
+    return rounded(C.split_summary(source(t)), "split")
 
 
 @query("cb6_one_anatomy_pack", f"WITH {FRAMES}, {COMPLETE} SELECT beat_id, frame_no, x FROM frames JOIN cb USING (anatomy_id, beat_id) WHERE anatomy_id = 5")
@@ -96,7 +121,12 @@ def _(t):
 
 @query("cb11_augment")
 def _(t):
-    return C.augment(t.vectors(), "v", key="anatomy_id", order="frame_no", seed=11)
+    return C.augment(t.vectors(), "v", key="anatomy_id", order="frame_no", seed=11)[0]
+
+
+@query("cb11_effects")
+def _(t):
+    return C.augment(t.vectors(), "v", key="anatomy_id", order="frame_no", seed=11)[1].withColumn("artifact_events", F.size("artifact_events"))
 
 
 # -- sparse operators
@@ -115,15 +145,15 @@ def _(t):
     return M.apply_sparse(coo(t), t.vectors(), ["key"], "v").withColumn("y", F.round("y", 5))
 
 
-@query("mg2_raster", f"WITH {COO}, {X}, y AS (SELECT key, row AS p, sum(value * x) AS y FROM coo JOIN x USING (col) WHERE row < 60 GROUP BY 1, 2) SELECT k.key, p.p % 8 AS row, p.p // 8 AS col, round(coalesce(y, 'nan'::DOUBLE), 5) AS y FROM (SELECT DISTINCT key FROM x) k CROSS JOIN range(64) p(p) LEFT JOIN y ON y.key = k.key AND y.p = p.p")
+@query("mg2_raster", f"WITH {COO}, {X}, y AS (SELECT key, row AS p, sum(value * x) AS y FROM coo JOIN x USING (col) GROUP BY 1, 2) SELECT k.key, p.p % 9 AS row, p.p // 9 AS col, round(coalesce(y, 'nan'::DOUBLE), 5) AS y FROM (SELECT DISTINCT key FROM x) k CROSS JOIN range(81) p(p) LEFT JOIN y ON y.key = k.key AND y.p = p.p")
 def _(t):
-    return M.raster(coo(t).filter("row < 60"), t.vectors(), ["key"], "v", side=8).withColumn("y", F.round("y", 5)).withColumn("row", F.col("row").cast("long"))
+    return M.raster(coo(t), t.vectors(), ["key"], "v", side=9).withColumn("y", F.round("y", 5)).withColumn("row", F.col("row").cast("long"))
 
 
-@query("mg3_categorical_raster", f"WITH {COO}, c AS (SELECT row AS p, col % 7 AS label, sum(value) AS w FROM coo WHERE row < 60 GROUP BY 1, 2 HAVING sum(value) > 0), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY round(w, 9) DESC, label) AS n FROM c) SELECT p.p, coalesce(label, 99) AS label FROM range(64) p(p) LEFT JOIN n ON n.p = p.p AND n.n = 1")
+@query("mg3_categorical_raster", f"WITH {COO}, c AS (SELECT row AS p, col % 7 AS label, sum(value) AS w FROM coo GROUP BY 1, 2 HAVING sum(value) > 0), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY round(w, 9) DESC, label) AS n FROM c) SELECT p.p, coalesce(label, 99) AS label FROM range(81) p(p) LEFT JOIN n ON n.p = p.p AND n.n = 1")
 def _(t):
     labels = t.spark.range(64).select(F.col("id").alias("elem_id"), (F.col("id") % 7).alias("label"))
-    return M.categorical_raster(coo(t).filter("row < 60"), labels, background=99, pixels=64)
+    return M.categorical_raster(coo(t), labels, background=99, pixels=81)
 
 
 @query("mg4_gram", f"WITH {COO} SELECT a.col AS i, b.col AS j, round(sum(a.value * b.value), 4) AS value FROM coo a JOIN coo b USING (row) GROUP BY 1, 2")
@@ -172,14 +202,22 @@ def _(t):
     return rounded(M.pixel_grid(nodes(t), 6).withColumn("p", F.col("p").cast("long")), "p")
 
 
-@query("mg6_image_map")
+@query("mg6_image_map", f"""WITH {ELEMENTS}, m AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM nd), px AS (SELECT p, a + (p // 12) * (b - a) / 12 AS x0, a + (p // 12 + 1) * (b - a) / 12 AS x1, d - (p % 12 + 1) * (d - c) / 12 AS y0, d - (p % 12) * (d - c) / 12 AS y1 FROM m, range(144) r(p)),
+tr AS (SELECT elem_id, abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2 AS area, [a.x, b.x, c.x] AS xs, [a.y, b.y, c.y] AS ys FROM el JOIN nd a ON a.node_id = n0 JOIN nd b ON b.node_id = n1 JOIN nd c ON c.node_id = n2),
+ed AS (SELECT elem_id, area, xs[i] AS xa, ys[i] AS ya, xs[i % 3 + 1] AS xb, ys[i % 3 + 1] AS yb FROM (SELECT *, unnest([1, 2, 3]) AS i FROM tr)),
+st AS (SELECT elem_id, area, p, y0, y1, xa, ya, xb, yb, least(greatest(xa, x0), x1) AS u, least(greatest(xb, x0), x1) AS w FROM ed JOIN px ON greatest(xa, xb) > x0 AND least(xa, xb) < x1 WHERE xa <> xb),
+hh AS (SELECT *, ya + (yb - ya) * (u - xa) / (xb - xa) AS h, ya + (yb - ya) * (w - xa) / (xb - xa) AS k FROM st),
+lh AS (SELECT *, least(h, k) AS lo, greatest(h, k) AS hi FROM hh),
+pc AS (SELECT elem_id, area, p, (w - u) * (CASE WHEN hi > lo THEN (greatest(least(hi, y0) - lo, 0) * y0 + greatest(least(hi, y1) - greatest(lo, y0), 0) * (greatest(lo, y0) + least(hi, y1)) / 2 + greatest(hi - greatest(lo, y1), 0) * y1) / (hi - lo) ELSE least(greatest(lo, y0), y1) END - y0) AS q FROM lh),
+sh AS (SELECT p, elem_id, abs(sum(q)) / any_value(area) AS w FROM pc GROUP BY 1, 2 HAVING abs(sum(q)) / any_value(area) > 1e-9)
+SELECT p AS row, elem_id AS col, round(w / sum(w) OVER (PARTITION BY p), 6) AS value FROM sh""")
 def _(t):
-    return M.image_map(nodes(t), elements(t), 12, cell=1.0)
+    return M.image_map(nodes(t), elements(t), 12, cell=1.0).withColumn("value", r6("value"))
 
 
-@query("mg7_outside", f"WITH {COO}, c AS (SELECT row FROM coo WHERE row % 5 <> 0 GROUP BY 1 HAVING sum(value) <> 0) SELECT p FROM range(64) r(p) WHERE p NOT IN (SELECT row FROM c)")
+@query("mg7_outside", f"WITH {COO}, c AS (SELECT row FROM coo GROUP BY 1 HAVING sum(value) <> 0) SELECT p FROM range(81) r(p) WHERE p NOT IN (SELECT row FROM c)")
 def _(t):
-    return M.outside(coo(t).filter("row % 5 <> 0"), 64)
+    return M.outside(coo(t), 81)
 
 
 CIRCLE = "ct AS (SELECT avg(x) AS center_x, avg(y) AS center_y FROM nd WHERE is_boundary), ci AS (SELECT center_x, center_y, avg(sqrt(pow(x - center_x, 2) + pow(y - center_y, 2))) AS radius, quantile_cont(sqrt(pow(x - center_x, 2) + pow(y - center_y, 2)), 0.5) AS median FROM nd, ct WHERE is_boundary GROUP BY 1, 2)"
@@ -200,14 +238,14 @@ def _(t):
     return rounded(M.element_positions(nodes(t), elements(t)), "elem_id")
 
 
-UNIT = "un AS (SELECT row, col, CASE WHEN row % 9 = 0 THEN value ELSE 1.0 / count(*) OVER (PARTITION BY row) END AS value FROM coo WHERE row < 40)"
+UNIT = "un AS (SELECT row, col, CASE WHEN row % 9 = 0 THEN value ELSE 1.0 / count(*) OVER (PARTITION BY row) END AS value FROM coo)"
 
 
 @query("mg12_to_fine", f"WITH {COO}, {UNIT}, ok AS (SELECT row FROM un GROUP BY 1 HAVING abs(sum(value) - 1) <= 1e-9), {X} SELECT key, row, round(sum(value * x), 5) AS y FROM un JOIN x USING (col) WHERE row IN (SELECT row FROM ok) GROUP BY 1, 2")
 def _(t):
     from pyspark.sql import Window
 
-    c = coo(t).filter("row < 40")
+    c = coo(t)
     c = c.withColumn("value", F.when(F.col("row") % 9 == 0, F.col("value")).otherwise(1.0 / F.count("*").over(Window.partitionBy("row"))))
     return M.to_fine(c, t.vectors(), ["key"], "v", atol=1e-9).withColumn("y", F.round("y", 5))
 
@@ -218,39 +256,62 @@ def _(t):
     return M.chain_jacobian(f, coo(t)).withColumn("value", F.round("value", 4))
 
 
-POS = f"{GEO}, {CIRCLE}, po AS (SELECT elem_id, (cx - center_x) / radius AS x, (cy - center_y) / radius AS y FROM geo, ci), ps AS (SELECT *, sqrt(x * x + y * y) AS r FROM po), es AS (SELECT s_suppkey, (s_suppkey % 9 - 4) / 8.0 AS ex, (s_suppkey % 7 - 3) / 8.0 AS ey, 3 + s_suppkey % 4 AS lab FROM supplier)"
+POS = f"{GEO}, {CIRCLE}, ps AS (SELECT elem_id, (cx - center_x) / radius AS x, (cy - center_y) / radius AS y, row_number() OVER (ORDER BY elem_id) - 1 AS i FROM geo, ci), es AS (SELECT s_suppkey, s_suppkey % 3 AS frame, s_suppkey // 3 % 2 AS slot, (s_suppkey % 9 - 4) / 8.0 AS ex, (s_suppkey % 7 - 3) / 8.0 AS ey, (s_suppkey % 5) / 5.0 AS an, 3 + s_suppkey % 4 AS lab FROM supplier)"
+R2 = "pow((cos(an) * ({x} - ex) + sin(an) * ({y} - ey)) / 0.2, 2) + pow((cos(an) * ({y} - ey) - sin(an) * ({x} - ex)) / 0.1, 2)"
+R2_AT = R2.format(x="x", y="y")
 
 
 def ellipses(t):
     k = F.col("s_suppkey")
     return t("supplier").select(
-        "s_suppkey", ((k % 9 - 4) / 8.0).alias("center_x"), ((k % 7 - 3) / 8.0).alias("center_y"), F.lit(0.2).alias("radius_x"), F.lit(0.1).alias("radius_y"), F.lit(0.0).alias("angle"), (3 + k % 4).cast("int").alias("ellipse_label"), F.lit(0.01).alias("delta"), F.lit(0.5).alias("amplitude"), (k % 3).alias("frame")
+        k.alias("order"), (k % 3).alias("frame"), (F.floor(k / 3) % 2).alias("slot"), ((k % 9 - 4) / 8.0).alias("center_x"), ((k % 7 - 3) / 8.0).alias("center_y"), F.lit(0.2).alias("radius_x"), F.lit(0.1).alias("radius_y"),
+        (k % 5 / 5.0).alias("angle"), (3 + k % 4).cast("int").alias("ellipse_label"), (k % 4 / 10.0).alias("value"), F.lit(0.01).alias("delta"), F.lit(0.5).alias("amplitude"), F.lit(0.4).alias("diffusion_fraction"), F.lit(0.05).alias("diffusion_length"),
     )
 
 
-@query("mg14_layered_field", f"WITH {POS}, h AS (SELECT elem_id, max(lab) AS lab, count(*) * 0.01 AS d FROM ps JOIN es ON pow((x - ex) / 0.2, 2) + pow((y - ey) / 0.1, 2) <= 1 GROUP BY 1) SELECT elem_id, coalesce(lab, CASE WHEN r <= 0.3 THEN 1 WHEN r <= 0.8 THEN 2 END, -1)::INTEGER AS label, CAST(coalesce(round(CASE WHEN r <= 0.3 THEN 0.2 WHEN r <= 0.8 THEN 0.5 END + coalesce(d, 0), 6), -1) AS DOUBLE) AS value FROM ps LEFT JOIN h USING (elem_id)")
+@query("mg14_layered_field", f"""WITH {POS}, tu AS (SELECT elem_id, cos(0.3) * x + sin(0.3) * y AS x, cos(0.3) * y - sin(0.3) * x AS y FROM ps), rr AS (SELECT *, sqrt(x * x + y * y) AS r FROM tu),
+h AS (SELECT elem_id, arg_max(lab, s_suppkey) AS lab, arg_max(s_suppkey % 4 / 10.0, s_suppkey) AS val, count(*) * 0.01 AS d FROM tu JOIN es ON {R2_AT} <= 1 GROUP BY 1)
+SELECT elem_id, coalesce(lab, CASE WHEN r >= 0.8 THEN 3 WHEN r >= 0.5 THEN 2 ELSE 1 END)::INTEGER AS label, round(coalesce(val, CASE WHEN r >= 0.8 THEN 0.35 WHEN r >= 0.5 THEN 0.2 ELSE 0.5 END), 6)::DOUBLE AS baseline, round(coalesce(d, 0), 6)::DOUBLE AS delta, round(coalesce(val, CASE WHEN r >= 0.8 THEN 0.35 WHEN r >= 0.5 THEN 0.2 ELSE 0.5 END) + coalesce(d, 0), 6)::DOUBLE AS dynamic FROM rr LEFT JOIN h USING (elem_id)""")
 def _(t):
-    d = M.layered_field(M.element_positions(nodes(t), elements(t)), [(0.3, 1, 0.2), (0.8, 2, 0.5)], ellipses(t))
-    return d.select("elem_id", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce(r6("value"), F.lit(-1.0)).alias("value"))
+    d = M.layered_field(M.element_positions(nodes(t), elements(t)), [(0.0, 1, 0.5), (0.5, 2, 0.2), (0.8, 3, 0.35)], ellipses(t), rotation=0.3)
+    return rounded(d, "elem_id", "label")
 
 
-@query("mg15_vessel_targets", f"WITH {POS}, d AS (SELECT s_suppkey % 3 AS frame, elem_id, pow((x - ex) / 0.2, 2) + pow((y - ey) / 0.1, 2) AS r2 FROM ps, es) SELECT frame, elem_id, bool_or(r2 <= 1) AS hard, round(max(exp(-r2 / 2)), 6) AS soft FROM d WHERE r2 <= 9 GROUP BY 1, 2")
+@query("mg15_vessel_targets", f"WITH {POS}, d AS (SELECT frame, slot, elem_id, {R2_AT} AS r2 FROM ps, es) SELECT frame, elem_id, bool_or(r2 <= 1) AS hard, coalesce(bool_or(r2 <= 1) FILTER (WHERE slot = 0), false) AS core_0, coalesce(bool_or(r2 <= 1) FILTER (WHERE slot = 1), false) AS core_1, round(coalesce(max(exp(-0.5 * r2 / 1.5625)) FILTER (WHERE slot = 0), 0), 6) AS soft_0, round(coalesce(max(exp(-0.5 * r2 / 1.5625)) FILTER (WHERE slot = 1), 0), 6) AS soft_1 FROM d WHERE r2 <= 9 GROUP BY 1, 2")
 def _(t):
-    return M.vessel_targets(M.element_positions(nodes(t), elements(t)), ellipses(t), "frame").withColumn("soft", r6("soft"))
+    d = M.vessel_targets(M.element_positions(nodes(t), elements(t)), ellipses(t), "frame")
+    return d.select("frame", "elem_id", "hard", *[F.col("cores")[i].alias(f"core_{i}") for i in (0, 1)], *[r6(F.col("soft")[i]).alias(f"soft_{i}") for i in (0, 1)])
 
 
-@query("mg16_slot_masks", f"WITH {POS} SELECT s_suppkey % 3 AS frame, elem_id, round(sum(0.5 / (1 + exp(least(-10 * (1 - (pow((x - ex) / 0.2, 2) + pow((y - ey) / 0.1, 2))), 700)))), 6) AS mask FROM ps, es WHERE elem_id % 2 = 0 GROUP BY 1, 2")
+@query("mg15_vessel_centres", f"WITH {POS} SELECT frame, count(*) AS n, round(sum(ex), 6)::DOUBLE AS x, round(sum(ey), 6)::DOUBLE AS y FROM es GROUP BY 1")
 def _(t):
-    p = M.element_positions(nodes(t), elements(t)).withColumn("gate", F.col("elem_id") % 2 == 0)
-    return M.slot_masks(p, ellipses(t), "frame").withColumn("mask", r6("mask"))
+    add = lambda c: r6(F.aggregate("centres", F.lit(0.0), lambda s, v: s + v[c]))
+    return M.vessel_centres(ellipses(t), "frame").select("frame", F.size("centres").cast("long").alias("n"), add("x").alias("x"), add("y").alias("y"))
+
 
+def masks_shown(d):
+    return d.select("frame", F.posexplode("conductivity").alias("i", "conductivity")).select("frame", F.col("i").cast("long").alias("i"), r6("conductivity").alias("conductivity"))
 
-@query("mg17_vessel_parameters", "WITH v AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 6)::DOUBLE AS rot, (l_partkey % 10) / 10.0 AS cx, (l_suppkey % 10) / 10.0 AS cy, (l_linenumber + 2)::DOUBLE AS angle, CAST(l_quantity AS DOUBLE) AS a FROM lineitem) SELECT l_orderkey, l_linenumber, round(cx * cos(rot) - cy * sin(rot), 6) + 0.0 AS x, round(cx * sin(rot) + cy * cos(rot), 6) + 0.0 AS y, round(atan2(sin(angle + rot), cos(angle + rot)), 6) AS angle, a / 50 AS amplitude FROM v")
+
+@query("mg16_slot_masks", f"WITH {POS} SELECT frame, i, round(sum(0.5 / (1 + exp(least((({R2_AT}) - 1) / 0.05, 700)))), 6) AS conductivity FROM ps, es GROUP BY 1, 2")
+def _(t):
+    return masks_shown(M.slot_masks(M.element_positions(nodes(t), elements(t)), ellipses(t), "frame"))
+
+
+@query("mg16_diffusion_masks", f"WITH {POS}, q AS (SELECT frame, i, elem_id, sqrt({R2_AT} + 1e-12) AS r FROM ps, es), c AS (SELECT *, 1 / (1 + exp(least((r * r - 1) / 0.05, 700))) AS core FROM q) SELECT frame, i, round(sum(0.5 * (core + 0.4 * (1 - core) * exp(-0.5 * pow(greatest(r - 1, 0) * sqrt(0.2 * 0.1) / 0.05, 2)) * CAST(elem_id % 2 = 0 AS INTEGER))), 6) AS conductivity FROM c GROUP BY 1, 2")
+def _(t):
+    p = M.element_positions(nodes(t), elements(t)).withColumn("gate", (F.col("elem_id") % 2 == 0).cast("double"))
+    return masks_shown(M.slot_masks(p, ellipses(t), "frame", diffusion=True))
+
+
+@query("mg17_vessel_parameters", "WITH v AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 6)::DOUBLE AS rot, (l_partkey % 10) / 10.0 AS cx, (l_suppkey % 10) / 10.0 AS cy, (l_linenumber + 2)::DOUBLE AS angle, CAST(l_quantity AS DOUBLE) AS a FROM lineitem) SELECT l_orderkey, l_linenumber, false AS two, round(cx * cos(rot) - cy * sin(rot), 6) + 0.0 AS x, round(cx * sin(rot) + cy * cos(rot), 6) + 0.0 AS y, 0.3::DOUBLE AS axis_a, 0.2::DOUBLE AS axis_b, round(angle + rot - 2 * pi() * floor((angle + rot + pi()) / (2 * pi())), 6) AS angle, a / 50 AS amplitude, 0.25::DOUBLE AS diffusion_fraction, round(2.5 * sqrt(0.3 * 0.2) / (sqrt((l_linenumber + 1) * 2.0) * 0.8), 6) AS diffusion_length FROM v")
 def _(t):
     d = t("lineitem")
-    v = F.struct((F.col("l_partkey") % 10 / 10.0).alias("center_x"), (F.col("l_suppkey") % 10 / 10.0).alias("center_y"), (F.col("l_linenumber") + 2).cast("double").alias("angle"), F.col("l_quantity").cast("double").alias("amplitude"))
-    r = d.select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 6).cast("double").alias("rotation"), F.array(v).alias("vessels"))
-    d = rounded(M.vessel_parameters(r, rotation="rotation", scale=50.0).drop("slot"), "l_orderkey", "l_linenumber")
+    one = lambda **c: F.struct(*[(v if not isinstance(v, float) else F.lit(v)).cast("double").alias(k) for k, v in c.items()])
+    v = one(center_x=F.col("l_partkey") % 10 / 10.0, center_y=F.col("l_suppkey") % 10 / 10.0, axis_a=0.3, axis_b=0.2, angle=F.col("l_linenumber") + 2)
+    m = F.struct(F.array(one(radius_x_mm=F.col("l_linenumber") + 1, radius_y_mm=2.0, lumen_fraction=0.8)).alias("arteries"), F.lit(0.25).alias("muscle_diffusion_fraction"), F.lit(2.5).alias("muscle_diffusion_length_mm"))
+    r = d.select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 6).cast("double").alias("rotation"), F.array(v).alias("vessels"), F.array(F.col("l_quantity").cast("double")).alias("vessel_delta"), m.alias("simulator"))
+    d = rounded(M.vessel_parameters(r, rotation="rotation", scale=50.0, diffusion=True).drop("slot"), "l_orderkey", "l_linenumber", "two")
     return d.withColumn("x", F.col("x") + 0.0).withColumn("y", F.col("y") + 0.0)
 
 
@@ -260,10 +321,28 @@ def _(t):
     return rounded(M.ellipse_fit(d, ["l_returnflag"]), "l_returnflag")
 
 
-@query("mg19_grid_components")
+COMPONENTS = """reach AS (SELECT frame, row, col, row AS r, col AS c FROM cells UNION SELECT a.frame, b.row, b.col, a.r, a.c FROM reach a JOIN cells b ON b.frame = a.frame AND abs(b.row - a.row) <= 1 AND abs(b.col - a.col) <= 1),
+heads AS (SELECT frame, r AS row, c AS col, min(row * 1000 + col) AS head FROM reach GROUP BY 1, 2, 3), parts AS (SELECT frame, head, count(*) AS size, avg(row) AS row_mean, avg(col) AS col_mean FROM heads GROUP BY 1, 2), ranked AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY size DESC, head) AS rank FROM parts)"""
+
+
+@query("mg19_grid_components", f"WITH RECURSIVE cells AS (SELECT DISTINCT l_orderkey AS frame, l_partkey % 6 AS row, l_suppkey % 6 AS col FROM lineitem), {COMPONENTS} SELECT frame, CAST(rank AS INTEGER) AS rank, size, round(row_mean, 6) AS row_mean, round(col_mean, 6) AS col_mean FROM ranked WHERE rank <= 2")
+def _(t):
+    d = t("lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_partkey") % 6, F.col("l_suppkey") % 6).toDF("frame", "row", "col")
+    return rounded(M.grid_components(d, "frame"), "frame", "rank", "size")
+
+
+@query("se12_visibility", f"""WITH RECURSIVE {VECTORS}, {COO}, cells AS (SELECT a.anatomy_id AS frame, p % 8 AS row, p // 8 AS col FROM (SELECT DISTINCT anatomy_id FROM vectors) a, range(64) r(p) WHERE (p * 7 + a.anatomy_id * 3) % 9 < 4), {COMPONENTS},
+fb AS (SELECT *, sqrt(list_dot_product(v, v) / 64) AS rms FROM vectors WHERE frame_no < 10), pk AS (SELECT anatomy_id, arg_max(key, (rms, -frame_no)) AS key, arg_max(frame_no, (rms, -frame_no)) AS sample FROM fb GROUP BY 1 HAVING count(*) = 10),
+im AS (SELECT pk.anatomy_id AS frame, coo.row AS p, abs(sum(coo.value * x.v[coo.col + 1])) AS y FROM pk JOIN vectors x USING (key), coo GROUP BY 1, 2), cr AS (SELECT h.frame, k.rank, max(y) AS peak FROM heads h JOIN ranked k USING (frame, head) JOIN im ON im.frame = h.frame AND im.p = h.col * 8 + h.row GROUP BY 1, 2),
+l AS (SELECT k.*, peak FROM ranked k JOIN cr USING (frame, rank)), j AS (SELECT a.frame AS anatomy_id, a.size AS s1, b.size AS s2, sqrt(pow(a.row_mean - b.row_mean, 2) + pow(a.col_mean - b.col_mean, 2)) AS far, least(a.peak, b.peak) AS peak FROM l a JOIN l b ON a.frame = b.frame AND a.rank = 1 AND b.rank = 2)
+SELECT anatomy_id, sample + 1 AS peak_sample, s1 AS lumen_1_pixels, s2 AS lumen_2_pixels, round(far, 6) AS centroid_distance, round(peak, 5) AS minimum_peak, round((100000.0 * s2 * peak + 100.0 * (anatomy_id + 1) + 10.0 * far) / 100000, 5) AS score FROM j JOIN pk USING (anatomy_id) WHERE peak >= 0.01""")
 def _(t):
-    d = t("lineitem").select(F.col("l_suppkey").alias("frame"), (F.col("l_orderkey") % 20).cast("int").alias("row"), (F.col("l_partkey") % 20).cast("int").alias("col")).distinct()
-    return M.grid_components(d, "frame")
+    v = t.vectors().select("anatomy_id", (F.col("anatomy_id") * 1000 + F.floor(F.col("frame_no") / FPB)).alias("beat_id"), (F.col("frame_no") % FPB).alias("sample_index"), F.col("v").alias("sigma"))
+    ids = v.select("anatomy_id").distinct()
+    p = ids.select("anatomy_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    labels = p.select("anatomy_id", (F.col("p") % 8).alias("row"), F.floor(F.col("p") / 8).cast("int").alias("col"), F.when((F.col("p") * 7 + F.col("anatomy_id") * 3) % 9 < 4, 6).otherwise(1).alias("label"))
+    d = S.visibility(v, labels, coo(t), ids.select("anatomy_id", (F.col("anatomy_id") + 1.0).alias("least_area")), side=8, fpb=FPB)
+    return d.select("anatomy_id", "peak_sample", "lumen_1_pixels", "lumen_2_pixels", r6("centroid_distance").alias("centroid_distance"), F.round("minimum_peak", 5).alias("minimum_peak"), F.round(F.col("score") / 100_000, 5).alias("score"))
 
 
 @query("mg20_propagate", f"{PAIR}, f AS (SELECT elem_id AS node, fr.f AS frame, (elem_id * (fr.f + 1) % 17)::DOUBLE AS x FROM el, range(3) fr(f)), e AS (SELECT src, dst FROM g UNION SELECT elem_id, elem_id FROM el), dg AS (SELECT dst AS n, count(*) AS d FROM e GROUP BY 1) SELECT frame, e.dst AS node, round(sum(x / sqrt(a.d * b.d)), 5) AS y FROM e JOIN dg a ON a.n = e.dst JOIN dg b ON b.n = e.src JOIN f ON f.node = e.src GROUP BY 1, 2")
@@ -273,15 +352,27 @@ def _(t):
     return M.propagate(M.adjacency(e), f, "frame").withColumn("y", F.round("y", 5))
 
 
-@query("mg21_node_features", f"WITH {VECTORS}, m AS (SELECT key, v, list_transform(v, lambda x: CASE WHEN abs(x) > 0.1 THEN x ELSE 0.0 END) AS y FROM vectors), q AS (SELECT key, quantile_cont(a, 0.5) AS med FROM (SELECT key, unnest(list_filter(list_transform(y, lambda x: abs(x)), lambda x: x > 0)) AS a FROM m) GROUP BY 1) SELECT m.key, round(list_sum(list_transform(v, lambda x: x / 0.25)), 5) AS state, round(list_sum(list_transform(y, lambda x: 1 + least(abs(x) / med, 2.0))), 5) AS weight, len(list_filter(y, lambda x: x = 0)) AS background FROM m JOIN q ON m.key = q.key")
+@query("mg21_node_features", f"""WITH {VECTORS}, m AS (SELECT key, v, list_transform(v, lambda x: CASE WHEN abs(x) > 0.1 THEN x / 0.25 ELSE 0.0 END) AS y, list_transform(range(1, 65), lambda i: CASE WHEN i % 4 = 0 THEN v[i] / 0.25 ELSE 0.0 END) AS r FROM vectors), z AS (SELECT *, list_transform(range(1, 65), lambda i: abs(y[i] - r[i])) AS d FROM m),
+q AS (SELECT key, quantile_cont(a, 0.5) AS med FROM (SELECT key, unnest(list_filter(d, lambda x: x > 0)) AS a FROM z) GROUP BY 1)
+SELECT z.key, round(list_sum(list_transform(range(1, 65), lambda i: v[i] / 0.25 * ((i - 1) % 8 - 3.5) / 4)), 5) AS state_x, round(list_sum(list_transform(range(1, 65), lambda i: -v[i] / 0.25 * ((i - 1) // 8 - 3.5) / 4)), 5) AS direction_y, round(list_sum(list_transform(d, lambda x: 1 + 3 * least(x / greatest(med, 1e-8), 2.0))), 5) AS weight, len(list_filter(d, lambda x: x <= 1e-8)) AS background, round(list_sum(y), 5) AS y, round(list_sum(v[1:8]) / 0.5, 5) AS voltage FROM z JOIN q ON z.key = q.key""")
+def _(t):
+    d = t.vectors().withColumn("y0", F.transform("v", lambda x: F.when(F.abs(x) > 0.1, x).otherwise(0.0))).withColumn("d", A.scaled("v", -1.0)).withColumn("r", F.transform("v", lambda x, i: F.when(i % 4 == 3, x).otherwise(0.0))).withColumn("volt", F.slice("v", 1, 8))
+    f = M.node_features(d, mesh8(t), state="v", direction="d", target="y0", scale=0.25, alpha=3.0, reference="r", voltage="volt", voltage_scale=0.5)
+    fold = lambda a, b: F.round(F.aggregate("features", F.lit(0.0), lambda s, e: s + e[a] * e[b]), 5)
+    return f.select("key", fold("state", "x").alias("state_x"), fold("direction", "y").alias("direction_y"), F.round(A.total("weight"), 5).alias("weight"), F.size(F.filter("background", lambda b: b)).cast("long").alias("background"), F.round(A.total("y"), 5).alias("y"), F.round(A.total("voltage_scaled"), 5).alias("voltage"))
+
+
+@query("mg22_beat_features", f"""WITH {VECTORS}, m AS (SELECT key, v, v[1:16] AS u, v[17:32] AS w, v[1:64] AS c FROM vectors), n AS (SELECT *, greatest(sqrt(list_dot_product(u, u) / 16), 1e-12) AS ru, greatest(sqrt(list_dot_product(w, w) / 16), 1e-12) AS rw FROM m), q AS (SELECT key, greatest(quantile_cont(abs(a), 0.95), 1e-12) AS p FROM (SELECT key, unnest(v) AS a FROM m) GROUP BY 1)
+SELECT n.key, round(list_sum(list_transform(u, lambda x: greatest(least(x / ru, 8), -8))), 5) AS voltage, round(list_sum(list_transform(w, lambda x: greatest(least(x / rw, 8), -8))), 5) AS template, round(greatest(least(ln(ru / 1e-4), 5), -5), 6) AS log_rms, round(list_sum(list_transform(range(1, 65), lambda i: least(abs(v[i]) / p, 5) * ((i - 1) % 8 - 3.5) / 4)), 5) AS context_x, round(list_sum(list_transform(range(1, 65), lambda i: v[i] / 0.25 * 2)), 5) AS direction, CAST(len(list_filter(range(64), lambda i: i % 5 = 3)) AS DOUBLE) AS muscle FROM n JOIN q ON n.key = q.key""")
 def _(t):
-    d = t.vectors().withColumn("y", F.transform("v", lambda x: F.when(F.abs(x) > 0.1, x).otherwise(0.0))).withColumn("d", F.col("v"))
-    f = M.node_features(d, state="v", direction="d", target="y", scale=0.25)
-    return f.select("key", F.round(A.total("v_scaled"), 5).alias("state"), F.round(A.total("weight"), 5).alias("weight"), F.size(F.filter("background", lambda b: b)).cast("long").alias("background"))
+    d = t.vectors().withColumn("u", F.slice("v", 1, 16)).withColumn("w", F.slice("v", 17, 16)).withColumn("d", A.scaled("v", 2.0)).withColumn("tissue", F.transform("v", lambda x, i: i % 5))
+    f = M.beat_features(d, mesh8(t), state="v", direction="d", voltage="u", template="w", context="v", tissue="tissue", scale=0.25, rms_reference=1e-4)
+    fold = lambda c: F.round(F.aggregate("features", F.lit(0.0), lambda s, e: s + c(e)), 5)
+    return f.select("key", F.round(A.total("voltage_input"), 5).alias("voltage"), F.round(A.total("template_input"), 5).alias("template"), r6("log_rms").alias("log_rms"), fold(lambda e: e["context"] * e["x"]).alias("context_x"), fold(lambda e: e["direction"]).alias("direction"), A.total("muscle_gate").alias("muscle"))
 
 
-@query("mg22_beat_features", f"WITH {VECTORS}, m AS (SELECT key, v, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x)) / 64), 1e-12) AS r FROM vectors), q AS (SELECT key, quantile_cont(abs(a), 0.95) AS p FROM (SELECT key, unnest(v) AS a FROM m) GROUP BY 1) SELECT m.key, round(list_sum(list_transform(v, lambda x: greatest(least(x / r, 1.5), -1.5))), 5) AS signal, round(ln(r), 6) AS log_rms, round(list_sum(v) / p, 5) AS context FROM m JOIN q ON m.key = q.key")
+@query("mg22_global_features", f"WITH {VECTORS} SELECT key, round(list_sum(v[1:16]) / 0.5, 5) AS voltage, CAST(0 AS DOUBLE) AS log_rms, round(list_sum(list_transform(range(1, 65), lambda i: abs(v[i]) / 0.25 * ((i - 1) // 8 - 3.5) / 4)), 5) AS geometry_y, CAST(64 AS DOUBLE) AS muscle FROM vectors")
 def _(t):
-    d = t.vectors().withColumn("w", F.col("v")).withColumn("c", F.col("v"))
-    f = M.beat_features(d, signal="v", template="w", context="c", limit=1.5)
-    return f.select("key", F.round(A.total("v_normal"), 5).alias("signal"), r6("v_log_rms").alias("log_rms"), F.round(A.total("c_normal"), 5).alias("context"))
+    d = t.vectors().withColumn("u", F.slice("v", 1, 16)).withColumn("d", F.col("v"))
+    f = M.beat_features(d, mesh8(t), state="v", direction="d", voltage="u", scale=0.25, voltage_scale=0.5)
+    return f.select("key", F.round(A.total("voltage_input"), 5).alias("voltage"), "log_rms", F.round(F.aggregate("geometry", F.lit(0.0), lambda s, e: s + e["direction"] * e["y"]), 5).alias("geometry_y"), A.total("muscle_gate").alias("muscle"))

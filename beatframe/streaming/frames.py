@@ -1,9 +1,10 @@
 """Streams of frames (session, frame_no, ts, v): buffers, reference epochs, causal filtering.
 
 Each has a batch twin: buffers are tumbling(), epochs reference_epochs() of operators.signals.
-State is kept by session, and holds one partial buffer, one reference or one filter state, so it does not grow.
-Frames may arrive late or twice within the watermark; accepted() drops repeats, and frames that come after
-a later one of their session are skipped, as the live path does.
+Frames may arrive late, out of order or twice within the watermark: accepted() drops repeats, and a
+session's frames wait in its state until the watermark has passed them, then go on in order. So state
+holds the frames of one delay, and one partial buffer, reference or filter state; it goes when the watermark
+is `idle` past a session's last frame.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,39 +28,82 @@ def accepted(frames: DataFrame, *, delay: str = "10 seconds") -> DataFrame:
     return frames.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session", "frame_no"])
 
 
-def stateful(frames: DataFrame, out: T.StructType, state: T.StructType, step: Callable) -> DataFrame:
-    """Runs step(session, rows in order, state or None) -> (output, state) over each session's micro-batch."""
+def stateful(frames: DataFrame, columns: list[str], out: T.StructType, state: T.StructType, step: Callable, *, idle: float = 60.0) -> DataFrame:
+    """Runs step(session, rows in order, state or None, last) -> (output, state) over the frames of each session that the watermark has passed; last says that the session has ended.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("frame_no")
-        result, new = step(key[0], rows, held.get if held.exists else None)
-        held.update(new)
-        yield result
+    columns: what step needs beside frame_no.
+    """
+    kinds = {f.name: f.dataType for f in frames.schema}
+    waiting = T.StructType([T.StructField("frame_no", T.LongType()), T.StructField("ts", T.LongType()), *(T.StructField(c, kinds[c]) for c in columns)])
+    full = T.StructType([*state.fields, T.StructField("waiting", T.ArrayType(waiting)), T.StructField("started", T.BooleanType())])
 
-    return frames.groupBy("session").applyInPandasWithState(run, out, state, "append", "NoTimeout")
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        values = held.get if held.exists else None
+        pending = [tuple(w) for w in values[-2]] if values else []
+        for b in batches:
+            pending += list(zip(b["frame_no"].tolist(), b["_ms"].tolist(), *(b[c].tolist() for c in columns), strict=True))
+        ended = held.hasTimedOut
+        now = held.getCurrentWatermarkMs()
+        due = sorted((w for w in pending if ended or w[1] <= now), key=lambda w: w[0])
+        pending = [w for w in pending if not ended and w[1] > now]
+        rows = pd.DataFrame(due, columns=["frame_no", "ts", *columns])
+        before = values[:-2] if values and values[-1] else None
+        started = before is not None or bool(due)
+        if due or (ended and started):
+            result, new = step(key[0], rows, before, ended)
+            yield result
+        else:
+            new = before if before is not None else tuple(None for _ in state.fields)
+        if ended:
+            held.remove()
+            return
+        held.update((*new, [tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in w) for w in pending], started))
+        # a timeout is the next time the watermark passes what waits, or the session's end
+        last = max([w[1] for w in pending], default=now)
+        held.setTimeoutTimestamp(max(last, now) + int(idle * 1000))
+
+    rows = frames.select("session", "frame_no", "ts", F.unix_millis("ts").alias("_ms"), *columns)
+    return rows.groupBy("session").applyInPandasWithState(run, out, full, "append", "EventTimeTimeout")
 
 
 def buffers(frames: DataFrame, *, size: int = 50) -> DataFrame:
-    """ST1: session, buffer, first_frame, frames, mean of each full buffer of `size` consecutive frames; the rest waits for more."""
+    """ST1: session, buffer, first_frame, frames, numbers and values of each full buffer of `size` consecutive frames, in order; a session's end gives its last, shorter one."""
 
-    def step(session, rows, state):
-        number, numbers, values = (state[0], list(state[1]), list(state[2])) if state else (0, [], [])
-        last = numbers[-1] if numbers else -1
+    def step(session, rows, state, ended):
+        number, numbers, values = (state[0], list(state[1]), [list(v) for v in state[2]]) if state else (0, [], [])
         out = []
-        for n, v in zip(rows["frame_no"], rows["v"], strict=True):
-            if n <= last:
-                continue
-            last = int(n)
-            numbers.append(last)
-            values.append(float(np.mean(v)))
+        for n, v in zip(rows["frame_no"].tolist(), rows["v"], strict=True):
+            numbers.append(n)
+            values.append([float(x) for x in v])
             if len(numbers) == size:
-                out.append((session, number, numbers[0], size, float(np.mean(values))))
+                out.append((session, number, numbers[0], size, numbers, values))
                 number, numbers, values = number + 1, [], []
-        return pd.DataFrame(out, columns=["session", "buffer", "first_frame", "frames", "mean"]), (number, numbers, values)
+        if ended and numbers:
+            out.append((session, number, numbers[0], len(numbers), numbers, values))
+        return pd.DataFrame(out, columns=["session", "buffer", "first_frame", "frames", "numbers", "values"]), (number, numbers, values)
+
+    whole = T.ArrayType(T.LongType()), T.ArrayType(T.ArrayType(T.DoubleType()))
+    schema = T.StructType([T.StructField("session", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("buffer", "first_frame", "frames")), T.StructField("numbers", whole[0]), T.StructField("values", whole[1])])
+    state = T.StructType([T.StructField("number", T.LongType()), T.StructField("numbers", whole[0]), T.StructField("values", whole[1])])
+    return stateful(frames, ["v"], schema, state, step)
+
+
+def scored_buffers(buffered: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """ST2: buffers with scores, the matrix applied to each of a buffer's frames, in their order; the matrix stays with the task from buffer to buffer. Buffers with a frame of a wrong width or with values that are not finite have valid false and no scores."""
+    matrix = np.asarray(matrix, dtype=np.float64)
+    schema = T.StructType([*buffered.schema.fields, T.StructField("valid", T.BooleanType()), T.StructField("scores", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    at = buffered.columns.index("values")
+
+    def run(batches):
+        for b in batches:
+            scores = []
+            for x in b.column(at).to_pylist():
+                good = all(len(v) == matrix.shape[1] for v in x) and np.isfinite(np.array(x, dtype=np.float64)).all()
+                scores.append((np.array(x, dtype=np.float64) @ matrix.T).tolist() if good else None)
+            kind = pa.list_(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s is not None for s in scores]), pa.array(scores, kind)], names=schema.names)
 
-    schema = T.StructType([T.StructField("session", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("buffer", "first_frame", "frames")), T.StructField("mean", T.DoubleType())])
-    state = T.StructType([T.StructField("number", T.LongType()), T.StructField("numbers", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
-    return stateful(frames.select("session", "frame_no", "v"), schema, state, step)
+    return buffered.mapInArrow(run, schema)
 
 
 def scored(frames: DataFrame, matrix: np.ndarray, *, out: str = "score") -> DataFrame:
@@ -71,12 +116,10 @@ def scored(frames: DataFrame, matrix: np.ndarray, *, out: str = "score") -> Data
 def epochs(frames: DataFrame, *, size: int = 250) -> DataFrame:
     """ST3: each frame minus its reference, the first of an epoch; a new epoch after `size` frames, a reset or a gap."""
 
-    def step(session, rows, state):
+    def step(session, rows, state, ended):
         last, epoch, seen, reference = (state[0], state[1], state[2], np.array(state[3])) if state else (None, -1, 0, None)
         out = []
         for n, v, reset in zip(rows["frame_no"], rows["v"], rows["reset"], strict=True):
-            if last is not None and n <= last:
-                continue
             v = np.asarray(v, dtype=np.float64)
             if last is None or reset or n != last + 1 or seen == size:
                 epoch, seen, reference = epoch + 1, 0, v
@@ -86,7 +129,7 @@ def epochs(frames: DataFrame, *, size: int = 250) -> DataFrame:
 
     schema = T.StructType([*KEY, T.StructField("epoch", T.LongType()), T.StructField("delta", T.ArrayType(T.DoubleType()))])
     state = T.StructType([T.StructField("last", T.LongType()), T.StructField("epoch", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("reference", T.ArrayType(T.DoubleType()))])
-    return stateful(frames.select("session", "frame_no", "v", "reset"), schema, state, step)
+    return stateful(frames, ["v", "reset"], schema, state, step)
 
 
 def causal_lowpass(frames: DataFrame, *, rate: float, cutoff: float = 5.0, warm_up: int = 50) -> DataFrame:
@@ -94,10 +137,8 @@ def causal_lowpass(frames: DataFrame, *, rate: float, cutoff: float = 5.0, warm_
     b, a = butterworth(3, cutoff, rate)
     rest = steady_state(b, a)
 
-    def step(session, rows, state):
+    def step(session, rows, state, ended):
         last, seen, z = (state[0], state[1], np.array(state[2]).reshape(-1, len(rest)) if state[2] else None) if state else (None, 0, None)
-        rows = rows[rows["frame_no"] > last] if last is not None else rows
-        rows = rows.drop_duplicates("frame_no")
         if rows.empty:
             return pd.DataFrame([], columns=["session", "frame_no", "v", "filtered", "valid"]), (last, seen, [] if z is None else z.ravel().tolist())
         x = np.stack(rows["v"].to_numpy()).astype(np.float64)
@@ -111,7 +152,7 @@ def causal_lowpass(frames: DataFrame, *, rate: float, cutoff: float = 5.0, warm_
     array = T.ArrayType(T.DoubleType())
     schema = T.StructType([*KEY, T.StructField("v", array), T.StructField("filtered", array), T.StructField("valid", T.BooleanType())])
     state = T.StructType([T.StructField("last", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("z", array)])
-    return stateful(frames.select("session", "frame_no", "v"), schema, state, step)
+    return stateful(frames, ["v"], schema, state, step)
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:

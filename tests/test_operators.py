@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from beatframe.functions.quantiles import exact_percentiles
 from beatframe.operators import checks, corpus, joins, linear, mesh, metrics, projections, select, signals, templates
 from beatframe.sources import io
 from beatframe.streaming import frames as streaming
@@ -118,11 +119,31 @@ def test_categorical_raster(spark):
     assert [[p[c * 2 + r] for c in range(2)] for r in range(2)] == [[5, 0], [3, 4]]
 
 
-def test_clip_area():
-    square = [(0, 0), (2, 0), (0, 2)]
-    assert mesh.clip_area(square, (0, 1, 0, 1)) == pytest.approx(1.0)
-    assert mesh.clip_area(square, (0, 2, 0, 2)) == pytest.approx(2.0)
-    assert mesh.clip_area(square, (3, 4, 3, 4)) == 0.0
+def cut(corners, box):
+    """Area of a polygon inside a box, by cutting it along the four sides."""
+    poly = list(corners)
+    for axis, bound, sign in ((0, box[0], 1), (0, box[1], -1), (1, box[2], 1), (1, box[3], -1)):
+        out = []
+        for p, q in zip(poly, poly[1:] + poly[:1]):
+            x, y = sign * (p[axis] - bound), sign * (q[axis] - bound)
+            if x >= 0:
+                out.append(p)
+            if x * y < 0:
+                out.append(tuple(p[i] + x / (x - y) * (q[i] - p[i]) for i in (0, 1)))
+        poly = out
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(poly, poly[1:] + poly[:1]))) / 2
+
+
+def test_clipped_area(spark):
+    rng = np.random.default_rng(4)
+    cases = [([(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)], box) for box in ((0.0, 1.0, 0.0, 1.0), (0.0, 2.0, 0.0, 2.0), (3.0, 4.0, 0.0, 1.0))]
+    for _ in range(300):
+        x, y = np.sort(rng.uniform(-1, 1, (2, 2)))
+        cases.append(([tuple(map(float, p)) for p in rng.uniform(-1.5, 1.5, (3, 2)).round(1)], (x[0], x[1], y[0], y[1])))
+    d = spark.createDataFrame([([list(p) for p in t], *map(float, box)) for t, box in cases], "c array<array<double>>, x0 double, x1 double, y0 double, y1 double")
+    got = [r["a"] for r in d.select(mesh.clipped_area(F.col("c"), *[F.col(n) for n in ("x0", "x1", "y0", "y1")]).alias("a")).collect()]
+    assert got == pytest.approx([cut(t, box) for t, box in cases], abs=1e-12)
+    assert got[:3] == pytest.approx([1.0, 2.0, 0.0])
 
 
 def test_image_map_rows_sum_to_one(spark):
@@ -206,11 +227,92 @@ def test_correlation_of_a_constant_is_nan(spark):
 
 def test_augmentation_does_not_depend_on_partitions(spark):
     f = good_frames(spark).select("anatomy_id", "frame_no", "v")
-    a, b = (corpus.augment(x, "v", key="anatomy_id", order="frame_no", seed=5).orderBy("anatomy_id", "frame_no").toPandas() for x in (f, f.repartition(7)))
+    a, b = (corpus.augment(x, "v", key="anatomy_id", order="frame_no", seed=5)[0].orderBy("anatomy_id", "frame_no").toPandas() for x in (f, f.repartition(7)))
     assert np.allclose(np.stack(a["augmented"]), np.stack(b["augmented"]))
     assert not np.allclose(np.stack(a["augmented"]), np.stack(f.orderBy("anatomy_id", "frame_no").toPandas()["v"]))
 
 
+def test_acquisition_effects_scale_with_their_channels():
+    x = np.random.default_rng(0).normal(size=(500, 6)) * np.array([1, 1, 1, 1, 1, 100.0]) + 5
+    off = dict.fromkeys(corpus.EFFECTS, 0.0)
+    same, done = corpus.acquisition_effects(x, np.random.default_rng(1), off)
+    assert np.allclose(same, x) and done["artifact_events"] == [] and done["current_gain"] == 1
+    gained, done = corpus.acquisition_effects(x, np.random.default_rng(1), {**off, "channel_gain_sd": 0.1, "current_gain_sd": 0.1})
+    assert np.allclose(gained, x * done["current_gain"] * np.array(done["channel_gain"]))
+    noisy, _ = corpus.acquisition_effects(x, np.random.default_rng(1), {**off, "white_noise_rel": 0.1})
+    assert (noisy - x).std(axis=0) / x.std(axis=0) == pytest.approx(np.full(6, 0.1), rel=0.15)
+    jumped, done = corpus.acquisition_effects(x, np.random.default_rng(1), {**off, "artifact_probability": 1.0, "artifact_scale": 3.0})
+    assert {tuple(p) for p in np.argwhere(~np.isclose(jumped, x))} == {(e["frame"], c) for e in done["artifact_events"] for c in e["channels"]}
+
+
+def test_groups_of_any_size_have_exact_percentiles(spark):
+    rng = np.random.default_rng(7)
+    values = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0], 500), "c": [4.0], None: rng.normal(size=40)}
+    d = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("d", None)], "k string, x double")
+    got = {r["k"]: (r["low"], r["mid"], r["top"]) for r in exact_percentiles(d, ["k"], "x", {"low": 0.005, "mid": 0.5, "top": 1.0}, accuracy=100).collect()}
+    assert got.pop("d") == (None, None, None)
+    for k, v in values.items():
+        assert got[k] == pytest.approx(tuple(np.quantile(v, [0.005, 0.5, 1.0])))
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_nearest_entry_over_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    x, m = rng.normal(size=(40, 5)), rng.normal(size=(60, 5)).round(1)
+    m[30:] = m[:30]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    bank = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "b long, w array<double>")
+    got = {r["k"]: (r["b"], r["distance"]) for r in joins.nearest(d, bank, key="k", vector="v", bank_key="b", bank_vector="w", block=block).collect()}
+    far = np.square(x[:, None] - m[None]).mean(axis=2)
+    assert [got[i][0] for i in range(40)] == far.argmin(axis=1).tolist()
+    assert [got[i][1] for i in range(40)] == pytest.approx(far.min(axis=1))
+    assert joins.nearest(d, bank.limit(0), key="k", vector="v", bank_key="b", bank_vector="w").filter("b is null").count() == 40
+
+
+def test_large_matrices_are_joined_instead(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    coo = spark.createDataFrame([(int(r), int(c), float(v)) for r, c, v in zip(rng.integers(0, 9, 30), rng.integers(0, 6, 30), rng.normal(size=30))], "row long, col long, value double")
+    f = spark.createDataFrame([(i, rng.normal(size=4 + i % 3).tolist()) for i in range(10)], "k long, v array<double>")
+    small = {(r["k"], r["row"]): r["y"] for r in mesh.apply_sparse(coo, f, ["k"], "v").collect()}
+    monkeypatch.setattr(linear, "MAX_MATRIX", 10)
+    large = {(r["k"], r["row"]): r["y"] for r in mesh.apply_sparse(coo, f, ["k"], "v").collect()}
+    assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k]) for k in small)
+
+
+def test_template_modes(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(50, 4)) + 3
+    t, w = templates.rank_one(v)
+    assert np.allclose(templates.template(v, "row"), np.outer(t, w)[np.abs(t).argmax()])
+    assert np.allclose(templates.template(np.full((50, 4), 2.5), "row"), 0) and np.allclose(templates.template(np.full((50, 4), 2.5), "absolute"), 0)
+
+
+def test_blockwise_filter_equals_the_recursion():
+    b, a = templates.butterworth(3, 5.0, 50.0)
+    x, z = np.random.default_rng(8).normal(size=1000), np.array([0.3, -0.2, 0.1])
+    state, want = z.copy(), []
+    for v in x:
+        y = b[0] * v + state[0]
+        state = np.append(state[1:], 0.0) + b[1:] * v - a[1:] * y
+        want.append(y)
+    got, after = templates.run_filter(b, a, x, z)
+    assert np.allclose(got, want) and np.allclose(after, state)
+
+
+def test_calibration_of_a_silent_reference(spark):
+    d = spark.createDataFrame([([4.0, 0.0], [2.0, 0.0], [1.0, 0.0]), ([1.0, 1.0], [0.0, 0.0], [1.0, 1.0])], "v array<double>, r array<double>, m array<double>")
+    rows = linear.calibrated(d, voltage="v", reference="r", model0="m").collect()
+    assert [(r["alpha"], r["differential"]) for r in rows] == [(0.5, [2.0, 0.0]), (1.0, [1.0, 1.0])]
+
+
+def test_a_turned_vessel_holds_what_lies_along_it(spark):
+    p = spark.createDataFrame([(0, 0.0, 0.4), (1, 0.4, 0.0), (2, 0.0, 1.2)], "elem_id long, x double, y double")
+    v = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.5, 0.1, float(np.pi / 2))], "frame long, slot int, center_x double, center_y double, radius_x double, radius_y double, angle double")
+    rows = {r["elem_id"]: r for r in mesh.vessel_targets(p, v, "frame").collect()}
+    assert rows[0]["hard"] and not rows.get(1, {"hard": False})["hard"] and not rows[2]["hard"]
+    assert rows[0]["soft"] == pytest.approx([np.exp(-0.5 * 0.64 / 1.25**2), 0.0]) and rows[2]["soft"][0] == pytest.approx(np.exp(-0.5 * 5.76 / 1.25**2))
+
+
 # -- sources
 
 
@@ -261,25 +363,31 @@ def test_fingerprints(spark, tmp_path):
 
 
 def stream(spark, tmp_path, frames, job):
-    """Runs a streaming job over the frames in several files and gives its rows."""
+    """Runs a streaming job over the frames in several files, then over another session's frame long after, and gives the first session's rows."""
     source, at = tmp_path / "in", tmp_path / "out"
     for i in range(4):
         frames.filter(F.floor(F.col("frame_no") / 40) == i).coalesce(1).write.parquet(f"{source}/part{i}")
+    for i in (4, 5):
+        frames.filter("frame_no = 0").withColumn("session", F.lit("later")).withColumn("frame_no", F.lit(i).cast("long")).withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(i))).coalesce(1).write.parquet(f"{source}/part{i}")
     s = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/part*")
     q = job(streaming.accepted(s)).writeStream.format("parquet").option("path", str(at)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    return spark.read.parquet(str(at))
+    out = spark.read.parquet(str(at))
+    return out.filter("session = 's'") if "session" in out.columns else out
 
 
 @pytest.fixture(scope="module")
 def live(spark):
-    rows = [("s", i, datetime(2024, 1, 1) + timedelta(milliseconds=20 * i), [float(np.sin(i / 5)), float(i)], i == 70) for i in range(160)]
+    """160 frames; the files that stream() cuts overlap in time, as frames 30 to 49 come in the order of their last digit."""
+    at = lambda i: 30 + 2 * (i - 30) if 30 <= i < 40 else 31 + 2 * (i - 40) if 40 <= i < 50 else i
+    rows = [("s", i, datetime(2024, 1, 1) + timedelta(milliseconds=20 * at(i)), [float(np.sin(i / 5)), float(i)], i == 70) for i in range(160)]
     return spark.createDataFrame(rows, "session string, frame_no long, ts timestamp, v array<double>, reset boolean")
 
 
 def test_streamed_buffers(spark, tmp_path, live):
     rows = stream(spark, tmp_path, live, lambda d: streaming.buffers(d, size=50)).orderBy("buffer").collect()
-    assert [(r["buffer"], r["first_frame"], r["frames"]) for r in rows] == [(0, 0, 50), (1, 50, 50), (2, 100, 50)]
+    assert [(r["buffer"], r["first_frame"], r["frames"]) for r in rows] == [(0, 0, 50), (1, 50, 50), (2, 100, 50), (3, 150, 10)]
+    assert [n for r in rows for n in r["numbers"]] == list(range(160)) and [v[1] for r in rows for v in r["values"]] == list(range(160))
 
 
 def test_streamed_epochs_equal_the_batch(spark, tmp_path, live):
@@ -299,6 +407,13 @@ def test_streamed_filter_equals_one_pass(spark, tmp_path, live):
 
 def test_streamed_scores_equal_the_batch(spark, tmp_path, live):
     m = np.array([[1.0, 2.0]])
-    got = stream(spark, tmp_path, live, lambda d: streaming.scored(d, m).select("frame_no", "score")).orderBy("frame_no").toPandas()
+    got = stream(spark, tmp_path, live, lambda d: streaming.scored(d, m).select("session", "frame_no", "score")).orderBy("frame_no").toPandas()
     want = streaming.scored(live, m).orderBy("frame_no").toPandas()
     assert np.allclose(np.stack(got["score"]), np.stack(want["score"]))
+
+
+def test_streamed_buffers_are_scored_in_order(spark, tmp_path, live):
+    m = np.array([[1.0, 2.0]])
+    rows = stream(spark, tmp_path, live, lambda d: streaming.scored_buffers(streaming.buffers(d, size=50), m)).orderBy("buffer").collect()
+    assert all(r["valid"] for r in rows)
+    assert np.allclose([s[0] for r in rows for s in r["scores"]], [np.sin(i / 5) + 2 * i for i in range(160)])
