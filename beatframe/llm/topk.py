@@ -9,93 +9,185 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beatframe.llm.common import table
+from beatframe.llm.common import stored, table
 
+LEAST = -(1 << 62)
 
-def matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    flat = column.combine_chunks()
-    values = np.asarray(flat.flatten(), dtype=dtype)
-    return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 0), dtype)
 
+def spread_pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """n rows of the sample, each the farthest from those before it (the first is the longest)."""
+    if not len(sample):
+        return sample
+    chosen = [int(np.square(sample).sum(axis=1).argmax())]
+    far = np.square(sample - sample[chosen[0]]).sum(axis=1)
+    while len(chosen) < n and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, np.square(sample - sample[chosen[-1]]).sum(axis=1))
+    return sample[chosen]
 
-def search(q: np.ndarray, q_piv: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_piv: np.ndarray, c_ids: np.ndarray, k: int, step: int = 256):
-    """(query row, candidate row, score) of each query's k best candidates of another id; ties to smaller ids.
 
-    Distances satisfy |d(q,p) - d(c,p)| <= d(q,c) for every pivot p, and 2 q.c = |q|^2 + |c|^2 - d(q,c)^2,
-    so the largest of these lower bounds gives an upper bound of the score. Candidates are scored in the
-    order of that bound until the k-th best score exceeds every bound that is left.
+class Pivots:
+    """The pivot table's side: distances to all pivots, and what they say about a vector.
+
+    d(x, p)^2 = |x|^2 + |p|^2 - 2 x.p, so a vector's length and distances give its products with the pivots,
+    and with them its place in the space the pivots span and how far it lies outside it. Two vectors are at
+    least as far apart as their places and those distances are: the largest lower bound that pivots
+    can give (no single |d(q,p) - d(c,p)| is above it). As 2 q.c = |q|^2 + |c|^2 - d(q,c)^2, it bounds the
+    product from above by the product of the rows of places().
+    """
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots.astype(np.float64)
+        self.norms = np.square(self.pivots).sum(axis=1)
+        values, vectors = np.linalg.eigh(self.pivots @ self.pivots.T)
+        good = values > 1e-9 * max(values.max(initial=0.0), 1e-300)
+        self.white = vectors[:, good] / np.sqrt(values[good])
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(np.square(x).sum(axis=1)[:, None] + self.norms[None] - 2 * x @ self.pivots.T, 0))
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Coordinates in the pivots' span and, last, the length of the rest, from lengths and distances alone."""
+        size = np.square(x).sum(axis=1)
+        y = (size[:, None] + self.norms[None] - np.square(self.distances(x))) / 2 @ self.white
+        return np.concatenate([y, np.sqrt(np.maximum(size - np.square(y).sum(axis=1), 0))[:, None]], axis=1)
+
+
+class Best:
+    """The k best (score, smaller id, smaller row) of each query so far, as columns; scores below `least` never count."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.k, self.least = k, least.copy()
+        self.score = np.full((len(least), k), LEAST, dtype=np.int64)
+        self.id, self.row = np.zeros_like(self.score), np.zeros_like(self.score)
+
+    def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """More candidates, by query; the threshold of a query is then its k-th score, if it has k."""
+        some = np.unique(q)
+        own = np.repeat(some, self.k)
+        s, i, r = np.concatenate([self.score[some].ravel(), score]), np.concatenate([self.id[some].ravel(), ids]), np.concatenate([self.row[some].ravel(), rows])
+        who = np.concatenate([own, q])
+        order = np.lexsort((r, i, -s, who))
+        who = who[order]
+        begin = np.searchsorted(who, some)
+        at = order[begin[:, None] + np.arange(self.k)[None]]
+        self.score[some], self.id[some], self.row[some] = s[at], i[at], r[at]
+        self.least[some] = np.maximum(self.least[some], self.score[some, -1])
+
+
+def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Row-wise products of integers: float64 is exact below 2**53, larger ones take Python integers."""
+    if len(q) and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] >= 2.0**53:
+        return np.array([int(sum(int(a) * int(b) for a, b in zip(x, y, strict=True))) for x, y in zip(q, c, strict=True)], dtype=np.int64)
+    return np.einsum("ij,ij->i", q, c).astype(np.int64)
+
+
+def scan(best: Best, q: np.ndarray, q_place: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_place: np.ndarray, c_ids: np.ndarray, c_row: np.ndarray, step: int = 16) -> int:
+    """Takes candidates into best; returns how many products it evaluated.
+
+    Each query evaluates candidates in the order of their bounds, `step` at a time, until its k-th best
+    score exceeds every bound that is left.
     """
-    low = np.zeros((len(q), len(c)), dtype=np.float32)
-    for p in range(q_piv.shape[1]):
-        np.maximum(low, np.abs(q_piv[:, p, None] - c_piv[None, :, p]), out=low)
-    # float64 products of integers are exact below 2**53; larger ones take Python integers
-    big = len(c) and len(q) and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] >= 2.0**53
-    qn, cn = (np.square(x.astype(np.float64)).sum(1) for x in (q, c))
-    slack = 1e-3 * (1 + qn[:, None] + cn[None, :]) if len(c) else 0
-    bound = (qn[:, None] + cn[None, :] - np.square(low.astype(np.float64))) / 2 + slack
-    qf, cf = (q.astype(object), c.astype(object)) if big else (q.astype(np.float64), c.astype(np.float64))
-    out = []
-    for i in range(len(q)):
-        other = np.flatnonzero(c_ids != q_ids[i])
-        order = other[np.argsort(-bound[i, other], kind="stable")]
-        best: list[tuple] = []
-        at = 0
-        while at < len(order) and (len(best) < k or bound[i, order[at]] >= best[-1][0] * -1):
-            some = order[at : at + step]
-            best = sorted([*best, *zip((-(cf[some] @ qf[i])).tolist(), c_ids[some].tolist(), some.tolist(), strict=True)])[:k]
-            at += step
-        out += [(i, j, -int(s)) for s, _, j in best]
-    return out
-
-
-def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, ids: str = "vec_id", vector: str = "embedding", scale: int = 256, pivots: int = 32, query_block: int = 1024, candidate_block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by every, the k largest integer inner products with rows of other ids.
-
-    Components become floor(scale * x). Distances of every vector to the pivots (the vectors of least hash)
-    are computed once and travel with it. Queries and candidates meet block by block, whole tables on
-    both sides, so a task holds one block of each; only each block's k best go on.
+    bound = q_place @ c_place.T
+    bound += 1e-9 * (1 + np.square(q_place).sum(axis=1)[:, None] + np.square(c_place).sum(axis=1)[None])  # rounding
+    qi, ci = np.nonzero(bound >= best.least[:, None])
+    other = q_row[qi] != c_row[ci]
+    qi, ci = qi[other], ci[other]
+    b = bound[qi, ci]
+    order = np.lexsort((-b, qi))
+    qi, ci, b = qi[order], ci[order], b[order]
+    place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+    done, evaluated = 0, 0
+    while len(qi):
+        now = place < done + step
+        x, y = qi[now], ci[now]
+        evaluated += len(x)
+        best.add(x, exact(q[x], c[y]), c_ids[y], c_row[y])
+        done += step
+        left = ~now & (b >= best.least[qi])
+        qi, ci, b, place = qi[left], ci[left], b[left], place[left]
+    return evaluated
+
+
+def matrix(column, dtype, width: int) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=dtype).reshape(-1, width)
+
+
+def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, ids: str = "vec_id", vector: str = "embedding", scale: int = 256, pivots: int = 48, sample_rows: int = 4096, chunk_bytes: int = 64_000_000, tile: int = 512) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id is divisible by every, the k largest integer inner products with all other rows.
+
+    Components become floor(scale * x). Pivots are spread rows of a bounded sample (sample_rows vectors of
+    least hash); a vector's distances to them are computed once. Queries go to the tasks in chunks
+    of chunk_bytes, one broadcast at a time, and every task scans its candidates once for a chunk: no
+    vector is shuffled or copied for pairs. A query's first threshold is its k-th score in the sample, and
+    a task's own k-th score after that; only each task's k best go on.
 
     Left out: null ids, null vectors, vectors with null or non-finite components, and vectors of another
-    length than the most common one. Rows that repeat id and vector count once; other rows with one id are
-    not each other's candidates. Fewer than k candidates: all of them. Empty table: no rows.
+    length than the most common one. Rows that repeat an id are rows of their own: each is a query, and a
+    candidate of the others; ties go to the smaller id. Fewer than k candidates: all of them. Empty table: no rows.
     """
     spark = vectors.sparkSession
     x = vectors.select(F.col(ids).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     x = x.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    x = x.select("id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("x")).distinct()
+    x = stored(x.select("id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("x"), F.monotonically_increasing_id().alias("row")))
     sizes = {r["n"]: r["count"] for r in x.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()}
-    dim, total = next(iter(sizes.items()), (0, 0))
+    dim = next(iter(sizes), 0)
     x = x.filter(F.size("x") == dim)
-    found = [r["x"] for r in x.select("x").orderBy(F.xxhash64("x"), "x").limit(pivots).collect()]
-    marks = np.array(found, dtype=np.float64).reshape(len(found), dim)
-
-    def distances(batches):
+    schema = "query_id bigint, q_row bigint, vec_id bigint, c_row bigint, score bigint"
+    if not dim:
+        return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+    found = x.orderBy(F.xxhash64("x"), "id", "row").limit(sample_rows).collect()
+    sample, sample_rows_ = np.array([r["x"] for r in found], dtype=np.float64), np.array([r["row"] for r in found], dtype=np.int64)
+    sample_ids = np.array([r["id"] for r in found], dtype=np.int64)
+    table_ = Pivots(spread_pivots(sample, pivots))
+
+    def seeds(batches):
+        at = table_.places(sample)
         for b in batches:
-            v = matrix(pa.chunked_array([b.column(1)]), np.float64)
-            d = np.sqrt(np.maximum(np.square(v).sum(1)[:, None] + np.square(marks).sum(1)[None] - 2 * v @ marks.T, 0)).astype(np.float32) if len(v) else np.zeros((0, len(marks)), np.float32)
-            pivot = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * len(marks), pa.array(d.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pivot], names=["id", "x", "pivot"])
-
-    x = x.mapInArrow(distances, "id bigint, x array<bigint>, pivot array<float>")
-    queries = x.filter(F.col("id") % every == 0)
-    n_q = max(1, math.ceil(total / every / query_block))
-    n_c = max(1, math.ceil(total / candidate_block))
-    block = lambda n: F.pmod(F.xxhash64("id", "x"), F.lit(n)).cast("int")
-    q = queries.withColumn("qb", block(n_q)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    c = x.withColumn("cb", block(n_c)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        if not len(left) or not len(right):
-            return pa.table([[], [], []], schema=schema)
-        qi, ci = (np.asarray(t["id"]) for t in (left, right))
-        found = search(matrix(left["x"], np.int64), matrix(left["pivot"], np.float32), qi, matrix(right["x"], np.int64), matrix(right["pivot"], np.float32), ci, k)
-        return pa.table([[int(qi[i]) for i, _, _ in found], [int(ci[j]) for _, j, _ in found], [s for _, _, s in found]], schema=schema)
-
-    met = q.groupBy("cb", "qb").cogroup(c.groupBy("cb", "qb")).applyInArrow(meet, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for a in range(0, b.num_rows, tile):
+                part = b.slice(a, tile)
+                q, row = matrix(part.column(1), np.float64, dim), np.asarray(part.column(2))
+                best = Best(np.full(len(q), LEAST, dtype=np.int64), k)
+                scan(best, q, table_.places(q), row, sample, at, sample_ids, sample_rows_)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best.least)], names=["id", "x", "row", "least"])
+
+    size = max(1, chunk_bytes // (8 * dim))
+    asked = x.filter(F.col("id") % every == 0)
+    queries = stored(asked.mapInArrow(seeds, "id bigint, x array<bigint>, row bigint, least bigint"))
+    chunks = max(1, math.ceil(queries.count() / size))
+    out = None
+    for chunk in range(chunks):
+        some = queries.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == chunk).orderBy("id", "row").toArrow()
+        if not len(some):
+            continue
+        q = matrix(some["x"].combine_chunks(), np.float64, dim)
+        shared = spark.sparkContext.broadcast((q, table_.places(q), np.asarray(some["id"]), np.asarray(some["row"]), np.asarray(some["least"])))
+
+        def search(batches, shared=shared):
+            q, q_place, q_id, q_row, least = shared.value
+            tiles = [(slice(a, a + tile), Best(least[a : a + tile], k)) for a in range(0, len(q), tile)]
+            for b in batches:
+                for a in range(0, b.num_rows, 4 * tile):
+                    part = b.slice(a, 4 * tile)
+                    c, c_ids, c_row = matrix(part.column(1), np.float64, dim), np.asarray(part.column(0)), np.asarray(part.column(2))
+                    c_place = table_.places(c)
+                    for at, best in tiles:
+                        scan(best, q[at], q_place[at], q_row[at], c, c_place, c_ids, c_row)
+            for at, best in tiles:
+                i, j = np.nonzero(best.score > LEAST)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (q_id[at][i], q_row[at][i], best.id[i, j], best.row[i, j], best.score[i, j])], names=["query_id", "q_row", "vec_id", "c_row", "score"])
+
+        part = x.select("id", "x", "row").mapInArrow(search, schema)
+        if chunks > 1:
+            part = stored(part)
+            shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("query_id", "q_row").orderBy(F.desc("score"), "vec_id", "c_row"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk(spark, sf_dir: str) -> DataFrame:
+    """top_k over all embeddings; see there."""
     return top_k(table(spark, sf_dir, "embeddings"))
