@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beatframe.llm.common import table
+from beatframe.llm.common import stored, table
 
-CAPACITIES = (512, 1024, 2048, 4096)
+#: Permitted sequence lengths.
+CAPACITIES = tuple(range(512, 4097, 512))
 
 
 def word_count(text: Column) -> Column:
@@ -19,24 +20,43 @@ def word_count(text: Column) -> Column:
 
 
 def cost(capacity: int) -> float:
-    """What a sequence costs: its tokens, and attention over them."""
-    return capacity * (1 + capacity / 16384)
+    """What a sequence costs: the tokens that are computed for it, padding included, and a fixed part."""
+    return capacity + 8
+
+
+def expected(length: int, size: int, left: dict[int, int], lengths: int) -> int:
+    """What a bin of that size would hold if it took this length, and then the longest of those that are left, again and again."""
+    room, used = size - length, length
+    taken = {length: 1}
+    while fit := lengths & ((1 << (room + 1)) - 1):
+        n = fit.bit_length() - 1
+        most = min(left[n] - taken.get(n, 0), room // n)
+        if most:
+            used, room = used + most * n, room - most * n
+            taken[n] = taken.get(n, 0) + most
+        lengths = fit & ~(1 << n)
+    return used
 
 
 def best_fit(lengths: list[int], capacities: tuple[int, ...]) -> list[tuple[int, int, int]]:
     """(bin, capacity, offset) of each length, none above the largest capacity.
 
-    Longest first, each into the open bin that it leaves with the least room. Where none has room, the bin
-    size opens that costs least for each token it can expect: its contents grow by what is still to come.
-    In the end each bin shrinks to the least permitted size that holds its contents.
+    Longest first, each into the open bin that it leaves with the least room (the one that opened last, of several).
+    Where none has room, all permitted sizes are weighed by what is left to pack: each size's cost, once it has
+    shrunk to its expected contents, for each token of them; the least one opens, the smaller on ties. In
+    the end each bin shrinks to the least permitted size that holds its contents.
     """
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    rest = sum(lengths)
-    room_of: list[int] = []
+    left: dict[int, int] = {}
+    for n in lengths:
+        if n:
+            left[n] = left.get(n, 0) + 1
+    some = sum(1 << n for n in left)  # bit n: a piece of length n is left
     used: list[int] = []
     open_with: dict[int, list[int]] = {}
     rooms = 0  # bit r: some bin has room r
     where = [(0, 0)] * len(lengths)
+    least = lambda u: capacities[bisect_left(capacities, max(1, u))]
     for i in order:
         n = lengths[i]
         if over := rooms >> n:
@@ -45,17 +65,24 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...]) -> list[tuple[int,
             if not open_with[room]:
                 rooms &= ~(1 << room)
         else:
-            size = min((c for c in capacities if c >= n), key=lambda c: (cost(c) / max(1, min(c, rest)), c))
-            b, room = len(used), size
+            weighed = []
+            for c in capacities:
+                if c >= n:
+                    u = expected(n, c, left, some) if n else 0
+                    weighed.append((cost(least(u)) / max(1, u), c))
+            room = min(weighed)[1]
+            b = len(used)
             used.append(0)
-            room_of.append(size)
         where[i] = (b, used[b])
         used[b] += n
-        rest -= n
-        if left := room - n:
-            open_with.setdefault(left, []).append(b)
-            rooms |= 1 << left
-    final = [capacities[bisect_left(capacities, max(1, u))] for u in used]
+        if n:
+            left[n] -= 1
+            if not left[n]:
+                some &= ~(1 << n)
+        if rest := room - n:
+            open_with.setdefault(rest, []).append(b)
+            rooms |= 1 << rest
+    final = [least(u) for u in used]
     return [(b, final[b], offset) for b, offset in where]
 
 
@@ -67,12 +94,13 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacities
     groups never mix, which costs at most a few open bins for each group. No piece is dropped.
 
     Null and empty texts have one piece of 0 tokens. Repeated rows are told apart by copy (from 1) and
-    are packed each. Null keys are a value of their own. Empty table: no rows.
+    are packed each. Null keys are a value of their own. Texts of any length are cut and packed whole. Empty
+    table: no rows.
     """
     capacities = tuple(sorted(capacities))
     most = capacities[-1]
     rows = docs.select(F.col(key).alias("key"), F.coalesce(tokens(F.col(text)), F.lit(0)).alias("n"), F.xxhash64(text).alias("h"))
-    rows = rows.groupBy("key", "n", "h").count()
+    rows = stored(rows.groupBy("key", "n", "h").count())  # words are counted once
     pieces = rows.agg(F.sum(F.col("count") * F.greatest(F.ceil(F.col("n") / most), F.lit(1)))).first()[0] or 0
     groups = max(1, math.ceil(pieces / group_items))
     items = (
@@ -97,4 +125,5 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacities
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
+    """pack over all documents; see there."""
     return pack(table(spark, sf_dir, "documents"))
