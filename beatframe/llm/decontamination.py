@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beatframe.llm.common import id_list_sha256, map_texts, table
+from beatframe.llm.common import id_list_sha256, map_texts, stored, table
 
 #: Digits, a-z and every byte of a non-ASCII character stay; A-Z become a-z; all else separates words.
 _WORD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
@@ -138,16 +138,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text
     A set join: a document must contain a window's shingles, all of them. One pass over all documents
     counts every benchmark shingle; a window's prefix is its rarest shingle, as for full containment one
     is necessary. A second pass joins prefixes to documents, applies the bounds and verifies each window
-    word by word. The benchmark is taken in blocks of about block_bytes, and only one block is broadcast
-    at a time, however large it is.
+    word by word. The benchmark is taken in blocks of about block_bytes of its distinct rows; of several, only
+    one is broadcast at a time: what a block finds is written as a table, and its broadcasts destroyed.
 
-    Null or empty texts have no words and no hits; items without words or without id have no windows;
-    repeated items count once; repeated documents get equal rows. Empty tables give no rows, or no hits.
+    Null or empty texts have no words and no hits; texts of any length are read whole; items without words or
+    without id have no windows; repeated items count once; repeated documents get equal rows. Empty tables give
+    no rows, or no hits.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).dropna()
+    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).dropna().distinct()
     blocks = max(1, math.ceil((bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
-    bench = bench.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    bench = bench.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     out = None
     for b in range(blocks):
         block = make_block([(r["item"], bytes(r["text"])) for r in bench.filter(F.col("block") == b).orderBy("item", "text").collect()], window)
@@ -180,6 +181,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text
             again = out.select(*[F.col(c).alias(f"{c}{b}") for c in out.columns], F.col(f"row.{text}").alias("text"))
             more = map_texts(again, [f"{c}{b}" for c in out.columns], again["text"], find, schema)
             out = more.select(F.col(f"row.row{b}").alias("row"), "n_words", F.concat("hits", f"row.hits{b}").alias("hits"), F.array_union("item_ids", f"row.item_ids{b}").alias("item_ids"))
+        if blocks > 1:
+            out = stored(out)
+            plain.destroy()
+            full.destroy()
     return out
 
 
@@ -188,6 +193,7 @@ def keep_and_text(keep: list[str], text: str) -> list[str]:
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    """contaminated over all documents and the whole benchmark; see there."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     words = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["end"] - 1)))
     n_hit = F.when(F.size("hits") == 0, 0).otherwise(F.size(F.array_distinct(words))).cast("long")
