@@ -131,12 +131,22 @@ def split_large(rows: DataFrame, sizes: DataFrame, step: int) -> DataFrame:
     return rows.join(sizes.select("key"), "key").select("f", finer.alias("key"))
 
 
+def in_blocks(rows: DataFrame, bucket: int) -> DataFrame:
+    """f, key of rows (f, key, count): a bucket above the limit has a key for each pair of its blocks, which both blocks take."""
+    half = max(1, bucket // 2)
+    blocks = F.ceil(F.col("count") / half).cast("int")
+    own = F.pmod(F.xxhash64("f", "key"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o)))
+    return rows.select("f", F.explode(F.when(F.col("count") > bucket, pairs).otherwise(F.array("key"))).alias("key"))
+
+
 def near_links(prints: DataFrame, *, bits: int = 2, bucket: int = 4000) -> DataFrame:
     """Edges a < b of distinct fingerprints (column f) whose components are those of all links within bits.
 
     Fingerprints meet where they share a fuzzy key. A bucket of at most `bucket` fingerprints is compared in
     one task, tile by tile, and gives one edge for each fingerprint at most. Larger buckets are taken
-    apart by exact parts of the remaining bits, three parts at 2 errors or fewer leaving one exact, until they fit.
+    apart by exact parts of the remaining bits, three parts at 2 errors or fewer leaving one exact; what is
+    still larger after three times is compared block against block, a pair of blocks in one task.
     """
     rows = keyed(prints, "f")
     edges = None
@@ -145,7 +155,7 @@ def near_links(prints: DataFrame, *, bits: int = 2, bucket: int = 4000) -> DataF
         last = step == 3
         fit = sizes if last else sizes.filter(F.col("count") <= bucket)
         # many small buckets share a task; the group is one of tasks, not of keys
-        met = stored(rows.join(fit.select("key"), "key"))
+        met = stored(in_blocks(rows.join(fit, "key"), bucket))
         shares = max(1, math.ceil(met.count() / 100_000))
 
         def compare(t: pa.Table) -> pa.Table:
@@ -189,15 +199,16 @@ def near_duplicates(docs: DataFrame, *, keep: list[str], key: str = "doc_id", te
     """row (struct of keep), fingerprint, component_id (the least key of all documents reachable over links of at most `bits` differing bits).
 
     Documents with equal fingerprints are linked; only distinct fingerprints are compared. Null, empty and
-    blank texts have fingerprint zero and link like any other. Null keys never name a component, unless
-    all its keys are null: then component_id is null. Repeated rows get equal results.
+    blank texts have fingerprint zero and link like any other; texts of any length are read whole. Null keys
+    never name a component, unless all its keys are null: then component_id is null. Repeated rows get equal
+    results. Empty table: no rows.
     """
 
     def run(slices):
         for texts in slices:
             yield [pa.array(fingerprints(texts).view(np.int64))]
 
-    prints = map_texts(docs, list(dict.fromkeys([*keep, key])), docs[text], run, "f bigint")
+    prints = stored(map_texts(docs, list(dict.fromkeys([*keep, key])), docs[text], run, "f bigint"))  # texts are read once
     least = stored(prints.groupBy("f").agg(F.min(f"row.{key}").alias("least")))
     root = components(near_links(least.select("f"), bits=bits))
     named = least.join(root, "f", "left").withColumn("root", F.coalesce("root", "f"))
@@ -212,12 +223,13 @@ def near_copies(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
     Texts of similarity 0.8 differ in 2 to 14 SimHash bits, more than fuzzy keys can bridge. So signatures
     of least hashes propose further edges, of which the strongest in every bucket are kept and verified on
     whole texts. They join most groups, but by chance; all pairs between the groups so found that can
-    have the similarity are verified as well, so that none is lost. Nodes are distinct texts. Null, empty
-    and blank texts are one group. Null keys: see near_duplicates.
+    have the similarity are verified as well, so that none is lost. Nodes are distinct texts (two 64-bit hashes).
+    Null, empty and blank texts are one group; repeated rows share theirs; texts of any length are read whole.
+    Null keys: see near_duplicates. Empty table: no rows.
     """
-    node = F.xxhash64(docs[text])
+    mark, mark2 = F.xxhash64(docs[text]).alias("h"), F.xxhash64(F.lit("text"), docs[text]).alias("g")
     every = max(1, docs.count() // 8000)
-    sample = docs.select(node.alias("t"), docs[text].cast("binary").alias("text")).filter(F.pmod("t", F.lit(every)) == 0)
+    sample = docs.select(mark.alias("t"), docs[text].cast("binary").alias("text")).filter(F.pmod("t", F.lit(every)) == 0)
     common, often = common_shingles(sample.dropDuplicates(["t"]), words=words)
 
     def run(slices):
@@ -231,8 +243,9 @@ def near_copies(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
             ]
 
     kinds = {"f": "bigint", "keys": "array<bigint>", "sig": "binary", "whole": "bigint", "n": "bigint", "prefix": "array<bigint>", "odd": "binary"}
-    prints = map_texts(docs.select(node.alias("t"), docs[key].alias("least"), docs[text].alias("text")), ["t", "least"], F.col("text"), run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
-    nodes = stored(prints.groupBy("row.t").agg(F.min("row.least").alias("least"), F.min("f").alias("f"), *[F.first(c).alias(c) for c in kinds if c != "f"]))
+    prints = map_texts(docs.select(mark, mark2, docs[key].alias("least"), docs[text].alias("text")), ["h", "g", "least"], F.col("text"), run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    nodes = prints.groupBy("row.h", "row.g").agg(F.min("row.least").alias("least"), F.min("f").alias("f"), *[F.first(c).alias(c) for c in kinds if c != "f"])
+    nodes = stored(nodes.withColumn("t", F.monotonically_increasing_id()))  # numbers, once written, that no two nodes share
     of_print = stored(nodes.groupBy("f").agg(F.min("t").alias("t")))
     same = nodes.select("t", "f").join(of_print.withColumnRenamed("t", "a"), "f").filter("t <> a").select("a", F.col("t").alias("b"))
     fuzzy = near_links(of_print.select("f"), bits=bits).join(of_print.select(F.col("f").alias("a"), F.col("t").alias("x")), "a").join(of_print.select(F.col("f").alias("b"), F.col("t").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -240,9 +253,9 @@ def near_copies(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
     def held(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.explode(F.array("a", "b")).alias("t")).distinct()
         # the row of its least key holds each text
-        texts = docs.select(docs[key].alias("least"), node.alias("t"), docs[text].cast("binary").alias("text")).filter(F.col("text").isNotNull())
-        of = nodes.select("t", F.col("least").alias("of")).join(ends, "t")
-        texts = stored(texts.join(of, "t").filter(F.col("least").eqNullSafe(F.col("of"))).dropDuplicates(["t"]).select("t", "text"))
+        texts = docs.select(docs[key].alias("least"), mark, mark2, docs[text].cast("binary").alias("text")).filter(F.col("text").isNotNull())
+        of = nodes.select("t", "h", "g", F.col("least").alias("of")).join(ends, "t")
+        texts = stored(texts.join(of, ["h", "g"]).filter(F.col("least").eqNullSafe(F.col("of"))).dropDuplicates(["t"]).select("t", "text"))
         return stored(verified(edges, texts, words=words, similarity=similarity))
 
     def grouped(edges: DataFrame) -> DataFrame:
@@ -258,10 +271,10 @@ def near_copies(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
     crossing = stored(crossing_edges(parts, similarity=similarity, bucket=bucket))
     if not crossing.isEmpty():
         root = grouped(root.select(F.col("root").alias("a"), F.col("t").alias("b")).unionByName(held(crossing)))
-    named = nodes.select("t", "least").join(root, "t", "left").withColumn("root", F.coalesce("root", "t"))
-    named = stored(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("t", "component_id"))
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), node.alias("t"))
-    return rows.join(named, "t").select("row", "component_id")
+    named = nodes.select("t", "h", "g", "least").join(root, "t", "left").withColumn("root", F.coalesce("root", "t"))
+    named = stored(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h", "g", "component_id"))
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), mark, mark2)
+    return rows.join(named, ["h", "g"]).select("row", "component_id")
 
 
 def hex16(c: Column) -> Column:
@@ -269,4 +282,5 @@ def hex16(c: Column) -> Column:
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates over all documents; see there."""
     return near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "fingerprint", "component_id")
