@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beatframe.llm.common import table
+from beatframe.llm.common import stored, table
 
 #: Each control character of the template, and what stands for it inside roles and texts.
 ESCAPES = {"\\": "\\e", "<": "\\l", "[": "\\b", "|": "\\p"}
@@ -41,8 +41,8 @@ def format_chat(conversations: DataFrame, *, budget: int = 512, history_turns: i
 
     Prefix sums are taken over blocks of turn numbers and then inside each, so a very long conversation
     doesn't go through one task. Null texts and roles are empty; null turns come first; ties go by role,
-    then text; repeated rows are turns of their own; rows with null conv_id are one conversation. Extra
-    columns are ignored.
+    then text; repeated rows are turns of their own; rows with null conv_id are one conversation. Texts
+    of any length are whole in one window. Extra columns are ignored. Empty table: no rows.
     """
     key, far = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null")), -(1 << 62)
     t = conversations.select(
@@ -53,20 +53,21 @@ def format_chat(conversations: DataFrame, *, budget: int = 512, history_turns: i
     blocks = t.groupBy("k", "block").agg(F.count("*").alias("n"), F.sum("tok").alias("s")).select("k", "block", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(past), F.lit(0)).alias("s0"))
     inside = Window.partitionBy("k", "block").orderBy("turn", "role", "text")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.join(blocks, ["k", "block"]).withColumn("idx", F.col("n0") + F.row_number().over(inside) - 1).withColumn("pre", F.col("s0") + F.coalesce(F.sum("tok").over(before), F.lit(0)))
+    t = t.join(blocks, ["k", "block"]).withColumn("idx", F.col("n0") + F.row_number().over(inside) - 1).withColumn("pre", F.col("s0") + F.coalesce(F.sum("tok").over(before), F.lit(0))).withColumn("next_tok", F.lead("tok").over(inside))
+    t = stored(t)  # four branches read it
     system = t.filter((F.col("idx") == 0) & (F.col("role") == "system")).select("k", F.col("tok").alias("sys_tok"), F.col("text").alias("sys_text"))
     t = t.join(system.drop("sys_text"), "k", "left").withColumn("has_sys", F.col("sys_tok").isNotNull()).withColumn("sys_tok", F.coalesce("sys_tok", F.lit(0)))
     room = F.greatest(F.lit(budget) - F.col("sys_tok") - history_tokens, F.lit(1))
     start = F.floor((F.col("pre") - F.col("sys_tok")) / room)
     end = F.greatest(start, F.floor((F.col("pre") + F.col("tok") - F.col("sys_tok") - 1) / room))
     is_sys = F.col("has_sys") & (F.col("idx") == 0)
-    t = t.withColumn("cell", start * 2 + (end > start).cast("long")).withColumn("cell", F.when(is_sys, F.coalesce(F.lead("cell").over(inside), F.lit(0))).otherwise(F.col("cell")))
+    t = t.withColumn("cell", start * 2 + (end > start).cast("long")).withColumn("cell", F.when(is_sys, F.coalesce((F.floor((F.col("next_tok") - 1) / room) > 0).cast("long"), F.lit(0))).otherwise(F.col("cell")))  # the system turn stays with the next
     own = t.select("k", "conv_id", "cell", "idx", F.lit("t").alias("kind"), "role", "text", "tok")
     spans = t.groupBy("k", "cell").agg(F.min("conv_id").alias("conv_id"), F.min("idx").alias("first"), F.min("pre").alias("first_pre"), F.max("has_sys").alias("has_sys"), F.max("sys_tok").alias("sys_tok"))
-    earlier = t.filter(~is_sys).select("k", "idx", "pre", "role", "text", "tok", F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + history_turns)).alias("first")) if history_turns else None
     parts = [own]
-    if earlier is not None:
-        near = earlier.join(spans.select("k", "first", "cell", "conv_id", "first_pre"), ["k", "first"]).filter(F.col("pre") >= F.col("first_pre") - history_tokens)
+    if history_turns:
+        before_first = F.explode(F.sequence(F.col("first") - history_turns, F.col("first") - 1)).alias("idx")
+        near = t.filter(~is_sys).select("k", "idx", "pre", "role", "text", "tok").join(spans.select("k", before_first, "cell", "conv_id", "first_pre"), ["k", "idx"]).filter(F.col("pre") >= F.col("first_pre") - history_tokens)
         parts.append(near.select("k", "conv_id", "cell", "idx", F.lit("r").alias("kind"), "role", "text", "tok"))
     again = spans.filter(F.col("has_sys") & (F.col("first") > 0)).join(system.select("k", "sys_text"), "k")
     parts.append(again.select("k", "conv_id", "cell", F.lit(0).cast("long").alias("idx"), F.lit("r").alias("kind"), F.lit("system").alias("role"), F.col("sys_text").alias("text"), F.col("sys_tok").alias("tok")))
@@ -115,6 +116,7 @@ def read_chat(windows: DataFrame) -> DataFrame:
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
+    """format_chat over all conversations and one that says the marks of other templates, read back from the strings; see there."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
     added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
