@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beatframe.llm.common import map_texts, table
+from beatframe.llm.common import map_texts, stored, table
 
 BUCKETS = 1 << 14
 SPECTRUM = (1, 2, 3, 4)
@@ -29,16 +31,32 @@ def presence(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, langs: list[str], *, landmarks: int, ridge: float) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, weights (buckets x languages) and intercepts.
+@dataclass(frozen=True)
+class Model:
+    """Languages, and one matrix or two whose product with presence rows (normalised) gives each language's margin, with intercepts."""
+
+    names: list[str]
+    weights: list[np.ndarray]
+    intercept: np.ndarray
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        s = x
+        for w in self.weights:
+            s = s @ w
+        return s / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + self.intercept
+
+
+def fit(x: np.ndarray, langs: list[str], *, landmarks: int, ridge: float) -> Model:
+    """One-versus-rest ridge regression on Nyström features.
 
     Landmarks take turns over the languages. With L the landmarks' normalised presence rows, a text's
     features are K(x, L) K(L, L)^-1/2; each language's ridge regression on them is against all others. As
-    K(x, L) is a product of x with L, landmarks and coefficients fold into one matrix for scoring.
+    K(x, L) is a product of x with L, landmarks and coefficients fold into one matrix, unless there are more
+    languages than landmarks; then both stay, so that neither grows beyond buckets x landmarks.
     """
     names = sorted(set(langs))
     by = {k: [i for i, v in enumerate(langs) if v == k] for k in names}
-    turns = [i for r in range(len(langs)) for k in names for i in by[k][r : r + 1]][:landmarks]
+    turns = [i for r in range(max(map(len, by.values()))) for k in names for i in by[k][r : r + 1]][:landmarks]
     rows = x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     mark = rows[turns]
     values, vectors = np.linalg.eigh((mark @ mark.T).astype(np.float64))
@@ -50,62 +68,65 @@ def fit(x: np.ndarray, langs: list[str], *, landmarks: int, ridge: float) -> tup
     mean, middle = f.mean(0), y.mean(0)
     g = f - mean
     coef = np.linalg.solve(g.T @ g + ridge * np.eye(g.shape[1]), g.T @ (y - middle))
-    return names, (mark.T.astype(np.float64) @ (white @ coef)).astype(np.float32), (middle - mean @ coef).astype(np.float32)
+    parts = [mark.T.astype(np.float64), white @ coef]
+    weights = [parts[0] @ parts[1]] if len(names) <= landmarks else parts
+    return Model(names, [w.astype(np.float32) for w in weights], (middle - mean @ coef).astype(np.float32))
 
 
-def learned(labelled: DataFrame, *, text: str, lang: str, order: str, per_language: int, landmarks: int, ridge: float):
-    """Fits on a bounded sample: of each language about per_language rows, by a hash of the order column.
+def learned(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order: str = "doc_id", per_language: int = 300, sample_rows: int = 16_384, landmarks: int = 256, ridge: float = 1.0) -> Model | None:
+    """Fits on a bounded sample of labelled rows with a letter: of each language its rows of least hash of the order column, per_language at most.
 
-    At most 16,384 rows' presence bits (2 kB each) go to the driver. None when there is nothing to learn from.
+    At most sample_rows rows' presence bits (2 kB each) go to the driver; where languages are so many that
+    per_language of each would be more, each has fewer. None when there is nothing to learn from. Rows without a label teach nothing.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(256).collect()}
-    if not counts:
+    counts = stored(rows.groupBy(F.col(lang).alias("_lang")).count())
+    several = counts.count()
+    if not several:
         return None
+    each = max(1, min(per_language, sample_rows // several))
     u = F.pmod(F.xxhash64(F.lit("sample"), order), F.lit(1 << 30)).cast("double") / (1 << 30)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n))])
-    sample = rows.withColumn("u", u).filter(F.col("u") < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), "u")
+    share = F.least(F.lit(1.0), (F.lit(1.5 * each) + 12) / F.col("count"))
+    sample = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("text"), u.alias("u"), F.xxhash64(text).alias("h")).join(counts, "_lang").filter(F.col("u") < share)
+    first = F.row_number().over(Window.partitionBy("_lang").orderBy("u", "h"))  # of about 1.5 * each rows of a language
+    sample = sample.withColumn("n", first).filter(F.col("n") <= each)
 
     def bits(slices):
         for texts in slices:
             yield [pa.array([np.packbits(r > 0).tobytes() for r in presence(texts)], pa.binary())]
 
-    found = map_texts(sample, ["lang", "u"], F.lower("text"), bits, "bits binary", slice_bytes=200_000).select("row.*", "bits").orderBy("u", "lang", "bits").limit(16_384).collect()
-    kept, seen = [], dict.fromkeys(counts, 0)
-    for r in found:
-        seen[r["lang"]] += 1
-        if seen[r["lang"]] <= per_language:
-            kept.append(r)
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in kept]).astype(np.float32)
-    return fit(x, [r["lang"] for r in kept], landmarks=landmarks, ridge=ridge)
+    found = map_texts(sample, ["_lang", "n"], F.lower("text"), bits, "bits binary", slice_bytes=200_000).select("row.*", "bits").orderBy("n", "_lang", "bits").limit(sample_rows).collect()
+    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in found]).astype(np.float32)
+    return fit(x, [r["_lang"] for r in found], landmarks=landmarks, ridge=ridge)
 
 
-def identify(docs: DataFrame, labelled: DataFrame, *, keep: list[str], text: str = "text", lang: str = "lang", order: str = "doc_id", per_language: int = 300, landmarks: int = 256, ridge: float = 1.0) -> DataFrame:
-    """row (struct of keep), lang_pred, score for each row of docs, learned from text and lang of labelled.
+def identify(docs: DataFrame, model: Model | None, *, keep: list[str], text: str = "text") -> DataFrame:
+    """row (struct of keep), lang_pred, score for each row of docs, by a model that learned() gave.
 
-    Whole texts are read. `und` with score 0: null texts, texts without a letter, and every text when there
-    is nothing to learn from. Repeated rows get equal results. A tie goes to the first language by name.
+    score is half of one more than the largest margin, cut to 0 to 1: below 0.5 every language's regression
+    says "rest". Whole texts are read, however long. `und` with score 0: null texts, texts without a letter,
+    and every text where there is no model. Repeated rows get equal results. A tie goes to the first
+    language by name. Empty table: no rows.
     """
-    model = labelled.sparkSession.sparkContext.broadcast(learned(labelled, text=text, lang=lang, order=order, per_language=per_language, landmarks=landmarks, ridge=ridge))  # BUCKETS x languages (256 at most)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 16 MB for each of its matrices at most
 
     def predict(slices):
         for texts in slices:
             n = len(texts)
-            if model.value is None:
+            if shared.value is None:
                 yield [pa.array([UNKNOWN] * n), pa.array([0.0] * n)]
                 continue
-            names, weights, intercept = model.value
-            x = presence(texts)
-            s = (x @ weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + intercept
+            s = shared.value.margins(presence(texts))
             known = np.asarray(texts.is_valid())
-            yield [pa.array([names[i] if k else UNKNOWN for i, k in zip(s.argmax(1), known, strict=True)]), pa.array(np.where(known, np.clip((s.max(1).astype(np.float64) + 1) / 2, 0, 1), 0.0))]
+            yield [pa.array([shared.value.names[i] if k else UNKNOWN for i, k in zip(s.argmax(1), known, strict=True)]), pa.array(np.where(known, np.clip((s.max(1).astype(np.float64) + 1) / 2, 0, 1), 0.0))]
 
     read = F.when(docs[text].rlike(r"\p{L}"), F.lower(docs[text]))
     return map_texts(docs, keep, read, predict, "lang_pred string, score double", slice_bytes=400_000)
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
+    """identify over all documents, learned from those outside the held-out fold; see there."""
     docs = table(spark, sf_dir, "documents")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0))
-    out = identify(docs, docs.filter(fold != 2), keep=["doc_id"])
+    out = identify(docs, learned(docs.filter(fold != 2)), keep=["doc_id"])
     return out.select("row.doc_id", "lang_pred", "score").select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
