@@ -11,7 +11,7 @@ from beatframe.llm.common import stored, table
 
 
 def spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, lg_k: int = 11) -> DataFrame:
-    """docs with one more column _line_dedup, a struct of text (what is kept), n_lines and n_removed.
+    """row (struct of all columns of docs), kept (the text that is left), n_lines and n_removed.
 
     A line's HyperLogLog sketch of sites is made by aggregation on its hash (two 64-bit hashes). An estimate
     within five standard errors of min_sites is replaced by an exact count of distinct sites; other
@@ -19,8 +19,9 @@ def spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     first (least key, then least text hash, then least position), so that no content is lost.
 
     Lines are parts between newlines, with spaces trimmed for comparison; blank lines always stay.
-    Null sites are one site. Null texts stay null, with no lines; repeated rows share their fate. Null
-    keys come first.
+    Null sites are one site. Null texts stay null, with no lines; empty texts have one blank line; texts of
+    any length are read whole. Repeated rows share their fate. Null keys come first. Columns of docs can have
+    any names. Empty table: no rows.
     """
     k = F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63)))
     lines = docs.select(k.alias("k"), F.xxhash64(docs[text]).alias("t"), F.coalesce(docs[site].cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(docs[text], "\n")).alias("pos", "line"))
@@ -38,14 +39,15 @@ def spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     parts = F.split(F.col(f"row.{text}"), "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i))
     # array_contains over a null array is null, hence the two cases
-    result = F.struct(
-        F.when(F.col("gone").isNull(), F.col(f"row.{text}")).otherwise(F.array_join(kept, "\n")).alias("text"),
+    return row.select(
+        "row",
+        F.when(F.col("gone").isNull(), F.col(f"row.{text}")).otherwise(F.array_join(kept, "\n")).alias("kept"),
         F.when(F.col(f"row.{text}").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
-    return row.select("row", result.alias("r")).select("row.*", F.col("r").alias("_line_dedup"))
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
+    """spread_lines over all documents; see there."""
     out = spread_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "_line_dedup.n_lines", "_line_dedup.n_removed", F.sha2(F.coalesce("_line_dedup.text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
