@@ -34,4 +34,13 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that stored() wrote and nothing will read any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._table)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
