@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from beatframe.llm.common import table
-from beatframe.llm.repeats import Unit, promising, repeated_spans, without
+from beatframe.llm.repeats import Unit, base, before, promising, repeated_spans, without
 
 
 class Automaton:
@@ -74,21 +74,22 @@ def stream(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
     Pieces come by anchor, key and place. Those read so far are the reference; a piece is streamed, then
     what is new of it joins the reference.
     """
-    anchors, keys, locs, lefts, pieces = (t[c].to_pylist() for c in ("a", "k", "loc", "left", "piece"))
+    anchors, keys, marks, locs, pieces = (t[c].to_pylist() for c in ("a", "k", "m", "loc", "piece"))
+    lefts = [before(loc) for loc in locs]
     split = [unit.split(p) for p in pieces]
     ranges = promising(anchors, lefts, [f for f, _ in split], [x for _, x in split], unit)
     out: list[list[tuple[int, int]]] = []
-    before = object()
+    last = object()
     window = unit.window
-    for a, k, loc, left, (flat, at), span in zip(anchors, keys, locs, lefts, split, ranges, strict=True):
-        if a != before:
-            automaton, before = Automaton(), a
+    for a, k, m, loc, left, (flat, at), span in zip(anchors, keys, marks, locs, lefts, split, ranges, strict=True):
+        if a != last:
+            automaton, last = Automaton(), a
         if span is None:
             out.append([])
             continue
         start, end = span
         words = flat[at[start] : at[end] - 1].split()
-        places = [(k, loc - left + i) for i in range(start, end)]
+        places = [(k, m, base(loc) + i) for i in range(start, end)]
         gone: list[list[int]] = []
         new: list[list[int]] = []
         for i, first in enumerate(automaton.matches(words, window)):
@@ -113,8 +114,8 @@ def dedup_substrings(docs: DataFrame, *, keep: list[str], key: str = "doc_id", t
     repeats), as automata of all texts can't be broadcast; each shard streams its own texts.
 
     Null texts have no words. Null keys come before all others. Texts that share a key are ordered by a
-    hash of the text; rows that repeat key and text are one document, returned as often as they come.
-    Empty table: no rows.
+    hash of the text; rows that repeat key and text are one document, returned as often as they come. Texts of
+    any length are read whole. Empty table: no rows.
     """
     unit = Unit(words=True, window=window, k=k)
     spans = repeated_spans(docs, key=key, text=text, unit=unit, judge=stream, keep_first=True)
@@ -122,5 +123,6 @@ def dedup_substrings(docs: DataFrame, *, keep: list[str], key: str = "doc_id", t
 
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:
+    """dedup_substrings over all documents; see there."""
     out = dedup_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.selectExpr("row.doc_id", "n_units as n_words", "n_removed", "kept_sha256")

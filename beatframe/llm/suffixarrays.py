@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from beatframe.llm.common import table
-from beatframe.llm.repeats import Unit, classes_of, cores, repeated_spans, runs, without
+from beatframe.llm.repeats import Unit, base, before, classes_of, cores, repeated_spans, runs, without
 
 
 def suffix_array(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -128,7 +128,7 @@ def repeated_windows(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
     run; its windows are repeats if they stand at more than one place.
     """
     raw, keys = [x or b"" for x in t["piece"].to_pylist()], t["a"].to_pylist()
-    inner, out = undecided(keys, t["left"].to_pylist(), raw, unit)
+    inner, out = undecided(keys, before(np.asarray(t["loc"])).tolist(), raw, unit)
     chosen = [i for i, x in enumerate(inner) if x is not None]
     if not chosen:
         return out
@@ -147,13 +147,13 @@ def repeated_windows(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
     shared = common_prefixes(symbols, sa, unit.window)
     run = np.cumsum(shared < unit.window)
     same = np.flatnonzero(np.bincount(run, minlength=len(sa) + 1)[run] > 1)
-    key, loc, left = (np.asarray(t[c])[chosen] for c in ("k", "loc", "left"))
-    left = left - cut
+    key, mark, loc = (np.asarray(t[c])[chosen] for c in ("k", "m", "loc"))
+    left, start = before(loc) - cut, base(loc) + cut
     s = sa[same]
-    k = key[piece[s]]
-    place = loc[piece[s]] - left[piece[s]] + (s - begin[piece[s]])
+    k, m = key[piece[s]], mark[piece[s]]
+    place = start[piece[s]] + (s - begin[piece[s]])
     first = np.searchsorted(run[same], run[same], "left")
-    other = (k != k[first]) | (place != place[first])
+    other = (k != k[first]) | (m != m[first]) | (place != place[first])
     repeated = np.isin(run[same], run[same][other])
     change = np.zeros(len(symbols) + 1, dtype=np.int64)
     np.add.at(change, s[repeated], 1)
@@ -169,7 +169,7 @@ def dedup_bytes(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
     """row (struct of keep), n_units (bytes), n_removed, n_spans, kept_sha256 (and kept with full): docs without the bytes of every string of `window` bytes that also starts anywhere else.
 
     Null texts count as empty. Rows that repeat key and text are copies of each other. Null keys are a
-    value of their own. Empty table: no rows.
+    value of their own. Texts of any length are read whole. Empty table: no rows.
     """
     unit = Unit(words=False, window=window, k=k)
     spans = repeated_spans(docs, key=key, text=text, unit=unit, judge=repeated_windows, keep_first=False)
@@ -177,5 +177,6 @@ def dedup_bytes(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
 
 
 def op3_suffixes(spark, sf_dir: str) -> DataFrame:
+    """dedup_bytes over all documents; see there."""
     out = dedup_bytes(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.selectExpr("row.doc_id", "n_units as n_bytes", "n_removed", "n_spans", "kept_sha256")
