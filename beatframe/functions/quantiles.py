@@ -11,7 +11,7 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str | Column, quantil
 
     No task holds a group. A first pass brackets each quantile by a sketch whose rank error is below
     1 / accuracy; a second one counts what is below the bracket and the distinct values inside, before
-    anything is shuffled, so that a group sorts a few thousandths of its rows. Groups without a value have nulls.
+    anything is shuffled, so that a group sorts a few thousandths of its rows. Groups without a value have no row.
     """
     names = list(quantiles)
     keyed = df.select(F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")).alias("_g"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v"))
@@ -25,12 +25,12 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str | Column, quantil
         lo = F.when(few | F.lit(low == 0), float("-inf")).otherwise(F.col("_e")[2 * i])
         hi = F.when(few | F.lit(high == 1), float("nan")).otherwise(F.col("_e")[2 * i + 1])  # NaN is above every number
         ends.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi")))
-    joined = keyed.filter("_v is not null").join(groups.select("_g", F.array(*ends).alias("_s")), "_g")
-    met = joined.select("_g", "_v", F.explode("_s").alias("_s")).filter("_v <= _s.hi")
+    joined = keyed.filter("_v is not null").join(groups.select("_g", "_n", F.array(*ends).alias("_s")), "_g")
+    met = joined.select("_g", "_n", "_v", F.explode("_s").alias("_s")).filter("_v <= _s.hi")
     inside = F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v"))  # null: below the bracket, counted only
-    counts = met.groupBy("_g", F.col("_s.i").alias("_i"), inside.alias("_x")).count()
+    counts = met.groupBy("_g", F.col("_s.i").alias("_i"), inside.alias("_x")).agg(F.count("*").alias("count"), F.max("_n").alias("_n"))
     upto = F.sum("count").over(Window.partitionBy("_g", "_i").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_c", upto).join(groups.select("_g", "_n"), "_g")
+    ranked = counts.withColumn("_c", upto)
     at = F.element_at(F.array(*[F.lit(q) for q in quantiles.values()]), F.col("_i") + 1) * (F.col("_n") - 1)
     ranked = ranked.withColumn("_at", at).withColumn("_k", F.floor("_at"))
     holds = lambda k: (F.col("_c") > k) & (F.col("_c") - F.col("count") <= k)
@@ -38,16 +38,16 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str | Column, quantil
     ends_of = ranked.groupBy("_g", "_i").agg(F.max(F.when(holds(F.col("_k")), F.col("_x"))).alias("_a"), F.max(F.when(holds(after), F.col("_x"))).alias("_b"), F.max(F.col("_at") - F.col("_k")).alias("_f"))
     exact = ends_of.select("_g", "_i", F.when(F.col("_f") == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("_q"))
     wide = exact.groupBy("_g").agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
-    return groups.select("_g").join(wide, "_g", "left").select("_g.*", *names).drop("_")
+    return wide.select("_g.*", *names).drop("_")
 
 
 def with_percentiles(summary: DataFrame, df: DataFrame, by: list[str], value: str | Column, quantiles: dict[str, float]) -> DataFrame:
-    """summary (one row for each of df's groups) with exact percentiles of df's groups."""
+    """summary (one row for each of df's groups) with exact percentiles of df's groups; null in groups without a value."""
     q = exact_percentiles(df, by, value, quantiles)
     if not by:
-        return summary.crossJoin(q)  # one row each
+        return summary.join(q, F.lit(True), "left")  # one row each
     same = [summary[c].eqNullSafe(q[c]) for c in by]
     on = same[0]
     for s in same[1:]:
         on = on & s
-    return summary.join(q, on).select(*[summary[c] for c in summary.columns], *[q[n] for n in quantiles])
+    return summary.join(q, on, "left").select(*[summary[c] for c in summary.columns], *[q[n] for n in quantiles])

@@ -41,6 +41,36 @@ def _(t):
     return rounded(L.operators(q, reg, h=0.1, ridge=0.01), "ring", "elem_id", "channel")
 
 
+def left_side(jacobian, x, diagonal):
+    """(J'J + diagonal) X of each ring: what must equal J' (times the sign)."""
+    j = jacobian.groupBy("ring", "channel", "elem_id").agg(F.sum("value").alias("j"))
+    inner = j.withColumnRenamed("channel", "c2").join(x.withColumnRenamed("value", "x"), ["ring", "elem_id"]).groupBy("ring", "c2", "channel").agg(F.sum(F.col("j") * F.col("x")).alias("y"))
+    outer = j.withColumnRenamed("channel", "c2").join(inner, ["ring", "c2"]).select("ring", "elem_id", "channel", (F.col("j") * F.col("y")).alias("value"))
+    both = outer.unionByName(x.select("ring", "elem_id", "channel", (F.col("value") * diagonal).alias("value")))
+    return both.groupBy("ring", "elem_id", "channel").agg(r6(F.sum("value")).alias("value"))
+
+
+RIGHT = "WITH j AS (SELECT l_suppkey % 4 AS ring, l_orderkey % 8 AS channel, l_partkey % 20 AS elem_id, sum(CAST({} AS DOUBLE)) AS v FROM lineitem GROUP BY 1, 2, 3), k AS (SELECT DISTINCT ring FROM j), f AS (SELECT ring, c AS channel, e AS elem_id FROM k, range(8) x(c), range(20) y(e)) SELECT ring, elem_id, channel, round({} * coalesce(v, 0), 6) + 0.0 AS value FROM f LEFT JOIN j USING (ring, channel, elem_id)"
+
+
+def ringed(t, value, weight):
+    q = t("lineitem").select((F.col("l_suppkey") % 4).alias("ring"), (F.col("l_orderkey") % 8).alias("channel"), (F.col("l_partkey") % 20).alias("elem_id"), F.col(value).cast("double").alias("value"))
+    i = q.select("ring").distinct().select("ring", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"))
+    return q, i.select("ring", "i", F.col("i").alias("j"), F.lit(weight).alias("value"))
+
+
+@query("ln2_normal_equations", RIGHT.format("l_discount", "-1.0"))
+def _(t):
+    q, reg = ringed(t, "l_discount", 1.0)
+    return left_side(q, L.operators(q, reg, h=0.5, sign=-1.0), 0.25).withColumn("value", F.col("value") + 0.0)
+
+
+@query("ln3_normal_equations", RIGHT.format("l_tax", "1.0"))
+def _(t):
+    q, reg = ringed(t, "l_tax", 2.0)
+    return left_side(q, L.operators(q, reg, h=0.1, ridge=0.01), 0.03).withColumn("value", F.col("value") + 0.0)
+
+
 @query("ln4_directions", f"WITH {VECTORS}, {MATRICES}, {FORWARD}, d AS (SELECT key, c, sum(b * (v - f)) AS y FROM f JOIN v8 USING (key, r) JOIN j USING (r) GROUP BY 1, 2) SELECT key, round(sum(abs(y)), 5) AS mass FROM d GROUP BY 1")
 def _(t):
     d = L.directions(t.vectors().withColumn("volt", F.slice("v", 1, 8)), voltage="volt", state="v", jacobian=JACOBIAN, inverse=INVERSE)
@@ -62,6 +92,20 @@ def _(t):
     return s.select("key", r6(A.total("step")).alias("step_sum"), (F.col("backward_error") <= 1e-7).alias("exact"))
 
 
+@query("ln6_normal_equations", f"WITH {VECTORS}, s AS (SELECT key, i, sum(v[c * 12 + i] * v[50 + c]) AS y FROM vectors, range(1, 13) a(i), range(4) b(c) GROUP BY 1, 2) SELECT key, i, round(y, 6) AS y FROM s")
+def _(t):
+    """(J'J + R) x of each frame, which must equal J'r."""
+    d = t.vectors().select("key", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("v", i * 12 + 1, 12)).alias("jacobian"), F.slice("v", 50, 4).alias("residual"))
+    lap = 2 * np.eye(12) - np.eye(12, k=1) - np.eye(12, k=-1)
+    values, vectors = np.linalg.eigh(lap + 0.1 * np.eye(12))
+    s = L.frame_solves(d, key="key", jacobian="jacobian", residual="residual", eigenvalues=values, eigenvectors=vectors).join(d, "key")
+    s = s.withColumn("_y", F.transform("jacobian", lambda r: A.dot(r, "step")))
+    near = lambda i: F.coalesce(F.get("step", i), F.lit(0.0))
+    total = lambda i: F.aggregate(F.zip_with("jacobian", "_y", lambda r, y: F.get(r, i) * y), F.lit(0.0), lambda a, x: a + x)
+    y = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: total(i) + 2.1 * near(i) - near(i - 1) - near(i + 1))
+    return s.select("key", F.posexplode(y).alias("i", "y")).select("key", (F.col("i") + 1).cast("long").alias("i"), r6("y").alias("y"))
+
+
 @query("ln7_linearised_voltage", f"WITH {VECTORS}, {MATRICES}, g AS (SELECT key, r, sum(a * (x - 0.1)) AS f FROM s JOIN j USING (c) GROUP BY 1, 2) SELECT key, round(sum(abs(v + f)), 5) AS mass FROM g JOIN v8 USING (key, r) GROUP BY 1")
 def _(t):
     d = t.vectors().withColumn("v0", F.slice("v", 1, 8)).withColumn("base", F.array_repeat(F.lit(0.1), 64))
@@ -107,7 +151,21 @@ def _(t):
 # -- templates and filters
 
 
-@query("wn8_lowpass")
+LOW_B, LOW_A = (tuple(map(float, c)) for c in T.butterworth(3, 5.0, 50.0))
+REST = tuple(map(float, T.steady_state(np.array(LOW_B), np.array(LOW_A))))
+
+
+def pass_sql(name, source):
+    """One pass of the filter over source (id, k from 0, x), sample by sample, from the state that its first sample would leave."""
+    step = lambda z0, z1, z2: f"{LOW_B[0]} * s.x + {z0} AS y, {LOW_B[1]} * s.x - {LOW_A[1]} * ({LOW_B[0]} * s.x + {z0}) + {z1} AS z0, {LOW_B[2]} * s.x - {LOW_A[2]} * ({LOW_B[0]} * s.x + {z0}) + {z2} AS z1, {LOW_B[3]} * s.x - {LOW_A[3]} * ({LOW_B[0]} * s.x + {z0}) AS z2"
+    rest = step(*[f"{z} * s.x" for z in REST])
+    return f"{name} AS (SELECT s.id, s.k, {rest} FROM {source} s WHERE s.k = 0 UNION ALL SELECT s.id, s.k, {step('p.z0', 'p.z1', 'p.z2')} FROM {name} p JOIN {source} s ON s.id = p.id AND s.k = p.k + 1)"
+
+
+@query("wn8_lowpass", f"""WITH RECURSIVE {FRAMES}, n AS (SELECT anatomy_id AS id, count(*) AS n, arg_min(x, frame_no) AS x0, arg_max(x, frame_no) AS x1 FROM frames GROUP BY 1), good AS (SELECT * FROM n WHERE n > 12),
+ext AS MATERIALIZED (SELECT id, frame_no + 12 AS k, x FROM frames JOIN good ON id = anatomy_id UNION ALL SELECT id, 12 - frame_no, 2 * x0 - x FROM frames JOIN good ON id = anatomy_id WHERE frame_no BETWEEN 1 AND 12 UNION ALL SELECT id, 12 + n + (n - 2 - frame_no), 2 * x1 - x FROM frames JOIN good ON id = anatomy_id WHERE frame_no BETWEEN n - 13 AND n - 2),
+{pass_sql("f1", "ext")}, back AS MATERIALIZED (SELECT id, n + 23 - k AS k, y AS x FROM f1 JOIN good USING (id)), {pass_sql("f2", "back")}
+SELECT anatomy_id, frame_no, x, CASE WHEN n > 12 THEN round(y, 6) ELSE 'nan'::DOUBLE END AS filtered FROM frames JOIN n ON n.id = anatomy_id LEFT JOIN f2 ON f2.id = anatomy_id AND f2.k = n + 11 - frame_no""")
 def _(t):
     return T.lowpass(t.frames(), "x", by=BY, order="frame_no", rate=50.0).withColumn("filtered", r6("filtered"))
 
@@ -120,11 +178,29 @@ def shown(d, key):
     return d.select(key, F.round(A.norm("template"), 5).alias("norm"), F.round(A.total("template"), 5).alias("total"))
 
 
+def leading_sql(name, rows):
+    """The leading left vector u of each group of rows (g, f from 1, i, x): its products matrix, squared 24 times, is a multiple of u u'."""
+    return f"""{name}_g AS (SELECT a.g, a.f AS f1, b.f AS f2, sum(a.x * b.x) AS x FROM {rows} a JOIN {rows} b ON a.g = b.g AND a.i = b.i GROUP BY 1, 2, 3), {name}_r AS (SELECT g, f1, list(x ORDER BY f2) AS r FROM {name}_g GROUP BY 1, 2), {name}_m AS (SELECT g, list(r ORDER BY f1) AS m FROM {name}_r GROUP BY 1),
+{name}_p AS (SELECT g, 0 AS k, m FROM {name}_m UNION ALL SELECT g, k + 1, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c) / greatest(tr * tr, 1e-300))) FROM (SELECT *, list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS tr FROM {name}_p WHERE k < 24)),
+{name}_j AS (SELECT g, m, list_position(d, list_max(d)) AS j FROM (SELECT g, m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM {name}_p WHERE k = 24)), {name}_u AS (SELECT g, unnest(list_transform(m[j], lambda x: x / greatest(sqrt(m[j][j]), 1e-150))) AS u, unnest(range(1, len(m) + 1)) AS f FROM {name}_j)"""
+
+
+def template_sql(group, peak):
+    """Templates of beats: with u signed so that X'u has its largest loading positive, they are u at the chosen frame times X'u."""
+    return f"""b AS (SELECT {group} AS g, anatomy_id, row_number() OVER (PARTITION BY anatomy_id * 1000 + frame_no // 10 ORDER BY frame_no) AS f, v FROM vectors), e AS (SELECT g, f, i, v[i] - avg(v[i]) OVER (PARTITION BY g, i) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM b)),
+{leading_sql("le", "e")}, w AS (SELECT g, i, sum(x * u) AS w FROM e JOIN le_u USING (g, f) GROUP BY 1, 2), sg AS (SELECT g, CASE WHEN arg_max(w, (abs(round(w, 12)), -i)) >= 0 THEN 1 ELSE -1 END AS s FROM w GROUP BY 1), pk AS (SELECT g, {peak} AS p FROM le_u JOIN sg USING (g) GROUP BY 1), te AS (SELECT g, i, p * s * w AS x FROM w JOIN sg USING (g) JOIN pk USING (g))"""
+
+
+BEAT_ID = "anatomy_id * 1000 + frame_no // 10"
+PEAK = {"positive": "max(s * u)", "absolute": "arg_max(s * u, (round(abs(u), 12), -f))", "row": "arg_max(s * u, (round(abs(u), 12), -f))"}
+
 for _name, _mode in (("wn14_beat_templates", "positive"), ("wn15_templates_absolute", "absolute"), ("wn15_templates_row", "row")):
-    query(_name)(lambda t, mode=_mode: shown(T.beat_templates(beats(t), "v", by=["beat_id"], order="frame_no", mode=mode), "beat_id"))
+    query(_name, f"WITH RECURSIVE {VECTORS}, {template_sql(BEAT_ID, PEAK[_mode])} SELECT g AS beat_id, round(sqrt(sum(x * x)), 5) AS norm, round(sum(x), 5) AS total FROM te GROUP BY 1")(
+        lambda t, mode=_mode: shown(T.beat_templates(beats(t), "v", by=["beat_id"], order="frame_no", mode=mode), "beat_id")
+    )
 
 
-@query("wn16_group_templates")
+@query("wn16_group_templates", f"WITH RECURSIVE {VECTORS}, {template_sql(BEAT_ID, PEAK['positive'])}, sz AS (SELECT g, sqrt(sum(x * x)) AS n FROM te GROUP BY 1), un AS (SELECT te.g // 1000 AS g, dense_rank() OVER (PARTITION BY te.g // 1000 ORDER BY te.g) AS f, i, x / greatest(n, 1e-12) AS x FROM te JOIN sz USING (g)), {leading_sql('lu', 'un')}, gw AS (SELECT g, i, sum(x * u) AS w, sum(x) AS t FROM un JOIN lu_u USING (g, f) GROUP BY 1, 2), gs AS (SELECT g, CASE WHEN sum(w * t) >= 0 THEN 1 ELSE -1 END / sqrt(sum(w * w)) AS s FROM gw GROUP BY 1), gm AS (SELECT g // 1000 AS g, quantile_cont(n, 0.5) AS m FROM sz GROUP BY 1) SELECT g AS anatomy_id, round(sqrt(sum(pow(w * s * m, 2))), 5) AS norm, round(sum(w * s * m), 5) AS total FROM gw JOIN gs USING (g) JOIN gm USING (g) GROUP BY 1")
 def _(t):
     b = T.beat_templates(beats(t), "v", by=["anatomy_id", "beat_id"], order="frame_no")
     return shown(T.group_templates(b, "anatomy_id"), "anatomy_id")
