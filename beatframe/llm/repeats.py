@@ -4,9 +4,9 @@ A unit is a word or a byte, a window is `window` consecutive units of one text.
 k-unit string of least hash in it (the first, of equal ones), so equal windows have equal anchors at equal
 places. An anchor's surroundings are the windows that have it: a stretch of the text, and every window is in
 one stretch. Surroundings that are equal are counted before anything else moves: of any number of copies,
-the first stands for all. What is left with other surroundings of the same anchor goes to a suffix
-structure, shard by shard; anchors with very many surroundings have their windows counted by digest instead,
-as one task can't hold them.
+the first stands for all. All that have other surroundings of the same anchor go to a suffix structure,
+shard by shard. An anchor with more surroundings than one shard holds is taken apart: its windows meet by longer
+strings around the anchor, in the end by themselves, in as many tasks as there are.
 
 A text is known by its key k, a hash m and 15 more bits of another hash. A place is packed in loc: those 15
 bits, the anchor's position in the text (32 bits), the units of its stretch before it and the windows after
@@ -214,8 +214,12 @@ def row_key(docs: DataFrame, key: str):
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def repeated_spans(docs: DataFrame, *, key: str, text: str, unit: Unit, judge, keep_first: bool, group_limit: int = 500, shard_units: int = 400_000) -> DataFrame:
-    """k, m, q, spans: for each text that has any, its units covered by windows that stand elsewhere (keep_first: that stand earlier, by key, hash of the text and position)."""
+def repeated_spans(docs: DataFrame, *, key: str, text: str, unit: Unit, judge, keep_first: bool, shard_units: int = 150_000, group_limit: int | None = None) -> DataFrame:
+    """k, m, q, spans: for each text that has any, its units covered by windows that stand elsewhere (keep_first: that stand earlier, by key, hash of the text and position).
+
+    A shard has about shard_units units of text; an anchor's surroundings share one, unless they are more than it holds.
+    """
+    group_limit = group_limit or max(2, int(shard_units / (1.5 * unit.window)))
     every = stored(located(docs, key, text, unit))  # texts are hashed once
     often = stored(every.groupBy("a").count().filter("count > 1").select("a"))  # a table of its own, so that the join can split an anchor that a third of all texts have
     found = stored(every.join(often, "a").select("a", "s", "k", "m", "loc"))
@@ -230,7 +234,7 @@ def repeated_spans(docs: DataFrame, *, key: str, text: str, unit: Unit, judge, k
     small = pieces.filter(F.col("kinds") <= group_limit).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
 
     def judged(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("a", "ascending"), ("k", "ascending"), ("m", "ascending"), ("loc", "ascending")])
+        t = t.sort_by([("k", "ascending"), ("m", "ascending"), ("loc", "ascending")])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         spans = [[{"start": x, "end": y} for x, y in f] for f in judge(t, unit)]
         return t.select(["k", "m", "loc"]).append_column("spans", pa.array(spans, kind))
@@ -311,19 +315,6 @@ def cores(a: int, left: int, flat: bytes, at, unit: Unit, bounds: list[tuple[int
             yield j, xxhash.xxh3_64_intdigest(flat[at[left - low] : at[end] - unit.words], (a + j) & ((1 << 64) - 1))
 
 
-def promising(anchors_: list[int], lefts: list[int], flats: list[bytes], ats: list, unit: Unit, classes: int = 4) -> list[tuple[int, int] | None]:
-    """Of each piece the units in which windows worth judging lie, or None."""
-    bounds = classes_of(unit, classes)
-    found = [(d, i, j) for i, (a, left, flat, at) in enumerate(zip(anchors_, lefts, flats, ats, strict=True)) for j, d in cores(a, left, flat, at, unit, bounds)]
-    _, inverse, count = np.unique(np.array([d for d, _, _ in found], dtype=np.uint64), return_inverse=True, return_counts=True)
-    out: list[tuple[int, int] | None] = [None] * len(flats)
-    for ok, (_, i, j) in zip((count[inverse] > 1).tolist(), found, strict=True):
-        if ok:
-            start, end = max(0, lefts[i] - bounds[j][1]), min(len(ats[i]) - 1, lefts[i] + unit.window - bounds[j][0])
-            out[i] = (start, end) if out[i] is None else (min(start, out[i][0]), max(end, out[i][1]))
-    return out
-
-
 def by_digest(pieces: DataFrame, unit: Unit, keep_first: bool, classes: int = 12) -> DataFrame:
     """Verdicts (k, loc, one span) for anchors with more surroundings than a shard takes, by counts of digests, whichever task they stand in.
 

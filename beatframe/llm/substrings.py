@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from beatframe.llm.common import table
-from beatframe.llm.repeats import Unit, base, before, promising, repeated_spans, without
+from beatframe.llm.repeats import Unit, base, before, repeated_spans, without
 
 
 class Automaton:
@@ -69,27 +69,18 @@ class Automaton:
 
 
 def stream(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
-    """Spans of each piece, in units from its anchor, whose windows stand in an earlier piece of the same anchor at another place.
+    """Spans of each stretch, in units from its anchor, whose windows stand earlier in this shard.
 
-    Pieces come by anchor, key and place. Those read so far are the reference; a piece is streamed, then
-    what is new of it joins the reference.
+    The shard's automaton starts empty. Documents come in order, each with its stretches; a stretch is streamed
+    through the automaton, whose matching statistics of a window or more give the maximal spans that go,
+    and what is new of it joins the automaton.
     """
-    anchors, keys, marks, locs, pieces = (t[c].to_pylist() for c in ("a", "k", "m", "loc", "piece"))
-    lefts = [before(loc) for loc in locs]
-    split = [unit.split(p) for p in pieces]
-    ranges = promising(anchors, lefts, [f for f, _ in split], [x for _, x in split], unit)
+    keys, marks, locs, pieces = (t[c].to_pylist() for c in ("k", "m", "loc", "piece"))
     out: list[list[tuple[int, int]]] = []
-    last = object()
-    window = unit.window
-    for a, k, m, loc, left, (flat, at), span in zip(anchors, keys, marks, locs, lefts, split, ranges, strict=True):
-        if a != last:
-            automaton, last = Automaton(), a
-        if span is None:
-            out.append([])
-            continue
-        start, end = span
-        words = flat[at[start] : at[end] - 1].split()
-        places = [(k, m, base(loc) + i) for i in range(start, end)]
+    automaton, window = Automaton(), unit.window
+    for k, m, loc, piece in zip(keys, marks, locs, pieces, strict=True):
+        words, left, begin = piece.split(), before(loc), base(loc)
+        places = [(k, m, begin + i) for i in range(len(words))]
         gone: list[list[int]] = []
         new: list[list[int]] = []
         for i, first in enumerate(automaton.matches(words, window)):
@@ -103,15 +94,15 @@ def stream(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
                     into.append([i + 1 - window, i + 1])
         for x, y in new:
             automaton.add(words[x:y], places[x:y])
-        out.append([(x + start - left, y + start - left) for x, y in gone])
+        out.append([(x - left, y - left) for x, y in gone])
     return out
 
 
 def dedup_substrings(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text: str = "text", window: int = 20, k: int = 6, full: bool = False) -> DataFrame:
     """row (struct of keep), n_units, n_removed, n_spans, kept_sha256 (and kept with full): docs without the words of every window of `window` words that also starts earlier.
 
-    Earlier: a smaller key, or the same text further ahead. Reference shards are routed by anchors (see
-    repeats), as automata of all texts can't be broadcast; each shard streams its own texts.
+    Earlier: a smaller key, or the same text further ahead. Documents and reference shards meet by anchors (see
+    repeats), as automata of all texts can't be broadcast; a shard streams the stretches of the documents that have its anchors.
 
     Null texts have no words. Null keys come before all others. Texts that share a key are ordered by a
     hash of the text; rows that repeat key and text are one document, returned as often as they come. Texts of

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from beatframe.llm.common import table
-from beatframe.llm.repeats import Unit, base, before, classes_of, cores, repeated_spans, runs, without
+from beatframe.llm.repeats import Unit, base, before, repeated_spans, runs, without
 
 
 def suffix_array(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -90,50 +89,13 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, most: int, lanes: int =
     return out[sa]
 
 
-def undecided(anchors: list[int], lefts: list[int], pieces: list[bytes], unit: Unit, classes: int = 8):
-    """Of each piece the bytes that a suffix array must read (or None), and the spans that are repeats already.
-
-    A class of windows whose core stands in one piece alone is not repeated. Pieces that agree in all of a
-    class's windows repeat each other there, at other places as their anchors are; one of them is read for all.
-    """
-    bounds = classes_of(unit, classes)
-    owner, which, core, hull = [], [], [], []
-    for i, (a, left, piece) in enumerate(zip(anchors, lefts, pieces, strict=True)):
-        for j, d in cores(a, left, piece, range(len(piece) + 1), unit, bounds):
-            owner.append(i)
-            which.append(j)
-            core.append(d)
-            start = max(0, left - bounds[j][1])
-            hull.append(xxhash.xxh3_64_intdigest(piece[start : left + unit.window - bounds[j][0]], (d + left - start) & ((1 << 64) - 1)))
-    _, inverse, count = np.unique(np.array(core, dtype=np.uint64), return_inverse=True, return_counts=True)
-    _, first, of_hull, copies = np.unique(np.array(hull, dtype=np.uint64), return_index=True, return_inverse=True, return_counts=True)
-    alone, same, leader = count[inverse] == 1, copies[of_hull] > 1, first[of_hull] == np.arange(len(hull))
-    read: list[tuple[int, int] | None] = [None] * len(pieces)
-    done: list[list[tuple[int, int]]] = [[] for _ in pieces]
-    for i, j, one, equal, lead in zip(owner, which, alone.tolist(), same.tolist(), leader.tolist(), strict=True):
-        if one:
-            continue
-        start, end = max(0, lefts[i] - bounds[j][1]), min(len(pieces[i]), lefts[i] + unit.window - bounds[j][0])
-        if equal:
-            done[i].append((start - lefts[i], end - lefts[i]))
-        if lead:
-            read[i] = (start, end) if read[i] is None else (min(start, read[i][0]), max(end, read[i][1]))
-    return read, done
-
-
 def repeated_windows(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
-    """Spans of each piece, in units from its anchor, whose windows also stand at another place of this shard.
+    """Spans of each stretch, in units from its anchor, whose windows also stand at another place of this shard.
 
-    One suffix array holds all pieces of the shard. Suffixes whose common prefixes reach the window are a
+    One suffix array holds all stretches of the shard. Suffixes whose common prefixes reach the window are a
     run; its windows are repeats if they stand at more than one place.
     """
-    raw, keys = [x or b"" for x in t["piece"].to_pylist()], t["a"].to_pylist()
-    inner, out = undecided(keys, before(np.asarray(t["loc"])).tolist(), raw, unit)
-    chosen = [i for i, x in enumerate(inner) if x is not None]
-    if not chosen:
-        return out
-    cut = np.array([inner[i][0] for i in chosen])
-    pieces = [raw[i][inner[i][0] : inner[i][1]] for i in chosen]
+    pieces = [x or b"" for x in t["piece"].to_pylist()]
     size = np.array([len(p) for p in pieces], dtype=np.int64)
     begin = np.concatenate([[0], np.cumsum(size + 1)])
     data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
@@ -147,8 +109,8 @@ def repeated_windows(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
     shared = common_prefixes(symbols, sa, unit.window)
     run = np.cumsum(shared < unit.window)
     same = np.flatnonzero(np.bincount(run, minlength=len(sa) + 1)[run] > 1)
-    key, mark, loc = (np.asarray(t[c])[chosen] for c in ("k", "m", "loc"))
-    left, start = before(loc) - cut, base(loc) + cut
+    key, mark, loc = (np.asarray(t[c]) for c in ("k", "m", "loc"))
+    left, start = before(loc), base(loc)
     s = sa[same]
     k, m = key[piece[s]], mark[piece[s]]
     place = start[piece[s]] + (s - begin[piece[s]])
@@ -159,9 +121,10 @@ def repeated_windows(t: pa.Table, unit: Unit) -> list[list[tuple[int, int]]]:
     np.add.at(change, s[repeated], 1)
     np.add.at(change, s[repeated] + unit.window, -1)
     gone = np.cumsum(change)[:-1] > 0
+    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
     for a, b in runs(gone):
         i = int(piece[a])
-        out[chosen[i]].append((a - int(begin[i]) - int(left[i]), b - int(begin[i]) - int(left[i])))
+        out[i].append((a - int(begin[i] + left[i]), b - int(begin[i] + left[i])))
     return out
 
 
@@ -172,7 +135,7 @@ def dedup_bytes(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
     value of their own. Texts of any length are read whole. Empty table: no rows.
     """
     unit = Unit(words=False, window=window, k=k)
-    spans = repeated_spans(docs, key=key, text=text, unit=unit, judge=repeated_windows, keep_first=False)
+    spans = repeated_spans(docs, key=key, text=text, unit=unit, judge=repeated_windows, keep_first=False, shard_units=400_000)
     return without(docs, spans, keep=keep, key=key, text=text, unit=unit, full=full)
 
 
