@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of this process that are still there.
+_TABLES: set[str] = set()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -36,11 +38,22 @@ def stored(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
+    _TABLES.add(path)
     return out
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table that stored() wrote and nothing will read any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._table)
+    _delete(df.sparkSession, df._table)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Deletes all tables that stored() has written, once the results that read them are written themselves."""
+    for path in sorted(_TABLES):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, table: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _TABLES.discard(table)
