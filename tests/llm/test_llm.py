@@ -276,6 +276,14 @@ def test_near_copies_in_large_buckets(spark, bucket):
     assert near_ids(spark, texts, bucket=bucket) == near_groups(texts)
 
 
+def test_near_copies_beside_columns_of_any_name(spark, docs, rows):
+    """Nulls, repeats, empties and clashing columns: the groups of all pairs, by least key."""
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_copies(clashing(docs), keep=["doc_id"]).select("row.doc_id", "component_id").collect())
+    group = near_groups([t or "" for _, t in rows])
+    least = {g: min((i for (i, _), h in zip(rows, group) if h == g and i is not None), default=None) for g in group}
+    assert got == Counter((i, least[g]) for (i, _), g in zip(rows, group))
+
+
 def test_near_copies_at_the_bound(spark):
     """Pairs with a similarity of exactly 0.8, of 0.81 and just below, each pair of its own."""
     rng = random.Random(9)
@@ -676,4 +684,9 @@ def test_pipeline(spark, tmp_path, docs, rows):
             assert not {100 + i for i in range(12)} & set(ids) and ids.count(5) == 1 and 7 in ids and not {200 + i for i in range(8)} & set(ids)
         if name == "decontaminate":
             assert 0 not in {r["doc_id"] for r in kept.collect()}
-    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    sizes = Counter((r["doc_id"], len((r["text"] or "").split())) for r in kept.collect())
+    packed = out.groupby(["doc_id", "copy"], dropna=False)["n_tokens"].sum()
+    assert Counter((None if i != i else int(i), int(n)) for (i, _), n in packed.items()) == sizes
+    for (_, size), b in out.groupby(["bin_id", "bin_capacity"]):
+        assert b["n_tokens"].sum() <= size
