@@ -100,6 +100,11 @@ def rank_one(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sign * u[:, 0] * s[0], sign * w[0]
 
 
+def first_largest(x: np.ndarray) -> int:
+    """Index of the first value that is the largest but for rounding."""
+    return int(np.argmax(x >= (1 - 1e-9) * x.max()))
+
+
 def template(v: np.ndarray, mode: str) -> np.ndarray:
     """The template of a beat, from its leading mode after the mean is taken off. positive: at its strongest positive frame; absolute: at the frame of largest absolute score; row: its row of largest RMS. A constant beat's is zero."""
     if mode not in ("positive", "absolute", "row"):
@@ -108,9 +113,9 @@ def template(v: np.ndarray, mode: str) -> np.ndarray:
     if mode == "positive":
         return t.max() * w
     if mode == "absolute":
-        return t[np.argmax(np.abs(t))] * w
+        return t[first_largest(np.abs(t))] * w
     rows = np.outer(t, w)
-    return rows[np.argmax(np.sqrt((rows**2).mean(axis=1)))]
+    return rows[first_largest(np.sqrt((rows**2).mean(axis=1)))]
 
 
 def beat_templates(df: DataFrame, vector: str, *, by: list[str], order: str, mode: str = "positive") -> DataFrame:
