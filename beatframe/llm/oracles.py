@@ -68,3 +68,26 @@ g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) ||
              sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256 FROM t GROUP BY 1)
 SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM g JOIN n USING (conv_id)
 """
+
+#: A run's words, its length less its period apart, are equal for 16 words at least; so equal 16-word strings find every run.
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+                  list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                              lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))) AS c FROM documents),
+h AS (SELECT r, doc_id, w, len(w) AS n, xor(c, 4294967295) AS h FROM d),
+a AS (SELECT *, (h // 10) % greatest(n, 1) AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+g AS (SELECT r, i, array_to_string(list_slice(w, i + 1, i + 16), ' ') AS s FROM (SELECT r, w, unnest(range(n - 15)) AS i FROM t)),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.s = y.s AND y.i > x.i),
+k AS (SELECT r, q, min(i) AS s, max(i) + 16 + q - min(i) AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island),
+u AS (SELECT r, s, l, min(q) AS q FROM k WHERE l >= greatest(24, 3 * q) GROUP BY r, s, l),
+b AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY CAST(l AS DOUBLE) / q DESC, s, q) AS place FROM u),
+z AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM u GROUP BY r),
+o AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM u),
+v AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t),
+c AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM v ANTI JOIN o USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN z USING (r) LEFT JOIN (SELECT * FROM b WHERE place = 1) USING (r) LEFT JOIN c USING (r)
+"""
