@@ -138,8 +138,9 @@ def similar_groups(docs: DataFrame, *, keep: list[str], key: str = "doc_id", tex
     read = map_texts(docs.select(mark, mark2, docs[key].alias("least"), docs[text].alias("text")), ["h", "g", "least"], F.col("text"), run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
     nodes = read.groupBy("row.h", "row.g").agg(F.min("row.least").alias("least"), *[F.first(c).alias(c) for c in kinds])
     nodes = stored(nodes.withColumn("t", F.monotonically_increasing_id()))  # numbers, once written, that no two texts share
-    one = stored(nodes.filter("n > 0").groupBy("whole").agg(F.min("t").alias("t")))
-    ones = nodes.join(one.select("t"), "t")
+    one = stored(nodes.filter("n > 0").groupBy("whole").agg(F.min("t").alias("t"), F.count("*").alias("texts")))
+    others = nodes.join(one.filter("texts > 1").select("whole", F.col("t").alias("first")), "whole").filter("t <> first").select("t")
+    ones = nodes.filter("n > 0").join(stored(others), "t", "left_anti")  # few as a rule, so that nodes needn't be shuffled
 
     def held(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.explode(F.array("a", "b")).alias("t")).distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from beatframe.llm.common import stored
 
 ROWS, BANDS, WIDTH = 5, 16, 128
-PARITIES = 2048
+LEAST_LEVEL = 8
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 32, WIDTH, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, WIDTH, dtype=np.uint32)
@@ -46,8 +46,38 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def parities(shingles: np.ndarray) -> bytes:
-    """Whether an odd number of shingles falls into each of PARITIES places: sets that differ in d shingles differ in d places at most."""
-    return np.packbits((np.bincount((shingles >> np.uint64(53)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+    """Whether an odd number of shingles falls into each of as many places as there are shingles (the next power of two, 256 at least): sets that differ in d shingles differ in d places at most."""
+    places = 1 << max(LEAST_LEVEL, int(len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8)).tobytes()
+
+
+class Parities:
+    """Parities of many sets, compared pair by pair. Of two sizes the larger is folded: halves laid over each other are the parities of half as many places."""
+
+    def __init__(self, odd: list[bytes]):
+        self.size = np.array([len(o) for o in odd], dtype=np.int64)
+        self.rows, self.place = {}, {}
+        of = {int(s): np.flatnonzero(self.size == s) for s in np.unique(self.size)}
+        whole = {s: np.frombuffer(b"".join([odd[i] for i in at]), np.uint64).reshape(len(at), -1) for s, at in of.items()}
+        for s in of:
+            held, at = [whole[s]], [of[s]]
+            if 2 * s in of:
+                held.append(whole[2 * s][:, : s // 8] ^ whole[2 * s][:, s // 8 :])
+                at.append(of[2 * s])
+            self.rows[s] = np.concatenate(held)
+            self.place[s] = np.full(len(odd), -1)
+            self.place[s][np.concatenate(at)] = np.arange(sum(map(len, at)))
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many places sets x and y differ at least; sets whose sizes are more than one step apart differ in none."""
+        out = np.zeros(len(x), np.int64)
+        least = np.minimum(self.size[x], self.size[y])
+        for s in np.unique(least):
+            some = np.flatnonzero((least == s) & (np.maximum(self.size[x], self.size[y]) <= 2 * s))
+            for a in range(0, len(some), step := max(1, (1 << 25) // int(s))):
+                i = some[a : a + step]
+                out[i] = np.bitwise_count(self.rows[s][self.place[s][x[i]]] ^ self.rows[s][self.place[s][y[i]]]).sum(axis=1)
+        return out
 
 
 def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -100,7 +130,7 @@ def crossing_edges(nodes: DataFrame, *, similarity: float, bucket: int = 4000) -
         t = t.sort_by([("key", "ascending"), ("part", "ascending")])
         key, part, node, n, pos, block = (np.asarray(t[c]) for c in ("key", "part", "t", "n", "pos", "block"))
         own = np.asarray(t["own"].cast(pa.int8()))
-        odd = np.frombuffer(b"".join(t["odd"].to_pylist()), np.uint64).reshape(len(key), -1)
+        odd = Parities(t["odd"].to_pylist())
         size = len(key)
         new_key = np.concatenate([key[1:] != key[:-1], [True]])
         new_part = new_key | np.concatenate([part[1:] != part[:-1], [True]])
@@ -114,8 +144,7 @@ def crossing_edges(nodes: DataFrame, *, similarity: float, bucket: int = 4000) -
             least = share_of * (n[at] + n[to])
             ok = (np.minimum(n[at] - pos[at], n[to] - pos[to]) >= least) & (np.minimum(n[at], n[to]) >= least) & ((own[at] == 1) | (block[at] != block[to]))
             x, y = at[ok], to[ok]
-            differ = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1)
-            close = differ <= n[x] + n[y] - 2 * least[ok]
+            close = odd.differ(x, y) <= n[x] + n[y] - 2 * least[ok]
             x, y = node[x[close]], node[y[close]]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
             other[at] += 1
