@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatframe.llm.common import stored, table
-
-LEAST = -(1 << 62)
+from beatframe.llm.products import LEAST, Best, exact, matrix, most_common_length, whole_numbers
 
 
 def spread_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -53,131 +52,122 @@ class Pivots:
         return np.concatenate([y, np.sqrt(np.maximum(size - np.square(y).sum(axis=1), 0))[:, None]], axis=1)
 
 
-class Best:
-    """The k best (score, smaller id, smaller row) of each query so far, as columns; scores below `least` never count."""
-
-    def __init__(self, least: np.ndarray, k: int):
-        self.k, self.least = k, least.copy()
-        self.score = np.full((len(least), k), LEAST, dtype=np.int64)
-        self.id, self.row = np.zeros_like(self.score), np.zeros_like(self.score)
-
-    def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        """More candidates, by query; the threshold of a query is then its k-th score, if it has k."""
-        some = np.unique(q)
-        own = np.repeat(some, self.k)
-        s, i, r = np.concatenate([self.score[some].ravel(), score]), np.concatenate([self.id[some].ravel(), ids]), np.concatenate([self.row[some].ravel(), rows])
-        who = np.concatenate([own, q])
-        order = np.lexsort((r, i, -s, who))
-        who = who[order]
-        begin = np.searchsorted(who, some)
-        at = order[begin[:, None] + np.arange(self.k)[None]]
-        self.score[some], self.id[some], self.row[some] = s[at], i[at], r[at]
-        self.least[some] = np.maximum(self.least[some], self.score[some, -1])
-
+def box(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest coordinates of a block of candidates."""
+    return places.min(axis=0), places.max(axis=0)
 
-def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Row-wise products of integers: float64 is exact below 2**53, larger ones take Python integers."""
-    if len(q) and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] >= 2.0**53:
-        return np.array([int(sum(int(a) * int(b) for a, b in zip(x, y, strict=True))) for x, y in zip(q, c, strict=True)], dtype=np.int64)
-    return np.einsum("ij,ij->i", q, c).astype(np.int64)
 
+def scan(best: Best, q: np.ndarray, q_place: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_place: np.ndarray, c_ids: np.ndarray, c_row: np.ndarray, step: int = 16) -> tuple[int, int]:
+    """Takes a block of candidates into best; returns how many bounds and how many products it evaluated.
 
-def scan(best: Best, q: np.ndarray, q_place: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_place: np.ndarray, c_ids: np.ndarray, c_row: np.ndarray, step: int = 16) -> int:
-    """Takes candidates into best; returns how many products it evaluated.
-
-    Each query evaluates candidates in the order of their bounds, `step` at a time, until its k-th best
-    score exceeds every bound that is left.
+    Queries whose k-th best score exceeds what the block's box of places allows skip the whole block. Every other
+    query evaluates candidates in the order of their bounds, `step` at a time, until its k-th best score exceeds
+    every bound that is left.
     """
-    bound = q_place @ c_place.T
-    bound += 1e-9 * (1 + np.square(q_place).sum(axis=1)[:, None] + np.square(c_place).sum(axis=1)[None])  # rounding
-    qi, ci = np.nonzero(bound >= best.least[:, None])
-    other = q_row[qi] != c_row[ci]
-    qi, ci = qi[other], ci[other]
+    low, high = box(c_place)
+    least = best.least.astype(np.float64)
+    sizes = np.square(q_place).sum(axis=1)
+    slack = 1e-9 * (1 + sizes + np.square(c_place).sum(axis=1).max())  # rounding
+    # scores that end at 64 bits lie above their products, hence the second condition here and below
+    some = np.flatnonzero((np.maximum(q_place * low, q_place * high).sum(axis=1) + slack >= least) | (least <= LEAST))
+    bound = q_place[some] @ c_place.T + slack[some, None]
+    qi, ci = np.nonzero((bound >= least[some, None]) | (least[some, None] <= LEAST))
     b = bound[qi, ci]
+    qi = some[qi]
+    other = q_row[qi] != c_row[ci]
+    qi, ci, b = qi[other], ci[other], b[other]
     order = np.lexsort((-b, qi))
     qi, ci, b = qi[order], ci[order], b[order]
     place = np.arange(len(qi)) - np.searchsorted(qi, qi)
     done, evaluated = 0, 0
     while len(qi):
-        now = place < done + step
-        x, y = qi[now], ci[now]
-        evaluated += len(x)
-        best.add(x, exact(q[x], c[y]), c_ids[y], c_row[y])
+        now = np.flatnonzero(place < done + step)
+        for a in range(0, len(now), 1 << 15):
+            x, y = qi[now[a : a + (1 << 15)]], ci[now[a : a + (1 << 15)]]
+            best.add(x, exact(q[x], c[y]), c_ids[y], c_row[y])
+        evaluated += len(now)
         done += step
-        left = ~now & (b >= best.least[qi])
+        left = (place >= done) & ((b >= best.least[qi]) | (best.least[qi] <= LEAST))
         qi, ci, b, place = qi[left], ci[left], b[left], place[left]
-    return evaluated
+    return bound.size, evaluated
 
 
-def matrix(column, dtype, width: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=dtype).reshape(-1, width)
-
-
-def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, ids: str = "vec_id", vector: str = "embedding", scale: int = 256, pivots: int = 48, sample_rows: int = 4096, chunk_bytes: int = 64_000_000, tile: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, ids: str = "vec_id", vector: str = "embedding", scale: int = 256, pivots: int = 48, sample_rows: int = 4096, chunk_bytes: int = 64_000_000, tile: int = 512, counts: tuple | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, the k largest integer inner products with all other rows.
 
     Components become floor(scale * x). Pivots are spread rows of a bounded sample (sample_rows vectors of
-    least hash); a vector's distances to them are computed once. Queries go to the tasks in chunks
-    of chunk_bytes, one broadcast at a time, and every task scans its candidates once for a chunk: no
-    vector is shuffled or copied for pairs. A query's first threshold is its k-th score in the sample, and
-    a task's own k-th score after that; only each task's k best go on.
+    least hash). The pivot table is stored once: each vector with its place by the distances to all pivots, in the
+    order of the nearest pivot and the distance to it, so that blocks of it are alike. Queries go to the tasks in chunks
+    of chunk_bytes, one broadcast at a time, and every task scans its part of the table once for a chunk (see scan): no
+    vector is copied for pairs. A query's first threshold is its k-th score in the sample, and
+    a task's own k-th score after that; only each task's k best go on. counts: two accumulators, of bounds and of products.
 
     Left out: null ids, null vectors, vectors with null or non-finite components, and vectors of another
     length than the most common one. Rows that repeat an id are rows of their own: each is a query, and a
-    candidate of the others; ties go to the smaller id. Fewer than k candidates: all of them. Empty table: no rows.
+    candidate of the others; ties go to the smaller id. Scores beyond 64 bits are the nearest that fits. Fewer than k
+    candidates: all of them. Columns of vectors can have any names. Empty table: no rows.
     """
     spark = vectors.sparkSession
-    x = vectors.select(F.col(ids).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
-    x = x.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    x = stored(x.select("id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("x"), F.monotonically_increasing_id().alias("row")))
-    sizes = {r["n"]: r["count"] for r in x.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()}
-    dim = next(iter(sizes), 0)
+    x = stored(whole_numbers(vectors, ids=ids, vector=vector, scale=scale))
+    dim = most_common_length(x)
     x = x.filter(F.size("x") == dim)
     schema = "query_id bigint, q_row bigint, vec_id bigint, c_row bigint, score bigint"
     if not dim:
         return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
-    found = x.orderBy(F.xxhash64("x"), "id", "row").limit(sample_rows).collect()
-    sample, sample_rows_ = np.array([r["x"] for r in found], dtype=np.float64), np.array([r["row"] for r in found], dtype=np.int64)
-    sample_ids = np.array([r["id"] for r in found], dtype=np.int64)
-    table_ = Pivots(spread_pivots(sample, pivots))
+    found = x.orderBy(F.xxhash64("x"), "id", "row").limit(sample_rows).toArrow()
+    sample, sample_ids, sample_rows_ = matrix(found["x"].combine_chunks(), dim), np.asarray(found["id"]), np.asarray(found["row"])
+    table_ = Pivots(spread_pivots(sample.astype(np.float64), pivots))
+    width = table_.places(sample[:1].astype(np.float64)).shape[1]
+
+    def placed(batches):
+        for b in batches:
+            v = matrix(b["x"], dim).astype(np.float64)
+            near = table_.distances(v)
+            own = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * width, pa.array(table_.places(v).ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, own, pa.array(near.argmin(axis=1)), pa.array(near.min(axis=1))], names=[*b.schema.names, "place", "nearest", "far"])
+
+    held = "id bigint, x array<bigint>, row bigint, place array<double>"
+    near = x.select("id", "x", "row").mapInArrow(placed, f"{held}, nearest bigint, far double")
+    candidates = stored(near.repartitionByRange("nearest", "far", "row").sortWithinPartitions("nearest", "far", "row").select("id", "x", "row", "place"))
+
+    def part_of(b) -> tuple[np.ndarray, ...]:
+        return matrix(b["x"], dim), np.asarray(b["place"].flatten()).reshape(-1, width), np.asarray(b["id"]), np.asarray(b["row"])
 
     def seeds(batches):
-        at = table_.places(sample)
+        at = table_.places(sample.astype(np.float64))
         for b in batches:
             for a in range(0, b.num_rows, tile):
                 part = b.slice(a, tile)
-                q, row = matrix(part.column(1), np.float64, dim), np.asarray(part.column(2))
+                q, place, _, row = part_of(part)
                 best = Best(np.full(len(q), LEAST, dtype=np.int64), k)
-                scan(best, q, table_.places(q), row, sample, at, sample_ids, sample_rows_)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best.least)], names=["id", "x", "row", "least"])
+                scan(best, q, place, row, sample, at, sample_ids, sample_rows_)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best.least)], names=[*b.schema.names, "least"])
 
-    size = max(1, chunk_bytes // (8 * dim))
-    asked = x.filter(F.col("id") % every == 0)
-    queries = stored(asked.mapInArrow(seeds, "id bigint, x array<bigint>, row bigint, least bigint"))
+    size = max(1, chunk_bytes // (8 * (dim + width)))
+    queries = stored(candidates.filter(F.col("id") % every == 0).mapInArrow(seeds, f"{held}, least bigint"))
     chunks = max(1, math.ceil(queries.count() / size))
     out = None
     for chunk in range(chunks):
-        some = queries.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == chunk).orderBy("id", "row").toArrow()
+        some = queries.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == chunk).orderBy("id", "row").toArrow().combine_chunks()
         if not len(some):
             continue
-        q = matrix(some["x"].combine_chunks(), np.float64, dim)
-        shared = spark.sparkContext.broadcast((q, table_.places(q), np.asarray(some["id"]), np.asarray(some["row"]), np.asarray(some["least"])))
+        shared = spark.sparkContext.broadcast((*part_of(some.to_batches()[0]), np.asarray(some["least"])))
 
         def search(batches, shared=shared):
             q, q_place, q_id, q_row, least = shared.value
             tiles = [(slice(a, a + tile), Best(least[a : a + tile], k)) for a in range(0, len(q), tile)]
             for b in batches:
                 for a in range(0, b.num_rows, 4 * tile):
-                    part = b.slice(a, 4 * tile)
-                    c, c_ids, c_row = matrix(part.column(1), np.float64, dim), np.asarray(part.column(0)), np.asarray(part.column(2))
-                    c_place = table_.places(c)
+                    c, c_place, c_ids, c_row = part_of(b.slice(a, 4 * tile))
                     for at, best in tiles:
-                        scan(best, q[at], q_place[at], q_row[at], c, c_place, c_ids, c_row)
+                        n = scan(best, q[at], q_place[at], q_row[at], c, c_place, c_ids, c_row)
+                        for total, m in zip(counts or (), n, strict=False):
+                            total.add(m)
             for at, best in tiles:
-                i, j = np.nonzero(best.score > LEAST)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (q_id[at][i], q_row[at][i], best.id[i, j], best.row[i, j], best.score[i, j])], names=["query_id", "q_row", "vec_id", "c_row", "score"])
+                i, score, ids_, rows = best.held()
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (q_id[at][i], q_row[at][i], ids_, rows, score)], names=["query_id", "q_row", "vec_id", "c_row", "score"])
 
-        part = x.select("id", "x", "row").mapInArrow(search, schema)
+        part = candidates.mapInArrow(search, schema)
         if chunks > 1:
             part = stored(part)
             shared.destroy()
