@@ -74,28 +74,33 @@ def fit(x: np.ndarray, langs: list[str], *, landmarks: int, ridge: float) -> Mod
 
 
 def learned(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order: str = "doc_id", per_language: int = 300, sample_rows: int = 16_384, landmarks: int = 256, ridge: float = 1.0) -> Model | None:
-    """Fits on a bounded sample of labelled rows with a letter: of each language its rows of least hash of the order column, per_language at most.
+    """Fits on a bounded sample of labelled rows with a letter: of each language its distinct rows of least hash of text and order column, per_language at most.
 
-    At most sample_rows rows' presence bits (2 kB each) go to the driver; where languages are so many that
+    A row that is repeated counts once, and null or shared ids make no two texts alike, so the sample is as
+    large as it can be whatever the ids are; it doesn't depend on partitions. Languages' sizes come from
+    sketches; no task ranks more than about twice what it keeps of a language. At most sample_rows rows' presence bits (2 kB each) go to the driver; where languages are so many that
     per_language of each would be more, each has fewer. None when there is nothing to learn from. Rows without a label teach nothing.
     """
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = stored(rows.groupBy(F.col(lang).alias("_lang")).count())
+    of = F.xxhash64(F.lit("sample"), F.col(order).cast("string"), F.lit("of"), text)  # null ids leave the hash of the text
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("_lang"), F.col(text).alias("text"), of.alias("h"))
+    counts = stored(rows.groupBy("_lang").agg(F.approx_count_distinct("h", 0.02).alias("count")))
     several = counts.count()
     if not several:
         return None
     each = max(1, min(per_language, sample_rows // several))
-    u = F.pmod(F.xxhash64(F.lit("sample"), order), F.lit(1 << 30)).cast("double") / (1 << 30)
-    share = F.least(F.lit(1.0), (F.lit(1.5 * each) + 12) / F.col("count"))
-    sample = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("text"), u.alias("u"), F.xxhash64(text).alias("h")).join(counts, "_lang").filter(F.col("u") < share)
-    first = F.row_number().over(Window.partitionBy("_lang").orderBy("u", "h"))  # of about 1.5 * each rows of a language
-    sample = sample.withColumn("n", first).filter(F.col("n") <= each)
+    u = F.pmod("h", F.lit(1 << 30)).cast("double") / (1 << 30)
+    share = F.least(F.lit(1.0), (F.lit(1.6 * each) + 16) / F.col("count"))
+    drawn = rows.join(counts, "_lang").filter(u < share).groupBy("_lang", "h").agg(F.first("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("_lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))  # of about 1.6 * each rows of a language
+    sample = drawn.withColumn("n", first).filter(F.col("n") <= each)
 
     def bits(slices):
         for texts in slices:
             yield [pa.array([np.packbits(r > 0).tobytes() for r in presence(texts)], pa.binary())]
 
     found = map_texts(sample, ["_lang", "n"], F.lower("text"), bits, "bits binary", slice_bytes=200_000).select("row.*", "bits").orderBy("n", "_lang", "bits").limit(sample_rows).collect()
+    if not found:  # only where all languages are far rarer than their sketches say
+        return None
     x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in found]).astype(np.float32)
     return fit(x, [r["_lang"] for r in found], landmarks=landmarks, ridge=ridge)
 

@@ -200,7 +200,7 @@ def test_pivots_exclude_most_candidates():
     assert (y[:50] @ y.T >= products - 1e-6 * np.abs(products).max()).all()
     best = topk.Best(np.full(50, topk.LEAST), 5)
     rows = np.arange(len(x))
-    done = sum(topk.scan(best, x[:50], y[:50], rows[:50], x[a : a + 512], y[a : a + 512], rows[a : a + 512], rows[a : a + 512]) for a in range(0, len(x), 512))
+    done = sum(topk.scan(best, x[:50], y[:50], rows[:50], x[a : a + 512], y[a : a + 512], rows[a : a + 512], rows[a : a + 512])[1] for a in range(0, len(x), 512))
     products[np.arange(50), np.arange(50)] = -np.inf
     assert (best.score == -np.sort(-products, axis=1)[:, :5]).all() and done < 0.2 * products.size
 
@@ -491,7 +491,7 @@ def test_language_against_plain_kernels(spark):
     d = spark.createDataFrame(data, "doc_id long, text string, lang string")
     model = langid.learned(d, landmarks=9, ridge=0.5)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(d, model, keep=["doc_id"]).select("row.doc_id", "lang_pred", "score").collect()}
-    order = {r["doc_id"]: r["u"] for r in d.select("doc_id", F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)).alias("u")).collect()}
+    order = {r["doc_id"]: r["u"] for r in d.select("doc_id", F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), F.lit("of"), "text"), F.lit(1 << 30)).alias("u")).collect()}
     grams = {}
     for i, t, _ in data:
         b = t.encode()
