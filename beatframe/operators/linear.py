@@ -1,6 +1,7 @@
 """Fixed linear reconstruction: small dense operators per ring, applied to any number of frames.
 
 A matrix is elements x channels (about 1,500 x 32), so it travels with the task; frames are never gathered.
+Where `ring` names a column, matrices are maps of ring to matrix and all rings are one job (rings.times).
 """
 
 from __future__ import annotations
@@ -13,32 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beatframe.functions.arrays import TINY, dot, minus, quantile, rms, sum_squares
+from beatframe.operators.rings import MAX_BYTES, times
 
-MAX_MATRIX = 50_000_000  # numbers in a matrix that is sent to every task
+Matrix = np.ndarray | dict[object, np.ndarray]
 
+MAX_MATRIX = MAX_BYTES // 8  # numbers in a matrix that is sent to every task
 
-def times(df: DataFrame, vector: str, matrix: np.ndarray, out: str) -> DataFrame:
-    """LN1, LN4: adds matrix times each frame's vector, batch by batch. Refuses a matrix too large to send."""
-    matrix = np.asarray(matrix, dtype=np.float64)
-    if matrix.size > MAX_MATRIX:
-        raise ValueError(f"a matrix of {matrix.shape} is too large to send to every task")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
-    at = df.columns.index(vector)
 
-    def run(batches):
-        for b in batches:
-            flat = b.column(at)
-            x = np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
-            y = x @ matrix.T if len(x) else np.zeros((0, len(matrix)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(np.arange(len(y) + 1, dtype=np.int32) * len(matrix), pa.array(y.ravel()))], names=schema.names)
-
-    return df.mapInArrow(run, schema)
-
-
-def reconstruct(df: DataFrame, vector: str, matrix: np.ndarray, *, by: list[str], order: str, out: str = "reconstruction") -> DataFrame:
-    """LN1: matrix times the frame's difference to its group's first frame."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return times(df.withColumn("_d", minus(vector, F.first(vector).over(w))), "_d", matrix, out).drop("_d")
+def reconstruct(df: DataFrame, vector: str, matrix: Matrix, *, by: list[str], order: str, out: str = "reconstruction", ring: str | None = None) -> DataFrame:
+    """LN1: matrix times the frame's difference to its group's first frame (of its ring, where that is given). Null where either frame is null, holds a null or has another width than the matrix."""
+    w = Window.partitionBy(*by, *([ring] if ring else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return times(df.withColumn("_d", minus(vector, F.first(vector).over(w))), "_d", matrix, out, ring=ring).drop("_d")
 
 
 def operators(jacobian: DataFrame, regulariser: DataFrame, *, h: float, ridge: float = 0.0, sign: float = 1.0) -> DataFrame:
@@ -77,16 +63,16 @@ def dense(operator: DataFrame, row: str, col: str, value: str = "value") -> np.n
     return out
 
 
-def directions(df: DataFrame, *, voltage: str, state: str, jacobian: np.ndarray, inverse: np.ndarray, out: str = "direction") -> DataFrame:
-    """LN4: inverse times (V - J state)."""
-    d = times(df, state, jacobian, "_f").withColumn("_r", minus(voltage, "_f"))
-    return times(d, "_r", inverse, out).drop("_f", "_r")
+def directions(df: DataFrame, *, voltage: str, state: str, jacobian: Matrix, inverse: Matrix, out: str = "direction", ring: str | None = None) -> DataFrame:
+    """LN4: inverse times (V - J state); null where a vector is null, holds a null or has another width."""
+    d = times(df, state, jacobian, "_f", ring=ring).withColumn("_r", minus(voltage, "_f"))
+    return times(d, "_r", inverse, out, ring=ring).drop("_f", "_r")
 
 
-def first_step(df: DataFrame, *, voltage: str, jacobian: np.ndarray, inverse: np.ndarray, out: str = "step") -> DataFrame:
-    """LN5: the step from zero, the residual RMS before it and after, and the step's RMS."""
-    d = times(df, voltage, inverse, out)
-    d = times(d, out, jacobian, "_f")
+def first_step(df: DataFrame, *, voltage: str, jacobian: Matrix, inverse: Matrix, out: str = "step", ring: str | None = None) -> DataFrame:
+    """LN5: the step from zero, the residual RMS before it and after, and the step's RMS; null where the voltage is null, holds a null or has another width."""
+    d = times(df, voltage, inverse, out, ring=ring)
+    d = times(d, out, jacobian, "_f", ring=ring)
     return d.withColumn("residual_before", rms(voltage)).withColumn("residual_after", rms(minus(voltage, "_f"))).withColumn("step_rms", rms(out)).drop("_f")
 
 
@@ -132,9 +118,9 @@ def frame_solves(df: DataFrame, *, key: str, jacobian: str, residual: str, eigen
     return df.select(key, jacobian, residual).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, step array<double>, backward_error double")
 
 
-def linearised_voltage(df: DataFrame, *, state: str, baseline: str, voltage0: str, jacobian: np.ndarray, out: str = "voltage") -> DataFrame:
-    """LN7: V0 + J (state - baseline)."""
-    d = times(df.withColumn("_d", minus(state, baseline)), "_d", jacobian, "_f")
+def linearised_voltage(df: DataFrame, *, state: str, baseline: str, voltage0: str, jacobian: Matrix, out: str = "voltage", ring: str | None = None) -> DataFrame:
+    """LN7: V0 + J (state - baseline); null where a vector is null, holds a null or has another width."""
+    d = times(df.withColumn("_d", minus(state, baseline)), "_d", jacobian, "_f", ring=ring)
     return d.withColumn(out, F.zip_with(voltage0, "_f", lambda a, b: a + b)).drop("_d", "_f")
 
 
@@ -170,19 +156,19 @@ def calibrated(df: DataFrame, *, voltage: str, reference: str, model0: str) -> D
     return df.withColumn("alpha", alpha).withColumn("differential", minus(minus(voltage, model0), minus(reference, model0)))
 
 
-def dataset_residual(df: DataFrame, *, state: str, voltage: str, jacobian: np.ndarray, floor: float) -> DataFrame:
-    """LN12: RMS over all frames of V - J max(state, floor), and how many values were raised to the floor."""
-    d = df.withColumn("_n", F.size(F.filter(state, lambda x: x < floor))).withColumn("_s", F.transform(state, lambda x: F.greatest(x, F.lit(floor))))
-    d = times(d, "_s", jacobian, "_f").withColumn("_r", minus(voltage, "_f"))
-    return d.agg(F.sqrt(F.sum(sum_squares("_r")) / F.sum(F.size("_r"))).alias("residual_rms"), F.sum("_n").alias("clipped"))
+def dataset_residual(df: DataFrame, *, state: str, voltage: str, jacobian: Matrix, floor: float, ring: str | None = None) -> DataFrame:
+    """LN12: RMS over all frames of V - J max(state, floor), and how many values were raised to the floor; by ring, where that is given. Frames without a product (see rings.times) take no part in the RMS."""
+    raised = F.transform(state, lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(floor))))
+    d = df.withColumn("_n", F.when(F.col(state).isNotNull(), F.size(F.filter(state, lambda x: x < floor)))).withColumn("_s", raised)
+    d = times(d, "_s", jacobian, "_f", ring=ring).withColumn("_r", minus(voltage, "_f"))
+    rms_of = F.sqrt(F.try_divide(F.sum(sum_squares("_r")), F.sum(F.when(sum_squares("_r").isNotNull(), F.size("_r")))))
+    return d.groupBy(*([ring] if ring else [])).agg(rms_of.alias("residual_rms"), F.sum("_n").alias("clipped"))
 
 
-def batch_scores(df: DataFrame, matrix: np.ndarray, *, vector: str, order: str, by: list[str], group: int = 50, out: str = "score") -> DataFrame:
-    """LN13, ST2: frames in order in groups of `group`, scored by the matrix; frames of a wrong width or with values that are not finite have valid false and no score."""
-    width = matrix.shape[1]
-    ok = (F.size(vector) == width) & F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
-    d = df.withColumn("valid", F.coalesce(ok, F.lit(False))).withColumn("_v", F.when(F.col("valid"), F.col(vector)).otherwise(F.array_repeat(F.lit(0.0), width)))
-    d = times(d.withColumn("group", F.floor(F.col(order) / group)), "_v", matrix, out).drop("_v")
-    return d.withColumn(out, F.when(F.col("valid"), F.col(out))).select(*by, order, "group", "valid", out)
+def batch_scores(df: DataFrame, matrix: Matrix, *, vector: str, order: str, by: list[str], group: int = 50, out: str = "score", ring: str | None = None) -> DataFrame:
+    """LN13, ST2: frames in order in groups of `group`, scored by the matrix; frames of a wrong width, of a ring without a matrix or with values that are null or not finite have valid false and no score."""
+    d = df.withColumn("_v", F.when(F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), F.col(vector)))
+    d = times(d.withColumn("group", F.floor(F.col(order) / group)), "_v", matrix, out, ring=ring)
+    return d.withColumn("valid", F.col(out).isNotNull()).select(*by, order, "group", "valid", out)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatframe.functions.arrays import long, quantile
+from beatframe.functions.arrays import quantile
+from beatframe.operators.rings import apply_sparse, images  # noqa: F401
 
 
 def zero_based(coo: DataFrame) -> DataFrame:
@@ -19,58 +20,10 @@ def zero_based(coo: DataFrame) -> DataFrame:
     return coo.select((F.col("col") - 1).alias("row"), (F.col("row") - 1).alias("col"), "value").groupBy("row", "col").agg(F.sum("value").alias("value"))
 
 
-def small_matrix(coo: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """(row numbers, matrix rows x columns; NaN where there is no entry) if it is small enough to go to every task; one job finds out."""
-    from beatframe.operators.linear import MAX_MATRIX
-
-    n, most, rows = coo.agg(F.count("*"), F.max("col"), F.countDistinct("row")).first()
-    if not n:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    if n > MAX_MATRIX // 10 or rows * (most + 1) > MAX_MATRIX:
-        return None
-    t = coo.select("row", "col", F.col("value").cast("double").alias("value")).toPandas()
-    numbers, at = np.unique(t["row"].to_numpy(), return_inverse=True)
-    out, there = np.zeros((len(numbers), int(most) + 1)), np.zeros((len(numbers), int(most) + 1), bool)
-    np.add.at(out, (at, t["col"].to_numpy()), t["value"].to_numpy())
-    there[at, t["col"].to_numpy()] = True
-    return numbers, np.where(there, out, np.nan)
-
-
-def apply_sparse(coo: DataFrame, frames: DataFrame, key: list[str], vector: str) -> DataFrame:
-    """MG1: matrix times each frame's vector, in long form: key, row, y. Rows that meet no component are left out.
-
-    A matrix of a ring (about 1,500 columns) goes to the tasks, which multiply batch by batch and shuffle
-    nothing; one above the limit is joined to the components instead.
-    """
-    small = small_matrix(coo)
-    if small is None:
-        x = long(frames.select(*key, vector), vector, index="col")
-        return coo.join(x, "col").groupBy(*key, "row").agg(F.sum(F.col("value") * F.col("x")).alias("y"))
-    numbers, matrix = small
-    there, full = np.isfinite(matrix).astype(np.float64), np.nan_to_num(matrix)
-    d = frames.select(*key, F.col(vector).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
-
-    def run(batches):
-        for b in batches:
-            v = b.column(len(key))
-            size = np.asarray(v.value_lengths()).astype(np.int64)
-            at = np.arange(matrix.shape[1])
-            known = at[None] < size[:, None]
-            flat = np.append(np.asarray(v.flatten(), dtype=np.float64), 0.0)
-            begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-            x = np.where(known, flat[np.minimum(begin[:, None] + at[None], len(flat) - 1)], 0.0)
-            frame, row = np.nonzero(known.astype(np.float64) @ there.T > 0)
-            take = pa.array(frame)
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(key))), pa.array(numbers[row]), pa.array((x @ full.T)[frame, row])], names=[*key, "row", "y"])
-
-    return d.mapInArrow(run, T.StructType([*(d.schema[k] for k in key), T.StructField("row", coo.schema["row"].dataType), T.StructField("y", T.DoubleType())]))
-
-
-def raster(coo: DataFrame, frames: DataFrame, key: list[str], vector: str, *, side: int) -> DataFrame:
-    """MG2: pixels of each frame (pixel p lies at row p mod side, column p div side); NaN where no element covers it. A frame's pixels come together in one row first, so its key must be its own."""
-    y = apply_sparse(coo, frames, key, vector).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("row").cast("int").alias("p"), "y"))).alias("_y"))
-    full = frames.select(*key).distinct().join(y, key, "left").select(*key, "_y", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("p"))
-    return full.select(*key, (F.col("p") % side).alias("row"), F.floor(F.col("p") / side).alias("col"), F.coalesce(F.try_element_at("_y", F.col("p")), F.lit(float("nan"))).alias("y"))
+def raster(coo: DataFrame, frames: DataFrame, key: list[str], vector: str, *, side: int, ring: str | None = None) -> DataFrame:
+    """MG2: pixels of each frame (pixel p lies at row p mod side, column p div side); NaN where no element covers it. Made by the task that holds the frame, as one array (rings.images), then laid out."""
+    d = images(coo, frames, key, vector, side=side, ring=ring).select(*key, F.posexplode("image").alias("p", "y"))
+    return d.select(*key, (F.col("p") % side).alias("row"), F.floor(F.col("p") / side).alias("col"), "y")
 
 
 def categorical_raster(coo: DataFrame, labels: DataFrame, *, background: int, pixels: int) -> DataFrame:
@@ -171,10 +124,11 @@ def element_positions(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     return d.select("elem_id", x.alias("x"), y.alias("y"), F.sqrt(x * x + y * y).alias("r"))
 
 
-def to_fine(coo: DataFrame, frames: DataFrame, key: list[str], vector: str, *, atol: float = 1e-12) -> DataFrame:
-    """MG12: MG1 with a map whose rows sum to 1; rows that don't are left out."""
-    good = coo.groupBy("row").agg(F.sum("value").alias("s")).filter(F.abs(F.col("s") - 1) <= atol).select("row")
-    return apply_sparse(coo.join(good, "row", "left_semi"), frames, key, vector)
+def to_fine(coo: DataFrame, frames: DataFrame, key: list[str], vector: str, *, atol: float = 1e-12, ring: str | None = None) -> DataFrame:
+    """MG12: MG1 with a map whose rows sum to 1; rows (of a ring) that don't are left out."""
+    row = ["row", *([ring] if ring else [])]
+    good = coo.groupBy(*row).agg(F.sum("value").alias("s")).filter(F.abs(F.col("s") - 1) <= atol).select(*row)
+    return apply_sparse(coo.join(good, row, "left_semi"), frames, key, vector, ring=ring)
 
 
 def chain_jacobian(fine: DataFrame, coarse_map: DataFrame) -> DataFrame:
