@@ -4,19 +4,21 @@ Each has a batch twin: buffers are tumbling(), epochs reference_epochs() of oper
 Frames may arrive late, out of order or twice within the watermark: accepted() drops repeats, and a
 session's frames wait in its state until the watermark has passed them, then go on in order. So state
 holds the frames of one delay, and one partial buffer, reference or filter state; it goes when the watermark
-is `idle` past a session's last frame.
+is `idle` past a session's last frame (see InOrder). Two streams are paired by live_pairs, watched by LiveMonitor.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from beatframe.operators.templates import butterworth, run_filter, steady_state
 
@@ -28,42 +30,80 @@ def accepted(frames: DataFrame, *, delay: str = "10 seconds") -> DataFrame:
     return frames.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session", "frame_no"])
 
 
-def stateful(frames: DataFrame, columns: list[str], out: T.StructType, state: T.StructType, step: Callable, *, idle: float = 60.0) -> DataFrame:
-    """Runs step(session, rows in order, state or None, last) -> (output, state) over the frames of each session that the watermark has passed; last says that the session has ended.
+class InOrder(StatefulProcessor):
+    """Runs step(session, rows in order, state or None, last) -> (output, state) over the frames of a session that the watermark has passed; last says that the session has ended.
 
-    columns: what step needs beside frame_no.
+    State: waiting, a map of frame number to the frame, of which each frame is written once and removed once; held, step's
+    own state, written when frames went on; ends, when the session's timer is due. One timer is at the latest waiting frame, one at
+    the session's end, `idle` seconds past it, which clears all of it. So a trigger writes what is new, and nothing anew.
     """
-    kinds = {f.name: f.dataType for f in frames.schema}
-    waiting = T.StructType([T.StructField("frame_no", T.LongType()), T.StructField("ts", T.LongType()), *(T.StructField(c, kinds[c]) for c in columns)])
-    full = T.StructType([*state.fields, T.StructField("waiting", T.ArrayType(waiting)), T.StructField("started", T.BooleanType())])
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        values = held.get if held.exists else None
-        pending = [tuple(w) for w in values[-2]] if values else []
-        for b in batches:
-            pending += list(zip(b["frame_no"].tolist(), b["_ms"].tolist(), *(b[c].tolist() for c in columns), strict=True))
-        ended = held.hasTimedOut
-        now = held.getCurrentWatermarkMs()
-        due = sorted((w for w in pending if ended or w[1] <= now), key=lambda w: w[0])
-        pending = [w for w in pending if not ended and w[1] > now]
-        rows = pd.DataFrame(due, columns=["frame_no", "ts", *columns])
-        before = values[:-2] if values and values[-1] else None
-        started = before is not None or bool(due)
-        if due or (ended and started):
-            result, new = step(key[0], rows, before, ended)
-            yield result
-        else:
-            new = before if before is not None else tuple(None for _ in state.fields)
+    def __init__(self, columns: list[str], waiting: T.StructType, state: T.StructType, step: Callable, idle: float):
+        self.columns, self.schema, self.state_schema, self.step, self.idle_ms = columns, waiting, state, step, int(idle * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("frame_no", T.LongType())]), self.schema)
+        self.held = handle.getValueState("held", self.state_schema)
+        self.ends = handle.getValueState("ends", T.StructType([T.StructField("at", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for b in rows:
+            b.columns = ["session", "frame_no", "ts", "_ms", *self.columns]  # Spark names what stateful() computed by its place
+            for n, ms, *values in zip(b["frame_no"].tolist(), b["_ms"].tolist(), *(b[c].tolist() for c in self.columns), strict=True):
+                if not self.waiting.containsKey((n,)):  # a frame that came twice waits once
+                    self.waiting.updateValue((n,), (ms, *(v.tolist() if isinstance(v, np.ndarray) else v for v in values)))
+                latest = ms if latest is None else max(latest, ms)
+        now = timerValues.getCurrentWatermarkInMs()
+        if latest is not None:
+            self._end_at(max(latest, now) + self.idle_ms)
+            if latest > now:
+                self.handle.registerTimer(latest)
+        yield from self._release(key[0], now, ended=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        ended = self.ends.exists() and self.ends.get()[0] <= expiredTimerInfo.getExpiryTimeInMs()
+        yield from self._release(key[0], now, ended=ended)
         if ended:
-            held.remove()
+            for s in (self.waiting, self.held, self.ends):
+                s.clear()
+
+    def _end_at(self, ms: int) -> None:
+        before = self.ends.get()[0] if self.ends.exists() else None
+        if before is None or ms > before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(ms)
+            self.ends.update((ms,))
+
+    def _release(self, session: str, now: int, *, ended: bool) -> Iterator[pd.DataFrame]:
+        due = sorted((k[0], *v) for k, v in self.waiting.iterator() if ended or v[0] <= now)
+        for w in due:
+            self.waiting.removeKey((w[0],))
+        before = self.held.get() if self.held.exists() else None
+        if not due and not (ended and before is not None):
             return
-        held.update((*new, [tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in w) for w in pending], started))
-        # a timeout is the next time the watermark passes what waits, or the session's end
-        last = max([w[1] for w in pending], default=now)
-        held.setTimeoutTimestamp(max(last, now) + int(idle * 1000))
+        result, new = self.step(session, pd.DataFrame(due, columns=["frame_no", "ts", *self.columns]), before, ended)
+        if len(result):
+            yield result
+        if not ended:
+            self.held.update(new)
+
+    def close(self) -> None:
+        pass
+
 
+def stateful(frames: DataFrame, columns: list[str], out: T.StructType, state: T.StructType, step: Callable, *, idle: float = 60.0) -> DataFrame:
+    """The stream of step's output over each session's frames in order (see InOrder). columns: what step needs beside frame_no. State is kept by RocksDB, which is set for the session's queries where no other provider is."""
+    conf, name = frames.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in conf.get(name):
+        conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = {f.name: f.dataType for f in frames.schema}
+    waiting = T.StructType([T.StructField("ts", T.LongType()), *(T.StructField(c, kinds[c]) for c in columns)])
     rows = frames.select("session", "frame_no", "ts", F.unix_millis("ts").alias("_ms"), *columns)
-    return rows.groupBy("session").applyInPandasWithState(run, out, full, "append", "EventTimeTimeout")
+    return rows.groupBy("session").transformWithStateInPandas(InOrder(columns, waiting, state, step, idle), out, "Append", "EventTime")
 
 
 def buffers(frames: DataFrame, *, size: int = 50) -> DataFrame:
@@ -156,12 +196,62 @@ def causal_lowpass(frames: DataFrame, *, rate: float, cutoff: float = 5.0, warm_
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """ST5: two methods' outputs (value) at the same frame. Two streams need a watermark on ts, which joins too, so that state can go."""
+    """ST5: two methods' outputs (value) at the same frame, those that both have; of tables. See live_pairs for streams."""
     keys = ["session", "frame_no", *(["ts"] if "ts" in a.columns and "ts" in b.columns else [])]
     return a.withColumnRenamed("value", "value_a").join(b.withColumnRenamed("value", "value_b"), keys)
 
 
+def live_pairs(a: DataFrame, b: DataFrame, *, delay: str = "10 seconds", apart: str = "5 seconds") -> DataFrame:
+    """ST5 on streams or tables (session, frame_no, ts, value): session, frame_no, ts_a, ts_b, value_a, value_b, missing.
+
+    Both sides may be late by `delay`; outputs of a frame belong together if their times are no further than `apart`.
+    missing names the method (a or b) that had no output for a frame once the watermark rules one out; null where both
+    had. State of a stream goes with the watermark. Repeated outputs pair each with each; null sessions or numbers pair with nothing.
+    """
+    left = a.select(F.col("session").alias("_sa"), F.col("frame_no").alias("_na"), F.col("ts").alias("ts_a"), F.col("value").alias("value_a"), F.lit(True).alias("_a")).withWatermark("ts_a", delay)
+    right = b.select(F.col("session").alias("_sb"), F.col("frame_no").alias("_nb"), F.col("ts").alias("ts_b"), F.col("value").alias("value_b"), F.lit(True).alias("_b")).withWatermark("ts_b", delay)
+    on = F.expr(f"_sa = _sb AND _na = _nb AND ts_a >= ts_b - INTERVAL {apart} AND ts_a <= ts_b + INTERVAL {apart}")
+    missing = F.when(F.col("_b").isNull(), "b").when(F.col("_a").isNull(), "a")
+    return left.join(right, on, "full").select(F.coalesce("_sa", "_sb").alias("session"), F.coalesce("_na", "_nb").alias("frame_no"), "ts_a", "ts_b", "value_a", "value_b", missing.alias("missing"))
+
+
 def buffer_monitor(timings: DataFrame, *, hz: float = 50.0) -> DataFrame:
     """ST6: of each session's buffers (frames, compute_s), time to fill and compute, and whether they keep up with hz."""
     fill = F.col("frames") / hz
     return timings.groupBy("session").agg(F.avg(fill + F.col("compute_s")).alias("first_output_s"), F.avg("compute_s").alias("compute_s"), F.max("compute_s").alias("worst_s"), (F.max(F.col("compute_s") / fill) <= 1).alias("keeps_up"))
+
+
+def watched(frames: DataFrame, *, name: str = "frames") -> DataFrame:
+    """The stream, with what ST6 needs counted on the way (DataFrame.observe): no column and no second pass."""
+    return frames.observe(name, F.count("*").alias("frames"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+class LiveMonitor(StreamingQueryListener):
+    """ST6 live: a row for each micro-batch of a watched() stream: query, batch, frames, first and last event time, and its compute time.
+
+    A batch's compute time is its trigger's, as Spark reports it. rows is bounded: the latest `keep` batches.
+    """
+
+    SCHEMA = "session string, batch long, frames long, first_ts timestamp, last_ts timestamp, compute_s double"
+
+    def __init__(self, *, name: str = "frames", keep: int = 10_000):
+        self.name, self.rows = name, deque(maxlen=keep)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seen = p.observedMetrics.get(self.name)
+        if seen is not None and seen["frames"]:
+            self.rows.append((p.name or str(p.id), p.batchId, seen["frames"], seen["first_ts"], seen["last_ts"], p.durationMs["triggerExecution"] / 1000))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def timings(self, spark: SparkSession) -> DataFrame:
+        """What buffer_monitor takes: each micro-batch as a buffer."""
+        return spark.createDataFrame(list(self.rows), self.SCHEMA)
