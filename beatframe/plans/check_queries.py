@@ -8,6 +8,7 @@ from beatframe.functions import arrays as A
 from beatframe.operators import checks as C
 from beatframe.operators import joins as J
 from beatframe.operators import signals as G
+from beatframe.operators import validation as K
 from beatframe.plans.bindings import FPB, FRAMES, PAIRS, VECTORS, WINDOW
 from beatframe.plans.frame_queries import BY, LP, r6
 from beatframe.plans.registry import query
@@ -24,9 +25,12 @@ def bad_sql(check, bad, source, with_="", by=None):
     return check_sql(check, f"(SELECT {scope} AS s, coalesce(sum(CAST(({bad}) AS INTEGER)), 0) AS n FROM {source}{group})", "n", 0, "n = 0", "s", with_)
 
 
-@query("va1_columns_present", "SELECT 'column_present' AS \"check\", scope, observed, 1.0::DOUBLE AS expected, observed = 1 AS passed FROM (VALUES ('event_id', 1.0::DOUBLE), ('value', 1.0), ('sigma', 0.0)) t(scope, observed)")
+PRESENT = "SELECT 'column_present' AS \"check\", scope, CAST(n > 0 AS DOUBLE) AS observed, 1.0::DOUBLE AS expected, n > 0 AS passed FROM ({})"
+
+
+@query("va1_columns_present", PRESENT.format("SELECT 'event_id' AS scope, count(event_id) AS n FROM events UNION ALL SELECT 'value', count(value) FROM events UNION ALL SELECT 'over_a_million', count(CASE WHEN value > 1e6 THEN value END) FROM events UNION ALL SELECT 'sigma', 0 FROM range(1)"))
 def _(t):
-    return C.columns_present(t("events"), ["event_id", "value", "sigma"])
+    return C.columns_present(t("events").withColumn("over_a_million", F.when(F.col("value") > 1e6, F.col("value"))), ["event_id", "value", "over_a_million", "sigma"])
 
 
 @query("va2_row_count", check_sql("row_count_multiple", "(SELECT anatomy_id, count(*) AS n FROM frames GROUP BY 1)", "n", 10, "n > 0 AND n % 10 = 0", "anatomy_id", f"WITH {FRAMES}"))
@@ -189,6 +193,58 @@ def _(t):
     return C.roll_up(C.beat_complete(t.frames(), fpb=FPB)).withColumn("failures", F.sha2(F.array_join("failures", ","), 256))
 
 
+# -- all checks of one corpus
+
+CORPUS = f"""{VECTORS}, b AS (SELECT *, anatomy_id * 1000 + frame_no // {FPB} AS beat_id, frame_no % {FPB} AS sample_index, CASE WHEN anatomy_id < 7 THEN 'train' WHEN anatomy_id = 7 AND frame_no % 40 = 3 THEN 'train' ELSE 'test' END AS split, CASE WHEN key % 2 = 0 THEN 'full' ELSE 'hp' END AS component, list_transform(v, lambda x: x - 0.1) AS delta, [0.1] AS offs, CASE WHEN anatomy_id <> 3 THEN v END AS newton, v[1] > -0.3 AS gate FROM vectors),
+so AS (SELECT *, sample_index - lag(sample_index) OVER (PARTITION BY beat_id ORDER BY v[1], frame_no) AS step, lead(sample_index) OVER (PARTITION BY beat_id ORDER BY sample_index) - sample_index AS nxt, first_value(v) OVER (PARTITION BY anatomy_id ORDER BY frame_no) AS f FROM b)"""
+
+CORPUS_CHECKS = [
+    *[PRESENT.format(f"SELECT '{c}' AS scope, {n} AS n FROM b") for c, n in (("v", "count(v)"), ("newton", "count(newton)"), ("sigma", "0 * count(*)"))],
+    check_sql("row_count_multiple", "(SELECT split, count(*) AS n FROM b GROUP BY 1)", "n", 10, "n > 0 AND n % 10 = 0", "split"),
+    bad_sql("width", "len(v) <> 64", "b"),
+    bad_sql("constant", "len(list_filter(v, lambda x: NOT abs(x - 0.7) <= 1e-8 + 1e-5 * 0.7)) > 0", "b"),
+    bad_sql("finite", "len(list_filter(v, lambda x: NOT isfinite(x))) > 0", "b"),
+    check_sql("signs", "(SELECT component, min(list_min(v)) AS lo, max(list_max(v)) AS hi FROM b GROUP BY 1)", "lo", 0, "CASE WHEN component = 'full' THEN lo > 0 ELSE lo < 0 AND hi > 0 END", "component"),
+    check_sql("anatomy_complete", "(SELECT anatomy_id, count(*) AS n, count(DISTINCT beat_id) AS d FROM b GROUP BY 1)", "n", 50, "n = 50 AND d = 5", "anatomy_id"),
+    check_sql("beat_complete", "(SELECT beat_id, count(*) AS n, count(DISTINCT sample_index) AS d, min(sample_index) AS lo, max(sample_index) AS hi FROM b GROUP BY 1)", "n", FPB, f"n = {FPB} AND d = {FPB} AND lo = 0 AND hi = {FPB - 1}", "beat_id"),
+    bad_sql("stored_in_order", "coalesce(step <> 1, false)", "so", by="beat_id"),
+    check_sql("first_frame_zero", "(SELECT anatomy_id, round(arg_min(v[2], frame_no), 6) AS x FROM b GROUP BY 1)", "x", 0, "abs(x) <= 2e-7", "anatomy_id"),
+    bad_sql("constant_within", "len(list_filter(range(1, 65), lambda i: NOT abs(v[i] - f[i]) <= 1e-8 + 1e-5 * abs(f[i]))) > 0", "so", by="anatomy_id"),
+    check_sql("additive_identity", "(SELECT round(max(list_max(list_transform(v, lambda x, i: abs((0.1 + delta[i]) - x)))), 12) AS e, max(list_max(list_transform(v, lambda x: abs(x)))) AS m FROM b)", "e", "round(greatest(2e-8, 4 * 1.1920928955078125e-07 * greatest(m, 1.0)), 12)", "e <= greatest(2e-8, 4 * 1.1920928955078125e-07 * greatest(m, 1.0))"),
+    bad_sql("split_leakage", "n > 1", "(SELECT anatomy_id, count(DISTINCT split) AS n FROM b GROUP BY 1)"),
+    check_sql("split_cardinality", "(SELECT split, count(DISTINCT anatomy_id) AS n FROM b GROUP BY 1)", "n", "CASE split WHEN 'train' THEN 8 ELSE 2 END", "n = CASE split WHEN 'train' THEN 8 ELSE 2 END", "split"),
+    check_sql("only_values", "(SELECT count(DISTINCT component) AS n, list_sort(list(DISTINCT component)) AS s FROM b)", "n", 2, "s = ['full', 'hp']"),
+    bad_sql("columns_equal", "sample_index IS DISTINCT FROM frame_no", "b"),
+    bad_sql("gate_flags", "NOT coalesce(gate, false)", "b", by="split"),
+    check_sql("contiguous", "(SELECT beat_id, count(DISTINCT (anatomy_id, beat_id)) AS u, max(nxt) AS hi, min(nxt) AS lo FROM so GROUP BY 1)", "u", 1, "u = 1 AND coalesce(hi = 1 AND lo = 1, true)", "beat_id"),
+    check_sql("same_split", "(SELECT anatomy_id, count(DISTINCT {'s': split}) AS n FROM b GROUP BY 1)", "n", 1, "n = 1", "anatomy_id"),
+    bad_sql("conditional_column", "CASE WHEN split = 'test' THEN newton IS NULL OR len(newton) <> len(v) ELSE newton IS NOT NULL END", "b", by="split"),
+]
+
+
+def corpus(t):
+    d = t.vectors().withColumn("beat_id", F.col("anatomy_id") * 1000 + F.floor(F.col("frame_no") / FPB)).withColumn("sample_index", F.col("frame_no") % FPB)
+    d = d.withColumn("split", F.when((F.col("anatomy_id") < 7) | ((F.col("anatomy_id") == 7) & (F.col("frame_no") % 40 == 3)), "train").otherwise("test")).withColumn("component", F.when(F.col("key") % 2 == 0, "full").otherwise("hp"))
+    d = d.withColumn("reference", F.transform("v", lambda x: F.lit(0.1))).withColumn("delta", F.transform("v", lambda x: x - 0.1)).withColumn("newton", F.when(F.col("anatomy_id") != 3, F.col("v")))
+    return d.withColumn("gate", F.col("v")[0] > -0.3).withColumn("second", r6(F.col("v")[1])).withColumn("position", F.struct(F.col("v")[0], F.col("frame_no")))
+
+
+def corpus_checks(d):
+    return [
+        K.columns_present(d, ["v", "newton", "sigma"]), K.row_count(10, "split"), K.width("v", 64), K.constant("v", 0.7), K.finite_values("v"), K.signs("v", by="component", positive="full"), K.anatomy_complete(frames=50, beats=5),
+        K.beat_complete(fpb=FPB), K.stored_in_order(), K.first_frame_zero("second", order="frame_no"), K.constant_within("v", by="anatomy_id", order="frame_no"), K.additive_identity("reference", "delta", "v"), K.split_leakage("anatomy_id", "split"),
+        K.split_cardinality("anatomy_id", "split", {"train": 8, "test": 2}), K.only_values("component", {"full", "hp"}), K.columns_equal("sample_index", "frame_no"), K.gate_flags(["gate"], "split"), K.contiguous(), K.one_value_per("anatomy_id", ["split"], "same_split"),
+        K.conditional_column("newton", "v", split="split", where="test"),
+    ]
+
+
+@query("va_fused_validation", f"WITH {CORPUS} " + " UNION ALL ".join(CORPUS_CHECKS))
+def _(t):
+    d = corpus(t)
+    v = K.validate(d, corpus_checks(d), position="position")
+    return v.withColumn("observed", F.round("observed", 12)).withColumn("expected", F.round("expected", 12))
+
+
 # -- joins
 
 

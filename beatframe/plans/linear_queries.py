@@ -21,10 +21,67 @@ MATRICES = "j AS (SELECT r, c, ((r * 13 + c * 7) % 11 - 5) / 10 AS a, ((c * 5 +
 FORWARD = "f AS (SELECT key, r, sum(a * x) AS f FROM s JOIN j USING (c) GROUP BY 1, 2)"
 
 
-@query("ln1_reconstruct", f"WITH {VECTORS}, {MATRICES}, d AS (SELECT key, c, x - first_value(x) OVER (PARTITION BY anatomy_id, c ORDER BY frame_no) AS d FROM s) SELECT key, round(sum(abs(y)), 5) AS mass FROM (SELECT key, r, sum(a * d) AS y FROM d JOIN j USING (c) GROUP BY 1, 2) GROUP BY 1")
+def weighted(vector):
+    """The sum of a result's elements, each times its place, signs kept; null where the result is."""
+    return F.round(F.aggregate(F.transform(vector, lambda y, i: y * (i + 1)), F.lit(0.0), lambda a, y: a + y), 5)
+
+
+@query("ln1_reconstruct", f"WITH {VECTORS}, {MATRICES}, d AS (SELECT key, c, x - first_value(x) OVER (PARTITION BY anatomy_id, c ORDER BY frame_no) AS d FROM s) SELECT key, round(sum(y * (r + 1)), 5) AS weighted FROM (SELECT key, r, sum(a * d) AS y FROM d JOIN j USING (c) GROUP BY 1, 2) GROUP BY 1")
 def _(t):
     d = L.reconstruct(t.vectors(), "v", JACOBIAN, by=BY, order="frame_no")
-    return d.select("key", F.round(A.sum_of("reconstruction", F.abs), 5).alias("mass"))
+    return d.select("key", weighted("reconstruction").alias("weighted"))
+
+
+#: Four rings with operators of their own, ring 3 narrower; frames of five rings, some of them null, short, or with a null or a NaN.
+RING_WIDTH = [64, 64, 64, 40]
+RING_JACOBIAN = {r: (((ROW * 13 + COL * 7 + 3 * r) % 11 - 5) / 10)[:, :w] for r, w in enumerate(RING_WIDTH)}
+RING_INVERSE = {r: (((COL * 5 + ROW * 3 + 2 * r) % 7 - 3).T / 20)[:w] for r, w in enumerate(RING_WIDTH)}
+RINGS = f"""{VECTORS}, j AS (SELECT ring, r, c, ((r * 13 + c * 7 + 3 * ring) % 11 - 5) / 10 AS a, ((c * 5 + r * 3 + 2 * ring) % 7 - 3) / 20 AS b FROM range(4) k(ring), range(8) x(r), range(64) y(c) WHERE ring < 3 OR c < 40), w AS (SELECT ring, count(DISTINCT c) AS w FROM j GROUP BY 1),
+rv AS (SELECT key, anatomy_id, frame_no, ring, v[1:8] AS volt, CASE WHEN key % 19 <> 0 THEN list_transform(v[1:n], lambda x, i: CASE WHEN key % 11 = 0 AND i = 3 THEN 'nan'::DOUBLE WHEN key % 13 = 0 AND i = 5 THEN NULL ELSE x END) END AS v FROM (SELECT *, (key // 2) % 5 AS ring, CASE WHEN key % 3 = 0 THEN 40 ELSE 64 END AS n FROM vectors)),
+s AS (SELECT key, ring, i - 1 AS c, v[i] AS x FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM rv)), g AS (SELECT key FROM rv JOIN w USING (ring) WHERE len(v) = w AND len(list_filter(v, lambda x: x IS NULL)) = 0),
+f AS (SELECT key, ring, r, sum(a * x) AS f FROM s JOIN g USING (key) JOIN j USING (ring, c) GROUP BY 1, 2, 3)"""
+
+
+def ringed_vectors(t):
+    k = F.col("key")
+    v = F.transform(F.slice("v", 1, F.when(k % 3 == 0, 40).otherwise(64)), lambda x, i: F.when((k % 11 == 0) & (i == 2), float("nan")).when((k % 13 == 0) & (i == 4), F.lit(None)).otherwise(x))
+    return t.vectors().select("key", "anatomy_id", "frame_no", (F.floor(k / 2) % 5).alias("ring"), F.slice("v", 1, 8).alias("volt"), F.when(k % 19 != 0, v).alias("v"))
+
+
+@query("ln1_all_rings", f"WITH {RINGS}, o AS (SELECT key, first_value(key) OVER (PARTITION BY anatomy_id, ring ORDER BY frame_no) AS k0 FROM rv), d AS (SELECT o.key, x.ring, x.c, x.x - y.x AS d FROM o JOIN s x ON x.key = o.key JOIN s y ON y.key = o.k0 AND y.c = x.c), n AS (SELECT key FROM o JOIN rv USING (key) JOIN rv z ON z.key = k0 JOIN w ON w.ring = rv.ring WHERE len(rv.v) = w AND len(z.v) = w AND len(list_filter(rv.v, lambda x: x IS NULL)) = 0 AND len(list_filter(z.v, lambda x: x IS NULL)) = 0), y AS (SELECT key, r, sum(a * d) AS y FROM d JOIN n USING (key) JOIN j USING (ring, c) GROUP BY 1, 2) SELECT key, round(sum(y * (r + 1)), 5) AS weighted FROM rv LEFT JOIN y USING (key) GROUP BY 1")
+def _(t):
+    d = L.reconstruct(ringed_vectors(t), "v", RING_JACOBIAN, by=BY, order="frame_no", ring="ring")
+    return d.select("key", weighted("reconstruction").alias("weighted"))
+
+
+@query("ln4_all_rings", f"WITH {RINGS}, d AS (SELECT key, c, sum(b * (volt[r + 1] - f)) AS y FROM f JOIN rv USING (key) JOIN j ON j.ring = f.ring AND j.r = f.r GROUP BY 1, 2) SELECT key, round(sum(y * (c + 1)), 5) AS weighted FROM rv LEFT JOIN d USING (key) GROUP BY 1".replace("USING (key) JOIN j ON j.ring = f.ring AND j.r = f.r", "USING (key, ring) JOIN j USING (ring, r)"))
+def _(t):
+    d = L.directions(ringed_vectors(t), voltage="volt", state="v", jacobian=RING_JACOBIAN, inverse=RING_INVERSE, ring="ring")
+    return d.select("key", weighted("direction").alias("weighted"))
+
+
+@query("ln5_all_rings", f"WITH {RINGS}, st AS (SELECT key, ring, c, sum(b * volt[r + 1]) AS y FROM rv JOIN j USING (ring) GROUP BY 1, 2, 3), p AS (SELECT key, r, sum(a * y) AS f FROM st JOIN j USING (ring, c) GROUP BY 1, 2) SELECT key, round(list_sum(list_transform(range(1, 9), lambda i: volt[i] * volt[i] / 8)), 6) AS mean_square_before, round(avg(pow(volt[r + 1] - f, 2)), 5) AS mean_square_after, (SELECT round(sum(y * (c + 1)), 5) FROM st WHERE st.key = rv.key) AS weighted FROM rv LEFT JOIN p USING (key) GROUP BY key, volt")
+def _(t):
+    d = L.first_step(ringed_vectors(t), voltage="volt", jacobian=RING_JACOBIAN, inverse=RING_INVERSE, ring="ring")
+    return d.select("key", r6(F.col("residual_before") * F.col("residual_before")).alias("mean_square_before"), F.round(F.col("residual_after") * F.col("residual_after"), 5).alias("mean_square_after"), weighted("step").alias("weighted"))
+
+
+@query("ln7_all_rings", f"WITH {RINGS}, q AS (SELECT key, r, sum(a * (x - 0.1)) AS f FROM s JOIN g USING (key) JOIN j USING (ring, c) GROUP BY 1, 2) SELECT key, round(sum((volt[r + 1] + f) * (r + 1)), 5) AS weighted FROM rv LEFT JOIN q USING (key) GROUP BY 1")
+def _(t):
+    d = ringed_vectors(t).withColumn("base", F.transform("v", lambda x: F.lit(0.1)))
+    return L.linearised_voltage(d, state="v", baseline="base", voltage0="volt", jacobian=RING_JACOBIAN, ring="ring").select("key", weighted("voltage").alias("weighted"))
+
+
+@query("ln12_all_rings", f"WITH {RINGS}, q AS (SELECT key, ring, r, sum(a * CASE WHEN isnan(x) THEN x ELSE greatest(x, 0.01) END) AS f FROM s JOIN g USING (key) JOIN j USING (ring, c) WHERE key % 11 <> 0 GROUP BY 1, 2, 3), e AS (SELECT q.ring, sqrt(avg(pow(volt[r + 1] - f, 2))) AS e FROM q JOIN rv USING (key) GROUP BY 1), n AS (SELECT ring, count(*) FILTER (WHERE x < 0.01) AS clipped FROM s WHERE key % 11 <> 0 GROUP BY 1) SELECT ring, round(e, 6) AS residual_rms, clipped FROM n LEFT JOIN e USING (ring)")
+def _(t):
+    d = ringed_vectors(t).filter("key % 11 <> 0")  # their NaN would be all there is to see
+    return L.dataset_residual(d, state="v", voltage="volt", jacobian=RING_JACOBIAN, floor=0.01, ring="ring").select("ring", r6("residual_rms").alias("residual_rms"), "clipped")
+
+
+@query("ln13_all_rings", f"WITH {RINGS} SELECT key, frame_no // 50 AS \"group\", coalesce(bool_and(isfinite(f)), false) AS valid, round(sum(f * (r + 1)) FILTER (WHERE isfinite(f)), 5) AS weighted FROM rv LEFT JOIN f USING (key) GROUP BY 1, 2")
+def _(t):
+    d = L.batch_scores(ringed_vectors(t), RING_JACOBIAN, vector="v", order="frame_no", by=["key"], ring="ring")
+    return d.select("key", "group", "valid", weighted("score").alias("weighted"))
 
 
 @query("ln2_operators")
@@ -71,10 +128,10 @@ def _(t):
     return left_side(q, L.operators(q, reg, h=0.1, ridge=0.01), 0.03).withColumn("value", F.col("value") + 0.0)
 
 
-@query("ln4_directions", f"WITH {VECTORS}, {MATRICES}, {FORWARD}, d AS (SELECT key, c, sum(b * (v - f)) AS y FROM f JOIN v8 USING (key, r) JOIN j USING (r) GROUP BY 1, 2) SELECT key, round(sum(abs(y)), 5) AS mass FROM d GROUP BY 1")
+@query("ln4_directions", f"WITH {VECTORS}, {MATRICES}, {FORWARD}, d AS (SELECT key, c, sum(b * (v - f)) AS y FROM f JOIN v8 USING (key, r) JOIN j USING (r) GROUP BY 1, 2) SELECT key, round(sum(y * (c + 1)), 5) AS weighted FROM d GROUP BY 1")
 def _(t):
     d = L.directions(t.vectors().withColumn("volt", F.slice("v", 1, 8)), voltage="volt", state="v", jacobian=JACOBIAN, inverse=INVERSE)
-    return d.select("key", F.round(A.sum_of("direction", F.abs), 5).alias("mass"))
+    return d.select("key", weighted("direction").alias("weighted"))
 
 
 @query("ln5_first_step", f"WITH {VECTORS}, {MATRICES}, st AS (SELECT key, c, sum(b * v) AS y FROM v8 JOIN j USING (r) GROUP BY 1, 2), g AS (SELECT key, r, sum(a * y) AS f FROM st JOIN j USING (c) GROUP BY 1, 2) SELECT key, round(sqrt(avg(v * v)), 6) AS residual_before, round(sqrt(avg(pow(v - f, 2))), 5) AS residual_after, round(any_value(sr), 6) AS step_rms FROM g JOIN v8 USING (key, r) JOIN (SELECT key, sqrt(avg(y * y)) AS sr FROM st GROUP BY 1) USING (key) GROUP BY key")
@@ -106,10 +163,10 @@ def _(t):
     return s.select("key", F.posexplode(y).alias("i", "y")).select("key", (F.col("i") + 1).cast("long").alias("i"), r6("y").alias("y"))
 
 
-@query("ln7_linearised_voltage", f"WITH {VECTORS}, {MATRICES}, g AS (SELECT key, r, sum(a * (x - 0.1)) AS f FROM s JOIN j USING (c) GROUP BY 1, 2) SELECT key, round(sum(abs(v + f)), 5) AS mass FROM g JOIN v8 USING (key, r) GROUP BY 1")
+@query("ln7_linearised_voltage", f"WITH {VECTORS}, {MATRICES}, g AS (SELECT key, r, sum(a * (x - 0.1)) AS f FROM s JOIN j USING (c) GROUP BY 1, 2) SELECT key, round(sum((v + f) * (r + 1)), 5) AS weighted FROM g JOIN v8 USING (key, r) GROUP BY 1")
 def _(t):
     d = t.vectors().withColumn("v0", F.slice("v", 1, 8)).withColumn("base", F.array_repeat(F.lit(0.1), 64))
-    return L.linearised_voltage(d, state="v", baseline="base", voltage0="v0", jacobian=JACOBIAN).select("key", F.round(A.sum_of("voltage", F.abs), 5).alias("mass"))
+    return L.linearised_voltage(d, state="v", baseline="base", voltage0="v0", jacobian=JACOBIAN).select("key", weighted("voltage").alias("weighted"))
 
 
 @query("ln8_amplitude_fit", f"WITH {VECTORS}, h AS (SELECT key, v[1:32] AS p, v[33:64] AS q FROM vectors), a AS (SELECT *, least(greatest(list_dot_product(p, q) / list_dot_product(p, p), 0), 0.2) AS amp FROM h) SELECT key, round(amp, 6) AS amplitude, round(sqrt(list_sum(list_transform(range(1, 33), lambda i: pow(q[i] - amp * p[i], 2)))), 6) AS residual FROM a")
@@ -124,9 +181,9 @@ def _(t):
     return L.shape_fit(d, shape="s", predicted="p", voltage="q", base="b", most=0.5).select("key", r6("amplitude").alias("amplitude"), r6("relative_mse").alias("relative_mse"))
 
 
-@query("ln10_context", f"WITH {VECTORS}, q AS (SELECT key, quantile_cont(abs(x), 0.95) AS p FROM (SELECT key, unnest(v) AS x FROM vectors) GROUP BY 1) SELECT key, round(list_sum(list_transform(v, lambda x: least(abs(x) / p, 5.0))), 5) AS mass FROM vectors JOIN q USING (key)")
+@query("ln10_context", f"WITH {VECTORS}, q AS (SELECT key, quantile_cont(abs(x), 0.95) AS p FROM (SELECT key, unnest(v) AS x FROM vectors) GROUP BY 1) SELECT key, round(list_sum(list_transform(v, lambda x, i: i * least(abs(x) / p, 5.0))), 5) AS weighted FROM vectors JOIN q USING (key)")
 def _(t):
-    return L.context(t.vectors(), "v").select("key", F.round(A.total("context"), 5).alias("mass"))
+    return L.context(t.vectors(), "v").select("key", weighted("context").alias("weighted"))
 
 
 @query("ln11_calibrated", f"WITH {VECTORS}, h AS (SELECT key, v[1:16] AS a, v[17:32] AS b, v[33:48] AS m FROM vectors) SELECT key, round(CASE WHEN abs(list_dot_product(b, m)) > 1e-30 THEN list_dot_product(b, m) / list_dot_product(m, m) ELSE 1 END, 6) AS inverse_alpha, round(list_sum(list_transform(range(1, 17), lambda i: abs((a[i] - m[i]) - (b[i] - m[i])))), 6) AS residual FROM h")
@@ -142,10 +199,10 @@ def _(t):
     return d.select(r6("residual_rms").alias("residual_rms"), "clipped")
 
 
-@query("ln13_batch_scores", f"WITH {VECTORS}, {MATRICES}, {FORWARD} SELECT anatomy_id, frame_no, frame_no // 50 AS \"group\", true AS valid, round(sum(abs(f)), 5) AS score FROM f JOIN vectors USING (key) GROUP BY 1, 2, 3")
+@query("ln13_batch_scores", f"WITH {VECTORS}, {MATRICES}, {FORWARD} SELECT anatomy_id, frame_no, frame_no // 50 AS \"group\", true AS valid, round(sum(f * (r + 1)), 5) AS score FROM f JOIN vectors USING (key) GROUP BY 1, 2, 3")
 def _(t):
     d = L.batch_scores(t.vectors(), JACOBIAN, vector="v", order="frame_no", by=BY)
-    return d.withColumn("score", F.round(A.sum_of("score", F.abs), 5))
+    return d.withColumn("score", weighted("score"))
 
 
 # -- templates and filters

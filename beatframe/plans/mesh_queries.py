@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beatframe.functions import arrays as A
+from beatframe.operators import acquisition as Q
 from beatframe.operators import corpus as C
 from beatframe.operators import mesh as M
 from beatframe.operators import select as S
@@ -119,14 +120,66 @@ def _(t):
     return C.attach_prior(t("part"), [0.1, 0.2, 0.3], "prior-v1").select("p_partkey", r6(A.total("prior")).alias("s"), "prior_meta")
 
 
-@query("cb11_augment")
+def share(at, *place):
+    """A number in [0, 1) from 13 hex digits of a draw's hash."""
+    return f"(('0x' || substr(md5(concat_ws('|', '11', name, {', '.join(map(str, place))})), {at}, 13))::BIGINT / 4503599627370496.0)"
+
+
+def normal(*place):
+    return f"(sqrt(-2 * ln({share(1, *place)} + 1 / 4503599627370496.0)) * cos(2 * pi() * {share(14, *place)}))"
+
+
+def curve_sql(name, effect, n):
+    return f"""{name}_r AS (SELECT k, i, {normal(f"'{effect}'", 'i')} AS h FROM ks, range({n}) t(i)), {name}_m AS (SELECT k, i, h - avg(h) OVER (PARTITION BY k) AS h FROM {name}_r), {name} AS (SELECT k, list(h / p ORDER BY i) AS h FROM (SELECT *, greatest(max(abs(h)) OVER (PARTITION BY k), 1e-12) AS p FROM {name}_m) GROUP BY 1)"""
+
+
+def height_sql(name, n):
+    return f"{name}.h[lo_{name} + 1] + ({name}.h[lo_{name} + 2] - {name}.h[lo_{name} + 1]) * (p * {n - 1} - lo_{name})"
+
+
+ACQUIRED = f"""{VECTORS}, el AS (SELECT anatomy_id AS k, '=' || anatomy_id AS name, frame_no, i - 1 AS c, v[i] AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM vectors)),
+st AS (SELECT k, name, c, sqrt(avg(x * x)) AS rms, greatest(stddev_pop(x), 1e-7) AS sp, min(frame_no) AS f0, max(frame_no) AS f1 FROM el GROUP BY 1, 2, 3), ks AS (SELECT k, name, min(f0) AS f0, max(f1) AS f1, max(sp) AS sp, sqrt(sum(sp * sp)) AS size FROM st GROUP BY 1, 2),
+ch AS (SELECT k, name, c, exp(0.02 * {normal("'gain'", 'c')}) AS gain, 1e-3 * rms * {normal("'offset'", 'c')} AS offs, {normal("'contact'", 'c')} AS contact, {normal("'common'", 'c')} AS raw, rms, sp FROM st),
+cc AS (SELECT ch.*, raw / greatest(sqrt(sum(raw * raw) OVER (PARTITION BY k)), 1e-12) AS spatial FROM ch), cu AS (SELECT k, exp(0.01 * {normal("'current'")}) AS cur FROM ks),
+{curve_sql("dr", "drift", 9)}, {curve_sql("co", "curve", 13)},
+ev AS (SELECT k, name, sp, e, f0 + floor((f1 - f0 + 1) * {share(1, "'frame'", 'e')}) AS frame, 1 + floor(4 * {share(1, "'channels'", 'e')}) AS n FROM ks, range(3) t(e) WHERE {share(1, "'jumps'")} < 0.5 AND e < 1 + floor(3 * {share(1, "'how many'")})),
+pk AS (SELECT ev.*, c, row_number() OVER (PARTITION BY ev.k, e ORDER BY {share(1, "'pick'", 'e', 'c').replace('name', 'ev.name')}, c) AS place FROM ev JOIN (SELECT k, c FROM st) s ON s.k = ev.k),
+ju AS (SELECT k, e, frame, c, place, 3.0 * greatest(sp, 1e-12) * {normal("'jump'", 'e', 'c')} AS inc FROM pk WHERE place <= n)"""
+
+
+def acquired(t):
+    return Q.augment(t.vectors(), "v", key="anatomy_id", order="frame_no", seed=11, instrument=Q.Instrument(jump_chance=0.5))
+
+
+def by_place(vector):
+    return F.aggregate(F.transform(vector, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+
+
+@query("cb11_augment", f"""WITH {ACQUIRED}, po AS (SELECT el.*, f1 > f0 AS many, coalesce((frame_no - f0) / nullif(f1 - f0, 0), 0) AS p, size FROM el JOIN ks USING (k, name)), lo AS (SELECT *, least(floor(p * 8), 7)::INTEGER AS lo_dr, least(floor(p * 12), 11)::INTEGER AS lo_co FROM po),
+jf AS (SELECT k, frame AS frame_no, c, sum(inc) AS inc FROM ju GROUP BY 1, 2, 3),
+y AS (SELECT lo.k, lo.frame_no, lo.c, cur * gain * x + offs + 1e-3 * rms * contact * ({height_sql("dr", 9)}) + 0.01 * size * spatial * ({height_sql("co", 13)}) + (0.02 * sp + 1e-7) * {normal("'white'", 'frame_no', 'c').replace('name', 'lo.name').replace("frame_no", "lo.frame_no").replace(", c)", ", lo.c)")} + coalesce(inc, 0) AS y
+FROM lo JOIN cc ON cc.k = lo.k AND cc.c = lo.c JOIN cu ON cu.k = lo.k JOIN dr ON dr.k = lo.k JOIN co ON co.k = lo.k LEFT JOIN jf ON jf.k = lo.k AND jf.frame_no = lo.frame_no AND jf.c = lo.c)
+SELECT k AS anatomy_id, frame_no, round(sum(y), 5) AS total, round(sum(y * (c + 1)), 4) AS weighted FROM y GROUP BY 1, 2""")
 def _(t):
-    return C.augment(t.vectors(), "v", key="anatomy_id", order="frame_no", seed=11)[0]
+    return acquired(t)[0].select("anatomy_id", "frame_no", F.round(A.total("augmented"), 5).alias("total"), F.round(by_place("augmented"), 4).alias("weighted"))
 
 
-@query("cb11_effects")
+@query("cb11_clean_part", f"WITH {ACQUIRED}, n AS (SELECT el.k, frame_no, el.c, cur * gain * x + offs AS y FROM el JOIN cc ON cc.k = el.k AND cc.c = el.c JOIN cu ON cu.k = el.k) SELECT k AS anatomy_id, frame_no, round(sum(y * (c + 1)), 5) AS weighted FROM n GROUP BY 1, 2")
 def _(t):
-    return C.augment(t.vectors(), "v", key="anatomy_id", order="frame_no", seed=11)[1].withColumn("artifact_events", F.size("artifact_events"))
+    """What gains and offsets of the metadata make of the voltages: the part without noise, rebuilt from what was told."""
+    d = t.vectors().join(acquired(t)[1], "anatomy_id")
+    y = F.zip_with(F.zip_with("v", "channel_gain", lambda x, g: F.col("current_gain") * g * x), "static_offset", lambda x, o: x + o)
+    return d.select("anatomy_id", "frame_no", F.round(by_place(y), 5).alias("weighted"))
+
+
+@query("cb11_effects", f"WITH {ACQUIRED}, m AS (SELECT k, sum(gain * (c + 1)) AS gain, sum(offs * (c + 1)) AS offs, sum(contact * (c + 1)) AS contact, sum(spatial * (c + 1)) AS spatial FROM cc GROUP BY 1), j AS (SELECT k, count(DISTINCT e) AS events, sum(frame) FILTER (WHERE place = 1) AS frames, sum((e + 1) * (c + 1) * inc) AS inc FROM ju GROUP BY 1) SELECT k AS anatomy_id, round(cur, 6) AS current_gain, round(gain, 5) AS channel_gain, round(offs, 6) AS static_offset, round(contact, 4) AS drift_spatial, round(spatial, 5) AS correlated_spatial, coalesce(events, 0) AS events, coalesce(frames, 0)::BIGINT AS frames, round(coalesce(inc, 0), 4)::DOUBLE AS increments FROM cu JOIN m USING (k) LEFT JOIN j USING (k)")
+def _(t):
+    e = acquired(t)[1]
+    jump = F.transform("artifact_events", lambda v, i: (i + 1) * F.aggregate(F.zip_with(v["channels"], v["increments"], lambda c, x: (c + 1) * x), F.lit(0.0), lambda s, x: s + x))
+    return e.select(
+        "anatomy_id", r6("current_gain").alias("current_gain"), F.round(by_place("channel_gain"), 5).alias("channel_gain"), r6(by_place("static_offset")).alias("static_offset"), F.round(by_place("drift_spatial"), 4).alias("drift_spatial"),
+        F.round(by_place("correlated_spatial"), 5).alias("correlated_spatial"), F.size("artifact_events").cast("long").alias("events"), F.aggregate("artifact_events", F.lit(0).cast("long"), lambda s, v: s + v["frame"]).alias("frames"), F.round(A.total(jump), 4).alias("increments"),
+    )
 
 
 # -- sparse operators
@@ -145,6 +198,42 @@ def _(t):
     return M.apply_sparse(coo(t), t.vectors(), ["key"], "v").withColumn("y", F.round("y", 5))
 
 
+#: Matrices of four rings with a null and a NaN entry, and frames of five rings: some hold a NaN or a null, some are short, some null.
+RINGS = f"""{VECTORS}, coo AS (SELECT l_suppkey % 4 AS ring, l_orderkey % 48 AS row, l_partkey % 64 AS col, CASE WHEN l_orderkey % 48 = 7 AND l_partkey % 64 = 9 THEN 'nan'::DOUBLE WHEN l_orderkey % 48 = 11 AND l_partkey % 64 = 5 THEN NULL ELSE round(sum(CAST(l_discount AS DOUBLE)), 6) END AS value FROM lineitem GROUP BY 1, 2, 3),
+x AS (SELECT key, ring, i - 1 AS col, CASE WHEN key % 11 = 0 AND i = 3 THEN 'nan'::DOUBLE WHEN key % 13 = 0 AND i IN (5, 6) THEN NULL ELSE v[i] END AS x FROM (SELECT key, key % 5 AS ring, v, unnest(range(1, CASE WHEN key % 17 = 0 THEN 4 ELSE 65 END)) AS i FROM vectors WHERE key % 19 <> 0))"""
+
+
+def ring_coo(t):
+    d = t("lineitem").groupBy((F.col("l_suppkey") % 4).alias("ring"), (F.col("l_orderkey") % 48).alias("row"), (F.col("l_partkey") % 64).alias("col")).agg(r6(F.sum(F.col("l_discount").cast("double"))).alias("value"))
+    value = F.when((F.col("row") == 7) & (F.col("col") == 9), float("nan")).when((F.col("row") == 11) & (F.col("col") == 5), F.lit(None)).otherwise(F.col("value"))
+    return d.withColumn("value", value)
+
+
+def ring_frames(t):
+    k = F.col("key")
+    v = F.transform(F.slice("v", 1, F.when(k % 17 == 0, 3).otherwise(64)), lambda x, i: F.when((k % 11 == 0) & (i == 2), float("nan")).when((k % 13 == 0) & i.isin(4, 5), F.lit(None)).otherwise(x))
+    return t.vectors().select("key", (k % 5).alias("ring"), F.when(k % 19 != 0, v).alias("v"))
+
+
+@query("mg1_all_rings", f"WITH {RINGS} SELECT ring, key, row, round(sum(value * x), 5) AS y FROM coo JOIN x USING (ring, col) GROUP BY 1, 2, 3")
+def _(t):
+    return M.apply_sparse(ring_coo(t), ring_frames(t), ["ring", "key"], "v", ring="ring").withColumn("y", F.round("y", 5))
+
+
+@query("mg2_all_rings", f"WITH {RINGS}, y AS (SELECT key, row AS p, sum(value * x) AS y FROM coo JOIN x USING (ring, col) GROUP BY 1, 2) SELECT k.key, p.p % 7 AS row, p.p // 7 AS col, round(coalesce(y, 'nan'::DOUBLE), 5) AS y FROM vectors k CROSS JOIN range(49) p(p) LEFT JOIN y ON y.key = k.key AND y.p = p.p")
+def _(t):
+    return M.raster(ring_coo(t), ring_frames(t), ["key"], "v", side=7, ring="ring").withColumn("y", F.round("y", 5)).withColumn("row", F.col("row").cast("long"))
+
+
+@query("mg12_all_rings", f"WITH {RINGS}, un AS (SELECT ring, row, col, CASE WHEN row % 9 = 0 THEN value ELSE 1.0 / count(*) OVER (PARTITION BY ring, row) END AS value FROM coo), ok AS (SELECT ring, row FROM un GROUP BY 1, 2 HAVING abs(sum(value) - 1) <= 1e-9) SELECT ring, key, row, round(sum(value * x), 5) AS y FROM un JOIN ok USING (ring, row) JOIN x USING (ring, col) GROUP BY 1, 2, 3")
+def _(t):
+    from pyspark.sql import Window
+
+    c = ring_coo(t)
+    c = c.withColumn("value", F.when(F.col("row") % 9 == 0, F.col("value")).otherwise(1.0 / F.count("*").over(Window.partitionBy("ring", "row"))))
+    return M.to_fine(c, ring_frames(t), ["ring", "key"], "v", atol=1e-9, ring="ring").withColumn("y", F.round("y", 5))
+
+
 @query("mg2_raster", f"WITH {COO}, {X}, y AS (SELECT key, row AS p, sum(value * x) AS y FROM coo JOIN x USING (col) GROUP BY 1, 2) SELECT k.key, p.p % 9 AS row, p.p // 9 AS col, round(coalesce(y, 'nan'::DOUBLE), 5) AS y FROM (SELECT DISTINCT key FROM x) k CROSS JOIN range(81) p(p) LEFT JOIN y ON y.key = k.key AND y.p = p.p")
 def _(t):
     return M.raster(coo(t), t.vectors(), ["key"], "v", side=9).withColumn("y", F.round("y", 5)).withColumn("row", F.col("row").cast("long"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beatframe.functions.quantiles import exact_percentiles, with_percentiles
-from beatframe.operators import checks, corpus, joins, linear, mesh, metrics, projections, select, signals, templates
+from beatframe.operators import checks, corpus, joins, linear, mesh, metrics, projections, rings, select, signals, templates
 from beatframe.sources import io
 from beatframe.streaming import frames as streaming
 
@@ -225,26 +225,6 @@ def test_correlation_of_a_constant_is_nan(spark):
     assert np.isnan(metrics.error_metrics(metrics.pooled(metrics.frame_sums(d), [])).first()["correlation"])
 
 
-def test_augmentation_does_not_depend_on_partitions(spark):
-    f = good_frames(spark).select("anatomy_id", "frame_no", "v")
-    a, b = (corpus.augment(x, "v", key="anatomy_id", order="frame_no", seed=5)[0].orderBy("anatomy_id", "frame_no").toPandas() for x in (f, f.repartition(7)))
-    assert np.allclose(np.stack(a["augmented"]), np.stack(b["augmented"]))
-    assert not np.allclose(np.stack(a["augmented"]), np.stack(f.orderBy("anatomy_id", "frame_no").toPandas()["v"]))
-
-
-def test_acquisition_effects_scale_with_their_channels():
-    x = np.random.default_rng(0).normal(size=(500, 6)) * np.array([1, 1, 1, 1, 1, 100.0]) + 5
-    off = dict.fromkeys(corpus.EFFECTS, 0.0)
-    same, done = corpus.acquisition_effects(x, np.random.default_rng(1), off)
-    assert np.allclose(same, x) and done["artifact_events"] == [] and done["current_gain"] == 1
-    gained, done = corpus.acquisition_effects(x, np.random.default_rng(1), {**off, "channel_gain_sd": 0.1, "current_gain_sd": 0.1})
-    assert np.allclose(gained, x * done["current_gain"] * np.array(done["channel_gain"]))
-    noisy, _ = corpus.acquisition_effects(x, np.random.default_rng(1), {**off, "white_noise_rel": 0.1})
-    assert (noisy - x).std(axis=0) / x.std(axis=0) == pytest.approx(np.full(6, 0.1), rel=0.15)
-    jumped, done = corpus.acquisition_effects(x, np.random.default_rng(1), {**off, "artifact_probability": 1.0, "artifact_scale": 3.0})
-    assert {tuple(p) for p in np.argwhere(~np.isclose(jumped, x))} == {(e["frame"], c) for e in done["artifact_events"] for c in e["channels"]}
-
-
 def test_groups_of_any_size_have_exact_percentiles(spark):
     rng = np.random.default_rng(7)
     values = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0], 500), "c": [4.0], None: rng.normal(size=40)}
@@ -276,7 +256,7 @@ def test_large_matrices_are_joined_instead(spark, monkeypatch):
     coo = spark.createDataFrame([(int(r), int(c), float(v)) for r, c, v in zip(rng.integers(0, 9, 30), rng.integers(0, 6, 30), rng.normal(size=30))], "row long, col long, value double")
     f = spark.createDataFrame([(i, rng.normal(size=4 + i % 3).tolist()) for i in range(10)], "k long, v array<double>")
     small = {(r["k"], r["row"]): r["y"] for r in mesh.apply_sparse(coo, f, ["k"], "v").collect()}
-    monkeypatch.setattr(linear, "MAX_MATRIX", 10)
+    monkeypatch.setattr(rings, "MAX_BYTES", 10)
     large = {(r["k"], r["row"]): r["y"] for r in mesh.apply_sparse(coo, f, ["k"], "v").collect()}
     assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k]) for k in small)
 
