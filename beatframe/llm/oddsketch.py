@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beatframe.llm.common import map_texts, stored, table
-from beatframe.llm.resemblance import WIDTH, buckets, common_shingles, crossing_edges, parities, prefix, shingle_set, signature
+from beatframe.llm.resemblance import WIDTH, buckets, common_shingles, confirmed, crossing_edges, full_sets, parities, prefix, shingle_set, signature
 from beatframe.llm.simhash import components
 
 BITS = 512  # of a sketch
@@ -80,30 +80,6 @@ def banded_edges(nodes: DataFrame, *, most: int, bucket: int) -> DataFrame:
     return met.join(nodes.select("t", "sketch"), "t").withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares))).groupBy("share").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose full sets (t, items: sorted 64-bit hashes) have 100 * intersection >= percent * union."""
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                if not len(p) or 100 * len(p) < percent * len(q):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
-
-    left = edges.join(sets.select(F.col("t").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("t").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
 def similar_groups(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85, margin: float = 0.09, bucket: int = 4000) -> DataFrame:
     """row (struct of keep), n_shingles, component_id (the least key reachable over links), kept (its own key).
 
@@ -148,12 +124,7 @@ def similar_groups(docs: DataFrame, *, keep: list[str], key: str = "doc_id", tex
         of = nodes.select("t", "h", "g", F.col("least").alias("of")).join(ends, "t")
         texts = texts.join(of, ["h", "g"]).filter(F.col("least").eqNullSafe(F.col("of"))).dropDuplicates(["t"]).select("t", "text")  # the row of its least key holds each text
 
-        def items(slices):
-            for part in slices:
-                yield [pa.array([shingle_set(t.as_buffer().to_pybytes(), words).tobytes() for t in part], pa.binary())]
-
-        sets = stored(map_texts(texts, ["t"], F.col("text"), items, "items binary").select("row.t", "items"))
-        return stored(confirmed(edges, sets, percent))
+        return stored(confirmed(edges, full_sets(texts, words=words), similarity))
 
     near = held(stored(banded_edges(ones.select("t", "keys", "sketch"), most=most_ones(similarity - margin), bucket=bucket)))
     root = components(near).withColumnRenamed("f", "t")

@@ -7,6 +7,7 @@ compared without loss where two texts share a shingle of their prefixes (crossin
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -208,19 +209,40 @@ def candidate_edges(nodes: DataFrame, *, least: float, bucket: int = 4000) -> Da
     return met.join(nodes.select("t", "sig"), "t").withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares))).groupBy("share").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def verified(edges: DataFrame, texts: DataFrame, *, words: int, similarity: float) -> DataFrame:
-    """Edges (a, b) whose texts (t, text) have the Jaccard similarity asked for, computed on whole texts."""
+def full_sets(texts: DataFrame, *, words: int) -> DataFrame:
+    """t, items (sorted 64-bit hashes of all shingles, as bytes) of texts (t, text): each text is read once, however many links it has."""
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                some = b.slice(a, 256)
+                items = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words).tobytes() for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(items, pa.binary())], names=["t", "items"])
+
+    return stored(texts.select("t", "text").mapInArrow(run, "t bigint, items binary"))
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) whose full sets (t, items) have intersection / union of the similarity asked for, in whole numbers."""
+    least = Fraction(similarity).limit_denominator(1000)
+    above, below = least.numerator, least.denominator
 
     def run(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (shingle_set(v.as_buffer().to_pybytes(), words) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both))
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                if len(p) > len(q):
+                    p, q = q, p
+                if not len(p) or below * len(p) < above * len(q):
+                    keep.append(False)
+                    continue
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                both = int((q[at] == p).sum())
+                keep.append(below * both >= above * (len(p) + len(q) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    left = edges.join(texts.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    left = edges.join(sets.select(F.col("t").alias("a"), F.col("items").alias("x")), "a")
+    both = left.join(sets.select(F.col("t").alias("b"), F.col("items").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")

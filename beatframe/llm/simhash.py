@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatframe.llm.common import map_texts, stored, table
-from beatframe.llm.resemblance import band_keys, candidate_edges, common_shingles, crossing_edges, parities, prefix, shingle_set, signature, verified
+from beatframe.llm.resemblance import band_keys, candidate_edges, common_shingles, confirmed, crossing_edges, full_sets, parities, prefix, shingle_set, signature
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 GENERATOR = 0b101011100011  # of the (23, 12) Golay code
@@ -255,8 +255,8 @@ def near_copies(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
         # the row of its least key holds each text
         texts = docs.select(docs[key].alias("least"), mark, mark2, docs[text].cast("binary").alias("text")).filter(F.col("text").isNotNull())
         of = nodes.select("t", "h", "g", F.col("least").alias("of")).join(ends, "t")
-        texts = stored(texts.join(of, ["h", "g"]).filter(F.col("least").eqNullSafe(F.col("of"))).dropDuplicates(["t"]).select("t", "text"))
-        return stored(verified(edges, texts, words=words, similarity=similarity))
+        texts = texts.join(of, ["h", "g"]).filter(F.col("least").eqNullSafe(F.col("of"))).dropDuplicates(["t"]).select("t", "text")
+        return stored(confirmed(edges, full_sets(texts, words=words), similarity))
 
     def grouped(edges: DataFrame) -> DataFrame:
         return components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).withColumnRenamed("f", "t")
