@@ -86,7 +86,7 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...]) -> list[tuple[int,
     return [(b, final[b], offset) for b, offset in where]
 
 
-def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, tokens=word_count, group_items: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, tokens=word_count, group_items: int = 50_000, copy_block: int = 10_000) -> DataFrame:
     """key, copy, piece, start, n_tokens, bin_id, bin_capacity, bin_offset: where every token of docs goes.
 
     A document longer than the largest capacity is cut into pieces of it and a rest. Pieces are dealt by
@@ -94,7 +94,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacities
     groups never mix, which costs at most a few open bins for each group. No piece is dropped.
 
     Null and empty texts have one piece of 0 tokens. Repeated rows are told apart by copy (from 1) and
-    are packed each. Null keys are a value of their own. Texts of any length are cut and packed whole. Empty
+    are packed each; copy_block of them at most are made in one place. Null keys are a value of their own. Texts of any length are cut and packed whole. Empty
     table: no rows.
     """
     capacities = tuple(sorted(capacities))
@@ -103,8 +103,13 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacities
     rows = stored(rows.groupBy("key", "n", "h").count())  # words are counted once
     pieces = rows.agg(F.sum(F.col("count") * F.greatest(F.ceil(F.col("n") / most), F.lit(1)))).first()[0] or 0
     groups = max(1, math.ceil(pieces / group_items))
+    # equal rows are one row with a count; many come back in blocks that are dealt out, so that no task makes all of them
+    blocks = rows.filter(F.col("count") > copy_block).withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"), F.lit(copy_block).cast("long"))))
+    blocks = blocks.repartition(F.col("key"), F.col("h"), F.col("first"))
+    single = rows.filter(F.col("count") <= copy_block).withColumn("first", F.lit(1).cast("long"))
+    last = F.least(F.col("first") + copy_block - 1, F.col("count"))
     items = (
-        rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+        single.unionByName(blocks).withColumn("copy", F.explode(F.sequence(F.col("first"), last)))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / most).cast("int") - 1, F.lit(0)))))
         .select("key", "copy", "h", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("int").alias("n_tokens"))
         .withColumn("group", F.pmod(F.xxhash64("key", "copy", "h", "piece"), F.lit(groups)).cast("int"))
