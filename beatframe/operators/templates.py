@@ -6,10 +6,14 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from beatframe.functions.arrays import norm
+from beatframe.functions.quantiles import exact_percentiles
+
 
 def butterworth(order: int, cutoff: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Low-pass coefficients by the bilinear transform of the analogue prototype."""
@@ -78,21 +82,6 @@ def zero_phase(x: np.ndarray, rate: float, *, cutoff: float = 5.0, order: int =
     return y[pad:-pad]
 
 
-def lowpass(df: DataFrame, column: str, *, by: list[str], order: str, rate: float, cutoff: float = 5.0) -> DataFrame:
-    """WN8: adds filtered; a group is one channel of one recording. Groups that are too short have NaN."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[column].to_numpy(dtype=np.float64)
-        pdf["filtered"] = zero_phase(x, rate, cutoff=cutoff) if len(x) > 12 else np.nan
-        return pdf
-
-    if not cutoff < rate / 2:
-        raise ValueError("the cutoff must lie below half the sampling rate")
-    d = df.select(*by, order, F.col(column).cast("double").alias(column))
-    return d.groupBy(*by).applyInPandas(run, T.StructType([*d.schema.fields, T.StructField("filtered", T.DoubleType())]))
-
-
 def rank_one(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Temporal scores and spatial pattern of the leading mode of the centred beat; the pattern's largest loading is positive."""
     u, s, w = np.linalg.svd(v - v.mean(axis=0), full_matrices=False)
@@ -130,17 +119,41 @@ def beat_templates(df: DataFrame, vector: str, *, by: list[str], order: str, mod
 
 
 def group_templates(templates: DataFrame, group: str) -> DataFrame:
-    """WN16: of each group's beat templates, scaled to length one, the leading right vector, signed like their sum, times their median length."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["template"].to_numpy()).astype(np.float64)
-        size = np.linalg.norm(v, axis=1)
-        unit = v / np.maximum(size, 1e-12)[:, None]
-        w = np.linalg.svd(unit, full_matrices=False)[2][0]
-        w = w if w @ unit.sum(axis=0) >= 0 else -w
-        return pd.DataFrame([[pdf[group].iloc[0], w * np.median(size)]], columns=[group, "template"])
-
-    return templates.select(group, "template").groupBy(group).applyInPandas(run, f"{group} {dict(templates.dtypes)[group]}, template array<double>")
+    """WN16: of each group's beat templates, scaled to length one, the leading right vector, signed like their sum, times their median length.
+
+    That vector is the leading eigenvector of the templates' second moments, channels x channels. Every task sums the moments of
+    its own rows (a matrix for each group it meets), and one matrix for each group and task is shuffled; median lengths are exact
+    without gathering a group (functions.quantiles). Null templates, and those of another width than the group's first, take no part.
+    """
+    kind = templates.schema[group].dataType
+    numbers = T.ArrayType(T.DoubleType())
+    t = templates.select(F.col(group).alias("g"), F.col("template").cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    widths = t.groupBy("g").agg(F.min(F.size("v")).alias("n"))
+    t = t.join(widths.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g"))).filter(F.size("v") == F.col("n")).select("g", "v")
+    schema = T.StructType([T.StructField("g", kind), T.StructField("moments", numbers), T.StructField("total", numbers)])
+
+    def summed(batches):
+        held: dict = {}
+        for b in batches:
+            codes = b.column(0).dictionary_encode("encode")
+            number = np.asarray(codes.indices)
+            for i, g in enumerate(codes.dictionary.to_pylist()):
+                v = np.stack([np.asarray(x.values, dtype=np.float64) for x in b.column(1).filter(pa.array(number == i))])
+                unit = v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+                m, s = held.get(g, (0.0, 0.0))
+                held[g] = m + unit.T @ unit, s + unit.sum(axis=0)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), b.column(0).type), pa.array([m.ravel() for m, _ in held.values()], pa.list_(pa.float64())), pa.array([s for _, s in held.values()], pa.list_(pa.float64()))], names=schema.names)
+
+    def leading(parts: pa.Table) -> pa.Table:
+        total = np.sum([np.asarray(x.values) for x in parts["total"].combine_chunks()], axis=0)
+        m = np.sum([np.asarray(x.values) for x in parts["moments"].combine_chunks()], axis=0).reshape(len(total), -1)
+        w = np.linalg.eigh(m)[1][:, -1]
+        return pa.table({"g": parts["g"][:1], "w": pa.array([w if w @ total >= 0 else -w], pa.list_(pa.float64()))})
+
+    modes = t.mapInArrow(summed, schema).groupBy("g").applyInArrow(leading, T.StructType([T.StructField("g", kind), T.StructField("w", numbers)]))
+    sizes = exact_percentiles(t.select("g", norm("v").alias("size")), ["g"], "size", {"median": 0.5}).withColumnRenamed("g", "_g")
+    return modes.join(sizes, F.col("g").eqNullSafe(F.col("_g"))).select(F.col("g").alias(group), F.transform("w", lambda x: x * F.col("median")).alias("template"))
 
 
 def centre_stability(df: DataFrame, *, beat: str, centres: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from beatframe.functions import arrays as A
+from beatframe.operators import blocks as B
 from beatframe.operators import linear as L
 from beatframe.operators import templates as T
 from beatframe.plans.bindings import FRAMES, VECTORS
@@ -224,7 +225,7 @@ ext AS MATERIALIZED (SELECT id, frame_no + 12 AS k, x FROM frames JOIN good ON i
 {pass_sql("f1", "ext")}, back AS MATERIALIZED (SELECT id, n + 23 - k AS k, y AS x FROM f1 JOIN good USING (id)), {pass_sql("f2", "back")}
 SELECT anatomy_id, frame_no, x, CASE WHEN n > 12 THEN round(y, 6) ELSE 'nan'::DOUBLE END AS filtered FROM frames JOIN n ON n.id = anatomy_id LEFT JOIN f2 ON f2.id = anatomy_id AND f2.k = n + 11 - frame_no""")
 def _(t):
-    return T.lowpass(t.frames(), "x", by=BY, order="frame_no", rate=50.0).withColumn("filtered", r6("filtered"))
+    return B.lowpass(t.frames(), "x", by=BY, order="frame_no", rate=50.0, block=16).withColumn("filtered", r6("filtered"))
 
 
 def beats(t):
