@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatframe.functions.arrays import TINY, sum_of, sum_of_two
+from beatframe.functions.quantiles import summarised
 
 NAN = float("nan")
 SUMS = ("n", "sp", "st", "spp", "stt", "spt", "sae", "sse")
@@ -53,7 +54,7 @@ def error_metrics(sums: DataFrame) -> DataFrame:
 def frame_correlations(sums: DataFrame, by: list[str]) -> DataFrame:
     """ME3: mean and median over frames that have a correlation."""
     d = sums.withColumn("r", correlation()).filter(~F.isnan("r"))
-    return d.groupBy(*by).agg(F.avg("r").alias("mean"), F.percentile("r", 0.5).alias("median"), F.count("*").alias("frames"))
+    return summarised(d, by, [F.avg("r").alias("mean"), F.count("*").alias("frames")], {"median": ("r", 0.5)}).select(*by, "mean", "median", "frames")
 
 
 def jointly_finite(df: DataFrame, pred: str, truth: str) -> DataFrame:
@@ -116,8 +117,8 @@ def dynamic_set(df: DataFrame, by: list[str], *, order: str) -> DataFrame:
         sums = frame_sums(d.select(*by, (F.col(p) if isinstance(p, str) else p).alias("pred"), (F.col(t) if isinstance(t, str) else t).alias("truth")))
         out = out.join(error_metrics(pooled(sums, by)).select(*by, *[F.col(m).alias(f"{name}_{m}") for m in names[name]]), by)
         if name == "dynamic":
-            r = sums.withColumn("r", correlation()).groupBy(*by).agg(F.percentile(F.nanvl("r", F.lit(None)), 0.5).alias("dynamic_frame_correlation_median"))
-            out = out.join(r, by)
+            r = summarised(sums.withColumn("r", correlation()), by, [F.count("*").alias("_n")], {"dynamic_frame_correlation_median": (F.nanvl("r", F.lit(None)), 0.5)})
+            out = out.join(r.drop("_n"), by)
     return out
 
 
@@ -194,8 +195,8 @@ def object_metrics(df: DataFrame, by: list[str], positions: DataFrame, *, muscle
         add(outside, lambda e: e["pred"] * e["pred"]).alias("o"), many(outside).alias("on"), F.when(mass > 1e-10, F.try_divide(add(lambda e: F.lit(True), lambda e: F.abs(e["pred"])), mass)).alias("ratio"),
     )
     or_zero = lambda c: F.coalesce(c, F.lit(0.0))
-    g = d.groupBy(*by).agg(
+    of = [
         or_zero(F.avg("dice")).alias("core_dice"), F.avg("centre").alias("centre_error"), F.try_divide(F.coalesce(F.sum("a0"), F.lit(0.0)) + F.coalesce(F.sum("a1"), F.lit(0.0)), F.count("a0") + F.count("a1")).alias("amplitude_mae"),
-        or_zero(F.sqrt(F.try_divide(F.sum("h"), F.sum("hn")))).alias("halo_rmse"), or_zero(F.sqrt(F.try_divide(F.sum("o"), F.sum("on")))).alias("outside_rms"), or_zero(F.percentile("ratio", 0.5)).alias("mass_ratio_median"),
-    )
-    return g
+        or_zero(F.sqrt(F.try_divide(F.sum("h"), F.sum("hn")))).alias("halo_rmse"), or_zero(F.sqrt(F.try_divide(F.sum("o"), F.sum("on")))).alias("outside_rms"),
+    ]
+    return summarised(d, by, of, {"mass_ratio_median": ("ratio", 0.5)}).withColumn("mass_ratio_median", or_zero(F.col("mass_ratio_median")))

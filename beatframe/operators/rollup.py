@@ -6,21 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatframe.functions.arrays import finite, rms
-from beatframe.functions.quantiles import exact_percentiles, with_percentiles
+from beatframe.functions.quantiles import exact_percentiles, summarised
 from beatframe.operators.metrics import SUMS, error_metrics, frame_sums
 
 
 def summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """AG1."""
-    g = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
-    return with_percentiles(g, df, by, value, {"median": 0.5}).select(*by, "mean", "median", "max")
+    return summarised(df, by, [F.avg(value).alias("mean"), F.max(value).alias("max")], {"median": (value, 0.5)}).select(*by, "mean", "median", "max")
 
 
 def activation(df: DataFrame, vector: str, stage: str, *, reference: str) -> DataFrame:
-    """AG2: per-frame RMS summarised by stage, and each stage's mean as a share of the reference stage's."""
+    """AG2: per-frame RMS summarised by stage, and each stage's mean as a share of the reference stage's; null where there is none."""
     g = summary(df.withColumn("_rms", rms(vector)), "_rms", [stage])
     ref = g.filter(F.col(stage) == reference).select(F.col("mean").alias("_ref"))
-    return g.crossJoin(F.broadcast(ref)).withColumn("share", F.col("mean") / F.greatest("_ref", F.lit(1e-30))).drop("_ref")
+    return g.join(F.broadcast(ref), F.lit(True), "left").withColumn("share", F.when(F.col("_ref").isNotNull(), F.col("mean") / F.greatest("_ref", F.lit(1e-30)))).drop("_ref")
 
 
 def diagnostics(df: DataFrame, by: list[str], *, residual: str, step: str, clipped: str) -> DataFrame:
@@ -30,8 +29,8 @@ def diagnostics(df: DataFrame, by: list[str], *, residual: str, step: str, clipp
 
 def latency(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """AG4."""
-    g = df.groupBy(*by).agg(F.count("*").alias("count"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    return with_percentiles(g, df, by, value, {"median": 0.5, "p95": 0.95}).select(*by, "count", "total", "mean", "median", "p95", "min", "max")
+    of = [F.count("*").alias("count"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")]
+    return summarised(df, by, of, {"median": (value, 0.5), "p95": (value, 0.95)}).select(*by, "count", "total", "mean", "median", "p95", "min", "max")
 
 
 def throughput(df: DataFrame, seconds: str, frames: str, by: list[str], *, hz: float) -> DataFrame:
@@ -42,8 +41,8 @@ def throughput(df: DataFrame, seconds: str, frames: str, by: list[str], *, hz: f
     (the largest chunk's frames at hz) and computed (mean). Rates over no time or no frames are null.
     """
     fraction = F.try_divide(F.col(seconds) * hz, F.col(frames))
-    g = df.groupBy(*by).agg(F.sum(frames).alias("timed_frames"), F.sum(seconds).alias("s"), F.avg(seconds).alias("chunk_mean"), F.max(frames).alias("chunk"), F.avg(fraction).alias("budget_fraction"), F.max(fraction).alias("budget_fraction_max"))
-    g = with_percentiles(g, df, by, fraction, {"budget_fraction_p95": 0.95})
+    of = [F.sum(frames).alias("timed_frames"), F.sum(seconds).alias("s"), F.avg(seconds).alias("chunk_mean"), F.max(frames).alias("chunk"), F.avg(fraction).alias("budget_fraction"), F.max(fraction).alias("budget_fraction_max")]
+    g = summarised(df, by, of, {"budget_fraction_p95": (fraction, 0.95)})
     hertz = F.try_divide("timed_frames", "s")
     return g.select(
         *by, "timed_frames", hertz.alias("effective_hz"), F.try_divide("s", "timed_frames").alias("per_frame"), (hertz >= hz).alias("meets"),
@@ -67,8 +66,8 @@ def metric_table(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 def aggregate_metrics(df: DataFrame, keys: list[str], metrics: list[str], *, unit: str, units: int) -> DataFrame:
     """AG7: mean, sample deviation, median, min and max of each metric; complete says whether all units are there."""
     long, by = metric_table(df, [*keys, unit], metrics), [*keys, "metric"]
-    g = long.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), (F.countDistinct(unit) == units).alias("complete"))
-    return with_percentiles(g, long, by, "value", {"median": 0.5}).select(*by, "mean", "std", "median", "min", "max", "complete")
+    of = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), (F.countDistinct(unit) == units).alias("complete")]
+    return summarised(long, by, of, {"median": ("value", 0.5)}).select(*by, "mean", "std", "median", "min", "max", "complete")
 
 
 def deltas(df: DataFrame, keys: list[str], *, version: str, value: str, baseline: str) -> DataFrame:
@@ -137,8 +136,8 @@ def weakest(df: DataFrame, value: str, *, by: list[str], unit: str) -> DataFrame
 def coverage(df: DataFrame, audit: DataFrame, *, signal: str, channel: str, value: str, ratio: tuple[float, float], negative: tuple[float, float]) -> DataFrame:
     """AG16: each channel's RMS and q01 to q99 span, their medians over channels as ratios to the audit's (signal, rms, span), the negative share, and whether all are in range."""
     v = F.col(value)
-    c = df.groupBy(signal, channel).agg(F.sqrt(F.avg(v * v)).alias("rms"), F.sum((v < 0).cast("long")).alias("neg"), F.count("*").alias("n"))
-    c = with_percentiles(c, df, [signal, channel], value, {"_low": 0.01, "_high": 0.99}).withColumn("span", F.col("_high") - F.col("_low"))
+    of = [F.sqrt(F.avg(v * v)).alias("rms"), F.sum((v < 0).cast("long")).alias("neg"), F.count("*").alias("n")]
+    c = summarised(df, [signal, channel], of, {"_low": (value, 0.01), "_high": (value, 0.99)}).withColumn("span", F.col("_high") - F.col("_low"))
     g = c.groupBy(signal).agg(F.percentile("rms", 0.5).alias("rms"), F.percentile("span", 0.5).alias("span"), (F.sum("neg") / F.sum("n")).alias("negative_fraction"), F.count("*").alias("channels"))
     j = g.join(audit.select(signal, F.col("rms").alias("_r"), F.col("span").alias("_s")), signal)
     a, b = F.col("rms") / F.greatest("_r", F.lit(1e-30)), F.col("span") / F.greatest("_s", F.lit(1e-30))
@@ -160,8 +159,7 @@ def linearisation_gate(df: DataFrame, by: list[str], *, unit: str, exact: str, l
 def display_limit(df: DataFrame, value: str, by: list[str], q: float = 0.995) -> DataFrame:
     """AG18: a symmetric limit, max(q-quantile of |finite|, 1e-8), and two-sided 0.5 % limits; groups without a finite value give no row."""
     d = df.filter(finite(value))
-    sides = exact_percentiles(d, by, value, {"low": 0.005, "high": 0.995})
-    return with_percentiles(sides, d, by, F.abs(F.col(value)), {"limit": q}).select(*by, F.greatest("limit", F.lit(1e-8)).alias("limit"), "low", "high")
+    return summarised(d, by, [], {"low": (value, 0.005), "high": (value, 0.995), "limit": (F.abs(F.col(value)), q)}).select(*by, F.greatest("limit", F.lit(1e-8)).alias("limit"), "low", "high")
 
 
 def channel_scale(df: DataFrame, *, channel: str, value: str, shared: list[int]) -> DataFrame:
