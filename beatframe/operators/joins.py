@@ -124,29 +124,62 @@ def nearest(df: DataFrame, bank: DataFrame, *, key: str, vector: str, bank_key:
     return rows.select(F.col("k").alias(key), F.col("b").alias(bank_key), F.col("d").alias("distance"))
 
 
-def cells(lo: Column, hi: Column, size: float) -> Column:
+LEVELS = 60
+
+
+def cells(lo: Column, hi: Column, size: Column) -> Column:
     return F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
 
 
+def level(size: Column, cell: float) -> Column:
+    """The grid level whose cells (cell * 2 ** level) are as large as the object: 0 for all up to a cell."""
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(cell)) / cell)), F.lit(0)), F.lit(LEVELS)).cast("int")
+
+
+def levels_of(*tables: DataFrame) -> list[int]:
+    """The levels (_own) that occur: LEVELS + 1 numbers at most."""
+    some = tables[0].select("_own")
+    for t in tables[1:]:
+        some = some.union(t.select("_own"))
+    return sorted(r["_own"] for r in some.distinct().collect() if r["_own"] is not None)
+
+
+def entered(df: DataFrame, known: list[int], x0: str, x1: str, y0: str, y1: str, *, cell: float, own_only: bool) -> DataFrame:
+    """df with _lv, _cx, _cy: the cells in which an object enters at its own level, or at each known level from its own on; four at most of each level."""
+    at = F.array("_own") if own_only else F.filter(F.array(*[F.lit(x) for x in known]).cast("array<int>"), lambda x: x >= F.col("_own"))
+    d = df.withColumn("_lv", F.explode(at)).withColumn("_size", F.lit(cell) * F.pow(F.lit(2.0), F.col("_lv")))
+    return d.withColumn("_cx", cells(F.col(x0), F.col(x1), F.col("_size"))).withColumn("_cy", cells(F.col(y0), F.col(y1), F.col("_size")))
+
+
 def box_overlap(a: DataFrame, b: DataFrame, *, cell: float) -> DataFrame:
-    """JN9: pairs of boxes (x0, x1, y0, y1) that overlap with positive area, by a shared grid cell instead of all pairs.
+    """JN9: pairs of boxes (x0, x1, y0, y1) that overlap with positive area, by shared cells of a hierarchy of grids instead of all pairs.
 
-    A pair that shares several cells is taken in the cell of its overlap's lower corner. Columns of b get b_ in front.
+    A box lies in four cells at most of the level of its size, however large it is, and in as many of each coarser level that occurs.
+    A pair meets at the level of the larger box, and is taken in the cell of its overlap's lower corner. Columns of
+    b get b_ in front. Boxes with a null side overlap nothing.
     """
-    g = lambda d: d.withColumn("_cx", cells(F.col("x0"), F.col("x1"), cell)).withColumn("_cy", cells(F.col("y0"), F.col("y1"), cell))
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))
-    right = g(right).drop("x0", "x1", "y0", "y1")
-    j = g(a).join(right, ["_cx", "_cy"])
+    size = level(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), cell)
+    left, right = (d.withColumn("_own", size).filter("_own is not null") for d in (a, b))
+    known = levels_of(left, right)
+    names = [F.col(c).alias(f"b_{c}") for c in b.columns]
+    left = entered(left, known, "x0", "x1", "y0", "y1", cell=cell, own_only=False)
+    right = entered(right, known, "x0", "x1", "y0", "y1", cell=cell, own_only=False).select(*names, F.col("_own").alias("_b_own"), "_lv", "_cx", "_cy")
+    j = left.join(right, ["_lv", "_cx", "_cy"])
     meet = (F.col("x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("x1")) & (F.col("y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("y1"))
-    home = (F.floor(F.greatest("x0", "b_x0") / cell) == F.col("_cx")) & (F.floor(F.greatest("y0", "b_y0") / cell) == F.col("_cy"))
-    return j.filter(meet & home).drop("_cx", "_cy")
+    home = (F.floor(F.greatest("x0", "b_x0") / F.col("_size")) == F.col("_cx")) & (F.floor(F.greatest("y0", "b_y0") / F.col("_size")) == F.col("_cy"))
+    return j.filter(meet & home & (F.col("_lv") == F.greatest("_own", "_b_own"))).drop("_lv", "_cx", "_cy", "_own", "_b_own", "_size")
 
 
 def inside_ellipse(points: DataFrame, ellipses: DataFrame, *, cell: float) -> DataFrame:
-    """JN10: points (x, y) inside rotated ellipses (center_x, center_y, radius_x, radius_y, angle), by grid cell."""
+    """JN10: points (x, y) inside rotated ellipses (center_x, center_y, radius_x, radius_y, angle), with r2; an ellipse lies in four cells at most of the grid of its size, and a point looks into one cell of each grid that occurs."""
     reach = F.greatest("radius_x", "radius_y")
-    e = ellipses.withColumn("_cx", cells(F.col("center_x") - reach, F.col("center_x") + reach, cell)).withColumn("_cy", cells(F.col("center_y") - reach, F.col("center_y") + reach, cell))
-    j = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell)).join(e, ["_cx", "_cy"])
+    e = ellipses.withColumn("_own", level(2 * reach, cell)).filter("_own is not null")
+    known = levels_of(e)
+    e = e.withColumns({"_x0": F.col("center_x") - reach, "_x1": F.col("center_x") + reach, "_y0": F.col("center_y") - reach, "_y1": F.col("center_y") + reach})
+    e = entered(e, known, "_x0", "_x1", "_y0", "_y1", cell=cell, own_only=True).drop("_x0", "_x1", "_y0", "_y1", "_own", "_size")
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_lv"))
+    p = points.withColumn("_lv", F.explode(F.array(*[F.lit(x) for x in known]).cast("array<int>"))).withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
+    j = p.join(e, ["_lv", "_cx", "_cy"])
     dx, dy = F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y")
     u, v = dx * F.cos("angle") + dy * F.sin("angle"), dy * F.cos("angle") - dx * F.sin("angle")
-    return j.withColumn("r2", F.pow(u / F.col("radius_x"), 2) + F.pow(v / F.col("radius_y"), 2)).filter("r2 <= 1").drop("_cx", "_cy")
+    return j.withColumn("r2", F.pow(u / F.col("radius_x"), 2) + F.pow(v / F.col("radius_y"), 2)).filter("r2 <= 1").drop("_lv", "_cx", "_cy")

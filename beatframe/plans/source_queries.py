@@ -36,7 +36,10 @@ def _(t):
     return S.frame_slice(t.frames(), order="frame_no", start=50, n=20, by=BY)[1]
 
 
-@query("io11_value_fingerprint", "WITH h AS (SELECT sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority)) AS h FROM orders), p AS (SELECT substr(h, 1, 2) AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY bucket)) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM p")
+FINGERPRINT = "sha256(concat_ws(',', CAST(count(*) AS VARCHAR), " + ", ".join(f"CAST(coalesce(sum(('0x' || substr(h, {1 + 6 * i}, 6))::BIGINT), 0) AS VARCHAR)" for i in range(10)) + "))"
+
+
+@query("io11_value_fingerprint", f"WITH h AS (SELECT sha256(concat_ws('|', length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey, length(o_orderstatus) || ':' || o_orderstatus, length(o_orderpriority) || ':' || o_orderpriority)) AS h FROM orders) SELECT {FINGERPRINT} AS fingerprint, count(*) AS rows FROM h")
 def _(t):
     return S.value_fingerprint(t("orders"), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
 
