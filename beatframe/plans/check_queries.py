@@ -91,9 +91,14 @@ def _(t):
     return C.additive_identity(d, "truth", "delta", "pred").withColumn("observed", F.round("observed", 12)).withColumn("expected", F.round("expected", 12))
 
 
-@query("va13_same_keys", bad_sql("same_keys", "a IS NULL OR b IS NULL", "j", "WITH j AS (SELECT a.o_orderkey AS a, b.l_orderkey AS b FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) b ON a.o_orderkey = b.l_orderkey)"))
+def moved(key, n, far=1_000_000_000):
+    """The key, moved far away on every n-th row, so that it has no partner there."""
+    return F.col(key) + F.when(F.col(key) % n == 0, far).otherwise(0)
+
+
+@query("va13_same_keys", bad_sql("same_keys", "a IS NULL OR b IS NULL", "j", "WITH j AS (SELECT a.o_orderkey AS a, b.l_orderkey AS b FROM (SELECT o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 1000000000 ELSE 0 END AS o_orderkey FROM orders) a FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) b ON a.o_orderkey = b.l_orderkey)"))
 def _(t):
-    a = t("orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"))
+    a = t("orders").select(moved("o_orderkey", 3).alias("k"))
     return C.same_keys(a, t("lineitem").select(F.col("l_orderkey").alias("k")).distinct(), ["k"])
 
 
@@ -119,9 +124,9 @@ def _(t):
     return C.only_values(t("events"), "event_type", {"click", "view"})
 
 
-@query("va18_side_records", bad_sql("side_records", "c_custkey IS NULL OR c_name IS NULL", "(SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) c ON o_custkey = c_custkey"))
+@query("va18_side_records", bad_sql("side_records", "c_custkey IS NULL OR c_name IS NULL", "(SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN (SELECT c_custkey + CASE WHEN c_custkey % 7 = 0 THEN 1000000000 ELSE 0 END AS c_custkey, c_name FROM customer) c ON o_custkey = c_custkey"))
 def _(t):
-    side = t("customer").filter("c_custkey % 7 <> 0").withColumnRenamed("c_custkey", "k")
+    side = t("customer").withColumn("k", moved("c_custkey", 7))
     return C.side_records(t("orders").withColumnRenamed("o_custkey", "k"), side, "k", ["c_name"])
 
 
@@ -142,9 +147,10 @@ def _(t):
     return C.gate_flags(d, ["a", "b"], "l_returnflag")
 
 
-@query("va22_contiguous", check_sql("contiguous", "(SELECT beat_id, count(DISTINCT (anatomy_id, beat_id)) AS u, max(st) AS hi, min(st) AS lo FROM s GROUP BY 1)", "u", 1, "u = 1 AND coalesce(hi = 1 AND lo = 1, true)", "beat_id", f"WITH {FRAMES}, s AS (SELECT *, lead(sample_index) OVER (PARTITION BY beat_id ORDER BY sample_index) - sample_index AS st FROM frames WHERE x > 3)"))
+@query("va22_contiguous", check_sql("contiguous", "(SELECT beat_id, count(DISTINCT (anatomy_id, beat_id)) AS u, max(st) AS hi, min(st) AS lo FROM s GROUP BY 1)", "u", 1, "u = 1 AND coalesce(hi = 1 AND lo = 1, true)", "beat_id", f"WITH {FRAMES}, s AS (SELECT *, lead(i) OVER (PARTITION BY beat_id ORDER BY i) - i AS st FROM (SELECT *, sample_index + CASE WHEN x > 3 THEN 0 ELSE 100 END AS i FROM frames))"))
 def _(t):
-    return C.contiguous(t.frames().filter("x > 3"), by="beat_id", order="sample_index")
+    d = t.frames().withColumn("sample_index", F.col("sample_index") + F.when(F.col("x") > 3, 0).otherwise(100))
+    return C.contiguous(d, by="beat_id", order="sample_index")
 
 
 COO = "coo AS (SELECT l_orderkey % 64 AS row, l_partkey % 64 AS col, round(sum(CAST(l_discount AS DOUBLE)), 6) AS value FROM lineitem GROUP BY 1, 2)"
@@ -160,9 +166,10 @@ def _(t):
     return C.unit_row_sums(coo(t))
 
 
-@query("va24_identical_arrays", bad_sql("identical_arrays", "a IS DISTINCT FROM b", "j", "WITH j AS (SELECT x.embedding AS a, y.embedding AS b FROM embeddings x FULL JOIN (SELECT * FROM embeddings WHERE label < 5) y ON x.vec_id = y.vec_id)"))
+@query("va24_identical_arrays", bad_sql("identical_arrays", "a IS DISTINCT FROM b", "j", "WITH j AS (SELECT x.embedding AS a, y.embedding AS b FROM embeddings x FULL JOIN (SELECT vec_id, CASE WHEN label < 5 THEN embedding ELSE list_transform(embedding, lambda v: v * 2) END AS embedding FROM embeddings) y ON x.vec_id = y.vec_id)"))
 def _(t):
-    return C.identical_arrays(t("embeddings"), t("embeddings").filter("label < 5"), ["vec_id"], "embedding")
+    b = t("embeddings").withColumn("embedding", F.when(F.col("label") < 5, F.col("embedding")).otherwise(F.transform("embedding", lambda v: (v * 2).cast("float"))))
+    return C.identical_arrays(t("embeddings"), b, ["vec_id"], "embedding")
 
 
 @query("va25_one_value_per", check_sql("same_hash", "(SELECT o_orderpriority AS s, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1)", "n", 1, "n = 1", "s"))
@@ -255,10 +262,10 @@ def _(t):
     return j.select("key", r6(A.total("v")).alias("s"))
 
 
-@query("jn2_registry", "SELECT c_custkey, CASE WHEN n_nationkey IS NULL THEN NULL ELSE n_name END AS ring, CASE WHEN n_nationkey IS NULL THEN 'no ring size' WHEN n_regionkey = 2 THEN 'no assets for ring' END AS exclusion_reason, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS source_order FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey")
+@query("jn2_registry", "SELECT c_custkey, CASE WHEN n_nationkey IS NULL THEN NULL ELSE n_name END AS ring, CASE WHEN n_nationkey IS NULL THEN 'no ring size' WHEN n_regionkey = 2 THEN 'no assets for ring' END AS exclusion_reason, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS source_order FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey + CASE WHEN n_nationkey % 5 = 0 THEN 1000 ELSE 0 END")
 def _(t):
-    rings = t("nation").filter("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("subject"), F.col("n_name").alias("ring"))
-    assets = t("nation").filter("n_regionkey <> 2").select(F.col("n_name").alias("ring"))
+    rings = t("nation").select(moved("n_nationkey", 5, 1000).alias("subject"), F.col("n_name").alias("ring"))
+    assets = t("nation").select(F.when(F.col("n_regionkey") == 2, "none").otherwise(F.col("n_name")).alias("ring"))
     d = J.registry(t("customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("subject")), rings, assets, subject="subject", ring="ring")
     return J.source_order(d, "c_mktsegment", ["c_custkey"]).select("c_custkey", "ring", "exclusion_reason", "source_order")
 
@@ -270,11 +277,11 @@ def _(t):
     return d.select("o_orderkey", "c_name", F.aggregate("periods", F.lit(0).cast("long"), lambda s, x: s + x).alias("period_sum"))
 
 
-@query("jn4_paired", "WITH a AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 4 <> 0) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'a_only' WHEN a.o_orderkey IS NULL THEN 'b_only' WHEN a.o_orderpriority <> b.o_orderpriority THEN 'mismatch' ELSE 'match' END AS status FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey")
+@query("jn4_paired", "WITH a AS (SELECT o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000000 ELSE 0 END AS o_orderkey, o_orderpriority FROM orders), b AS (SELECT o_orderkey + CASE WHEN o_orderkey % 4 = 0 THEN 2000000000 ELSE 0 END AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE o_orderpriority END AS o_orderpriority FROM orders) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'a_only' WHEN a.o_orderkey IS NULL THEN 'b_only' WHEN a.o_orderpriority <> b.o_orderpriority THEN 'mismatch' ELSE 'match' END AS status FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey")
 def _(t):
     o = t("orders")
-    b = o.filter("o_orderkey % 4 <> 0").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise(F.col("o_orderpriority")))
-    return J.paired(o.filter("o_orderkey % 5 <> 0"), b, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"]).select("o_orderkey", "status")
+    b = o.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise(F.col("o_orderpriority"))).withColumn("o_orderkey", moved("o_orderkey", 4, 2_000_000_000))
+    return J.paired(o.withColumn("o_orderkey", moved("o_orderkey", 5)), b, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"]).select("o_orderkey", "status")
 
 
 @query("jn5_vessel_areas", "SELECT l_orderkey, l_linenumber, round(CASE WHEN p_partkey % 2 = 0 THEN least(pi() * p_size * 2 * 0.25, pi() * (p_size + 1) * 0.5 * 0.64) ELSE least(pi() * p_size * 0.5, pi() * 3.0 * 7) END, 6) AS least_area FROM lineitem JOIN part ON l_partkey = p_partkey")
@@ -288,24 +295,27 @@ def _(t):
     return d.select("l_orderkey", "l_linenumber", r6("least_area").alias("least_area"))
 
 
-@query("jn6_aligned", f"WITH {VECTORS} SELECT key, key % 7 <> 0 AS in_both, key % 7 <> 0 AS same_truth, key % 7 <> 0 AND key % 2 = 0 AS same_control FROM vectors")
+NEAR = "coalesce(len(list_filter(range(1, 65), lambda i: NOT abs(a.{0}[i] - b.{0}[i]) <= 1e-7)) = 0, false)"
+
+
+@query("jn6_aligned", f"WITH {VECTORS}, b AS (SELECT key + CASE WHEN key % 7 = 0 THEN 1000000000 ELSE 0 END AS key, v, list_transform(v, lambda x: x * CASE WHEN key % 2 = 0 THEN 1 + 1e-9 ELSE 1.5 END) AS c FROM vectors), a AS (SELECT *, v AS c FROM vectors) SELECT coalesce(a.key, b.key) AS key, a.key IS NOT NULL AND b.key IS NOT NULL AS in_both, a.key IS NOT NULL AND b.key IS NOT NULL AND {NEAR.format('v')} AS same_truth, a.key IS NOT NULL AND b.key IS NOT NULL AND {NEAR.format('c')} AS same_control FROM a FULL JOIN b ON a.key = b.key")
 def _(t):
     a = t.vectors().withColumn("c", F.col("v"))
-    b = a.filter("key % 7 <> 0").withColumn("c", F.when(F.col("key") % 2 == 0, A.scaled("v", 1 + 1e-9)).otherwise(A.scaled("v", 1.5)))
+    b = a.withColumn("c", F.when(F.col("key") % 2 == 0, A.scaled("v", 1 + 1e-9)).otherwise(A.scaled("v", 1.5))).withColumn("key", moved("key", 7))
     return J.aligned(a, b, ["key"], "v", "c")
 
 
-@query("jn7_contract", "SELECT p_partkey, p_partkey % 10 <> 0 AS same, p_partkey % 10 <> 0 OR p_partkey IN (10, 20) AS passed FROM part")
+@query("jn7_contract", "WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'other' ELSE md5(p_name) END AS h FROM part) SELECT p.p_partkey, md5(p_name) = h AS same, md5(p_name) = h OR p.p_partkey IN (10, 20) AS passed FROM part p JOIN c USING (p_partkey)")
 def _(t):
     s = t("part").select("p_partkey", F.md5("p_name").alias("hash"), F.col("p_retailprice").cast("double").alias("number"))
     c = s.withColumn("hash", F.when(F.col("p_partkey") % 10 == 0, "other").otherwise(F.col("hash")))
     return J.contract(s, c, ["p_partkey"], exempt=[10, 20])
 
 
-@query("jn8_nearest", "WITH d AS (SELECT q.vec_id AS key, b.vec_id AS bank, list_sum(list_transform(range(1, 65), lambda i: pow(q.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) / 64 AS d FROM embeddings q JOIN embeddings b ON b.label = 3) SELECT key, arg_min(bank, (d, bank)) AS bank, round(min(d), 6) AS distance FROM d GROUP BY 1")
+@query("jn8_nearest", "WITH d AS (SELECT q.vec_id AS key, b.vec_id AS bank, list_sum(list_transform(range(1, 65), lambda i: pow(q.embedding[i]::DOUBLE + 0.5 * b.embedding[i]::DOUBLE, 2))) / 64 AS d FROM embeddings q, embeddings b) SELECT key, arg_min(bank, (d, bank)) AS bank, round(min(d), 6) AS distance FROM d GROUP BY 1")
 def _(t):
     v = t.vectors()
-    bank = v.filter("anatomy_id = 3").select(F.col("key").alias("bank"), "v")
+    bank = v.select(F.col("key").alias("bank"), A.scaled("v", -0.5).alias("v"))
     return J.nearest(v, bank, key="key", vector="v", bank_key="bank", bank_vector="v").withColumn("distance", r6("distance"))
 
 

@@ -98,12 +98,12 @@ def _(t):
     return t.frames().select("anatomy_id", "frame_no", r6(G.moving_mean("x", by=BY, order="frame_no", window=WINDOW)).alias("lp"))
 
 
-@query("wn1_long_recordings", f"WITH {FRAMES}, o AS (SELECT *, row_number() OVER (PARTITION BY anatomy_id ORDER BY frame_no) - 1 AS p FROM frames WHERE frame_no % 7 <> 3) SELECT anatomy_id, frame_no, round(avg(x) OVER (PARTITION BY anatomy_id ORDER BY p ROWS BETWEEN {WINDOW // 2} PRECEDING AND {WINDOW - WINDOW // 2 - 1} FOLLOWING), 6) AS lp FROM o")
+@query("wn1_long_recordings", f"WITH {FRAMES}, o AS (SELECT anatomy_id, frame_no + 30 * (frame_no // 7) AS frame_no, x FROM frames) SELECT anatomy_id, frame_no, round(avg(x) OVER (PARTITION BY anatomy_id ORDER BY frame_no ROWS BETWEEN {WINDOW // 2} PRECEDING AND {WINDOW - WINDOW // 2 - 1} FOLLOWING), 6) AS lp FROM o")
 def _(t):
     """Recordings with gaps, in blocks of 16 frames."""
     from beatframe.operators.blocks import moving_mean
 
-    d = moving_mean(t.frames().filter("frame_no % 7 <> 3"), "x", by=BY, order="frame_no", window=WINDOW, block=16)
+    d = moving_mean(t.frames().withColumn("frame_no", F.col("frame_no") + 30 * F.floor(F.col("frame_no") / 7)), "x", by=BY, order="frame_no", window=WINDOW, block=16)
     return d.select("anatomy_id", "frame_no", r6("lp").alias("lp"))
 
 

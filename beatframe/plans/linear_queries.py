@@ -73,9 +73,9 @@ def _(t):
     return L.linearised_voltage(d, state="v", baseline="base", voltage0="volt", jacobian=RING_JACOBIAN, ring="ring").select("key", weighted("voltage").alias("weighted"))
 
 
-@query("ln12_all_rings", f"WITH {RINGS}, q AS (SELECT key, ring, r, sum(a * CASE WHEN isnan(x) THEN x ELSE greatest(x, 0.01) END) AS f FROM s JOIN g USING (key) JOIN j USING (ring, c) WHERE key % 11 <> 0 GROUP BY 1, 2, 3), e AS (SELECT q.ring, sqrt(avg(pow(volt[r + 1] - f, 2))) AS e FROM q JOIN rv USING (key) GROUP BY 1), n AS (SELECT ring, count(*) FILTER (WHERE x < 0.01) AS clipped FROM s WHERE key % 11 <> 0 GROUP BY 1) SELECT ring, round(e, 6) AS residual_rms, clipped FROM n LEFT JOIN e USING (ring)")
+@query("ln12_all_rings", f"WITH {RINGS}, q AS (SELECT key, ring, r, sum(a * greatest(CASE WHEN isnan(x) THEN 0.5 ELSE x END, 0.01)) AS f FROM s JOIN g USING (key) JOIN j USING (ring, c) GROUP BY 1, 2, 3), e AS (SELECT q.ring, sqrt(avg(pow(volt[r + 1] - f, 2))) AS e FROM q JOIN rv USING (key) GROUP BY 1), n AS (SELECT ring, count(*) FILTER (WHERE x < 0.01) AS clipped FROM s GROUP BY 1) SELECT ring, round(e, 6) AS residual_rms, clipped FROM n LEFT JOIN e USING (ring)")
 def _(t):
-    d = ringed_vectors(t).filter("key % 11 <> 0")  # their NaN would be all there is to see
+    d = ringed_vectors(t).withColumn("v", F.transform("v", lambda x: F.nanvl(x, F.lit(0.5))))  # a NaN would be all there is to see
     return L.dataset_residual(d, state="v", voltage="volt", jacobian=RING_JACOBIAN, floor=0.01, ring="ring").select("ring", r6("residual_rms").alias("residual_rms"), "clipped")
 
 
@@ -264,8 +264,8 @@ def _(t):
     return shown(T.group_templates(b, "anatomy_id"), "anatomy_id")
 
 
-@query("wn17_centre_stability", f"WITH {FRAMES}, c AS (SELECT beat_id, least(x, 50) AS x0, CASE WHEN x < 50 THEN frame_no % 7 ELSE frame_no % 5 END AS y0, greatest(x, 50) AS x1, CASE WHEN x < 50 THEN frame_no % 5 ELSE frame_no % 7 END AS y1 FROM frames WHERE x <> 50), s AS (SELECT beat_id, ((stddev_pop(x0) + stddev_pop(y0)) / 2 + (stddev_pop(x1) + stddev_pop(y1)) / 2) / 2 AS s FROM c GROUP BY 1) SELECT round(avg(s), 6) AS mean, round(max(s), 6) AS max FROM s")
+@query("wn17_centre_stability", f"WITH {FRAMES}, c AS (SELECT beat_id, least(x, 50) AS x0, CASE WHEN x < 50 OR x = 50 AND frame_no % 7 <= frame_no % 5 THEN frame_no % 7 ELSE frame_no % 5 END AS y0, greatest(x, 50) AS x1, CASE WHEN x < 50 OR x = 50 AND frame_no % 7 <= frame_no % 5 THEN frame_no % 5 ELSE frame_no % 7 END AS y1 FROM frames), s AS (SELECT beat_id, ((stddev_pop(x0) + stddev_pop(y0)) / 2 + (stddev_pop(x1) + stddev_pop(y1)) / 2) / 2 AS s FROM c GROUP BY 1) SELECT round(avg(s), 6) AS mean, round(max(s), 6) AS max FROM s")
 def _(t):
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    d = t.frames().filter("x <> 50").withColumn("centres", F.array(point(F.col("x"), F.col("frame_no") % 7), point(F.lit(50), F.col("frame_no") % 5)))
+    d = t.frames().withColumn("centres", F.array(point(F.col("x"), F.col("frame_no") % 7), point(F.lit(50), F.col("frame_no") % 5)))
     return rounded(T.centre_stability(d, beat="beat_id", centres="centres"))

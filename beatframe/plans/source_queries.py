@@ -97,7 +97,15 @@ def _(t):
 @query("st5_paired_outputs", f"WITH {FRAMES} SELECT anatomy_id AS session, frame_no, x AS value_a, 2 * x AS value_b FROM frames WHERE frame_no % 2 = 0")
 def _(t):
     f = t.frames().select(F.col("anatomy_id").alias("session"), "frame_no", F.col("x").alias("value"))
-    return ST.paired(f, f.filter("frame_no % 2 = 0").withColumn("value", F.col("value") * 2))
+    moved = F.col("frame_no") + F.when(F.col("frame_no") % 2 == 0, 0).otherwise(1_000_000)  # odd frames have no partner
+    return ST.paired(f, f.withColumn("value", F.col("value") * 2).withColumn("frame_no", moved))
+
+
+@query("st5_pairs_and_missing", f"WITH {FRAMES}, b AS (SELECT anatomy_id, frame_no + CASE WHEN frame_no % 3 = 1 THEN 1000000 ELSE 0 END AS frame_no, 2 * x AS x FROM frames) SELECT coalesce(a.anatomy_id, b.anatomy_id) AS session, coalesce(a.frame_no, b.frame_no) AS frame_no, a.x AS value_a, b.x AS value_b, CASE WHEN b.anatomy_id IS NULL THEN 'b' WHEN a.anatomy_id IS NULL THEN 'a' END AS missing FROM frames a FULL JOIN b ON a.anatomy_id = b.anatomy_id AND a.frame_no = b.frame_no")
+def _(t):
+    f = t.frames().select(F.col("anatomy_id").alias("session"), "frame_no", F.timestamp_seconds("frame_no").alias("ts"), F.col("x").alias("value"))
+    b = f.withColumn("value", F.col("value") * 2).withColumn("frame_no", F.col("frame_no") + F.when(F.col("frame_no") % 3 == 1, 1_000_000).otherwise(0))
+    return ST.live_pairs(f, b).select("session", "frame_no", "value_a", "value_b", "missing")
 
 
 @query("st6_buffer_monitor", f"WITH {FRAMES}, b AS (SELECT anatomy_id AS session, frame_no // 10 AS b, count(*) AS n, sum(x) / 3700 AS s FROM frames GROUP BY 1, 2) SELECT session, round(avg(n / 50 + s), 6) AS first_output_s, round(avg(s), 6) AS compute_s, round(max(s), 6) AS worst_s, max(s / (n / 50)) <= 1 AS keeps_up FROM b GROUP BY 1")
