@@ -74,6 +74,12 @@ def beat_complete(df: DataFrame, *, fpb: int = 50) -> DataFrame:
     return tidy(g, "beat_complete", F.col("n"), fpb, ok, F.col("beat_id"))
 
 
+def reference_present(df: DataFrame, *, by: str, order: str, k: int = 0) -> DataFrame:
+    """WN3: each recording has its reference frame k; where it has none, referenced components are null."""
+    g = df.groupBy(by).agg(F.count_if(F.col(order) == k).alias("n"))
+    return tidy(g, "reference_present", F.col("n"), 1, F.col("n") == 1, F.col(by))
+
+
 def stored_in_order(df: DataFrame, *, position: str) -> DataFrame:
     """VA9: along the stored position, samples rise by one inside each beat."""
     w = Window.partitionBy("beat_id").orderBy(position)

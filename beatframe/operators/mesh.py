@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beatframe.functions.arrays import quantile
-from beatframe.operators.rings import apply_sparse, images  # noqa: F401
+from beatframe.operators.rings import MAX_BYTES, apply_sparse, images  # noqa: F401
 
 
 def zero_based(coo: DataFrame) -> DataFrame:
@@ -328,7 +328,10 @@ def propagate(edges: DataFrame, features: DataFrame, frame: str) -> DataFrame:
 
 
 def mesh_points(positions: DataFrame) -> DataFrame:
-    """One row: _points, the elements of one mesh in the order of elem_id."""
+    """One row: _points, the elements of one mesh in the order of elem_id. It goes to every task, so a mesh above rings.MAX_BYTES is refused (a ring's has about 1,500 elements)."""
+    most = MAX_BYTES // 24
+    if positions.limit(most + 1).count() > most:
+        raise ValueError(f"a mesh of more than {most} elements is too large to send to every task")
     return positions.agg(F.array_sort(F.collect_list(F.struct("elem_id", "x", "y"))).alias("_points"))
 
 

@@ -95,10 +95,10 @@ def support_metrics(df: DataFrame, by: list[str], pred: str = "pred", truth: str
     return g.select(*by, part("_s", "_n").alias("sign_accuracy"), F.sqrt(part("_b", "_m")).alias("background_rms"), part("_v", "_n").alias("support_mean"))
 
 
-def dynamics(df: DataFrame, *, order: str, pred: str = "pred", truth: str = "truth") -> DataFrame:
-    """ME8: RMS of steps between following frames of the pack, and their ratio; by self-join on order + 1."""
-    after = df.select((F.col(order) - 1).alias(order), F.col(pred).alias("_p"), F.col(truth).alias("_t"))
-    j = df.join(after, order)
+def dynamics(df: DataFrame, *, order: str, pred: str = "pred", truth: str = "truth", scope: list[str] | None = None) -> DataFrame:
+    """ME8: RMS of steps between following frames of the pack, and their ratio; by self-join on order + 1. With scope, frames of the same scope alone (columns, such as a beat's)."""
+    after = df.select(*(scope or []), (F.col(order) - 1).alias(order), F.col(pred).alias("_p"), F.col(truth).alias("_t"))
+    j = df.join(after, [*(scope or []), order])
     sq = lambda a, b: F.sum(sum_of_two(a, b, lambda x, y: (y - x) * (y - x)))
     g = j.agg(sq(pred, "_p").alias("p"), sq(truth, "_t").alias("t"), F.sum(F.size(pred)).alias("n"))
     p, t = F.sqrt(F.col("p") / F.col("n")), F.greatest(F.sqrt(F.col("t") / F.col("n")), F.lit(TINY))
@@ -168,7 +168,9 @@ def object_metrics(df: DataFrame, by: list[str], positions: DataFrame, *, muscle
     prediction's RMS outside both, and the median ratio of absolute masses. positions (elem_id, x, y) are one
     mesh's. Frames without a core have no Dice; where nothing is measured, zero.
     """
-    points = positions.agg(F.array_sort(F.collect_list(F.struct("elem_id", "x", "y"))).alias("_points"))  # one mesh, one row
+    from beatframe.operators.mesh import mesh_points
+
+    points = mesh_points(positions)
 
     def holds(p, v):
         dx, dy = p["x"] - v["x"], p["y"] - v["y"]

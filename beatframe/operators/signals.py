@@ -56,10 +56,10 @@ def decompose_and_retain(df: DataFrame, column: str = "x", *, by: list[str], ord
     return d.select(*by, (F.col(order) - pad).alias(order), parts.alias("p")).select(*by, order, "p.component", "p.value")
 
 
-def frame_steps(df: DataFrame, column: str, *, order: str) -> DataFrame:
-    """Squared step to the next frame of the pack, across beats and anatomies; a self-join, as one window over all rows would go through one task."""
-    after = df.select((F.col(order) - 1).alias(order), F.col(column).alias("after"))
-    return df.join(after, order).withColumn("step2", F.pow(F.col("after") - F.col(column), 2)).drop("after")
+def frame_steps(df: DataFrame, column: str, *, order: str, scope: list[str] | None = None) -> DataFrame:
+    """Squared step to the next frame of the pack, across beats and anatomies; with scope (columns, such as a beat's), to the next frame of the same scope alone. A self-join, as one window over all rows would go through one task."""
+    after = df.select(*(scope or []), (F.col(order) - 1).alias(order), F.col(column).alias("after"))
+    return df.join(after, [*(scope or []), order]).withColumn("step2", F.pow(F.col("after") - F.col(column), 2)).drop("after")
 
 
 def delta_to_first(df: DataFrame, column: str, *, order: str) -> DataFrame:

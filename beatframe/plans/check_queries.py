@@ -80,6 +80,11 @@ def _(t):
     return C.first_frame_zero(d, "lp", order="frame_no")
 
 
+@query("va10_reference_present", check_sql("reference_present", "(SELECT anatomy_id, sum(CAST(frame_no = 5 AS INTEGER)) AS n FROM frames GROUP BY 1)", "n", 1, "n = 1", "anatomy_id", f"WITH {FRAMES}"))
+def _(t):
+    return C.reference_present(t.frames(), by="anatomy_id", order="frame_no", k=5)
+
+
 @query("va11_constant_within", bad_sql("constant_within", "len(list_filter(range(1, 65), lambda i: NOT abs(v[i] - f[i]) <= 1e-8 + 1e-5 * abs(f[i]))) > 0", "w", f"WITH {VECTORS}, w AS (SELECT anatomy_id, v, first_value(v) OVER (PARTITION BY anatomy_id ORDER BY frame_no) AS f FROM vectors)", "anatomy_id"))
 def _(t):
     return C.constant_within(t.vectors(), "v", by="anatomy_id", order="frame_no")

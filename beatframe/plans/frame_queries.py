@@ -156,6 +156,12 @@ def _(t):
     return d.agg(r6(F.sqrt(F.avg("step2"))).alias("step_rms"), F.count("*").alias("n"))
 
 
+@query("wn9_beat_steps", f"WITH {FRAMES} SELECT a.anatomy_id, round(sqrt(avg(pow(b.x - a.x, 2))), 6) AS step_rms, count(*) AS n FROM frames a JOIN frames b ON b.beat_id = a.beat_id AND b.frame_no = a.frame_no + 1 GROUP BY 1")
+def _(t):
+    d = G.frame_steps(t.frames(), "x", order="frame_no", scope=["beat_id"])
+    return d.groupBy("anatomy_id").agg(r6(F.sqrt(F.avg("step2"))).alias("step_rms"), F.count("*").alias("n"))
+
+
 @query("wn10_delta_to_first", "SELECT event_id, round(value - (SELECT value FROM events ORDER BY event_id LIMIT 1), 6) AS delta FROM events")
 def _(t):
     return G.delta_to_first(t("events").select("event_id", "value"), "value", order="event_id").select("event_id", r6("delta").alias("delta"))

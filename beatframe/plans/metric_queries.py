@@ -96,6 +96,11 @@ def _(t):
     return rounded(M.dynamics(t.pairs(), order="key"))
 
 
+@query("me8_dynamics_in_anatomy", f"WITH {PAIRS}, j AS (SELECT a.p AS p0, b.p AS p1, a.t AS t0, b.t AS t1 FROM el a JOIN el b ON b.key = a.key + 1 AND a.i = b.i AND a.anatomy_id = b.anatomy_id) SELECT round(sqrt(avg(pow(p1 - p0, 2))), 6) AS frame_difference_rms, round(sqrt(avg(pow(t1 - t0, 2))), 6) AS truth_frame_difference_rms, round(sqrt(avg(pow(p1 - p0, 2))) / sqrt(avg(pow(t1 - t0, 2))), 6) AS frame_difference_rms_ratio FROM j")
+def _(t):
+    return rounded(M.dynamics(t.pairs(), order="key", scope=["anatomy_id"]))
+
+
 @query("me9_dynamic_set", f"""WITH {PAIRS}, z AS (SELECT anatomy_id, i, arg_min(p, key) AS p0, arg_min(t, key) AS t0 FROM el GROUP BY 1, 2), w AS (SELECT el.*, p0, t0 FROM el JOIN z USING (anatomy_id, i)),
 a AS (SELECT anatomy_id, CAST(sum(CAST(p <= 0 AS INTEGER)) AS BIGINT) AS nonpositive, round(sqrt(avg(pow(p - t, 2))), 6) AS absolute_rmse, round({CORR}, 6) AS absolute_correlation FROM w GROUP BY 1),
 b AS (SELECT anatomy_id, round(sqrt(avg(pow(p - t, 2))), 6) AS dynamic_rmse, round(sqrt(avg(pow(p - t, 2))) / sqrt(avg(t * t)), 6) AS dynamic_nrmse, round({CORR}, 6) AS dynamic_correlation, round(sqrt(avg(p * p)) / sqrt(avg(t * t)), 6) AS dynamic_rms_ratio FROM (SELECT anatomy_id, p - r AS p, t - r AS t FROM w) GROUP BY 1),

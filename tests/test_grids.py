@@ -64,3 +64,23 @@ def test_fingerprint_of_rows_in_any_order(spark):
     assert of(d.filter("false")).rows == 0
     plan = io.value_fingerprint(d, ["k"], ["a"])._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_a_mesh_too_large_to_send_is_refused(spark, monkeypatch):
+    import pytest
+
+    from beatframe.operators import mesh
+
+    positions = spark.range(20).select(F.col("id").alias("elem_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    assert mesh.mesh_points(positions).count() == 1
+    monkeypatch.setattr(mesh, "MAX_BYTES", 240)
+    with pytest.raises(ValueError):
+        mesh.mesh_points(positions)
+
+
+def test_shares_of_a_stage_that_is_absent_are_null(spark):
+    from beatframe.operators import rollup
+
+    d = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [1.0, 1.0])], "stage string, v array<double>")
+    assert [(r.stage, r.share) for r in rollup.activation(d, "v", "stage", reference="none").orderBy("stage").collect()] == [("a", None), ("b", None)]
+    assert rollup.activation(d, "v", "stage", reference="a").filter("stage = 'a' and share = 1").count() == 1
