@@ -66,8 +66,13 @@ def metric_table(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 def aggregate_metrics(df: DataFrame, keys: list[str], metrics: list[str], *, unit: str, units: int) -> DataFrame:
     """AG7: mean, sample deviation, median, min and max of each metric; complete says whether all units are there."""
     long, by = metric_table(df, [*keys, unit], metrics), [*keys, "metric"]
-    of = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), (F.countDistinct(unit) == units).alias("complete")]
-    return summarised(long, by, of, {"median": ("value", 0.5)}).select(*by, "mean", "std", "median", "min", "max", "complete")
+    of = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")]
+    # apart, as beside a distinct count there would be a sketch for each unit
+    seen = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg((F.countDistinct(unit) == units).alias("complete"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return summarised(long, by, of, {"median": ("value", 0.5)}).join(seen, on).select(*by, "mean", "std", "median", "min", "max", "complete")
 
 
 def deltas(df: DataFrame, keys: list[str], *, version: str, value: str, baseline: str) -> DataFrame:
