@@ -233,7 +233,7 @@ def beats(t):
 
 
 def shown(d, key):
-    return d.select(key, F.round(A.norm("template"), 5).alias("norm"), F.round(weighted("template"), 4).alias("weighted"))
+    return d.select(key, F.round(A.norm("template"), 5).alias("norm"), weighted("template").alias("weighted"))
 
 
 def leading_sql(name, rows):
@@ -253,12 +253,12 @@ BEAT_ID = "anatomy_id * 1000 + frame_no // 10"
 PEAK = {"positive": "max(s * u)", "absolute": "arg_max(s * u, (round(abs(u), 12), -f))", "row": "arg_max(s * u, (round(abs(u), 12), -f))"}
 
 for _name, _mode in (("wn14_beat_templates", "positive"), ("wn15_templates_absolute", "absolute"), ("wn15_templates_row", "row")):
-    query(_name, f"WITH RECURSIVE {VECTORS}, {template_sql(BEAT_ID, PEAK[_mode])} SELECT g AS beat_id, round(sqrt(sum(x * x)), 5) AS norm, round(round(sum(x * i), 5), 4) AS weighted FROM te GROUP BY 1")(
+    query(_name, f"WITH RECURSIVE {VECTORS}, {template_sql(BEAT_ID, PEAK[_mode])} SELECT g AS beat_id, round(sqrt(sum(x * x)), 5) AS norm, round(sum(x * i), 5) AS weighted FROM te GROUP BY 1")(
         lambda t, mode=_mode: shown(T.beat_templates(beats(t), "v", by=["beat_id"], order="frame_no", mode=mode), "beat_id")
     )
 
 
-@query("wn16_group_templates", f"WITH RECURSIVE {VECTORS}, {template_sql(BEAT_ID, PEAK['positive'])}, sz AS (SELECT g, sqrt(sum(x * x)) AS n FROM te GROUP BY 1), un AS (SELECT te.g // 1000 AS g, dense_rank() OVER (PARTITION BY te.g // 1000 ORDER BY te.g) AS f, i, x / greatest(n, 1e-12) AS x FROM te JOIN sz USING (g)), {leading_sql('lu', 'un')}, gw AS (SELECT g, i, sum(x * u) AS w, sum(x) AS t FROM un JOIN lu_u USING (g, f) GROUP BY 1, 2), gs AS (SELECT g, CASE WHEN sum(w * t) >= 0 THEN 1 ELSE -1 END / sqrt(sum(w * w)) AS s FROM gw GROUP BY 1), gm AS (SELECT g // 1000 AS g, quantile_cont(n, 0.5) AS m FROM sz GROUP BY 1) SELECT g AS anatomy_id, round(sqrt(sum(pow(w * s * m, 2))), 5) AS norm, round(round(sum(w * s * m * i), 5), 4) AS weighted FROM gw JOIN gs USING (g) JOIN gm USING (g) GROUP BY 1")
+@query("wn16_group_templates", f"WITH RECURSIVE {VECTORS}, {template_sql(BEAT_ID, PEAK['positive'])}, sz AS (SELECT g, sqrt(sum(x * x)) AS n FROM te GROUP BY 1), un AS (SELECT te.g // 1000 AS g, dense_rank() OVER (PARTITION BY te.g // 1000 ORDER BY te.g) AS f, i, x / greatest(n, 1e-12) AS x FROM te JOIN sz USING (g)), {leading_sql('lu', 'un')}, gw AS (SELECT g, i, sum(x * u) AS w, sum(x) AS t FROM un JOIN lu_u USING (g, f) GROUP BY 1, 2), gs AS (SELECT g, CASE WHEN sum(w * t) >= 0 THEN 1 ELSE -1 END / sqrt(sum(w * w)) AS s FROM gw GROUP BY 1), gm AS (SELECT g // 1000 AS g, quantile_cont(n, 0.5) AS m FROM sz GROUP BY 1) SELECT g AS anatomy_id, round(sqrt(sum(pow(w * s * m, 2))), 5) AS norm, round(sum(w * s * m * i), 5) AS weighted FROM gw JOIN gs USING (g) JOIN gm USING (g) GROUP BY 1")
 def _(t):
     b = T.beat_templates(beats(t), "v", by=["anatomy_id", "beat_id"], order="frame_no")
     return shown(T.group_templates(b, "anatomy_id"), "anatomy_id")
