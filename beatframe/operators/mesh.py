@@ -41,11 +41,15 @@ def gram(coo: DataFrame) -> DataFrame:
 
 
 def adjacency(elements: DataFrame, *, shared: int = 1) -> DataFrame:
-    """MG5: pairs of elements with at least one node in common (shared 1) or exactly two (2), both ways."""
-    n = elements.select("elem_id", F.explode(F.array("n0", "n1", "n2")).alias("node"))
-    pairs = n.select(F.col("elem_id").alias("src"), "node").join(n.select(F.col("elem_id").alias("dst"), "node"), "node").filter("src <> dst")
-    g = pairs.groupBy("src", "dst").agg(F.countDistinct("node").alias("k"))
-    return g.filter(F.col("k") >= 1 if shared == 1 else F.col("k") == shared).select("src", "dst")
+    """MG5: pairs of elements with at least one node in common (shared 1) or exactly two (2), both ways.
+
+    A pair is taken at the least node that it shares, so pairs are not grouped. Joins are merges, as exploded tables are larger than their files tell.
+    """
+    nodes = elements.select("elem_id", F.explode(F.array("n0", "n1", "n2")).alias("node")).groupBy("elem_id").agg(F.collect_set("node").alias("nodes"))
+    a = nodes.select(F.col("elem_id").alias("src"), F.col("nodes").alias("a"), F.explode("nodes").alias("node"))
+    b = nodes.select(F.col("elem_id").alias("dst"), F.col("nodes").alias("b"), F.explode("nodes").alias("node"))
+    pairs = a.join(b.hint("merge"), "node").filter("src <> dst").withColumn("k", F.array_intersect("a", "b")).filter(F.col("node") == F.array_min("k"))
+    return pairs.filter(F.size("k") >= 1 if shared == 1 else F.size("k") == shared).select("src", "dst")
 
 
 def geometry(nodes: DataFrame, elements: DataFrame) -> DataFrame:
