@@ -322,12 +322,12 @@ def grid_components(cells: DataFrame, by: str, *, keep: int = 2) -> DataFrame:
 
 
 def propagate(edges: DataFrame, features: DataFrame, frame: str) -> DataFrame:
-    """MG20: D^-1/2 (A + I) D^-1/2 x for features (frame, node, x)."""
+    """MG20: D^-1/2 (A + I) D^-1/2 x for features (frame, node, x). Edges are dealt out by dst once; joins are merges, so nothing of the graph's size is broadcast."""
     loops = features.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct()
-    e = edges.select("src", "dst").unionByName(loops).distinct()
+    e = edges.select("src", "dst").unionByName(loops).repartition("dst").distinct()
     degree = e.groupBy("dst").agg(F.count("*").alias("d"))
-    e = e.join(degree, "dst").join(degree.select(F.col("dst").alias("src"), F.col("d").alias("ds")), "src")
-    j = e.join(features.withColumnRenamed("node", "src"), "src")
+    x = features.withColumnRenamed("node", "src").join(degree.select(F.col("dst").alias("src"), F.col("d").alias("ds")).hint("merge"), "src")
+    j = e.join(degree.hint("merge"), "dst").join(x.hint("merge"), "src")
     return j.groupBy(frame, "dst").agg(F.sum(F.col("x") / F.sqrt(F.col("d") * F.col("ds"))).alias("y")).withColumnRenamed("dst", "node")
 
 

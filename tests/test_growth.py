@@ -22,3 +22,17 @@ def test_adjacency_is_neither_broadcast_nor_grouped_by_pairs(spark, shared):
     want = [p for a, b in combinations(of, 2) for p in ((a, b), (b, a)) if (len(of[a] & of[b]) >= 1 if shared == 1 else len(of[a] & of[b]) == 2)]
     assert sorted((r.src, r.dst) for r in d.collect()) == sorted(want)
     assert "Broadcast" not in planned(d) and "keys=[src" not in planned(d)
+
+
+def test_propagation_broadcasts_nothing_of_the_graph(spark):
+    import math
+
+    edges, x = [(1, 2), (2, 1), (2, 3), (3, 2), (3, 2)], {(0, 1): 2.0, (0, 2): 3.0, (0, 3): 5.0, (1, 1): 1.0, (1, 2): 0.0, (1, 3): 4.0}
+    d = mesh.propagate(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(f, n, v) for (f, n), v in x.items()], "frame long, node long, x double"), "frame")
+    linked = set(edges) | {(n, n) for n in (1, 2, 3)}
+    degree = {n: sum(t == n for _, t in linked) for n in (1, 2, 3)}
+    got = {(r.frame, r.node): r.y for r in d.collect()}
+    assert got == pytest.approx({(f, n): sum(x[f, s] / math.sqrt(degree[s] * degree[n]) for s, t in linked if t == n) for f, n in x})
+    small = spark.range(50).select((F.col("id") % 7).alias("src"), (F.col("id") % 5).alias("dst"))
+    features = spark.range(7).select(F.col("id").alias("node"), F.explode(F.array(F.lit(0), F.lit(1))).alias("frame"), F.lit(1.0).alias("x"))
+    assert "Broadcast" not in planned(mesh.propagate(small, features, "frame"))
