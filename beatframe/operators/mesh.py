@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beatframe.functions.arrays import quantile
+from beatframe.functions.tables import stored
 from beatframe.operators.rings import MAX_BYTES, apply_sparse, images  # noqa: F401
 
 
@@ -56,7 +57,7 @@ def geometry(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     """MG9: area, bounding box and centroid of each element."""
     e = elements
     for i in range(3):
-        e = e.join(nodes.select(F.col("node_id").alias(f"n{i}"), F.col("x").alias(f"x_{i}"), F.col("y").alias(f"y_{i}")), f"n{i}")
+        e = e.join(nodes.select(F.col("node_id").alias(f"n{i}"), F.col("x").alias(f"x_{i}"), F.col("y").alias(f"y_{i}")).hint("merge"), f"n{i}")
     c = F.col
     area = F.abs((c("x_1") - c("x_0")) * (c("y_2") - c("y_0")) - (c("x_2") - c("x_0")) * (c("y_1") - c("y_0"))) / 2
     xs, ys = [f"x_{i}" for i in range(3)], [f"y_{i}" for i in range(3)]
@@ -185,48 +186,74 @@ def vessel_centres(vessels: DataFrame, frame: str) -> DataFrame:
     return vessels.groupBy(frame).agg(F.transform(c, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("centres"))
 
 
-def slot_masks(positions: DataFrame, slots: DataFrame, frame: str, *, temperature: float = 0.05, diffusion: bool = False) -> DataFrame:
-    """MG16: frame, conductivity, cores and, with diffusion, halos: smooth ellipses of a frame's few slots (slot, center_x, center_y, radius_x, radius_y, angle, amplitude) over a mesh's elements.
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with i, their place from 0 in the order of a column: a sorted table is written in parts, and only the parts' sizes are collected."""
+    d = stored(rows.orderBy(order).withColumn("_n", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_n", 33).alias("_part"), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, []
+    for r in d.groupBy(part).agg(F.count("*").alias("k")).orderBy("_part").collect():
+        starts.append((r["_part"], before))
+        before += r["k"]
+    begin = rows.sparkSession.createDataFrame(starts, "_part long, _begin long")
+    return d.select("*", part).join(F.broadcast(begin), "_part").withColumn("i", F.col("_begin") + at).drop("_n", "_part", "_begin")
+
+
+BLOCK, SLOTS = 8192, 256  # elements, and slots, about, of a task's group
+
+
+def slot_masks(positions: DataFrame, slots: DataFrame, frame: str, *, temperature: float = 0.05, diffusion: bool = False, parts: bool = True) -> DataFrame:
+    """MG16: frame, first, conductivity and, with parts, cores and (with diffusion) halos: smooth ellipses of a frame's slots (slot, center_x, center_y, radius_x, radius_y, angle, amplitude) over a mesh's elements.
 
     A core is sigmoid((1 - r2) / temperature). A halo is a Gaussian of the distance from the wall in units of
     the slot's diffusion_length, outside the core and gated by the element's gate (0 to 1); diffusion_fraction
-    of the amplitude goes there. Vectors are in the order of elem_id, as every frame has a value on every
-    element; positions (elem_id, x, y, and gate) are one mesh's and go to every task, within a limit.
+    of the amplitude goes there. Every frame has a value on every element of the mesh (elem_id, x, y, and gate): vectors are
+    in the order of elem_id, in blocks, of which `first` is the first element's place from 0. cores and halos have
+    one vector for each slot. Without parts, equal ellipses of a frame are computed once, with the sum of their amplitudes.
     """
-    from beatframe.operators.linear import MAX_MATRIX
-
-    n = positions.count()
-    if n > MAX_MATRIX // 100:
-        raise ValueError(f"{n} elements are too many for one mesh")
-    mesh = positions.select("elem_id", "x", "y", *(["gate"] if diffusion else [])).orderBy("elem_id").toPandas()
-    x, y = mesh["x"].to_numpy(np.float64), mesh["y"].to_numpy(np.float64)
-    gate = np.clip(mesh["gate"].to_numpy(np.float64), 0, 1) if diffusion else None
     names = ["center_x", "center_y", "radius_x", "radius_y", "angle", "amplitude", *(["diffusion_fraction", "diffusion_length"] if diffusion else [])]
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("slot", F.array(*[F.col(c).cast("double") for c in names]).alias("p")))), lambda s: s["p"])
-    s = slots.groupBy(frame).agg(packed.alias("_s"))
-    out = ["conductivity", "cores", *(["halos"] if diffusion else [])]
-
-    def run(batches):
-        for b in batches:
-            lists: list[list] = [[] for _ in out]
-            for p in b.column(1).to_pylist():
-                p = np.array(p).reshape(-1, len(names))
-                dx, dy = x[None] - p[:, 0, None], y[None] - p[:, 1, None]
-                c, sn = np.cos(p[:, 4, None]), np.sin(p[:, 4, None])
-                a, bb = np.maximum(p[:, 2, None], 1e-4), np.maximum(p[:, 3, None], 1e-4)
-                r2 = ((c * dx + sn * dy) / a) ** 2 + ((c * dy - sn * dx) / bb) ** 2 + (1e-12 if diffusion else 0)
-                core = 1 / (1 + np.exp(np.minimum((r2 - 1) / temperature, 700)))
-                total = core
+    s = slots.select(frame, "slot", *[F.col(c).cast("double").alias(c) for c in names])
+    if not parts:
+        s = s.groupBy(frame, *[c for c in names if c != "amplitude"]).agg(F.sum("amplitude").alias("amplitude")).select(frame, F.lit(0).alias("slot"), *names)
+    s = stored(s)
+    mesh = numbered(positions.select("elem_id", "x", "y", (F.col("gate") if diffusion else F.lit(1.0)).alias("gate")), "elem_id")
+    blocks, shares = -(-mesh.count() // BLOCK), max(1, -(-s.count() // SLOTS))
+    key = lambda block, share: (block * shares + share).cast("long").alias("_k")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
+    left = mesh.select("i", "x", "y", "gate", F.floor(F.col("i") / BLOCK).alias("_b"), each(shares).alias("_s")).select(key(F.col("_b"), F.col("_s")), "i", "x", "y", "gate")
+    right = s.select("*", each(blocks).alias("_b")).select(key(F.col("_b"), F.pmod(F.xxhash64(frame), F.lit(shares))), frame, "slot", *names)
+    kind = dict(slots.dtypes)[frame]
+    out = ["conductivity", *(["cores", *(["halos"] if diffusion else [])] if parts else [])]
+    one, many = pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64()))
+
+    def run(e: pa.Table, t: pa.Table) -> pa.Table:
+        e, t = e.sort_by("i"), t.sort_by([(frame, "ascending"), ("slot", "ascending")])
+        x, y, gate = (e[c].to_numpy() for c in ("x", "y", "gate"))
+        gate = np.clip(gate, 0, 1)
+        p = np.stack([t[c].to_numpy() for c in names], axis=1)
+        code = np.asarray(t[frame].combine_chunks().dictionary_encode("encode").indices)
+        starts = np.flatnonzero(np.diff(code, prepend=-1)) if len(x) else np.zeros(0, np.int64)
+        lists: list[list] = [[] for _ in out]
+        for begin, end in zip(starts, [*starts[1:], len(p)], strict=False):
+            total, cores, halos = np.zeros(len(x)), [], []
+            for at in range(begin, end):
+                cx, cy, rx, ry, angle, amplitude = p[at, :6]
+                dx, dy, c, sn, a, b = x - cx, y - cy, np.cos(angle), np.sin(angle), max(rx, 1e-4), max(ry, 1e-4)
+                r2 = ((c * dx + sn * dy) / a) ** 2 + ((c * dy - sn * dx) / b) ** 2 + (1e-12 if diffusion else 0)
+                value = core = 1 / (1 + np.exp(np.minimum((r2 - 1) / temperature, 700)))
                 if diffusion:
-                    wall = np.maximum(np.sqrt(r2) - 1, 0) * np.sqrt(a * bb)
-                    halo = (1 - core) * np.exp(-0.5 * (wall / np.maximum(p[:, 7, None], 1e-4)) ** 2) * gate[None]
-                    total = core + p[:, 6, None] * halo
-                    lists[2].append(halo.tolist())
-                lists[0].append((p[:, 5, None] * total).sum(axis=0))
-                lists[1].append(core.tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists[0], pa.list_(pa.float64())), *[pa.array(v, pa.list_(pa.list_(pa.float64()))) for v in lists[1:]]], names=[frame, *out])
-
-    return s.mapInArrow(run, ", ".join([f"{frame} {dict(slots.dtypes)[frame]}", "conductivity array<double>", *[f"{c} array<array<double>>" for c in out[1:]]]))
+                    wall = np.maximum(np.sqrt(r2) - 1, 0) * np.sqrt(a * b)
+                    halo = (1 - core) * np.exp(-0.5 * (wall / max(p[at, 7], 1e-4)) ** 2) * gate
+                    value = core + p[at, 6] * halo
+                    halos += [halo] if parts else []
+                total += amplitude * value
+                cores += [core] if parts else []
+            for held, v in zip(lists, (total, cores, halos), strict=False):
+                held.append(v)
+        columns = [t[frame].take(pa.array(starts)), pa.array(np.full(len(starts), e["i"][0].as_py() if len(x) else 0)), pa.array(lists[0], one), *[pa.array(v, many) for v in lists[1:]]]
+        return pa.table(columns, names=[frame, "first", *out])
+
+    schema = ", ".join([f"{frame} {kind}, first long, conductivity array<double>", *[f"{c} array<array<double>>" for c in out[1:]]])
+    return left.groupBy("_k").cogroup(right.groupBy("_k")).applyInArrow(run, schema)
 
 
 def vessel_parameters(records: DataFrame, *, rotation: str, scale: float, diffusion: bool = False) -> DataFrame:

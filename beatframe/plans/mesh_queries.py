@@ -379,18 +379,18 @@ def _(t):
 
 
 def masks_shown(d):
-    return d.select("frame", F.posexplode("conductivity").alias("i", "conductivity")).select("frame", F.col("i").cast("long").alias("i"), r6("conductivity").alias("conductivity"))
+    return d.select("frame", "first", F.posexplode("conductivity").alias("i", "conductivity")).select("frame", (F.col("first") + F.col("i")).alias("i"), r6("conductivity").alias("conductivity"))
 
 
 @query("mg16_slot_masks", f"WITH {POS} SELECT frame, i, round(sum(0.5 / (1 + exp(least((({R2_AT}) - 1) / 0.05, 700)))), 6) AS conductivity FROM ps, es GROUP BY 1, 2")
 def _(t):
-    return masks_shown(M.slot_masks(M.element_positions(nodes(t), elements(t)), ellipses(t), "frame"))
+    return masks_shown(M.slot_masks(M.element_positions(nodes(t), elements(t)), ellipses(t), "frame", parts=False))
 
 
 @query("mg16_diffusion_masks", f"WITH {POS}, q AS (SELECT frame, i, elem_id, sqrt({R2_AT} + 1e-12) AS r FROM ps, es), c AS (SELECT *, 1 / (1 + exp(least((r * r - 1) / 0.05, 700))) AS core FROM q) SELECT frame, i, round(sum(0.5 * (core + 0.4 * (1 - core) * exp(-0.5 * pow(greatest(r - 1, 0) * sqrt(0.2 * 0.1) / 0.05, 2)) * CAST(elem_id % 2 = 0 AS INTEGER))), 6) AS conductivity FROM c GROUP BY 1, 2")
 def _(t):
     p = M.element_positions(nodes(t), elements(t)).withColumn("gate", (F.col("elem_id") % 2 == 0).cast("double"))
-    return masks_shown(M.slot_masks(p, ellipses(t), "frame", diffusion=True))
+    return masks_shown(M.slot_masks(p, ellipses(t), "frame", diffusion=True, parts=False))
 
 
 @query("mg17_vessel_parameters", "WITH v AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 6)::DOUBLE AS rot, (l_partkey % 10) / 10.0 AS cx, (l_suppkey % 10) / 10.0 AS cy, (l_linenumber + 2)::DOUBLE AS angle, CAST(l_quantity AS DOUBLE) AS a FROM lineitem) SELECT l_orderkey, l_linenumber, false AS two, round(cx * cos(rot) - cy * sin(rot), 6) + 0.0 AS x, round(cx * sin(rot) + cy * cos(rot), 6) + 0.0 AS y, 0.3::DOUBLE AS axis_a, 0.2::DOUBLE AS axis_b, round(angle + rot - 2 * pi() * floor((angle + rot + pi()) / (2 * pi())), 6) AS angle, a / 50 AS amplitude, 0.25::DOUBLE AS diffusion_fraction, round(2.5 * sqrt(0.3 * 0.2) / (sqrt((l_linenumber + 1) * 2.0) * 0.8), 6) AS diffusion_length FROM v")

@@ -2,6 +2,7 @@
 
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +37,36 @@ def test_propagation_broadcasts_nothing_of_the_graph(spark):
     small = spark.range(50).select((F.col("id") % 7).alias("src"), (F.col("id") % 5).alias("dst"))
     features = spark.range(7).select(F.col("id").alias("node"), F.explode(F.array(F.lit(0), F.lit(1))).alias("frame"), F.lit(1.0).alias("x"))
     assert "Broadcast" not in planned(mesh.propagate(small, features, "frame"))
+
+
+def test_masks_of_a_mesh_of_any_size(spark):
+    n = 90_000  # more than one task is sent
+    mesh_of = spark.range(n).select((F.col("id") * 3).alias("elem_id"), (F.col("id") % 300 / 150 - 1).alias("x"), (F.floor(F.col("id") / 300) / 150 - 1).alias("y"), (F.col("id") % 2).cast("double").alias("gate"))
+    rows = [(7, 0, 0.1, 0.2, 0.5, 0.3, 0.4, 2.0, 0.3, 0.1), (7, 1, -0.4, 0.0, 0.2, 0.2, 0.0, 1.0, 0.3, 0.2), (7, 2, 0.1, 0.2, 0.5, 0.3, 0.4, 0.5, 0.3, 0.1), (8, 0, 0.0, 0.0, 0.2, 0.1, 1.0, 1.0, 0.0, 0.1)]
+    names = "frame long, slot long, center_x double, center_y double, radius_x double, radius_y double, angle double, amplitude double, diffusion_fraction double, diffusion_length double"
+    slots = spark.createDataFrame(rows, names)
+    i = np.arange(n)
+    x, y, gate = i % 300 / 150 - 1, i // 300 / 150 - 1, (i % 2).astype(float)
+
+    def expected(diffusion):
+        out = {7: [], 8: []}
+        for f, _, cx, cy, rx, ry, angle, amplitude, fraction, length in rows:
+            u, v = (x - cx) * np.cos(angle) + (y - cy) * np.sin(angle), (y - cy) * np.cos(angle) - (x - cx) * np.sin(angle)
+            r2 = (u / rx) ** 2 + (v / ry) ** 2 + (1e-12 if diffusion else 0)
+            core = 1 / (1 + np.exp(np.minimum((r2 - 1) / 0.05, 700)))
+            halo = (1 - core) * np.exp(-0.5 * (np.maximum(np.sqrt(r2) - 1, 0) * np.sqrt(rx * ry) / length) ** 2) * gate if diffusion else 0 * core
+            out[f].append((core, halo, amplitude * (core + fraction * halo)))
+        return out
+
+    for diffusion in (False, True):
+        want = expected(diffusion)
+        for parts in (False, True):
+            found = mesh.slot_masks(mesh_of, slots, "frame", diffusion=diffusion, parts=parts).orderBy("frame", "first").collect()
+            for f in (7, 8):
+                mine = [r for r in found if r.frame == f]
+                assert [r.first for r in mine] == list(range(0, n, mesh.BLOCK))
+                np.testing.assert_allclose(np.concatenate([r.conductivity for r in mine]), sum(w[2] for w in want[f]), atol=1e-12)
+                if parts:
+                    np.testing.assert_allclose(np.concatenate([r.cores for r in mine], axis=1), [w[0] for w in want[f]], atol=1e-12)
+                if parts and diffusion:
+                    np.testing.assert_allclose(np.concatenate([r.halos for r in mine], axis=1), [w[1] for w in want[f]], atol=1e-12)
