@@ -144,6 +144,11 @@ def levels_of(*tables: DataFrame) -> list[int]:
     return sorted(r["_own"] for r in some.distinct().collect() if r["_own"] is not None)
 
 
+def meeting(own: list[int], others: list[int]) -> list[int]:
+    """The levels at which boxes of own levels can meet boxes of others: none that lies below all of the others."""
+    return sorted({*others, *(x for x in own if others and x >= min(others))})
+
+
 def entered(df: DataFrame, known: list[int], x0: str, x1: str, y0: str, y1: str, *, cell: float, own_only: bool) -> DataFrame:
     """df with _lv, _cx, _cy: the cells in which an object enters at its own level, or at each known level from its own on; four at most of each level."""
     at = F.array("_own") if own_only else F.filter(F.array(*[F.lit(x) for x in known]).cast("array<int>"), lambda x: x >= F.col("_own"))
@@ -151,27 +156,53 @@ def entered(df: DataFrame, known: list[int], x0: str, x1: str, y0: str, y1: str,
     return d.withColumn("_cx", cells(F.col(x0), F.col(x1), F.col("_size"))).withColumn("_cy", cells(F.col(y0), F.col(y1), F.col("_size")))
 
 
-def box_overlap(a: DataFrame, b: DataFrame, *, cell: float) -> DataFrame:
+GATHERED = 1000  # rows in one list, about
+
+
+def gathered(df: DataFrame, shape: list[str]) -> DataFrame:
+    """shape columns and _rows, lists of the other columns of the rows that share them; an often repeated shape has several lists."""
+    w = F.count("*").over(Window.partitionBy(*shape))
+    d = df.withColumn("_chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(w / GATHERED)))
+    rest = [c for c in df.columns if c not in shape]
+    return d.groupBy(*shape, "_chunk").agg(F.collect_list(F.struct(*(rest or [F.lit(0).alias("_none")]))).alias("_rows")).drop("_chunk")
+
+
+def box_overlap(a: DataFrame, b: DataFrame, *, cell: float, repeats: bool = False) -> DataFrame:
     """JN9: pairs of boxes (x0, x1, y0, y1) that overlap with positive area, by shared cells of a hierarchy of grids instead of all pairs.
 
-    A box lies in four cells at most of the level of its size, however large it is, and in as many of each coarser level that occurs.
+    A box lies in four cells at most of the level of its size, however large it is, and in as many of each coarser level at which it can meet another.
     A pair meets at the level of the larger box, and is taken in the cell of its overlap's lower corner. Columns of
-    b get b_ in front. Boxes with a null side overlap nothing.
+    b get b_ in front. Boxes with a null side overlap nothing. With repeats, equal boxes are joined once, and all pairs of their rows are made from lists.
     """
+    sides = ["x0", "x1", "y0", "y1"]
+    if repeats:
+        j = box_overlap(stored(gathered(a, sides)), stored(gathered(b, sides)), cell=cell)
+        j = j.withColumn("_a", F.explode("_rows")).withColumn("_b", F.explode("b__rows"))
+        side = lambda c, p: F.col(p + c if c in sides else f"_{p[0] if p else 'a'}.{c}").alias(p + c)
+        return j.select(*[side(c, "") for c in a.columns], *[side(c, "b_") for c in b.columns])
     size = level(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), cell)
     left, right = (d.withColumn("_own", size).filter("_own is not null") for d in (a, b))
-    known = levels_of(left, right)
+    own, others = levels_of(left), levels_of(right)
     names = [F.col(c).alias(f"b_{c}") for c in b.columns]
-    left = entered(left, known, "x0", "x1", "y0", "y1", cell=cell, own_only=False)
-    right = entered(right, known, "x0", "x1", "y0", "y1", cell=cell, own_only=False).select(*names, F.col("_own").alias("_b_own"), "_lv", "_cx", "_cy")
+    left = entered(left, meeting(own, others), *sides, cell=cell, own_only=False)
+    right = entered(right, meeting(others, own), *sides, cell=cell, own_only=False).select(*names, F.col("_own").alias("_b_own"), "_lv", "_cx", "_cy")
     j = left.join(right, ["_lv", "_cx", "_cy"])
     meet = (F.col("x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("x1")) & (F.col("y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("y1"))
     home = (F.floor(F.greatest("x0", "b_x0") / F.col("_size")) == F.col("_cx")) & (F.floor(F.greatest("y0", "b_y0") / F.col("_size")) == F.col("_cy"))
     return j.filter(meet & home & (F.col("_lv") == F.greatest("_own", "_b_own"))).drop("_lv", "_cx", "_cy", "_own", "_b_own", "_size")
 
 
-def inside_ellipse(points: DataFrame, ellipses: DataFrame, *, cell: float) -> DataFrame:
-    """JN10: points (x, y) inside rotated ellipses (center_x, center_y, radius_x, radius_y, angle), with r2; an ellipse lies in four cells at most of the grid of its size, and a point looks into one cell of each grid that occurs."""
+def inside_ellipse(points: DataFrame, ellipses: DataFrame, *, cell: float, repeats: bool = False) -> DataFrame:
+    """JN10: points (x, y) inside rotated ellipses (center_x, center_y, radius_x, radius_y, angle), with r2; an ellipse lies in four cells at most of the grid of its size, and a point looks into one cell of each grid that occurs.
+
+    With repeats, equal points and equal ellipses are joined once, and all pairs of their rows are made from lists.
+    """
+    if repeats:
+        shape = ["center_x", "center_y", "radius_x", "radius_y", "angle"]
+        j = inside_ellipse(stored(gathered(points, ["x", "y"]).withColumnRenamed("_rows", "_points")), stored(gathered(ellipses, shape)), cell=cell)
+        j = j.withColumn("_a", F.explode("_points")).withColumn("_b", F.explode("_rows"))
+        own = [F.col(c if c in ("x", "y") else f"_a.{c}").alias(c) for c in points.columns]
+        return j.select(*own, *[F.col(c if c in shape else f"_b.{c}").alias(c) for c in ellipses.columns], "r2")
     reach = F.greatest("radius_x", "radius_y")
     e = ellipses.withColumn("_own", level(2 * reach, cell)).filter("_own is not null")
     known = levels_of(e)

@@ -336,11 +336,11 @@ def boxes(t):
 
 @query("jn9_box_overlap", f"WITH {BOXES} SELECT p_partkey, s_suppkey FROM a JOIN b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
 def _(t):
-    return J.box_overlap(*boxes(t), cell=4.0).select("p_partkey", F.col("b_s_suppkey").alias("s_suppkey"))
+    return J.box_overlap(*boxes(t), cell=4.0, repeats=True).select("p_partkey", F.col("b_s_suppkey").alias("s_suppkey"))
 
 
 @query("jn10_inside_ellipse", f"WITH {BOXES} SELECT p_partkey, s_suppkey FROM a JOIN b ON pow(a.x0 - b.x0, 2) / 9 + pow(a.y0 - b.y0, 2) / 4 <= 1")
 def _(t):
     a, b = boxes(t)
     e = b.select("s_suppkey", F.col("x0").alias("center_x"), F.col("y0").alias("center_y"), F.lit(3.0).alias("radius_x"), F.lit(2.0).alias("radius_y"), F.lit(0.0).alias("angle"))
-    return J.inside_ellipse(a.select("p_partkey", F.col("x0").alias("x"), F.col("y0").alias("y")), e, cell=4.0).select("p_partkey", "s_suppkey")
+    return J.inside_ellipse(a.select("p_partkey", F.col("x0").alias("x"), F.col("y0").alias("y")), e, cell=4.0, repeats=True).select("p_partkey", "s_suppkey")

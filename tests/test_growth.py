@@ -70,3 +70,28 @@ def test_masks_of_a_mesh_of_any_size(spark):
                     np.testing.assert_allclose(np.concatenate([r.cores for r in mine], axis=1), [w[0] for w in want[f]], atol=1e-12)
                 if parts and diffusion:
                     np.testing.assert_allclose(np.concatenate([r.halos for r in mine], axis=1), [w[1] for w in want[f]], atol=1e-12)
+
+
+def test_equal_boxes_are_compared_once(spark, monkeypatch):
+    from beatframe.operators import joins
+
+    monkeypatch.setattr(joins, "GATHERED", 7)
+    a = [(i, float(i % 3), float(i % 3 + 1), 0.0, 1.0 + 100 * (i % 2)) for i in range(60)] + [(99, None, 1.0, 0.0, 1.0)] * 2 + [(5, 2.0, 3.0, 0.0, 101.0)]
+    b = [(i, 0.5, 2.5, -1.0, 2.0) for i in range(30)] + [(50, 2.0, 3.0, 0.5, 0.6)]
+    kind = "k long, x0 double, x1 double, y0 double, y1 double"
+    left, right = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    meets = lambda p, q: None not in p + q and p[1] < q[2] and q[1] < p[2] and p[3] < q[4] and q[3] < p[4]
+    got = [tuple(r) for r in joins.box_overlap(left, right, cell=1.0, repeats=True).select("k", "x0", "b_k", "b_y1").collect()]
+    assert sorted(got) == sorted((p[0], p[1], q[0], q[4]) for p in a for q in b if meets(p, q))
+    lists = joins.gathered(right, ["x0", "x1", "y0", "y1"]).collect()
+    assert len({tuple(r)[:4] for r in lists}) == 2 and max(len(r["_rows"]) for r in lists) < 30
+
+
+def test_equal_points_and_ellipses_are_compared_once(spark):
+    from beatframe.operators import joins
+
+    points = spark.createDataFrame([(i, float(i % 4), 0.0) for i in range(40)], "p long, x double, y double")
+    ellipses = spark.createDataFrame([(i, 1.0, 0.0, 1.5, 0.5, 0.0) for i in range(20)], "e long, center_x double, center_y double, radius_x double, radius_y double, angle double")
+    d = joins.inside_ellipse(points, ellipses, cell=1.0, repeats=True)
+    assert d.columns == joins.inside_ellipse(points, ellipses, cell=1.0).columns
+    assert sorted((r.p, r.e, r.x) for r in d.collect()) == sorted((i, e, float(i % 4)) for i in range(40) if i % 4 < 3 for e in range(20))
