@@ -148,12 +148,15 @@ def turned(points: DataFrame, angle: float) -> DataFrame:
     return points.withColumns({"x": c * F.col("x") + s * F.col("y"), "y": c * F.col("y") - s * F.col("x")})
 
 
+SHAPE = ["center_x", "center_y", "radius_x", "radius_y", "angle"]
+
+
 def layered_field(positions: DataFrame, bands: list[tuple[float, int, float]], ellipses: DataFrame, *, rotation: float = 0.0, cell: float = 0.25) -> DataFrame:
     """MG14: label, baseline, delta and dynamic (their sum) of each element (elem_id, x, y) of an anatomy turned by rotation.
 
     bands (least radius, label, value): the outermost that the element reaches. An ellipse (elem of
     ellipses: order, ellipse_label, value, delta and its shape) that holds it replaces label and value, the
-    last in order where several do; deltas of all that do add up. Below the first band they are null.
+    last in order where several do; deltas of all that do add up. Below the first band they are null. Equal ellipses are compared once.
     """
     from beatframe.operators.joins import inside_ellipse
 
@@ -163,7 +166,8 @@ def layered_field(positions: DataFrame, bands: list[tuple[float, int, float]], e
     for least, lab, val in sorted(bands):
         label, value = F.when(r >= least, lab).otherwise(label), F.when(r >= least, val).otherwise(value)
     base = points.select("elem_id", label.cast("int").alias("label"), value.cast("double").alias("baseline"))
-    hit = inside_ellipse(points.select("elem_id", "x", "y"), ellipses, cell=cell).groupBy("elem_id").agg(F.max(F.struct("order", "ellipse_label", "value")).alias("_top"), F.sum("delta").alias("_delta"))
+    few = ellipses.groupBy(*SHAPE).agg(F.max(F.struct("order", "ellipse_label", "value")).alias("top"), F.sum("delta").alias("delta"))
+    hit = inside_ellipse(points.select("elem_id", "x", "y"), stored(few), cell=cell).groupBy("elem_id").agg(F.max("top").alias("_top"), F.sum("delta").alias("_delta"))
     d = base.join(hit, "elem_id", "left").select("elem_id", F.coalesce("_top.ellipse_label", "label").alias("label"), F.coalesce("_top.value", "baseline").alias("baseline"), F.coalesce("_delta", F.lit(0.0)).alias("delta"))
     return d.withColumn("dynamic", F.col("baseline") + F.col("delta"))
 
@@ -173,7 +177,8 @@ def vessel_targets(positions: DataFrame, vessels: DataFrame, frame: str, *, slot
     from beatframe.operators.joins import inside_ellipse
 
     reach = {c: F.greatest(c, F.lit(1e-5)) * 3 for c in ("radius_x", "radius_y")}
-    j = inside_ellipse(positions, vessels.withColumns(reach), cell=0.5).withColumn("r2", F.col("r2") * 9)
+    few = stored(vessels.select(frame, "slot", *SHAPE).distinct().withColumns(reach))  # equal vessels hold the same elements
+    j = inside_ellipse(positions.select("elem_id", "x", "y"), few, cell=0.5).withColumn("r2", F.col("r2") * 9)
     own = lambda i, x: F.max(F.when(F.col("slot") == i, x))
     cores = F.array(*[F.coalesce(own(i, F.col("r2") <= 1), F.lit(False)) for i in range(slots)])
     soft = F.array(*[F.coalesce(own(i, F.exp(-F.col("r2") / 2 / 1.25**2)), F.lit(0.0)) for i in range(slots)])
