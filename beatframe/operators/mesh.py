@@ -103,7 +103,7 @@ def image_map(nodes: DataFrame, elements: DataFrame, side: int, *, cell: float)
     """MG6: (row = pixel, col = element, value): overlap area as a share of the element, rows normalised to 1."""
     from beatframe.operators.joins import box_overlap
 
-    j = box_overlap(pixel_grid(nodes, side), geometry(nodes, elements), cell=cell)
+    j = box_overlap(pixel_grid(nodes, side), stored(geometry(nodes, elements)), cell=cell)  # read twice: for its levels, and for the join
     j = j.withColumn("w", F.try_divide(clipped_area(F.col("b_corners"), *[F.col(c) for c in ("x0", "x1", "y0", "y1")]), "b_area")).filter("w > 1e-9")  # less is rounding
     return j.select(F.col("p").cast("long").alias("row"), F.col("b_elem_id").alias("col"), (F.col("w") / F.sum("w").over(Window.partitionBy("p"))).alias("value"))
 
