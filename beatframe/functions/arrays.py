@@ -75,13 +75,21 @@ def close(x, y, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     return F.abs(x - y) <= F.lit(atol) + rtol * F.abs(y)
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once for each row, however often f uses it: a column put into a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def quantile(a, q: float) -> Column:
-    """Linearly interpolated quantile of one array; null when it is empty."""
-    s = F.array_sort(col(a))
-    at = F.lit(q) * (F.size(s) - 1)
+    """Linearly interpolated quantile of one array; null when it is empty. Nulls stand last."""
+    at = F.lit(q) * (F.size(col(a)) - 1)
     lo = F.floor(at).cast("int")
-    low, high = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(s) - 1))
-    return low + (high - low) * (at - lo)
+
+    def between(s):
+        low, high = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(col(a)) - 1))
+        return low + (high - low) * (at - lo)
+
+    return let(F.sort_array(F.array_compact(col(a))), between)
 
 
 def long(df, vector: str, *, index: str = "i", value: str = "x"):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatframe.functions.arrays import TINY, dot, minus, quantile, rms, sum_squares
+from beatframe.functions.arrays import TINY, dot, let, minus, quantile, rms, sum_squares
 from beatframe.operators.rings import MAX_BYTES, times
 
 Matrix = np.ndarray | dict[object, np.ndarray]
@@ -30,8 +30,11 @@ def reconstruct(df: DataFrame, vector: str, matrix: Matrix, *, by: list[str], or
 def operators(jacobian: DataFrame, regulariser: DataFrame, *, h: float, ridge: float = 0.0, sign: float = 1.0) -> DataFrame:
     """LN2, LN3: (ring, elem_id, channel, value) of sign * (J'J + h^2 R + ridge I)^-1 J' for each ring; least squares where that is singular.
 
-    jacobian: ring, channel, elem_id, value; regulariser: ring, i, j, value. One ring's matrices are one group.
+    jacobian: ring, channel, elem_id, value; regulariser: ring, i, j, value. One ring's matrices are one group; entries that
+    repeat a place are summed before, so a group is no larger than its matrices.
     """
+    jacobian = jacobian.groupBy("ring", "channel", "elem_id").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+    regulariser = regulariser.groupBy("ring", "i", "j").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
 
     def solve(j: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         n, m = int(j["elem_id"].max()) + 1, int(j["channel"].max()) + 1
@@ -146,7 +149,7 @@ def shape_fit(df: DataFrame, *, shape: str, predicted: str, voltage: str, base:
 def context(df: DataFrame, vector: str, *, out: str = "context", most: float = 5.0) -> DataFrame:
     """LN10: clip(|d| / p95 of |d|, 0, most), by frame."""
     p = F.greatest(quantile(F.transform(vector, F.abs), 0.95), F.lit(TINY))
-    return df.withColumn("_p", p).withColumn(out, F.transform(vector, lambda x: F.least(F.abs(x) / F.col("_p"), F.lit(most)))).drop("_p")
+    return df.withColumn(out, let(p, lambda q: F.transform(vector, lambda x: F.least(F.abs(x) / q, F.lit(most)))))
 
 
 def calibrated(df: DataFrame, *, voltage: str, reference: str, model0: str) -> DataFrame:

@@ -95,3 +95,25 @@ def test_equal_points_and_ellipses_are_compared_once(spark):
     d = joins.inside_ellipse(points, ellipses, cell=1.0, repeats=True)
     assert d.columns == joins.inside_ellipse(points, ellipses, cell=1.0).columns
     assert sorted((r.p, r.e, r.x) for r in d.collect()) == sorted((i, e, float(i % 4)) for i in range(40) if i % 4 < 3 for e in range(20))
+
+
+def test_repeated_entries_are_summed_before_a_ring_is_grouped(spark):
+    from beatframe.operators import linear
+
+    rows = [(1, c, e, float(c + 2 * e + r)) for c in range(2) for e in range(3) for r in range(4)]
+    reg = [(1, e, e, 0.5) for e in range(3)] * 2
+    d = linear.operators(spark.createDataFrame(rows, "ring long, channel long, elem_id long, value double"), spark.createDataFrame(reg, "ring long, i long, j long, value double"), h=1.0)
+    jac = np.array([[sum(c + 2 * e + r for r in range(4)) for e in range(3)] for c in range(2)], float)
+    want = np.linalg.solve(jac.T @ jac + np.eye(3), jac.T)
+    assert {(r.elem_id, r.channel): r.value for r in d.collect()} == pytest.approx({(e, c): want[e, c] for e in range(3) for c in range(2)})
+    assert planned(d).count("sum(value") >= 2
+
+
+def test_a_quantile_is_taken_once_for_each_row(spark):
+    from beatframe.operators import linear
+
+    d = linear.context(spark.createDataFrame([([3.0, None, -1.0, 2.0],), ([],), (None,), ([4.0],)], "v array<double>"), "v")
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") <= 1 and "array_sort(" not in plan
+    got = [r.context for r in d.collect()]
+    assert got[1:3] == [[], None] and got[3] == [1.0]
